@@ -1,9 +1,14 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, sharding
+from tessera.llm import chat, nearest, packing, sharding
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op3_sharding": sharding.op3_sharding,
+    "op5_packing": packing.op5_packing,
+    "op9_nearest": nearest.op9_nearest,
+}
+ORACLES = {
+    "op1_chat": chat.ORACLE_OP1,
+    "op9_nearest": nearest.ORACLE_OP9,
 }
-ORACLES = {"op1_chat": chat.ORACLE_OP1}
