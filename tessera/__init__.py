@@ -1 +1,8 @@
 """Spark-native analytics over source code and text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to executors carry their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
