@@ -1,14 +1,17 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, nearest, packing, sharding
+from tessera.llm import chat, licences, nearest, packing, quality, sharding
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op3_sharding": sharding.op3_sharding,
     "op5_packing": packing.op5_packing,
+    "op7_quality": quality.op7_quality,
+    "op8_licences": licences.op8_licences,
     "op9_nearest": nearest.op9_nearest,
 }
 ORACLES = {
     "op1_chat": chat.ORACLE_OP1,
+    "op7_quality": quality.ORACLE_OP7,
     "op9_nearest": nearest.ORACLE_OP9,
 }
