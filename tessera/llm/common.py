@@ -1,52 +1,16 @@
-"""Shared storage, input shaping and word rules of the operators in this folder."""
+"""Input shaping and word rules of the operators in this folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words, as a Java character class body: blank, tab, line feed, VT, FF, CR.
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) one made here."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        path = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(path)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return path
-
+from tessera.plans.storage import partitions, shared_dir, stored, stored_by
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["partitions", "shared_dir", "stored", "stored_by"]
 
-
-def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like stored(), bucketed by key: later joins on key leave this side where it is."""
-    spark = df.sparkSession
-    table = f"tessera_{name}_{uuid.uuid4().hex}"
-    (
-        df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd")
-        .option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    )
-    return spark.table(table)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: What separates words: blank, tab, line feed, VT, FF, CR.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, licences, nearest, packing, quality, sharding
+from tessera.llm import chat, licences, nearest, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_licences": licences.op8_licences,
     "op9_nearest": nearest.op9_nearest,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op1_chat": chat.ORACLE_OP1,
