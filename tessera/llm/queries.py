@@ -1,10 +1,11 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, licences, nearest, packing, quality, sharding, simhash
+from tessera.llm import chat, licences, nearest, packing, pieces, quality, sharding, simhash
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op3_sharding": sharding.op3_sharding,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_packing": packing.op5_packing,
     "op7_quality": quality.op7_quality,
     "op8_licences": licences.op8_licences,
