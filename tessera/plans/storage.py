@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,16 +31,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like stored(), bucketed by key: later joins on key leave this side where it is."""
+def stored_by(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Like stored(), bucketed by keys: later joins on them leave this side where it is."""
     spark = df.sparkSession
     table = f"tessera_{name}_{uuid.uuid4().hex}"
     (
-        df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd")
+        df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    )
+    )
     return spark.table(table)
 
 
+def released(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes stored frames that nothing will read again, and lets Spark drop shuffle files out of use."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
