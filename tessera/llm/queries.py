@@ -1,12 +1,14 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, licences, nearest, packing, pieces, quality, sharding, simhash
+from tessera.llm import chat, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_substrings": substrings.op2_substrings,
     "op3_sharding": sharding.op3_sharding,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_packing": packing.op5_packing,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op7_quality": quality.op7_quality,
     "op8_licences": licences.op8_licences,
     "op9_nearest": nearest.op9_nearest,
