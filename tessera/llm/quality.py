@@ -15,6 +15,9 @@ only where a window repeats. No shuffle. Windows are compared by 64-bit hashes w
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +37,22 @@ BOILERPLATE_CHARS = 200
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many of these characters the text has; texts without any cost one search."""
+    return F.when(text.rlike(f"[{chars}]"), F.length(text) - F.length(F.translate(text, chars, ""))).otherwise(0)
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^ \t-\r]")
 
 
 def line_fails(line: Column) -> Column:
     n = F.length(line)
-    runs = (2 * n - F.length(F.replace(line, F.lit("!!"), F.lit(""))) - F.length(F.replace(line, F.lit("??"), F.lit("")))) / 2
-    bare = F.length(F.translate(line, MARKS, "")) == n
-    menu = count_of(line, SEPARATORS)
-    stock = F.lit(False)
-    for phrase in BOILERPLATE:
-        stock = stock | F.contains(lower_ascii(line), F.lit(phrase))
-    has_word = F.trim(F.translate(line, "\t\n\x0b\x0c\r", "     ")) != ""
-    return has_word & (
-        bare | ((runs >= 3) & (runs * 25 >= n)) | ((menu >= 3) & (menu * 25 >= n))
-        | (count_of(line, SYMBOLS) * 20 >= n) | ((n <= BOILERPLATE_CHARS) & stock)
+    pairs = lambda mark: F.when(F.contains(line, F.lit(mark)), n - F.length(F.replace(line, F.lit(mark), F.lit("")))).otherwise(0)
+    runs, menu, odd = (pairs("!!") + pairs("??")) / 2, count_of(line, SEPARATORS), count_of(line, SYMBOLS)
+    stock = F.exists(F.array(lower_ascii(line)), lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in BOILERPLATE)))
+    return has_word(line) & (
+        ~line.rlike(f"[{MARKS}]") | ((runs >= 3) & (runs * 25 >= n)) | ((menu >= 3) & (menu * 25 >= n))
+        | ((odd > 0) & (odd * 20 >= n)) | ((n <= BOILERPLATE_CHARS) & stock)
     )
 
 
@@ -75,13 +79,13 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
         "*",
         F.expr("CASE WHEN size(_w) < 5 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 5), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4])) END").alias("_h"),
         F.filter("_lines", line_fails).alias("_bad"),
-        F.filter("_lines", lambda x: F.trim(F.translate(x, "\t\n\x0b\x0c\r", "     ")) != "").alias("_full"),
+        F.filter("_lines", has_word).alias("_full"),
     )
     lost = F.aggregate("_bad", F.lit(0), lambda n, line: n + F.size(words(line)))
     figures = hashed.select(
         *rest, "_lines", "_bad",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         repeated_words("_h").cast("long").alias("n_repeat_words"),
@@ -95,6 +99,13 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The documents that are kept, without the lines that fail."""
+    out = judged(docs.select(F.struct(*docs.columns).alias("own"), F.col(text).alias("text"))).where("kept")
+    made = {text: F.col("clean_text"), n_chars: F.length("clean_text").cast("long")}
+    return out.select(*(made.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text", "clean_text")
