@@ -101,7 +101,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The documents that are kept, without the lines that fail."""
-    out = judged(docs.select(F.struct(*docs.columns).alias("own"), F.col(text).alias("text"))).where("kept")
+    # the row number keeps the filter above the figures: pushed below, it would compute the words again for each use
+    out = judged(docs.select(F.struct(*docs.columns).alias("own"), F.col(text).alias("text")))
+    out = out.withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
     made = {text: F.col("clean_text"), n_chars: F.length("clean_text").cast("long")}
     return out.select(*(made.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions, released, stored, stored_by
@@ -281,18 +281,19 @@ def covered(plan: Plan, tokens: int, copies: int, marks: list[dict] | None) -> n
     return np.cumsum(depth[:-1]) > 0
 
 
-def removed(plan: Plan, docs: DataFrame, doc_id: str, text: str, digest: Callable, schema: str, crowd: int = CROWD) -> DataFrame:
-    """doc_id and the columns of digest(raw bytes, mask) for each row of docs."""
+def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callable, schema: str, crowd: int = CROWD) -> DataFrame:
+    """own (a column of docs) and the columns of digest(raw bytes, mask) for each row of docs."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
+    keyed = docs.select(own.alias("own"), body.alias("text"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
     keys = ["k1", "k2"]
     distinct = keyed.groupBy(*keys).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     texts = stored_by(distinct, "texts", keys, partitions(spark))
     released(spark)
 
     found = stored(texts.select(*keys, "copies", "text").mapInArrow(find_anchors(plan), "seed long, context long, k1 long, k2 long, place long, weight long"), "anchors")
-    often = found.groupBy("seed").agg(F.sum("weight").alias("n")).where("n > 1").select("seed")
+    # stored apart: the join then has an exchange of its own on both sides, and a hot seed's rows can be split
+    often = stored(found.groupBy("seed").agg(F.sum("weight").alias("n")).where("n > 1").select("seed"), "often")
     live = stored(found.join(often, "seed", "left_semi"), "live")
     released(spark, found)
 
@@ -308,7 +309,7 @@ def removed(plan: Plan, docs: DataFrame, doc_id: str, text: str, digest: Callabl
     partly = calm.repartition(partitions(spark), "seed").sortWithinPartitions("seed").mapInArrow(compare_contexts(plan), "seed long, context long, runs array<int>")
     if hot:
         windows = stored(cut.join(crowded, "seed", "left_semi").mapInArrow(hash_windows(plan), "w1 long, w2 long, seed long, context long, total long, a int"), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.sum("total").alias("n")).where("n > 1").select("w1", "w2")
+        twice = stored(windows.groupBy("w1", "w2").agg(F.sum("total").alias("n")).where("n > 1").select("w1", "w2"), "twice")
         offsets = windows.where("total = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("seed", "context").agg(F.collect_list("a").alias("a"))
         partly = partly.union(offsets.mapInArrow(gather_windows(plan), "seed long, context long, runs array<int>"))
     whole = contexts.where("total > 1").select("seed", "context", F.lit(None).cast("array<int>").alias("runs"))
@@ -328,4 +329,4 @@ def removed(plan: Plan, docs: DataFrame, doc_id: str, text: str, digest: Callabl
                 yield batch_of([*keys, *names], *(pa.array(c) for c in zip(*out)))
 
     judged = texts.join(of_text.hint("shuffle_hash"), keys, "left").select(*keys, "copies", "text", "marks").mapInArrow(finish, f"k1 long, k2 long, {schema}")
-    return keyed.select("doc_id", *keys).join(stored(judged, "judged"), keys).drop(*keys)
+    return keyed.select("own", *keys).join(stored(judged, "judged"), keys).drop(*keys)

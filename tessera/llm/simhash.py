@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions, stored, table
@@ -195,5 +196,90 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+COPY_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.96
+
+
+def bits_at(similarity: float) -> float:
+    """The share of bits that differ at this Jaccard similarity, for sets of equal size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def bands_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits of a band and how many bands: about a fourth of a text to a bucket whatever n is, and a pair of this
+    similarity in a common bucket with this probability."""
+    band = max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
+    return band, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - bits_at(similarity)) ** band)))
+
+
+def wide_prints(size: int, band: int, bands: int):
+    """For mapInArrow: a fingerprint of as many 64-bit words as the bands need; each word's digests are the shingles'
+    XXH64 mixed with an odd number of its own."""
+    words = -(-band * bands // 64)
+    odd = np.random.default_rng(SEED + 1).integers(0, 2**62, words, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+    weights = 1 << np.arange(band, dtype=np.int64)
+
+    def word(h: np.ndarray, m: np.uint64) -> int:
+        h = h * m
+        return fingerprint((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = []
+            for text in batch.column(2):
+                h = np.unique(shingle_hashes(text.as_py(), size))
+                prints.append(np.array([word(h, m) for m in odd], dtype="<u8"))
+            keys = [np.unpackbits(p.view(np.uint8), bitorder="little")[: band * bands].reshape(bands, band) @ weights for p in prints]
+            first = np.array([p[0] for p in prints], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(first), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["k1", "k2", "fp", "wide", "bands"],
+            )
+
+    return run
+
+
+def differing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (u, v, wide of u, wide of v): the share of bits that differ."""
+    for batch in pairs:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            share = np.bitwise_count(a ^ b).sum(axis=1) / (64 * a.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["u", "v", "share"])
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = COPY_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """docs less near copies: of each group linked at this similarity of word shingles, the row of least id stays.
+
+    At a similarity of 0.8 a seventh of the bits differ, which 64 bits can't tell from chance: texts get a fingerprint of
+    many words, stretches of which (bands) make the buckets. Its first word stands for the text in them and gives
+    the pivot distances; links are verified by all bits. Exact copies, and texts equal in the first word, are one
+    text. Texts without words are copies of each other. Rows equal in id and text count as one row.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select("*", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"))
+    keys = ["k1", "k2"]
+    band, bands = bands_for(docs.count(), similarity, recall)
+    made = keyed.select(*keys, body.alias("text")).mapInArrow(wide_prints(size, band, bands), "k1 long, k2 long, fp long, wide binary, bands array<long>")
+    least = keyed.groupBy(*keys).agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("n"), F.col("_id").alias("id"))).alias("o"))
+    owned = least.select(*keys, F.struct("o.none", "o.n", "o.id", *keys).alias("owner"))
+    prints = stored(made.dropDuplicates(keys).join(owned, keys).select("fp", "wide", "bands", "owner"), "wide")
+    one = stored(prints.groupBy("fp").agg(F.min("owner").alias("owner"), F.first("wide").alias("wide")), "prints")
+
+    allowed = bits_at(similarity)
+    loose = int(np.ceil(64 * allowed + 3 * np.sqrt(64 * allowed * (1 - allowed))))  # three deviations above the mean
+    buckets = prints.select("fp", F.posexplode("bands").alias("band", "key")).select(F.col("band").cast("long"), "key", "fp").distinct()
+    dealt = buckets.repartition(partitions(docs.sparkSession), "band", "key").sortWithinPartitions("band", "key")
+    links = stored(dealt.mapInArrow(linked(loose), "u long, v long").distinct(), "links")
+    wide = one.select("fp", "wide")
+    both = links.join(wide.toDF("u", "a"), "u").join(wide.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    error = np.sqrt(allowed * (1 - allowed) / (band * bands))  # of the measured share
+    sure = both.mapInArrow(differing, "u long, v long, share double").where(F.col("share") <= allowed + 1.5 * error).select("u", "v")
+    group = one.join(components(sure).toDF("fp", "component"), "fp", "left")
+    winners = stored(group.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", F.col("o.id").alias("_id")), "winners")
+    kept = keyed.join(winners, [*keys, "_id"], "left_semi")
+    again = F.row_number().over(W.partitionBy(*keys, "_id").orderBy(F.lit(1)))
+    return kept.withColumn("_n", again).where("_n = 1").select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

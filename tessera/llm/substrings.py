@@ -16,6 +16,7 @@ from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.repeats import CROWD, Hashes, Plan, mix, removed
@@ -46,7 +47,7 @@ def digest(raw: bytes, mask) -> tuple:
 
 def dedup_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
-    return removed(WORDS, docs, doc_id, text, digest, OUT, crowd)
+    return removed(WORDS, docs, F.col(doc_id), text, digest, OUT, crowd).withColumnRenamed("own", "doc_id")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

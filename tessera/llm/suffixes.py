@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.repeats import CROWD, Plan, removed
@@ -42,7 +43,19 @@ def digest(raw: bytes, mask) -> tuple:
 
 def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return removed(BYTES, docs, doc_id, text, digest, OUT, crowd)
+    return removed(BYTES, docs, F.col(doc_id), text, digest, OUT, crowd).withColumnRenamed("own", "doc_id")
+
+
+def cut_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", crowd: int = CROWD) -> DataFrame:
+    """docs with their repeated bytes cut out of the text; what is left of a character cut in two goes with it."""
+
+    def left(raw: bytes, mask) -> tuple:
+        kept = kept_bytes(raw, mask(len(raw))).decode("utf-8", "ignore")
+        return kept, len(kept)
+
+    cut = removed(BYTES, docs, F.struct(*(c for c in docs.columns if c != text)), text, left, "kept string, kept_chars long", crowd)
+    made = {text: F.col("kept"), n_chars: F.col("kept_chars")}
+    return cut.select(*(made.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
