@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stored, table
+from tessera.llm.common import partitions, released, stored, stored_by, table
 from tessera.operators.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -247,38 +247,62 @@ def differing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["u", "v", "share"])
 
 
+def overlaps(size: int):
+    """For mapInArrow over (u, v, text of u, text of v): the Jaccard similarity of their shingles."""
+
+    def similarity(a: str, b: str) -> float:
+        x, y = np.unique(shingle_hashes(a, size)), np.unique(shingle_hashes(b, size))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / max(1, len(x) + len(y) - both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [similarity(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.float64())], names=["u", "v", "similarity"])
+
+    return run
+
+
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = COPY_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """docs less near copies: of each group linked at this similarity of word shingles, the row of least id stays.
 
     At a similarity of 0.8 a seventh of the bits differ, which 64 bits can't tell from chance: texts get a fingerprint of
     many words, stretches of which (bands) make the buckets. Its first word stands for the text in them and gives
-    the pivot distances; links are verified by all bits. Exact copies, and texts equal in the first word, are one
-    text. Texts without words are copies of each other. Rows equal in id and text count as one row.
+    the pivot distances; what passes is judged by all bits, and last by the shingles themselves. Exact copies, and
+    texts equal in the first word, are one text. Texts without words are copies of each other. Rows equal in id
+    and text count as one row. Texts are shuffled once, into a table bucketed by text.
     """
+    spark, keys = docs.sparkSession, ["k1", "k2"]
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select("*", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"))
-    keys = ["k1", "k2"]
     band, bands = bands_for(docs.count(), similarity, recall)
-    made = keyed.select(*keys, body.alias("text")).mapInArrow(wide_prints(size, band, bands), "k1 long, k2 long, fp long, wide binary, bands array<long>")
-    least = keyed.groupBy(*keys).agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("n"), F.col("_id").alias("id"))).alias("o"))
-    owned = least.select(*keys, F.struct("o.none", "o.n", "o.id", *keys).alias("owner"))
-    prints = stored(made.dropDuplicates(keys).join(owned, keys).select("fp", "wide", "bands", "owner"), "wide")
+    owner = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("n"), F.col("_id").alias("id"), *keys)).alias("owner")
+    texts = stored_by(keyed.groupBy(*keys).agg(owner, F.first(body).alias("body")), "texts", keys, partitions(spark))
+    released(spark)
+    made = texts.select(*keys, "body").mapInArrow(wide_prints(size, band, bands), "k1 long, k2 long, fp long, wide binary, bands array<long>")
+    prints = stored(made.join(texts.select(*keys, "owner"), keys).select("fp", "wide", "bands", "owner"), "wide")
     one = stored(prints.groupBy("fp").agg(F.min("owner").alias("owner"), F.first("wide").alias("wide")), "prints")
 
-    allowed = bits_at(similarity)
-    loose = int(np.ceil(64 * allowed + 3 * np.sqrt(64 * allowed * (1 - allowed))))  # three deviations above the mean
+    p = bits_at(similarity)
+    spread = lambda bits: 3 * np.sqrt(p * (1 - p) / bits)  # noqa: E731  three deviations of a measured share
     buckets = prints.select("fp", F.posexplode("bands").alias("band", "key")).select(F.col("band").cast("long"), "key", "fp").distinct()
-    dealt = buckets.repartition(partitions(docs.sparkSession), "band", "key").sortWithinPartitions("band", "key")
-    links = stored(dealt.mapInArrow(linked(loose), "u long, v long").distinct(), "links")
+    dealt = buckets.repartition(partitions(spark), "band", "key").sortWithinPartitions("band", "key")
+    links = stored(dealt.mapInArrow(linked(int(np.ceil(64 * (p + spread(64))))), "u long, v long").distinct(), "links")
     wide = one.select("fp", "wide")
     both = links.join(wide.toDF("u", "a"), "u").join(wide.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    error = np.sqrt(allowed * (1 - allowed) / (band * bands))  # of the measured share
-    sure = both.mapInArrow(differing, "u long, v long, share double").where(F.col("share") <= allowed + 1.5 * error).select("u", "v")
+    near = stored(both.mapInArrow(differing, "u long, v long, share double").where(F.col("share") <= p + spread(band * bands)).select("u", "v"), "near")
+    released(spark, links)
+    asked = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(one, "fp").select("fp", "owner.k1", "owner.k2")
+    said = stored(texts.select(*keys, "body").join(asked.hint("shuffle_hash"), keys).select("fp", "body"), "said")
+    pairs = near.join(said.toDF("u", "a"), "u").join(said.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    sure = pairs.mapInArrow(overlaps(size), "u long, v long, similarity double").where(F.col("similarity") >= similarity).select("u", "v")
     group = one.join(components(sure).toDF("fp", "component"), "fp", "left")
     winners = stored(group.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", F.col("o.id").alias("_id")), "winners")
-    kept = keyed.join(winners, [*keys, "_id"], "left_semi")
+
+    rows = keyed.select(*(c for c in keyed.columns if c != text), F.col(text).isNull().alias("_null")).join(winners, [*keys, "_id"], "left_semi")
     again = F.row_number().over(W.partitionBy(*keys, "_id").orderBy(F.lit(1)))
-    return kept.withColumn("_n", again).where("_n = 1").select(*docs.columns)
+    kept = texts.select(*keys, "body").join(rows.withColumn("_n", again).where("_n = 1").hint("shuffle_hash"), keys)
+    return kept.select(*(F.when(~F.col("_null"), F.col("body")).alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
