@@ -98,17 +98,18 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """doc_id and the digest columns; found: array<struct<label, base, start, share>> of all verified places."""
     templates, postings, indexed = index(counts(docs, text))
     split = docs.select(F.col(doc_id).alias("doc_id"), licence_words(F.col(text)).alias("w"))
-    hits = split.select("*", F.expr(f"CASE WHEN size(w) = 0 THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(w) - 1), i -> w[i] IN ({indexed})) END").alias("hits"))
+    hits = split.select("*", F.expr(f"transform(array(w), v -> CASE WHEN size(v) = 0 THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(v) - 1), i -> v[i] IN ({indexed})) END)[0]").alias("hits"))
     # from a hit: its postings give offsets, both rare words must agree, then the key phrase; only documents with hits get this far
     found = hits.select("doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"""
-      CASE WHEN size(hits) = 0 THEN NULL ELSE
-      transform(filter(flatten(transform(hits, i -> transform(element_at({postings}, w[i]),
+      transform(array(struct(w, hits)), z ->
+      CASE WHEN size(z.hits) = 0 THEN NULL ELSE
+      transform(filter(flatten(transform(z.hits, i -> transform(element_at({postings}, z.w[i]),
           c -> struct(element_at({templates}, c.t + 1) AS t, i - c.p AS off)))),
-        c -> coalesce(get(w, c.off + c.t.at) = c.t.second, false) AND c.off + c.t.start >= 0
-          AND slice(w, greatest(1, c.off + c.t.start + 1), size(c.t.key)) = c.t.key),
+        c -> coalesce(get(z.w, c.off + c.t.at) = c.t.second, false) AND c.off + c.t.start >= 0
+          AND slice(z.w, greatest(1, c.off + c.t.start + 1), size(c.t.key)) = c.t.key),
         c -> struct(c.t.label AS label, c.t.base AS base, c.off + c.t.start AS start,
-          aggregate(sequence(0, size(c.t.body) - 1), 0D, (a, k) -> a + if(coalesce(get(w, c.off + k) = c.t.body[k], false), c.t.idf[k], 0D))
-            / aggregate(c.t.idf, 0D, (a, x) -> a + x) AS share)) END""").alias("found"))
+          aggregate(sequence(0, size(c.t.body) - 1), 0D, (a, k) -> a + if(coalesce(get(z.w, c.off + k) = c.t.body[k], false), c.t.idf[k], 0D))
+            / aggregate(c.t.idf, 0D, (a, x) -> a + x) AS share)) END)[0]""").alias("found"))
     base = F.expr("filter(coalesce(found, array()), f -> f.base)")
     return found.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),

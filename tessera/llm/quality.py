@@ -77,7 +77,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     hashed = split.select(
         "*",
-        F.expr("CASE WHEN size(_w) < 5 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 5), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4])) END").alias("_h"),
+        # bound to a variable: a filter pushed down to here would otherwise split the text again for each window
+        F.expr("transform(array(_w), w -> CASE WHEN size(w) < 5 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])) END)[0]").alias("_h"),
         F.filter("_lines", line_fails).alias("_bad"),
         F.filter("_lines", has_word).alias("_full"),
     )
