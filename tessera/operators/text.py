@@ -86,9 +86,14 @@ def redacted(text):
 def shingle_sets(functions: DataFrame, size: int = 5) -> DataFrame:
     """id, s: the sorted distinct hashes of each function's token shingles; shorter functions have no row."""
     tokens = F.filter(F.split("code", r"[^A-Za-z0-9_]+"), lambda t: t != "")
-    t = functions.select("id", tokens.alias("t")).where(F.size("t") >= size)
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - (size - 1)))
-    return t.select("id", F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("t", i, size), " "))))).alias("s"))
+
+    def hashes(t):
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (size - 1)))
+        return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(t, i, size), " ")))))
+
+    # the tokens are bound to a variable: a filter pushed down here would otherwise split the code again for each shingle
+    bound = F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= size, hashes(t)))[0]
+    return functions.select("id", bound.alias("s")).where("s IS NOT NULL")
 
 
 def clone_classes(sets: DataFrame) -> DataFrame:
