@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -8,35 +8,35 @@ from pyspark.sql import functions as F
 from tessera.plans.storage import stored
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least of its neighbours and itself."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def small_star(edges: DataFrame) -> DataFrame:
-    """Each node links itself and its smaller neighbours to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    inner = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return inner.union(least.select("u", F.col("m").alias("v")))
+def hooked(edges: DataFrame) -> DataFrame:
+    """node, root: each node hooks to the least of itself and its neighbours, then paths are halved until all nodes
+    know their tree's root. Parents are smaller than children, so there are no cycles and a root is its tree's least."""
+    both = edges.select("u", "v").union(edges.select("v", "u")).toDF("node", "v")
+    tree = stored(both.groupBy("node").agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")), "tree")
+    while True:
+        up = tree.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = stored(tree.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "tree")
+        tree = new.select("node", "root")
+        if new.where("moved").isEmpty():
+            return tree
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component of each node with an edge; a component is named by its least node.
 
-    edges: u, v of one orderable type, self-loops ignored. Every round is written to the shared folder; the driver
-    sees one count and one checksum a round. The number of rounds grows with the logarithm of the longest path.
+    edges: u, v of one orderable type, self-loops ignored. Each round contracts trees to their roots and keeps the
+    edges between roots; at most half of the nodes are roots, and a dense group is one root after a round. Rounds
+    are written to the shared folder; the driver sees only whether anything is left.
     """
-    now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    mark = lambda e: tuple(e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    while True:
-        now = stored(small_star(large_star(now).distinct()).where("u <> v").distinct(), "edges")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    ordered = lambda e: e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    now = stored(ordered(edges), "edges")
+    levels = []
+    while levels == [] or not now.isEmpty():
+        tree = hooked(now)
+        levels.append(tree)
+        side = lambda c: tree.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+        now = stored(ordered(now.join(side("u"), "u").join(side("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "edges")
+    out = levels[0]
+    for tree in levels[1:]:
+        out = out.join(tree.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return out.toDF("node", "component")

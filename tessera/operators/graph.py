@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
 from tessera.plans.storage import stored
 
-RANK = F.when(F.col("resolution") == "resolved", 3).when(F.col("resolution") == "inferred", 2).otherwise(1)
+
+def edge_rank() -> Column:
+    return F.when(F.col("resolution") == "resolved", 3).when(F.col("resolution") == "inferred", 2).otherwise(1)
+
 
 
 def arcs(edges: DataFrame, direction: str) -> DataFrame:
@@ -43,7 +46,7 @@ def change_impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataF
     A path is as sure as its weakest edge; of paths of least depth the surest counts.
     """
     used = edges.where(F.col("resolution").isin("resolved", "inferred") & (F.col("source") != F.col("target")))
-    back = used.select(F.col("target").alias("a"), F.col("source").alias("b"), RANK.alias("rank")).groupBy("a", "b").agg(F.max("rank").alias("rank"))
+    back = used.select(F.col("target").alias("a"), F.col("source").alias("b"), edge_rank().alias("rank")).groupBy("a", "b").agg(F.max("rank").alias("rank"))
     level = changed.select("node").distinct().withColumn("rank", F.lit(3)).withColumn("distance", F.lit(0))
     seen = level
     for d in range(1, depth + 1):

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_CHARS, OVERLAP_LINES, DIMENSIONS, POOL, BONUS = 1500, 3, 384, 48, 0.15
 
@@ -64,7 +65,7 @@ def hashed_vector(text: str, size: int = DIMENSIONS) -> list[float]:
     return [x / norm for x in v] if norm else v
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(text: pd.Series) -> pd.Series:
     return text.fillna("").map(hashed_vector)
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXCLUDED = (".git", "node_modules", "dist", "build", "target", "__pycache__", ".venv", "vendor")
 BINARY = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "jar", "class", "exe", "dll", "so", "woff", "woff2", "ttf", "mp4", "mp3")
@@ -51,7 +52,7 @@ def masked(code: str, python: bool) -> str:
     return re.sub(token, lambda m: re.sub(r"[^\n]", " ", m[0]), code)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mask_code(code: pd.Series, python: pd.Series) -> pd.Series:
     return pd.Series([masked(c or "", bool(p)) for c, p in zip(code, python)])
 

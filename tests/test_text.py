@@ -1,0 +1,93 @@
+"""Content and path rules, retrieval and the job queue, on small cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import scalars as S
+from tessera.operators import linkage, retrieval, text
+from tessera.streaming import jobs
+
+
+def column(spark, values, expr):
+    return [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(expr(F.col("v"))).collect()]
+
+
+def test_fnv(spark):
+    assert column(spark, ["hello", ""], S.fnv1a) == ["4f9f2cab", "811c9dc5"]
+
+
+def test_paths(spark):
+    bad = ["../x", "./foo", "src/../secret", "C:\\x", "/etc/passwd", "a\0b", "", None]
+    assert column(spark, bad, S.valid_path) == [False] * len(bad)
+    assert column(spark, [".env", "src/.env.local", "keys/private.pem", ".ssh/id_rsa", None], S.sensitive_path) == [True] * 5
+    assert column(spark, ["src/a.py", ".env.example"], S.sensitive_path) == [False, False]
+
+
+def test_redaction(spark):
+    got = column(spark, ["OPENAI_API_KEY=sk-abcdefghijklmnop", "password: hunter2", "k = os.getenv('API_KEY')", "token = null", None], text.redacted)
+    assert "sk-" not in got[0] and "hunter2" not in got[1] and got[2] == "k = os.getenv('API_KEY')" and got[3] == "token = null" and got[4] == ""
+
+
+def test_masking_keeps_offsets():
+    code = "x = 1 # if\ns = 'for' + \"a\\\"b\"\n'''while\n'''\n"
+    out = text.masked(code, True)
+    assert len(out) == len(code) and out.count("\n") == code.count("\n") and "if" not in out and "for" not in out and "while" not in out
+
+
+def test_prepared_budget_and_reasons(spark):
+    rows = [("r", 1, "a.py", "x"), ("r", 2, "a.py", "y"), ("r", 3, "../b", "x"), ("r", 4, "node_modules/c.js", "x"), ("r", 5, "d.png", "x"), ("r", 6, "e.txt", "a\0b"), ("r", 7, "./f.py", "")]
+    got = {r.seq: r.reason for r in text.prepared(spark.createDataFrame(rows, "repository string, seq int, path string, content string")).collect()}
+    assert got == {1: None, 2: "duplicate-path", 3: "unsafe-path", 4: "excluded-directory", 5: "binary", 6: "binary", 7: None}
+
+
+def test_line_pieces_overlap():
+    code = "\n".join(f"line {i} " + "x" * 90 for i in range(60))
+    parts = retrieval.line_pieces(code)
+    assert len(parts) > 2 and parts[1].split("\n")[:3] == parts[0].split("\n")[-3:]
+    assert retrieval.line_pieces("short") == ["short"]
+
+
+def test_hashed_vector_counts_words_twice():
+    v = retrieval.hashed_vector("word")
+    assert sum(x != 0 for x in v) == 1 and abs(sum(x * x for x in v) - 1) < 1e-12
+    assert not any(retrieval.hashed_vector(""))
+
+
+def test_rerank_and_sources(spark):
+    c = spark.createDataFrame([("near", 0.74), ("unrelated", 0.80)], "path string, similarity double")
+    d = spark.createDataFrame([("near", 1)], "path string, hops int")
+    assert [(r.path, round(r.score, 3)) for r in retrieval.graph_rerank(c, d, 2).collect()] == [("near", 0.815), ("unrelated", 0.8)]
+    chunks = spark.createDataFrame([("a/engine.py", "x", 0.2), ("b/other.py", "engine", 0.9)], "path string, content string, similarity double")
+    assert [r.path for r in retrieval.source_filter(chunks, "what does engine.py do?").collect()] == ["a/engine.py"]
+    assert retrieval.source_filter(chunks.withColumn("similarity", F.lit(0.15)), "what engine").count() == 0
+
+
+def test_routes(spark):
+    from tessera.plans import catalog_linkage as c
+
+    got = {r.call: (r.kind, r.route) for r in c.route_match(spark, "").collect()}
+    assert got == {"c1": ("exact", "r1"), "c2": ("method-mismatch", "r2"), "c3": ("suffix", "r3"), "c4": ("none", None), "c5": ("exact", "r5"), "c6": ("exact", "r3")}
+
+
+def test_jobs_finish(spark):
+    j = spark.createDataFrame([(1, "RUNNING", 2, "t", 5), (2, "RUNNING", 8, "t", 5), (3, "RUNNING", 1, "other", 5), (4, "RUNNING", 1, "t", 5)], "id int, status string, attempts int, lease_token string, revision int")
+    r = spark.createDataFrame([(1, "t", 5, False), (2, "t", 5, False), (3, "t", 5, True), (4, "t", 5, True)], "id int, token string, revision int, ok boolean")
+    got = {x.id: (x.status, x.delay) for x in jobs.finished(j, r).collect()}
+    assert got == {1: ("RETRY", 4), 2: ("DEAD", None), 3: ("RUNNING", None), 4: ("SUCCEEDED", None)}
+
+
+def test_queue_stream_equals_batch(spark, tmp_path):
+    rows = [("a", "INDEX", 1, 1), ("a", "DELETE", 2, 2), ("b", "INDEX", 1, 3), ("a", "INDEX", 5, 4), ("b", "INDEX", 9, 5)]
+    e = spark.createDataFrame(rows, "repository string, operation string, t int, seq long").withColumn("at", F.timestamp_seconds("t")).drop("t")
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = jobs.queue_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")))
+    q = s.writeStream.format("memory").queryName("queue").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.table("queue").groupBy("repository", "operation").agg(F.max_by("status", F.struct("at", F.col("status") == "PENDING")).alias("status"))
+    want = jobs.replayed(e).select("repository", "operation", "status")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("names, licence", [("react", "MIT"), ("g:mysql-connector-java", "GPL-2.0"), ("none", "unknown")])
+def test_licence_class(spark, names, licence):
+    assert linkage.licence_class(spark.createDataFrame([(names,)], "name string")).first()["licence"] == licence
