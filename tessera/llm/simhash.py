@@ -30,7 +30,7 @@ from tessera.operators.components import components
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Widths of the bit groups; two of these six agree wherever at most four bits differ.
 GROUPS = (11, 11, 11, 11, 10, 10)
-PIVOTS, SMALL = 16, 64
+PIVOTS, SMALL, CROWD = 16, 64, 20_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -133,8 +133,28 @@ def large_bucket(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def linked(bits: int):
-    """For mapInArrow over (bucket, key, fp) in order: links u, v of each bucket, a forest in large ones."""
+def nearest_tree(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A least spanning forest of the links among fingerprints, as index pairs, grown from one member after another."""
+    free = np.arange(1, len(x))
+    gap, via, edges = np.bitwise_count(x[1:] ^ x[0]).astype(np.int64), np.zeros(len(x) - 1, np.int64), []
+    while len(free):
+        i = int(np.argmin(gap))
+        if gap[i] <= bits:
+            edges.append((int(via[i]), int(free[i])))
+        new = int(free[i])
+        free, gap, via = np.delete(free, i), np.delete(gap, i), np.delete(via, i)
+        now = np.bitwise_count(x[free] ^ x[new])
+        closer = now < gap
+        gap[closer], via[closer] = now[closer], new
+    return edges
+
+
+def linked(bits: int, least: bool = False):
+    """For mapInArrow over (bucket, key, fp) in order: links u, v of each bucket, a forest in large ones.
+
+    least: a least spanning forest in every bucket of up to CROWD members, so that links which a stricter test
+    refuses later are the longest ones.
+    """
     pivots = np.random.default_rng(SEED).integers(0, 2**63, PIVOTS, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def pairs(x: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +168,17 @@ def linked(bits: int):
         for step in range(1, int(sizes[small].max(initial=0))):
             a = np.flatnonzero(left > step)
             ok = a[survivors(x[a], x[a + step], table_[a], table_[a + step], bits)]
-            u.append(x[ok])
-            v.append(x[ok + step])
+            u.append(ok)
+            v.append(ok + step)
+        if least and u:
+            a, b = np.concatenate(u), np.concatenate(v)
+            order, trees = np.argsort(np.bitwise_count(x[a] ^ x[b]), kind="stable"), Forest(len(x))
+            keep = [i for i in order.tolist() if trees.join(int(a[i]), int(b[i]))]
+            u, v = [a[keep]], [b[keep]]
+        u, v = [x[i] for i in u], [x[i] for i in v]
         for s, n in zip(first[~small].tolist(), sizes[~small].tolist()):
-            e = np.array(large_bucket(x[s : s + n], bits), dtype=np.int64).reshape(-1, 2)
+            make = nearest_tree if least and n <= CROWD else large_bucket
+            e = np.array(make(x[s : s + n], bits), dtype=np.int64).reshape(-1, 2)
             u.append(x[s + e[:, 0]])
             v.append(x[s + e[:, 1]])
         return (np.concatenate(u) if u else x[:0]), (np.concatenate(v) if v else x[:0])
@@ -287,7 +314,7 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = lambda bits: 3 * np.sqrt(p * (1 - p) / bits)  # noqa: E731  three deviations of a measured share
     buckets = prints.select("fp", F.posexplode("bands").alias("band", "key")).select(F.col("band").cast("long"), "key", "fp").distinct()
     dealt = buckets.repartition(partitions(spark), "band", "key").sortWithinPartitions("band", "key")
-    links = stored(dealt.mapInArrow(linked(int(np.ceil(64 * (p + spread(64))))), "u long, v long").distinct(), "links")
+    links = stored(dealt.mapInArrow(linked(int(np.ceil(64 * (p + spread(64)))), least=True), "u long, v long").distinct(), "links")
     wide = one.select("fp", "wide")
     both = links.join(wide.toDF("u", "a"), "u").join(wide.toDF("v", "b"), "v").select("u", "v", "a", "b")
     near = stored(both.mapInArrow(differing, "u long, v long, share double").where(F.col("share") <= p + spread(band * bands)).select("u", "v"), "near")
