@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, model
 from tessera.plans.registry import registry
 from tessera.sources import views
 
@@ -200,3 +200,45 @@ def dangling_edges(spark, sf_dir):
     name = lambda k, c: F.concat(F.lit(f"{k}/"), F.col(c).cast("string")).alias("source")
     known = views.table(spark, sf_dir, "part").where("p_size < 40").select(name("part", "p_partkey"))
     return views.edges(spark, sf_dir).where("source LIKE 'part/%'").join(known, "source", "left_anti").select("source", "target")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT 'part/1' AS node, 0 AS d UNION SELECT e.target, d + 1 FROM w JOIN e ON w.node = e.source WHERE d < 4 AND e.type = 'import'),
+m AS (SELECT node, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY node) SELECT *, CASE WHEN (SELECT count(*) FROM m) > 200 THEN 'partial' ELSE 'complete' END AS status FROM m ORDER BY distance, node LIMIT 200""")
+def model_slice(spark, sf_dir):
+    return model.slice_of(views.edges(spark, sf_dir), named(spark, "part/1"), ["import"])
+
+
+@query(f"""WITH {EDGES}, b AS (SELECT source AS node, target AS other FROM e UNION SELECT target, source FROM e), d AS (SELECT node, count(*) AS degree FROM b GROUP BY node)
+SELECT node, CASE WHEN node = 'supplier/4' THEN 0 WHEN node IN (SELECT node FROM b WHERE other = 'supplier/4') THEN 1 ELSE 2 END AS tier, degree FROM d ORDER BY tier, degree DESC, node LIMIT 80""")
+def visible_window(spark, sf_dir):
+    return model.visible_window(views.edges(spark, sf_dir), named(spark, "supplier/4"))
+
+
+@query(f"""WITH {EDGES}, b AS (SELECT target AS a, source AS b FROM e WHERE resolution <> 'ambiguous'), l AS (SELECT 'test/' || l_orderkey AS test, 'supplier/' || l_suppkey AS source, l_linenumber % 3 + 1 AS rank FROM lineitem),
+h AS (SELECT 'nation/3' AS node, 0 AS hops UNION ALL SELECT DISTINCT b, 1 FROM b WHERE a = 'nation/3'), m AS (SELECT test, hops, rank FROM l JOIN h ON l.source = h.node),
+r AS (SELECT test, min(hops) AS hops FROM m GROUP BY test) SELECT test, CAST(hops AS INTEGER) AS hops, CAST(max(rank) AS INTEGER) AS rank FROM m JOIN r USING (test, hops) GROUP BY test, hops""")
+def test_recommendation(spark, sf_dir):
+    l = views.table(spark, sf_dir, "lineitem")  # noqa: E741
+    links = l.select(F.concat(F.lit("test/"), F.col("l_orderkey").cast("string")).alias("test"), F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("source"), (F.col("l_linenumber") % 3 + 1).alias("rank"))
+    return model.recommended_tests(views.edges(spark, sf_dir), named(spark, "nation/3"), links)
+
+
+@query(f"""WITH {EDGES}, o AS (SELECT 'supplier/' || s_suppkey AS path, s_suppkey % 4 AS g FROM supplier WHERE s_suppkey % 9 <> 0), n AS (SELECT 'supplier/' || s_suppkey AS path, CASE WHEN s_suppkey % 25 = 0 THEN -1 ELSE s_suppkey % 4 END AS g FROM supplier WHERE s_suppkey % 7 <> 0),
+s AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.g <> n.g THEN 'modified' END AS status FROM o FULL JOIN n ON o.path = n.path),
+x AS (SELECT DISTINCT source AS node FROM e JOIN s ON e.target = s.path WHERE status IN ('modified', 'removed') AND resolution <> 'ambiguous' AND source LIKE 'part/%')
+SELECT path AS node, status AS why FROM s WHERE status IN ('added', 'modified') UNION ALL SELECT node, 'affected' FROM x""")
+def incremental_plan(spark, sf_dir):
+    s, k = views.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    path = F.concat(F.lit("supplier/"), k.cast("string")).alias("path")
+    old = s.where(k % 9 != 0).select(path, (k % 4).alias("digest"))
+    new = s.where(k % 7 != 0).select(path, F.when(k % 25 == 0, -1).otherwise(k % 4).alias("digest"))
+    return model.incremental_plan(old, new, views.edges(spark, sf_dir), depth=1)
+
+
+@query(f"""WITH {HANDOFFS}, s AS (SELECT DISTINCT source AS f FROM h WHERE source % 40 = 0), l1 AS (SELECT f, target AS t FROM s JOIN h ON f = source WHERE f <> target), l2 AS (SELECT f, target AS t FROM l1 JOIN h ON l1.t = h.source)
+SELECT DISTINCT f AS source, t AS sink FROM (SELECT f, f AS t FROM s UNION SELECT * FROM l1 UNION SELECT * FROM l2) WHERE t % 11 = 0""")
+def flows_across_calls(spark, sf_dir):
+    h = views.handoffs(spark, sf_dir)
+    f = h.select(F.col("source").alias("function")).distinct()
+    out = model.flows_across_calls(f.where("function % 40 = 0"), h.toDF("caller", "callee"), h.select(F.col("target").alias("function")).union(f).where("function % 11 = 0"), 2)
+    return out.select("source", "sink")
