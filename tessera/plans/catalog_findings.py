@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import findings as ops
+from tessera.operators import metrics
 from tessera.plans.registry import registry
 from tessera.sources import views
 
@@ -124,3 +125,37 @@ def coverage_rollup(spark, sf_dir):
     s = lambda v: F.count_if(F.col("o_orderstatus") == v)
     by = views.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stage")).agg(s("F").alias("complete"), s("P").alias("partial"), s("O").alias("failed"))
     return by.withColumn("status", F.when(F.col("failed") > 0, "partial").otherwise("complete"))
+
+
+@query("""WITH f AS (SELECT c_mktsegment || '/' || lower(split_part(n_name, ' ', 1)) || CASE c_custkey % 3 WHEN 0 THEN '_service' WHEN 1 THEN 'Controller' ELSE '' END || '.py' AS path, lower(split_part(n_name, ' ', 1)) AS token FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT replace(replace(token, '_', ''), '-', '') AS token, count(DISTINCT path) AS n FROM f GROUP BY 1 HAVING count(DISTINCT path) >= 2 AND length(replace(replace(token, '_', ''), '-', '')) >= 3""")
+def domain_clusters(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 3
+    suffix = F.when(k == 0, "_service").when(k == 1, "Controller").otherwise("")
+    return metrics.domain_clusters(c.select(F.concat("c_mktsegment", F.lit("/"), F.lower(F.substring_index("n_name", " ", 1)), suffix, F.lit(".py")).alias("path")))
+
+
+@query("""WITH c AS (SELECT 'f' || l_suppkey AS path, 'r' || (l_partkey % 30) AS target, CASE l_returnflag WHEN 'A' THEN 'saveAll' WHEN 'N' THEN 'findOne' ELSE 'deleteById' END AS fn FROM lineitem)
+SELECT target, count(DISTINCT path) AS n_callers, array_to_string(list_sort(list(DISTINCT path)), ',') AS callers FROM c WHERE fn <> 'findOne' AND CAST(substr(target, 2) AS INTEGER) % 2 = 0 GROUP BY target""")
+def write_ownership(spark, sf_dir):
+    f = F.col("l_returnflag")
+    calls = views.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"), F.concat(F.lit("r"), (F.col("l_partkey") % 30).cast("string")).alias("target"), F.when(f == "A", "saveAll").when(f == "N", "findOne").otherwise("deleteById").alias("fn"))
+    roles = spark.range(30).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("path"), F.when(F.col("id") % 2 == 0, "Repository").otherwise("Service").alias("role"))
+    return metrics.write_owners(calls, roles).withColumn("callers", F.array_join("callers", ","))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id FROM part UNION ALL SELECT p_partkey FROM part WHERE p_size = 1), e AS (SELECT l_partkey AS source, l_suppkey + 1950 AS target, l_returnflag AS type, l_linenumber AS line FROM lineitem), l AS (SELECT p_partkey AS path, p_size % 7 AS len FROM part)
+SELECT 'dangling' AS problem, count(*) AS n FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) WHERE id NOT IN (SELECT id FROM n)
+UNION ALL SELECT 'duplicate-node', count(*) FROM (SELECT id FROM n GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'duplicate-relation', count(*) FROM (SELECT 1 FROM e GROUP BY source, target, type HAVING count(*) > 1)
+UNION ALL SELECT 'evidence-line', count(*) FROM e JOIN l ON source = path WHERE line < 1 OR line > len""")
+def graph_audit(spark, sf_dir):
+    p, l = views.table(spark, sf_dir, "part"), views.table(spark, sf_dir, "lineitem")  # noqa: E741
+    nodes = p.select(F.col("p_partkey").alias("id")).union(p.where("p_size = 1").select("p_partkey"))
+    edges = l.select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 1950).alias("target"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("line"))
+    return metrics.audit(nodes, edges, p.select("p_partkey", F.col("p_size") % 7))
+
+
+@query("""SELECT lang AS pattern, count(*) AS n FROM documents WHERE contains(text, 'License') GROUP BY lang""")
+def pattern_files(spark, sf_dir):
+    return views.files(spark, sf_dir).where(F.contains("content", F.lit("License"))).groupBy(F.col("language").alias("pattern")).agg(F.count("*").alias("n"))
