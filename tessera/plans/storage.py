@@ -39,7 +39,9 @@ def stored_by(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFr
         df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     )
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of the catalog alone: the files, and the buckets in out's plan, stay
+    return out
 
 
 def released(spark: SparkSession, *frames: DataFrame) -> None:
