@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions, released, stored, stored_by
 
-BATCH, CROWD = 20_000, 100_000
+BATCH, CROWD = 8_000, 50_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION = np.uint64((1 << 34) - 1)
 
