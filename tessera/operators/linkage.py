@@ -90,19 +90,22 @@ def ranked_links(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("test", "source").agg(F.max("rank").alias("rank"), F.max_by("how", F.struct("rank", "how")).alias("how"))
 
 
-#: Licences of well-known packages.
+#: Licences of well-known packages, and which licences are copyleft.
 LICENCES = {
-    "react": "MIT", "react-dom": "MIT", "vue": "MIT", "express": "MIT", "lodash": "MIT", "axios": "MIT", "django": "BSD-3-Clause", "flask": "BSD-3-Clause",
-    "fastapi": "MIT", "requests": "Apache-2.0", "numpy": "BSD-3-Clause", "pandas": "BSD-3-Clause", "spring-boot-starter": "Apache-2.0", "junit": "EPL-1.0",
-    "mysql-connector-java": "GPL-2.0", "hibernate-core": "LGPL-2.1", "guava": "Apache-2.0",
+    "react": "MIT", "react-dom": "MIT", "vue": "MIT", "express": "MIT", "lodash": "MIT",
+    "axios": "MIT", "flask": "BSD-3-Clause", "django": "BSD-3-Clause", "requests": "Apache-2.0",
+    "numpy": "BSD-3-Clause", "pandas": "BSD-3-Clause", "spring-boot-starter": "Apache-2.0",
+    "serde": "MIT OR Apache-2.0", "clap": "MIT OR Apache-2.0", "rails": "MIT", "phoenix": "MIT",
+    "junit": "EPL-2.0", "mysql-connector-java": "GPL-2.0", "org.springframework:spring-core": "Apache-2.0",
 }
+COPYLEFT = "(?i)^(GPL|AGPL|LGPL|CC-BY-SA|MPL)"
 
 
 def licence_class(packages: DataFrame) -> DataFrame:
     """Adds licence and class (copyleft, permissive, unknown) of packages: name."""
     known = F.create_map(*(F.lit(x) for kv in LICENCES.items() for x in kv))
-    licence = F.try_element_at(known, F.element_at(F.split("name", ":"), -1))
-    kind = F.when(licence.isNull(), "unknown").when(licence.rlike("(?i)^(A|L)?GPL|^MPL|^EPL|^CDDL"), "copyleft").otherwise("permissive")
+    licence = F.coalesce(F.try_element_at(known, F.col("name")), F.try_element_at(known, F.element_at(F.split("name", ":"), -1)))
+    kind = F.when(licence.isNull(), "unknown").when(licence.rlike(COPYLEFT), "copyleft").otherwise("permissive")
     return packages.select("*", F.coalesce(licence, F.lit("unknown")).alias("licence"), kind.alias("class"))
 
 

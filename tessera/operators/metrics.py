@@ -94,3 +94,16 @@ def suggestions(counts: DataFrame) -> DataFrame:
     title = F.coalesce(*(F.when((F.col("kind") == k) & (F.col("n") >= least), F.lit(t)) for k, least, t in rows))
     rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i + 1)) for i, (k, _, _) in enumerate(rows)))
     return counts.select(rank.alias("rank"), title.alias("title"), "n").where("title IS NOT NULL").orderBy("rank")
+
+
+def entry_points(files: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """path, score, signals of where to start reading: ten for each signal in the text, two for a file that imports but is
+    not imported."""
+    from tessera.functions.scalars import entry_signals
+    from tessera.operators.graph import degrees
+
+    d = degrees(edges).withColumnRenamed("node", "path")
+    f = files.select("path", entry_signals(F.col("content")).alias("signals")).join(d, "path", "left")
+    top = (F.coalesce("n_in", F.lit(0)) == 0) & (F.coalesce("n_out", F.lit(0)) > 0)
+    score = F.size("signals") * 10 + F.when(top, 2).otherwise(0)
+    return f.select("path", score.alias("score"), "signals").where("score > 0").orderBy(F.desc("score"), "path").limit(most)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import layer_gap
 from tessera.operators import graph, model
 from tessera.plans.registry import registry
 from tessera.sources import views
@@ -103,9 +104,8 @@ LEVEL_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEVELS.items())
 
 
 def crossings(spark, sf_dir):
-    level = F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))
     kind = lambda c: F.substring_index(c, "/", 1)
-    return views.edges(spark, sf_dir).where("resolution = 'resolved'").select("source", "target", kind("source").alias("from_layer"), kind("target").alias("to_layer"), (level[kind("source")] - level[kind("target")]).alias("gap"))
+    return views.edges(spark, sf_dir).where("resolution = 'resolved'").select("source", "target", kind("source").alias("from_layer"), kind("target").alias("to_layer"), layer_gap(kind("source"), kind("target"), LEVELS).alias("gap"))
 
 
 @query(f"""WITH {EDGES} SELECT from_layer, to_layer, count(*) AS n_violations FROM (SELECT DISTINCT source, target, split_part(source, '/', 1) AS from_layer, split_part(target, '/', 1) AS to_layer FROM e WHERE resolution = 'resolved')

@@ -75,12 +75,12 @@ def orphan_tables(spark, sf_dir):
     return ops.orphans(names, keys).select(F.col("c_name").alias("name"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'react' WHEN 1 THEN 'org.x:guava' WHEN 2 THEN 'mysql-connector-java' WHEN 3 THEN 'unheard' ELSE 'Spring_Boot.starter' END AS name FROM part)
-SELECT name, CASE name WHEN 'react' THEN 'MIT' WHEN 'org.x:guava' THEN 'Apache-2.0' WHEN 'mysql-connector-java' THEN 'GPL-2.0' ELSE 'unknown' END AS licence, CASE name WHEN 'react' THEN 'permissive' WHEN 'org.x:guava' THEN 'permissive' WHEN 'mysql-connector-java' THEN 'copyleft' ELSE 'unknown' END AS class,
+@query("""WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'react' WHEN 1 THEN 'org.x:junit' WHEN 2 THEN 'mysql-connector-java' WHEN 3 THEN 'unheard' ELSE 'Spring_Boot.starter' END AS name FROM part)
+SELECT name, CASE name WHEN 'react' THEN 'MIT' WHEN 'org.x:junit' THEN 'EPL-2.0' WHEN 'mysql-connector-java' THEN 'GPL-2.0' ELSE 'unknown' END AS licence, CASE name WHEN 'react' THEN 'permissive' WHEN 'org.x:junit' THEN 'permissive' WHEN 'mysql-connector-java' THEN 'copyleft' ELSE 'unknown' END AS class,
   CASE WHEN contains(name, ':') THEN 'unmappable' WHEN name IN ('react', 'Spring_Boot.starter') THEN 'used' ELSE 'unused' END AS usage, count(*) AS n FROM p GROUP BY 1, 2, 3, 4""")
 def package_licences(spark, sf_dir):
     k = F.col("p_partkey") % 5
-    name = F.when(k == 0, "react").when(k == 1, "org.x:guava").when(k == 2, "mysql-connector-java").when(k == 3, "unheard").otherwise("Spring_Boot.starter")
+    name = F.when(k == 0, "react").when(k == 1, "org.x:junit").when(k == 2, "mysql-connector-java").when(k == 3, "unheard").otherwise("Spring_Boot.starter")
     p = views.table(spark, sf_dir, "part").select(name.alias("name"))
     imports = spark.createDataFrame([("react",), ("spring-boot-starter",)], "name string")
     out = ops.usage(ops.licence_class(p), imports, ~F.contains("name", F.lit(":")))

@@ -104,10 +104,10 @@ def duplicate_groups(spark, sf_dir):
     return ops.fingerprint_groups(views.table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("text").alias("code")))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, role, text, regexp_matches(coalesce(text, ''), '(?i)ignore (?:all|any|previous) instructions|system prompt|jailbreak|reveal .*(?:key|password)') AS bad FROM conversations) SELECT conv_id, count(*) FILTER (bad AND role = 'user') AS flagged, count(*) AS n FROM c GROUP BY conv_id""")
+@query(f"""WITH c AS (SELECT conv_id, role, {" OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for p in S.INJECTIONS)} AS bad FROM conversations) SELECT conv_id, count(*) FILTER (bad AND role = 'user') AS flagged, count(*) AS n FROM c GROUP BY conv_id""")
 def guardrails(spark, sf_dir):
-    bad = F.coalesce("text", F.lit("")).rlike(r"(?i)ignore (?:all|any|previous) instructions|system prompt|jailbreak|reveal .*(?:key|password)")
-    return views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(bad & (F.col("role") == "user")).alias("flagged"), F.count("*").alias("n"))
+    c = views.table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count_if(S.injection(F.col("text")) & (F.col("role") == "user")).alias("flagged"), F.count("*").alias("n"))
 
 
 @query("""WITH w AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')) AS s, regexp_replace(p_name, '[^A-Za-z0-9]+', '', 'g') AS c FROM part)
