@@ -2,8 +2,8 @@
 
 Words of the text, A-Z made small, form shingles; a fingerprint bit is 1 if it is set in over half of the shingles'
 XXH64 digests. Distinct fingerprints link at MAX_BITS differing bits or fewer. Candidates come from buckets of
-fingerprints that agree in some two of six bit groups, which any linked pair does in at least one way, so no link is
-lost. Within a bucket a table holds each fingerprint's Hamming distances to reference fingerprints (pivots); a
+fingerprints that agree in all but MAX_BITS of some bit groups, which any linked pair does in at least one way, so no
+link is lost. Within a bucket a table holds each fingerprint's Hamming distances to reference fingerprints (pivots); a
 pair whose distances to any pivot differ by more than MAX_BITS can't link (triangle inequality), and only pairs
 that the table leaves are compared bit by bit. A bucket emits a spanning forest, never its pairs: in a large bucket
 members are pivots, each takes all within MAX_BITS at once, and only members of different trees are compared then.
@@ -28,16 +28,18 @@ from tessera.llm.common import partitions, released, stored, stored_by, table
 from tessera.operators.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Widths of the bit groups; two of these six agree wherever at most four bits differ.
-GROUPS = (11, 11, 11, 11, 10, 10)
 PIVOTS, SMALL, CROWD = 16, 64, 20_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def masks() -> list[int]:
-    starts = np.cumsum((0,) + GROUPS)
-    each = [((1 << w) - 1) << int(s) for w, s in zip(GROUPS, starts)]
-    return [a | b for a, b in combinations(each, 2)]
+def masks(n: int, bits: int) -> list[int]:
+    """Bit masks of which one at least is equal in any two fingerprints that differ in `bits` bits or fewer: all ways to
+    choose all but `bits` of some groups of bits. There are as many groups as give keys about as many values as
+    there are fingerprints, so that buckets stay small at any size."""
+    groups = next(g for g in range(bits + 1, 65) if 64 * (g - bits) / g >= np.log2(max(n, 2)) - 1)
+    ends = [64 * i // groups for i in range(groups + 1)]
+    each = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:])]
+    return [sum(chosen) for chosen in combinations(each, groups - bits)]
 
 
 def signed(x: int) -> int:
@@ -207,7 +209,7 @@ def linked(bits: int, least: bool = False):
 def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """fp, component of every distinct fingerprint; component is its least fingerprint."""
     own = prints.select("fp").distinct()
-    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks()))).alias("bucket", "key")
+    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(prints.count(), bits)))).alias("bucket", "key")
     dealt = own.select(keys, "fp").repartition(partitions(prints.sparkSession), "bucket", "key").sortWithinPartitions("bucket", "key")
     links = dealt.select(F.col("bucket").cast("long"), "key", "fp").mapInArrow(linked(bits), "u long, v long")
     return components(links).toDF("fp", "component")

@@ -193,6 +193,15 @@ def test_simhash(spark):
     assert sorted((repr(r.doc_id), r.fingerprint, repr(r.component_id)) for r in got) == want
 
 
+@pytest.mark.parametrize("n", [10, 1_000, 200_000, 10**10])
+def test_masks_miss_no_pair(n):
+    g, m = random.Random(n), simhash.masks(n, 4)
+    assert len(m) <= 126 and max(x.bit_count() for x in m) >= np.log2(n) - 1
+    for _ in range(300):
+        flips = sum(1 << b for b in g.sample(range(64), 4))
+        assert any(not flips & x for x in m)
+
+
 @pytest.mark.parametrize("make", [simhash.large_bucket, simhash.nearest_tree])
 def test_buckets_lose_no_link(make):
     g = np.random.default_rng(3)
