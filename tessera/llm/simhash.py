@@ -247,16 +247,22 @@ def wide_prints(size: int, band: int, bands: int):
     odd = np.random.default_rng(SEED + 1).integers(0, 2**62, words, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
     weights = 1 << np.arange(band, dtype=np.int64)
 
-    def word(h: np.ndarray, m: np.uint64) -> int:
-        h = h * m
-        return fingerprint((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))
+    column = (np.arange(words * 8) * 256).reshape(words, 1, 8)
+
+    def wide(h: np.ndarray) -> np.ndarray:
+        """The majorities of all words' digests, some thousand shingles at a time."""
+        count = np.zeros(words * 2048, np.int64)
+        for at in range(0, len(h), 4096):
+            part = h[at : at + 4096] * odd[:, None]
+            part = (part ^ (part >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            rows = part.astype("<u8").view(np.uint8).reshape(words, -1, 8) + column
+            count += np.bincount(rows.ravel(), minlength=words * 2048)
+        set_bits = count.reshape(words * 8, 256) @ _BITS
+        return np.packbits((2 * set_bits > len(h)).ravel(), bitorder="little").view("<u8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = []
-            for text in batch.column(2):
-                h = np.unique(shingle_hashes(text.as_py(), size))
-                prints.append(np.array([word(h, m) for m in odd], dtype="<u8"))
+            prints = [wide(np.unique(shingle_hashes(text.as_py(), size))) for text in batch.column(2)]
             keys = [np.unpackbits(p.view(np.uint8), bitorder="little")[: band * bands].reshape(bands, band) @ weights for p in prints]
             first = np.array([p[0] for p in prints], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
