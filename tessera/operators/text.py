@@ -147,3 +147,23 @@ def lcs_ratio(pairs: DataFrame, head: int = 500) -> DataFrame:
             yield f.assign(ratio=[one(x, y) for x, y in zip(f["a"], f["b"])])
 
     return pairs.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in pairs.dtypes) + ", ratio double")
+
+
+#: Shapes of live credentials, and what marks a sample.
+SECRETS = (
+    ("AWS Access Key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("AWS Secret Key (assigned)", r"(?i)aws_secret_access_key\s*[=:]\s*['\"][A-Za-z0-9/+=]{40}['\"]"),
+    ("Google API Key", r"\bAIza[0-9A-Za-z\-_]{35}\b"),
+    ("Slack Token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b"),
+    ("GitHub Token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    ("PEM Private Key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("JWT-shaped Literal", r"['\"]eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+['\"]"),
+    ("Credentials in Connection String", r"\b(?:mongodb|postgres|postgresql|mysql|redis|amqp)://[^:\s'\"]+:[^@\s'\"]+@"),
+)
+SAMPLE = r"(?i)example|placeholder|your[_-]|changeme|dummy|xxxx|<[^>]+>"
+
+
+def secrets(lines: DataFrame, key: str = "path") -> DataFrame:
+    """key, line, title of every secret shape in a line that no sample word marks; all shapes are tried."""
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(name)) for name, p in SECRETS)))
+    return lines.where(~F.col("text").rlike(SAMPLE)).select(key, "line", F.explode(found).alias("title"))

@@ -133,3 +133,11 @@ def doc_coverage(spark, sf_dir):
     doc = F.lag(F.startswith("text", F.lit("Licensed")) | (F.length("text") < 40)).over(W.partitionBy("doc_id").orderBy("line"))
     k = l.select("doc_id", (F.length("text") > 80).alias("fn"), doc.alias("doc"))
     return k.groupBy("doc_id").agg(F.count_if("fn").alias("functions"), F.count_if(F.col("fn") & F.col("doc")).alias("documented"))
+
+
+SECRET_LIST = ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in ops.SECRETS)
+
+
+@query(f"""WITH {LINES} SELECT * FROM (SELECT doc_id, CAST(line AS INTEGER) AS line, unnest([{SECRET_LIST}]) AS title FROM l WHERE NOT regexp_matches(text, '{ops.SAMPLE}')) WHERE title IS NOT NULL""")
+def advanced_secrets(spark, sf_dir):
+    return ops.secrets(views.lines(views.table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
