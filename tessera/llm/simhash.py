@@ -225,70 +225,137 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-COPY_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.96
+COPY_WORDS, SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted to find common ones; from how many of them on a shingle is common; most of those kept.
+SAMPLE, OFTEN, COMMON = 8_000, 4, 100_000
+#: Most rounds of stars in crowded buckets before all pairs that are left are compared.
+ROUNDS = 8
 
 
-def bits_at(similarity: float) -> float:
-    """The share of bits that differ at this Jaccard similarity, for sets of equal size."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
-def bands_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits of a band and how many bands: about a fourth of a text to a bucket whatever n is, and a pair of this
-    similarity in a common bucket with this probability."""
-    band = max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
-    return band, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - bits_at(similarity)) ** band)))
+def each_shingle(size: int):
+    """For mapInArrow over (text): the distinct shingles of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size).view(np.int64))], names=["h"])
+
+    return run
 
-def wide_prints(size: int, band: int, bands: int):
-    """For mapInArrow: a fingerprint of as many 64-bit words as the bands need; each word's digests are the shingles'
-    XXH64 mixed with an odd number of its own."""
-    words = -(-band * bands // 64)
-    odd = np.random.default_rng(SEED + 1).integers(0, 2**62, words, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
-    weights = 1 << np.arange(band, dtype=np.int64)
 
-    column = (np.arange(words * 8) * 256).reshape(words, 1, 8)
+def prefixes(size: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """For mapInArrow over (k1, k2, text): n, the number of distinct shingles, and as many of them from the front of one
+    order as two texts of this similarity must share one of. Any order does; here the common ones come last. A text
+    without words has one shingle, zero."""
 
-    def wide(h: np.ndarray) -> np.ndarray:
-        """The majorities of all words' digests, some thousand shingles at a time."""
-        count = np.zeros(words * 2048, np.int64)
-        for at in range(0, len(h), 4096):
-            part = h[at : at + 4096] * odd[:, None]
-            part = (part ^ (part >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            rows = part.astype("<u8").view(np.uint8).reshape(words, -1, 8) + column
-            count += np.bincount(rows.ravel(), minlength=words * 2048)
-        set_bits = count.reshape(words * 8, 256) @ _BITS
-        return np.packbits((2 * set_bits > len(h)).ravel(), bitorder="little").view("<u8")
+    def prefix(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.zeros(1, np.uint64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+        return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide(np.unique(shingle_hashes(text.as_py(), size))) for text in batch.column(2)]
-            keys = [np.unpackbits(p.view(np.uint8), bitorder="little")[: band * bands].reshape(bands, band) @ weights for p in prints]
-            first = np.array([p[0] for p in prints], dtype=np.uint64).view(np.int64)
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(first), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["k1", "k2", "fp", "wide", "bands"],
+                [batch.column(0), batch.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))],
+                names=["k1", "k2", "n", "prefix"],
             )
 
     return run
 
 
-def differing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (u, v, wide of u, wide of v): the share of bits that differ."""
-    for batch in pairs:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            share = np.bitwise_count(a ^ b).sum(axis=1) / (64 * a.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["u", "v", "share"])
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of rows sorted by the first one, cut where it changes, with the sizes of the buckets."""
+    held: list[list[np.ndarray]] = []
+
+    def cut(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+        return cols, np.diff(np.append(starts, len(cols[0])))
+
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(new[0]):
+            continue
+        last = int(np.argmax((new[0] != new[0][-1])[::-1])) if new[0][0] != new[0][-1] else len(new[0])
+        at = len(new[0]) - last
+        if at or (held and held[-1][0][-1] != new[0][0]):
+            yield cut([*held, [c[:at] for c in new]])
+            held = []
+        held.append([c[at:] for c in new])
+    if held:
+        yield cut(held)
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (h, id, n, rest) in order of h: the rows of shingles in two texts or more, and whether these are
+    over SMALL."""
+    for cols, sizes in whole_buckets(batches):
+        of = np.repeat(sizes, sizes)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[of > 1]) for c in cols), pa.array((of > SMALL)[of > 1])], names=["h", "id", "n", "rest", "crowd"])
+
+
+def candidates(similarity: float, turn: int | None):
+    """For mapInArrow over (h, id, n, rest, c) in order of h: pairs u < v of different components c that can have this
+    similarity. rest is how many shingles of a text are left from the bucket's on, which bounds what is common to two
+    texts that share none before.
+
+    All pairs of a bucket of SMALL texts or fewer, and of all others if turn is null. Else those of two members drawn
+    for this turn, one of them of the largest component.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, n, rest, c), sizes in whole_buckets(batches):
+            able = lambda a, b: (c[a] != c[b]) & (np.minimum(rest[a], rest[b]) >= share * (n[a] + n[b]) - 1e-6)  # noqa: B023, E731
+
+            def out(a, b):
+                return pa.RecordBatch.from_arrays([pa.array(f(ids[a], ids[b])) for f in (np.minimum, np.maximum)], names=["u", "v"])  # noqa: B023
+
+            first, small = np.cumsum(sizes) - sizes, sizes <= SMALL
+            left = np.repeat(first + sizes, sizes) - np.arange(len(ids))
+            left[~np.repeat(small, sizes)] = 0
+            for step in range(1, int(sizes[small].max(initial=0))):
+                a = np.flatnonzero(left > step)
+                a = a[able(a, a + step)]
+                yield out(a, a + step)
+            for s, m in zip(first[~small].tolist(), sizes[~small].tolist()):
+                if turn is None:
+                    for i in range(s, s + m - 1):
+                        b = np.arange(i + 1, s + m)
+                        b = b[able(i, b)]
+                        if len(b):
+                            yield out(np.full(len(b), i), b)
+                    continue
+                every = np.arange(s, s + m)
+                names, place, count = np.unique(c[every], return_inverse=True, return_counts=True)
+                if len(names) == 1:
+                    continue
+                draw = (ids[every].astype(np.uint64) + np.uint64(turn * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                draw = (draw ^ (draw >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                most = place == count.argmax()
+                for group in (every[most], every[~most]):
+                    i = group[draw[group - s].argmin()]
+                    b = every[able(i, every)]
+                    yield out(np.full(len(b), i), b)
+
+    return run
 
 
 def overlaps(size: int):
-    """For mapInArrow over (u, v, text of u, text of v): the Jaccard similarity of their shingles."""
+    """For mapInArrow over (u, v, text of u, text of v): the Jaccard similarity of their shingles; 1 if both have none."""
 
     def similarity(a: str, b: str) -> float:
-        x, y = np.unique(shingle_hashes(a, size)), np.unique(shingle_hashes(b, size))
+        x, y = shingle_set(a, size), shingle_set(b, size)
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / max(1, len(x) + len(y) - both)
+        return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,45 +365,74 @@ def overlaps(size: int):
     return run
 
 
-def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = COPY_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def similar(rows: DataFrame, names: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """u, v: links that join all ids which pairs of at least this similarity join. rows: h, id, n, rest, crowd;
+    names: id, k1, k2; texts: k1, k2, body.
+
+    Only verified links contract. Buckets of SMALL texts or fewer are compared whole. In crowded ones stars, drawn anew
+    each turn, are verified and contracted while that finds links; then every pair of different components that is
+    left is compared, so that what no star joined isn't lost.
+    """
+    spark = rows.sparkSession
+    crowd, parts, tried, sure = rows.where("crowd"), partitions(spark), None, None
+    stars = not crowd.isEmpty()
+    turns = [*range(ROUNDS), None] if stars else [0]
+    while turns:
+        turn = turns.pop(0)
+        now = rows if turn == 0 else crowd
+        if sure is None:
+            named = now.withColumn("c", F.col("id"))
+        else:
+            named = now.join(components(sure).toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        dealt = named.select("h", "id", "n", "rest", "c").repartition(parts, "h").sortWithinPartitions("h")
+        pairs = dealt.mapInArrow(candidates(similarity, turn), "u long, v long").distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(names, "id")
+        said = stored(texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).select("id", "body"), "said")
+        both = pairs.join(said.toDF("u", "a"), "u").join(said.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        new = stored(both.mapInArrow(overlaps(size), "u long, v long, similarity double").where(F.col("similarity") >= similarity).select("u", "v"), "sure")
+        released(spark, said)
+        tried = pairs if tried is None else tried.union(pairs)
+        if turn and new.isEmpty():
+            turns = [None]
+        sure = new if sure is None else sure.union(new)
+    return sure
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs less near copies: of each group linked at this similarity of word shingles, the row of least id stays.
 
-    At a similarity of 0.8 a seventh of the bits differ, which 64 bits can't tell from chance: texts get a fingerprint of
-    many words, stretches of which (bands) make the buckets. Its first word stands for the text in them and gives
-    the pivot distances; what passes is judged by all bits, and last by the shingles themselves. Exact copies, and
-    texts equal in the first word, are one text. Texts without words are copies of each other. Rows equal in id
-    and text count as one row. Texts are shuffled once, into a table bucketed by text.
+    At a similarity of 0.8 a seventh of SimHash bits differ, so that buckets of fingerprints would miss pairs. Candidates
+    share one of the first shingles of an order in which those common in a sample come last (prefix filter): a pair
+    of this similarity always does, whatever the sample. Each link is verified by the shingles themselves. Only exact
+    copies are one text beforehand. Texts without words are copies of each other. Rows equal in id and text count as
+    one row. Texts are shuffled once, into a table bucketed by text.
     """
     spark, keys = docs.sparkSession, ["k1", "k2"]
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select("*", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"))
-    band, bands = bands_for(docs.count(), similarity, recall)
     owner = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("n"), F.col("_id").alias("id"), *keys)).alias("owner")
     texts = stored_by(keyed.groupBy(*keys).agg(owner, F.first(body).alias("body")), "texts", keys, partitions(spark))
     released(spark)
-    made = texts.select(*keys, "body").mapInArrow(wide_prints(size, band, bands), "k1 long, k2 long, fp long, wide binary, bands array<long>")
-    prints = stored(made.join(texts.select(*keys, "owner"), keys).select("fp", "wide", "bands", "owner"), "wide")
-    one = stored(prints.groupBy("fp").agg(F.min("owner").alias("owner"), F.first("wide").alias("wide")), "prints")
-
-    p = bits_at(similarity)
-    spread = lambda bits: 3 * np.sqrt(p * (1 - p) / bits)  # noqa: E731  three deviations of a measured share
-    buckets = prints.select("fp", F.posexplode("bands").alias("band", "key")).select(F.col("band").cast("long"), "key", "fp").distinct()
-    dealt = buckets.repartition(partitions(spark), "band", "key").sortWithinPartitions("band", "key")
-    links = stored(dealt.mapInArrow(linked(int(np.ceil(64 * (p + spread(64)))), least=True), "u long, v long").distinct(), "links")
-    wide = one.select("fp", "wide")
-    both = links.join(wide.toDF("u", "a"), "u").join(wide.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    near = stored(both.mapInArrow(differing, "u long, v long, share double").where(F.col("share") <= p + spread(band * bands)).select("u", "v"), "near")
-    released(spark, links)
-    asked = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(one, "fp").select("fp", "owner.k1", "owner.k2")
-    said = stored(texts.select(*keys, "body").join(asked.hint("shuffle_hash"), keys).select("fp", "body"), "said")
-    pairs = near.join(said.toDF("u", "a"), "u").join(said.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    sure = pairs.mapInArrow(overlaps(size), "u long, v long, similarity double").where(F.col("similarity") >= similarity).select("u", "v")
-    group = one.join(components(sure).toDF("fp", "component"), "fp", "left")
-    winners = stored(group.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", F.col("o.id").alias("_id")), "winners")
-
-    rows = keyed.select(*(c for c in keyed.columns if c != text), F.col(text).isNull().alias("_null")).join(winners, [*keys, "_id"], "left_semi")
+    drawn = texts.where(F.pmod("k1", F.lit(max(1, texts.count() // SAMPLE))) == 0).select("body").mapInArrow(each_shingle(size), "h long")
+    often = drawn.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    common, counts = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
+    order = np.argsort(common)
+    made = texts.select(*keys, "body").mapInArrow(prefixes(size, similarity, common[order], counts[order]), "k1 long, k2 long, n long, prefix array<long>")
+    prints = stored(made.join(texts.select(*keys, "owner"), keys).select(F.monotonically_increasing_id().alias("id"), *keys, "n", "prefix", "owner"), "prints")
+
+    posts = prints.select("id", "n", F.posexplode("prefix").alias("at", "h")).select("h", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
+    dealt = posts.repartition(partitions(spark), "h").sortWithinPartitions("h")
+    rows = stored(dealt.mapInArrow(shared, "h long, id long, n long, rest long, crowd boolean"), "shared")
+    released(spark)
+    sure = similar(rows, prints.select("id", *keys), texts.select(*keys, "body"), size, similarity)
+    released(spark, rows)
+    group = prints.select("id", "owner").join(components(sure).toDF("id", "component"), "id", "left")
+    winners = stored(group.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", F.col("o.id").alias("_id")), "winners")
+
+    seen = keyed.select(*(c for c in keyed.columns if c != text), F.col(text).isNull().alias("_null")).join(winners, [*keys, "_id"], "left_semi")
     again = F.row_number().over(W.partitionBy(*keys, "_id").orderBy(F.lit(1)))
-    kept = texts.select(*keys, "body").join(rows.withColumn("_n", again).where("_n = 1").hint("shuffle_hash"), keys)
+    kept = texts.select(*keys, "body").join(seen.withColumn("_n", again).where("_n = 1").hint("shuffle_hash"), keys)
     return kept.select(*(F.when(~F.col("_null"), F.col("body")).alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
