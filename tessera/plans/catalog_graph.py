@@ -157,6 +157,12 @@ def connected_components(spark, sf_dir):
     return graph.connected(e)
 
 
+@query()
+def connected_components_whole(spark, sf_dir):
+    """Of all edges; recursive SQL from every node is too slow, so a test compares with union-find."""
+    return graph.connected(views.edges(spark, sf_dir))
+
+
 @query(f"""WITH RECURSIVE {EDGES}, n AS (SELECT source AS node FROM e UNION SELECT target FROM e),
 w AS (SELECT node FROM n WHERE node LIKE 'customer/%' UNION SELECT e.target FROM w JOIN e ON w.node = e.source)
 SELECT node FROM n WHERE node NOT IN (SELECT node FROM w)""")
