@@ -41,8 +41,18 @@ def vector_topk(spark, sf_dir):
 @query("""WITH c AS (SELECT 'supplier/' || s_suppkey AS path, s_acctbal / 10000 AS similarity FROM supplier ORDER BY 2 DESC, 1 LIMIT 48), d AS (SELECT 'supplier/' || s_suppkey AS path, 1 AS hops FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'supplier/' || s_suppkey, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey <> 3 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)),
 s AS (SELECT path, similarity, similarity + coalesce(0.15::DOUBLE / (1 + hops), 0) AS score FROM c LEFT JOIN d USING (path)) SELECT path, round(score, 6) AS score FROM s ORDER BY s.score DESC, similarity DESC, path LIMIT 8""")
 def graph_rerank(spark, sf_dir):
+    return reranked(spark, sf_dir, views.edges(spark, sf_dir).where("source NOT LIKE 'part/%' AND source NOT LIKE 'customer/%'"))
+
+
+@query()
+def graph_rerank_whole(spark, sf_dir):
+    """With hops along all edges, those of parts and customers too; a test compares with a search by hand."""
+    return reranked(spark, sf_dir, views.edges(spark, sf_dir))
+
+
+def reranked(spark, sf_dir, edges):
     s = views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("path"), (F.col("s_acctbal") / 10000).alias("similarity"))
-    hops = graph.bounded_bfs(views.edges(spark, sf_dir).where("source NOT LIKE 'part/%' AND source NOT LIKE 'customer/%'"), spark.createDataFrame([("nation/3",)], "node string"), 3, "both")
+    hops = graph.bounded_bfs(edges, spark.createDataFrame([("nation/3",)], "node string"), 3, "both")
     out = ops.graph_rerank(s, hops.select(F.col("node").alias("path"), F.col("distance").alias("hops")), 8)
     return out.select("path", F.round("score", 6).alias("score"))
 
