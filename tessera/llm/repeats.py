@@ -1,15 +1,14 @@
 """Exact repeats of at least `length` tokens across a corpus, shared by the two substring operators.
 
-A text is an array of tokens (hashed words, or bytes). Of the `length - seed + 1` seeds in a window of `length` tokens
-the one with the least hash (leftmost of equals) is the window's anchor, so equal windows have equal anchors, and each
-window belongs to one. An anchor's own windows are consecutive; the text they span is its context.
+A text is an array of tokens (hashed words, or bytes). What a window of `length` tokens holds gives it an anchor, a
+stretch in it whose hash is its seed, so equal windows have equal anchors, and each window belongs to one. An
+anchor's own windows are consecutive; the text they span is its context. How anchors are found, and how contexts of
+one seed are compared, is the operator's own method; the flow around it is this:
 
 1. Equal texts are one row, in a table bucketed by text; the other steps take texts from there without a shuffle.
 2. Anchors of all texts, as hashes of seed and context. Seeds that occur once can't repeat and go.
 3. Contexts that occur twice repeat as a whole: all their windows do. They count once from here on.
-4. Other contexts that share a seed are compared: sorted by what follows the anchor, so that a row's longest common
-   continuation is with a neighbour, and split step by step by what precedes it. A window with `a` tokens before
-   its anchor repeats if a neighbour in the same class continues alike for the other `length - a` tokens.
+4. Other contexts that share a seed meet in one task and are compared.
 5. The windows found are marked in their texts.
 
 A seed with over CROWD different contexts isn't gathered: its windows are hashed and counted one by one instead.
@@ -30,7 +29,8 @@ from tessera.llm.common import partitions, released, stored, stored_by
 
 BATCH, CROWD = 8_000, 50_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POSITION = np.uint64((1 << 34) - 1)
+#: Low bits of a hash that give way to a position, so that a least value is the leftmost of equals.
+POSITION = np.uint64((1 << 34) - 1)
 
 
 class Powers:
@@ -68,46 +68,26 @@ class Hashes:
         return mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of each w consecutive values."""
-    n = len(x)
-    padded = np.full(-(-n // w) * w, np.iinfo(x.dtype).max, x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-
-
 @dataclass(frozen=True)
 class Plan:
     """What a corpus is made of. tokens: of a text's bytes, as an array; values: their 64-bit hashes."""
 
     name: str
     length: int
-    seed: int
     tokens: Callable[[bytes], np.ndarray]
     values: Callable[[np.ndarray], np.ndarray]
-
-    @property
-    def spread(self) -> int:
-        return self.length - self.seed + 1
+    #: tokens of a text, at least `length` of them, to its anchors: see contexts_of()
+    anchors: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: seeds, reversed tokens before and tokens from the anchor on of contexts to the windows, each by how many of its
+    #: tokens stand before the anchor, that are in another context too; context after context, in ascending order
+    shared: Callable[[np.ndarray, list[bytes], list[bytes]], list[np.ndarray]]
 
 
-def anchors(plan: Plan, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hash, context hash and packed place of each anchor of a text; a place holds the anchor's
+def contexts_of(h: Hashes, length: int, seed: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed hash, context hash and packed place of anchors at t with windows first..last; a place holds the anchor's
     start, how many tokens its context has before it, and how many windows the context has less one."""
-    if len(tokens) < plan.length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = Hashes(plan.values(tokens))
-    grams = h.grams(plan.seed)
-    keyed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    at = (sliding_min(keyed, plan.spread) & _POSITION).astype(np.int64)  # window -> its anchor
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    last = np.append(first[1:], len(at)) - 1
-    t = at[first]
-    context = mix(h.of(first, last + plan.length) ^ ((t - first).astype(np.uint64) << np.uint64(8)) ^ (last - first).astype(np.uint64))
-    return grams[t].view(np.int64), context.view(np.int64), t << 16 | (t - first) << 8 | (last - first)
+    context = mix(h.of(first, last + length) ^ ((t - first).astype(np.uint64) << np.uint64(8)) ^ (last - first).astype(np.uint64))
+    return seed.view(np.int64), context.view(np.int64), t << 16 | (t - first) << 8 | (last - first)
 
 
 def unpack(place: int) -> tuple[int, int, int]:
@@ -124,7 +104,8 @@ def find_anchors(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2, copies = (batch.column(i).to_numpy() for i in range(3))
-            got = [anchors(plan, plan.tokens(t.as_py().encode())) for t in batch.column(3)]
+            made = (plan.tokens(t.as_py().encode()) for t in batch.column(3))
+            got = [plan.anchors(tokens) if len(tokens) >= plan.length else [np.empty(0, np.int64)] * 3 for tokens in made]
             n = [len(g[0]) for g in got]
             seed, context, place = (np.concatenate(c) for c in zip(*got)) if got else [np.empty(0, np.int64)] * 3
             yield batch_of(["seed", "context", "k1", "k2", "place", "weight"], *(pa.array(c) for c in (seed, context, np.repeat(k1, n), np.repeat(k2, n), place, np.repeat(np.minimum(copies, 2), n))))
@@ -153,60 +134,6 @@ def cut_contexts(plan: Plan):
     return run
 
 
-def matrix(parts: list[bytes], kind: np.dtype, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token rows padded with zeros, and their lengths."""
-    length = np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
-    rows = np.frombuffer(b"".join(p.ljust(width * kind.itemsize, b"\0") for p in parts), kind).reshape(len(parts), width)
-    return rows, length
-
-
-def repeated_windows(plan: Plan, seed: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
-    """For each context and each number of tokens before the anchor: whether that window is in another context too."""
-    kind, n = plan.tokens(b"a").dtype, len(seed)
-    left, left_n = matrix(before, kind, plan.spread - 1)
-    right, right_n = matrix(after, kind, plan.length)
-    wide = plan.length * kind.itemsize
-    order = np.argsort(np.ascontiguousarray(right.astype(kind.newbyteorder(">"))).view(f"S{wide}").ravel(), kind="stable")
-    order = order[np.argsort(seed[order], kind="stable")]
-    left, left_n, right, right_n, group = left[order], left_n[order], right[order], right_n[order], seed[order]
-    # common continuation with the row above, and of any two rows: the least in between
-    differs = np.concatenate((right[1:] != right[:-1], np.ones((n - 1, 1), bool)), axis=1)
-    common = np.minimum(differs.argmax(axis=1), np.minimum(right_n[1:], right_n[:-1]))
-    levels = [np.append(0, np.where(group[1:] == group[:-1], common, 0)).astype(np.int32)]
-    while 1 << len(levels) < n:
-        prev, step = levels[-1], 1 << len(levels) - 1
-        levels.append(np.minimum(prev[:-step], prev[step:]))
-    table = np.zeros((len(levels), n), np.int32)
-    for i, level in enumerate(levels):
-        table[i, : len(level)] = level
-
-    def least(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        size = np.frexp((j - i + 1).astype(np.float64))[1] - 1
-        return np.minimum(table[size, i], table[size, j - (1 << size) + 1])
-
-    found = np.zeros((n, plan.spread), bool)
-    rows, cls = np.arange(n), np.unique(group, return_inverse=True)[1]
-    for a in range(plan.spread):
-        if a:
-            long = left_n[rows] >= a
-            rows, cls = rows[long], cls[long]
-            token = np.unique(left[rows, a - 1], return_inverse=True)[1]
-            cls = np.unique(cls * (int(token.max(initial=0)) + 1) + token, return_inverse=True)[1]
-        shared = np.bincount(cls)[cls] > 1 if len(cls) else np.empty(0, bool)
-        rows, cls = rows[shared], cls[shared]
-        if not len(rows):
-            break
-        together = np.argsort(cls, kind="stable")
-        i, c = rows[together], cls[together]
-        same = np.flatnonzero(c[1:] == c[:-1])
-        upper, lower = i[same], i[same + 1]
-        good = least(upper + 1, lower) >= plan.length - a
-        found[upper[good], a] = found[lower[good], a] = True
-    out = np.empty_like(found)
-    out[order] = found
-    return out
-
-
 def runs(plan: Plan, hits: np.ndarray) -> list[int]:
     """Stretches, from the anchor's start on, that windows with these numbers of tokens before it cover."""
     cuts = np.flatnonzero(np.diff(hits) > 1)
@@ -220,9 +147,9 @@ def compare_contexts(plan: Plan):
 
     def judge(rows: dict) -> pa.RecordBatch:
         seed = np.array(rows["seed"], np.int64)
-        hit = repeated_windows(plan, seed, rows["before"], rows["after"]) if len(seed) else np.zeros((0, 1), bool)
-        live = np.flatnonzero(hit.any(axis=1) & (np.array(rows["total"], np.int64) == 1)) if len(seed) else []
-        made = [runs(plan, np.flatnonzero(hit[i])) for i in live]
+        hits = plan.shared(seed, rows["before"], rows["after"])
+        live = [i for i, total in enumerate(rows["total"]) if total == 1 and len(hits[i])]
+        made = [runs(plan, hits[i]) for i in live]
         return batch_of(names, pa.array(seed[live]), pa.array(np.array(rows["context"], np.int64)[live]), pa.array(made, pa.list_(pa.int32())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,33 +1,189 @@
-"""Substring dedup over bytes: prefix-free parsing and suffix order.
+"""Substring dedup over bytes: prefix-free parsing, and the suffix arrays of dictionary and parse put together.
 
-A rolling hash over TRIGGER bytes marks triggers: where it is least among all in a window of LENGTH bytes. A fixed
-residue would leave windows without one; the least leaves none, and bounds a phrase. A trigger with the text
-around it that its windows reach is a phrase; equal phrases are one entry of the dictionary. Corpus order is kept in
-blocks, one for each trigger: within it the dictionary's entries are sorted by what follows the trigger (the
-parse's order, as far as LENGTH bytes can see) and split by what precedes it (the order of phrase suffixes), so that
-neighbours have the longest common stretches. Every byte under a LENGTH-byte string that also starts elsewhere goes.
-The order is by blocks because one suffix array of the corpus would not fit a task. See repeats for the steps.
+A rolling hash over TRIGGER bytes marks triggers (a fixed residue, RESIDUE in 2**64 of all hashes). A phrase runs from the start
+of a trigger to the end of the next one, so phrases overlap by a trigger, and no phrase, nor the rest of one, is a
+prefix of another. What a window of LENGTH bytes holds alone decides its phrases.
+
+The corpus order (of all suffixes that start a window, as far as LENGTH bytes reach) is made in blocks: of the phrases that a
+window holds whole, the one of least hash names its block, so that equal windows meet. A phrase or context that occurs
+once can't repeat and goes before. In a block, see shared_windows():
+
+- the dictionary is its distinct phrases, in order; its suffix array gives each rest of a phrase a rank,
+- the parse is its texts as phrase ranks; its suffix array orders what follows a trigger,
+- a window is the rest of a phrase up to its first trigger, and the parse from that trigger on. The pair of both ranks
+  is its place in corpus order (windows that start on a trigger come first), and the longest common stretch with its
+  neighbour comes from the two arrays' levels.
+
+Every byte under a window whose neighbour shares all LENGTH bytes goes. A window without a whole phrase (one in some 10,000
+of ordinary text; runs and the like have more) is its own block and is counted by two hashes.
 
 Nulls: empty; a null doc_id is kept. Texts under LENGTH bytes are kept. Repeated rows and equal texts: removed as a
 whole if long enough. Overlaps count, also within one text; matches end at a document's ends. Very long texts: linear.
-No rows: none.
+No rows: none. Extra columns: ignored by dedup_bytes, kept by cut_repeats, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.repeats import CROWD, Plan, removed
+from tessera.llm.repeats import CROWD, POSITION, Hashes, Plan, contexts_of, removed
 
-LENGTH, TRIGGER = 200, 64
+LENGTH, TRIGGER = 200, 8
+#: Of this many rolling hashes one is a trigger's.
+EVERY = 16
 _LETTER = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.int64).view(np.uint64)
 
-BYTES = Plan("bytes", LENGTH, TRIGGER, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens])
+
+def triggers(h: Hashes) -> np.ndarray:
+    return np.flatnonzero(h.grams(TRIGGER) % np.uint64(EVERY) == 0)
+
+
+class Least:
+    """The place of the least value in any stretch, by a table of doubling widths."""
+
+    def __init__(self, values: np.ndarray, widest: int):
+        self.rows = [(values & ~POSITION) | np.arange(len(values), dtype=np.uint64)]
+        while 2 << len(self.rows) - 1 <= widest:
+            above, half = self.rows[-1], 1 << len(self.rows) - 1
+            self.rows.append(np.minimum(above[:-half], above[half:]))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        level, out = np.frexp((end - start).astype(np.float64))[1] - 1, np.empty(len(start), np.int64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            out[at] = (np.minimum(self.rows[k][start[at]], self.rows[k][end[at] - (1 << k)]) & POSITION).astype(np.int64)
+        return out
+
+
+def parsed(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A window's anchor is the phrase of least hash (leftmost of equals) that it holds whole, or if none the window."""
+    h, windows = Hashes(_LETTER[tokens]), len(tokens) - LENGTH + 1
+    at = triggers(h)
+    phrases = h.of(at[:-1], at[1:] + TRIGGER) if len(at) > 1 else np.empty(0, np.uint64)
+    inside = LENGTH - TRIGGER
+    # the phrases that a window holds change only where a trigger leaves or enters it
+    start = np.unique(np.concatenate(([0], at + 1, at - inside)))
+    start = start[(start >= 0) & (start < windows)]
+    end = np.append(start[1:], windows)
+    low, high = np.searchsorted(at, start), np.searchsorted(at, start + inside, "right") - 1
+    held = high > low
+    bare = np.concatenate([np.arange(a, b) for a, b in zip(start[~held], end[~held])]) if not held.all() else np.empty(0, np.int64)
+    whole = h.of(bare, bare + LENGTH)
+    out = [contexts_of(h, LENGTH, whole, bare, bare, bare)]
+    if held.any():
+        start, end = start[held], end[held]
+        best = Least(phrases, int((high - low)[held].max())).of(low[held], high[held])
+        new = np.flatnonzero((best != np.concatenate(([-1], best[:-1]))) | (start != np.concatenate(([-1], end[:-1]))))
+        out.append(contexts_of(h, LENGTH, phrases[best[new]], at[best[new]], start[new], end[np.append(new[1:], len(end)) - 1] - 1))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+class SuffixArray:
+    """Ranks of all suffixes of many strings, laid end to end, by prefix doubling.
+
+    levels[k] ranks suffixes by their first 2**k values; a suffix ends with its string, and an end comes before any value.
+    """
+
+    def __init__(self, values: np.ndarray, left: np.ndarray):
+        self.left = left  # values from each place to its string's end
+        self.levels, size = [np.unique(values, return_inverse=True)[1].astype(np.int64) + 1], -1
+        longest = int(left.max(initial=0))
+        while 1 << len(self.levels) - 1 < longest:
+            rank, step = self.levels[-1], 1 << len(self.levels) - 1
+            rest = np.flatnonzero(left > step)
+            key = rank * (len(rank) + 2)
+            key[rest] += rank[rest + step]
+            names, new = np.unique(key, return_inverse=True)
+            self.levels.append(new.astype(np.int64) + 1)
+            if len(names) == size:  # as many classes as before: longer prefixes tell no more apart
+                break
+            size = len(names)
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self.levels[-1]
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many values the suffixes at x and at y share from their start."""
+        n, whole = np.zeros(len(x), np.int64), self.rank[x] == self.rank[y]
+        n[whole] = self.left[x[whole]]
+        live = np.flatnonzero(~whole)
+        for k in range(len(self.levels) - 2, -1, -1):
+            live = live[n[live] < np.minimum(self.left[x[live]], self.left[y[live]])]  # others have ended
+            a, b = x[live] + n[live], y[live] + n[live]
+            same = self.levels[k][a] == self.levels[k][b]
+            n[live[same]] += np.minimum(1 << k, self.left[a[same]])
+        return n
+
+
+def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) -> list[np.ndarray]:
+    """The corpus order of the windows of some blocks, and which of them share LENGTH bytes with a neighbour in it.
+
+    Blocks need not be told apart: windows of different ones differ.
+    """
+    texts = [b[::-1] + a for b, a in zip(before, after)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    stop = np.cumsum(size)
+    of = np.repeat(np.arange(len(texts)), size)
+    at = triggers(Hashes(_LETTER[data])) if len(data) >= TRIGGER else np.empty(0, np.int64)
+    at = at[at + TRIGGER <= stop[of[at]]]
+
+    # the parse: phrases from each trigger (a text's first one from its start) to the end of the next, or of the text
+    start = np.unique(np.concatenate((stop - size, at)))
+    text = of[start]
+    end = np.where(np.append(text[1:], -1) == text, np.minimum(np.append(start[1:], 0) + TRIGGER, stop[text]), stop[text])
+    raw, names = data.tobytes(), {}
+    word = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+
+    entries = np.frombuffer(b"".join(names), np.uint8).astype(np.int64)
+    lengths = np.array([len(n) for n in names], np.int64)
+    first = np.cumsum(lengths) - lengths
+    dictionary = SuffixArray(entries, np.repeat(first + lengths, lengths) - np.arange(len(entries)))
+    count = np.bincount(text, minlength=len(texts))
+    parse = SuffixArray(dictionary.rank[first[word]], np.repeat(np.cumsum(count), count) - np.arange(len(text)))
+
+    # windows: the rest of a phrase up to the window's first trigger, and the parse from there
+    most = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(texts)), most)
+    local = np.arange(len(owner)) - np.repeat(np.cumsum(most) - most, most)
+    place = (stop - size)[owner] + local
+    next_ = np.searchsorted(at, place)
+    known = np.append(at, len(data))[next_] + TRIGGER <= np.minimum(place + LENGTH, stop[owner])
+    owner, local, place, next_ = owner[known], local[known], place[known], next_[known]
+    tail = np.searchsorted(start, at[next_])  # the parse from the first trigger on
+    ahead = at[next_] - place
+    inner = np.maximum(tail - 1, 0)
+    rest = np.where(ahead > 0, dictionary.rank[np.minimum(first[word[inner]] + place - start[inner], len(entries) - 1)], 0)
+
+    order = np.lexsort((parse.rank[tail], rest))
+    x, y = order[:-1], order[1:]
+    near = rest[x] == rest[y]
+    x, y = x[near], y[near]
+    phrases = parse.common(tail[x], tail[y])
+    bytes_ = np.empty(len(x), np.int64)
+    ended = phrases >= np.minimum(parse.left[tail[x]], parse.left[tail[y]])
+    short = np.where(parse.left[tail[x]] <= parse.left[tail[y]], x, y)
+    bytes_[ended] = (stop[owner[short]] - place[short])[ended]
+    a, b = (tail[x] + phrases)[~ended], (tail[y] + phrases)[~ended]
+    bytes_[~ended] = start[a] - place[x[~ended]] + dictionary.common(first[word[a]], first[word[b]])
+    found = np.zeros(len(place), bool)
+    good = bytes_ >= LENGTH
+    found[x[good]] = found[y[good]] = True
+
+    hits = defaultdict(list)
+    for i, p in zip(owner[found].tolist(), local[found].tolist()):
+        hits[i].append(len(before[i]) - p)
+    return [np.array(hits.get(i, [])[::-1], np.int64) for i in range(len(texts))]
+
+
+BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows)
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
