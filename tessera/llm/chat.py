@@ -1,7 +1,8 @@
 """Chat formatting: layouts are told apart by a hash of their field paths and mapped to canonical turns.
 
-A record's fingerprint is the hash of the sorted paths of its fields that hold a value. A registry maps each
-known fingerprint to a declarative mapping (which path gives role, text, order). Canonical turns are rendered as
+A record's fingerprint is the hash of the sorted nested paths that hold a value in it, of all paths that the registry's
+layouts for its table name. The registry maps each fingerprint to a declarative mapping (which path gives role, text,
+order), and this hash always selects it; see layouts_of() and registry(). Canonical turns are rendered as
 
     <|turn|>ROLE<|text|>TEXT<|end|>
 
@@ -10,7 +11,8 @@ takes one away, so any text survives. The loss mask is run-length coded: for eac
 its text, of its text, after it, and whether the text counts (assistant turns).
 
 Nulls: a null role or text is empty, rows of a null conv_id are one conversation, a null turn sorts first.
-Ties and repeated rows: all are kept, in the order of turn, role, text. No rows: no conversations.
+Ties and repeated rows: all are kept, in the order of turn, role, text. No rows: no conversations. Very long texts: linear.
+Extra columns: ignored, whatever their names; paths outside a table's layouts never enter a fingerprint.
 One conversation is one output string, so its turns meet in one task, as that string does.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,44 +83,77 @@ class Mapping:
         return F.filter(given, lambda m: m["text"].isNotNull())
 
 
-#: The layouts that are known; a record's fingerprint selects one.
+#: The layouts that are known, in order; a record's fingerprint selects one.
 LAYOUTS = (
     Mapping(("role", "text", "turn"), "rows", "role", "text", "turn"),
     Mapping(("content", "role", "turn"), "rows", "role", "content", "turn"),
     Mapping(("messages[].content", "messages[].role"), "messages", "role", "content", array="messages"),
     Mapping(("conversations[].from", "conversations[].value"), "messages", "from", "value", array="conversations"),
     Mapping(("completion", "prompt"), "pairs", pairs=(("prompt", "user"), ("completion", "assistant"))),
-    Mapping(("instruction", "output"), "pairs", pairs=(("instruction", "user"), ("output", "assistant"))),
     Mapping(("input", "instruction", "output"), "pairs", pairs=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
+    Mapping(("instruction", "output"), "pairs", pairs=(("instruction", "user"), ("output", "assistant"))),
     Mapping(("answer", "question", "system"), "pairs", pairs=(("system", "system"), ("question", "user"), ("answer", "assistant"))),
 )
 #: Role names of other layouts. Fixed values.
 ROLES = {"human": "user", "gpt": "assistant"}
 
 
-def fingerprint(present: Column) -> Column:
-    return F.xxhash64(F.array_join(F.array_sort(present), "\n"))
+def fingerprint(present: list[str]) -> int:
+    """The hash of a set of paths; xxhash64() of Spark gives the same."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest("\n".join(sorted(present)), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def layouts_of(have: set[str], layouts: tuple[Mapping, ...] = LAYOUTS) -> list[Mapping]:
+    """The layouts that a table of these paths can hold, in the registry's order. One that shares a path with an earlier
+    one would only spell it otherwise, and is left out."""
+    out: list[Mapping] = []
+    for m in layouts:
+        if set(m.fields) <= have and not any(set(m.fields) & set(o.fields) for o in out):
+            out.append(m)
+    return out
+
+
+def registry(layouts: list[Mapping]) -> dict[int, int]:
+    """From each fingerprint that records of these layouts can have to the layout's number: the first one whose paths are
+    all there, else the first with any, else (nothing holds a value) the first."""
+    paths_ = sorted({p for m in layouts for p in m.fields})
+    out = {}
+    for n in range(len(paths_) + 1):
+        for present in map(set, combinations(paths_, n)):
+            whole = [i for i, m in enumerate(layouts) if set(m.fields) <= present]
+            some = [i for i, m in enumerate(layouts) if set(m.fields) & present]
+            out[fingerprint(list(present))] = (whole or some or [0])[0]
+    return out
+
+
+def holds(path: str) -> Column:
+    """Whether a record has a value at this path, in any element of an array."""
+    top, _, inner = path.partition("[].")
+    return F.exists(F.col(f"`{top}`"), lambda m: m[inner].isNotNull()) if inner else F.col(f"`{path}`").isNotNull()
 
 
 def canonical_turns(df: DataFrame, conv_id: str) -> DataFrame:
-    """conv_id, turn, role, text of every record of any known layout.
+    """conv_id, turn, role, text of every record of any known layout; each record's fingerprint selects its layout.
 
-    Paths that the schema lacks rule a layout out at once; where several remain, each record's own fingerprint
-    (its paths that are not null) decides, and failing that the layout with most paths that the schema has.
-    Fields besides those of layouts are ignored. A schema without any known layout is an error.
+    A table without any known layout is an error. A record that fills several layouts is read by the registry's first.
     """
-    have = set(paths(T.StructType([f for f in df.schema.fields if f.name != conv_id])))
-    fits = sorted((m for m in LAYOUTS if set(m.fields) <= have), key=lambda m: (-len(m.fields), m.fields))
+    have = paths(T.StructType([f for f in df.schema.fields if f.name != conv_id]))
+    fits = layouts_of(set(have))
     if not fits:
-        raise ValueError(f"no layout has the fields {sorted(have)}")
+        raise ValueError(f"no layout has the fields {have}, fingerprint {fingerprint(have)}")
     known = sorted({p for m in fits for p in m.fields})
-    top = lambda p: F.col("`" + re.split(r"\[\]|\.", p)[0] + "`")
-    turns = fits[0].turns()
-    if len(fits) > 1:
-        own = fingerprint(F.array_compact(F.array(*(F.when(top(p).isNotNull(), F.lit(p)) for p in known))))
-        for m in fits[1:]:
-            turns = F.when(own == fingerprint(F.array(*map(F.lit, m.fields))), m.turns()).otherwise(turns)
-    out = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+    own = F.xxhash64(F.array_join(F.array_compact(F.array(*(F.when(holds(p), F.lit(p)) for p in known))), "\n"))
+    selected = registry(fits)
+    keys = lambda i: [h for h, n in selected.items() if n == i]
+    turns = F.raise_error(F.lit("a fingerprint that the registry lacks"))
+    for i, m in enumerate(fits):
+        turns = F.when(F.col("_fingerprint").isin(keys(i)), m.turns()).otherwise(turns)
+    tops = dict.fromkeys(re.split(r"\[\]|\.", p)[0] for p in known)
+    read = df.select(F.col(conv_id).cast("long").alias("_conv"), own.alias("_fingerprint"), *(F.col(f"`{c}`") for c in tops if c != conv_id))
+    out = read.select(F.col("_conv").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
     role = F.coalesce(F.col("role"), F.lit(""))
     if any(m.kind == "messages" for m in fits):
         for other, name in ROLES.items():
