@@ -1,18 +1,19 @@
 """Sharding by a weighted hash tree: region, then rack, then shard.
 
-Each row descends the tree. At a node every child draws a straw, ln(1/u) / weight, where u comes from a
-hash of the row's key and the child's path; the shortest straw wins. A child wins in proportion to its
-weight, and a change of one weight moves rows only towards or away from that child, so movement stays in the
-subtrees whose weights change. A shard opened in a region of its own takes rows into itself and moves no others.
+Each row descends the tree and takes, at every node, the child with the shortest straw. A shard's straw is
+ln(1/u) / weight, where u comes from a hash of the row's key and the shard; a node's is the shortest below it, which is
+spread as if drawn for the node's whole weight. So a child wins in proportion to its weight, a change of one weight moves
+rows only into or out of that shard, and, at any number of shards, one more takes rows only into itself (law `key`).
+Straws drawn for each node apart would be fewer, but rows that a grown node wins would then spread over its old shards.
 
 Nulls: a null key draws as the text 'null' apart from any id; a null text has size 1 (no bytes, plus 1).
-Repeated rows: equal ids get equal shards, and a slot each. Empty input: no rows.
+Repeated rows: equal ids get equal shards, and a slot each. Ties of straws: the smaller shard. Very long texts: linear.
+Empty input: no rows. Extra columns: ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,6 +24,8 @@ from tessera.llm.common import stored, table
 RACK_SHARDS, REGION_RACKS = 4, 2
 #: Hex digits of a digest that make one draw: 52 bits, exact in a double.
 DIGITS = 13
+#: Parts of a shard that are numbered apart.
+PARTS = 1024
 
 
 @dataclass(frozen=True)
@@ -50,52 +53,64 @@ def tree(shards: int, weights: dict[int, float] | None = None) -> Node:
     return Node("root", sum(r.weight for r in regions), tuple(regions))
 
 
+def draw(key: Column, path: str) -> Column:
+    digest = F.md5(F.concat_ws("|", F.lit(path), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double")
+
+
 def straw(key: Column, node: Node) -> Column:
-    """ln(1/u) / weight of this key at this child."""
-    digest = F.md5(F.concat_ws("|", F.lit(node.path), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
-    draw = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double")
-    return -F.log((draw + 0.5) / float(16**DIGITS)) / node.weight
+    """struct<straw, shard>: the shortest straw below this node, and the shard that drew it."""
+    if node.children:
+        below = [straw(key, c) for c in node.children if c.weight > 0]
+        return F.least(*below) if len(below) > 1 else below[0]
+    ln = -F.log((draw(key, node.path) + 0.5) / float(16**DIGITS)) / node.weight
+    return F.struct(ln.alias("straw"), F.lit(node.shard).alias("shard"))
 
 
 def descend(key: Column, node: Node) -> Column:
     """The shard that the key reaches below this node."""
-    if not node.children:
-        return F.lit(node.shard)
-    live = [c for c in node.children if c.weight > 0]
-    if len(live) == 1:
-        return descend(key, live[0])
-    best = F.least(*(F.struct(straw(key, c).alias("straw"), F.lit(i).alias("child")) for i, c in enumerate(live)))["child"]
-    return reduce(lambda out, ic: F.when(best == ic[0], descend(key, ic[1])).otherwise(out), list(enumerate(live))[1:], descend(key, live[0]))
+    return straw(key, node)["shard"]
 
 
-def numbered(placed: DataFrame, shard: str, part: str, order: str, slot: str) -> DataFrame:
-    """Adds the rows' gapless numbers within each shard. Rows are numbered within (shard, part) and each part
-    starts where the smaller parts of its shard end, so no task sees a whole shard."""
-    sums = placed.groupBy(shard, part).agg(F.count("*").alias("_n"))
-    starts = sums.select(shard, part, (F.sum("_n").over(W.partitionBy(shard).orderBy(part)) - F.col("_n")).alias("_start"))
-    local = F.row_number().over(W.partitionBy(shard, part).orderBy(order)) - 1
-    return placed.join(starts, [shard, part]).withColumn(slot, (F.col("_start") + local).cast("long")).drop("_start")
+def numbered(placed: DataFrame) -> DataFrame:
+    """Adds slot, the rows' gapless numbers within each shard, in order of part, doc_id, size, text_crc32. Rows are numbered
+    within (shard, part) and each part starts where the smaller parts of its shard end, so no task sees a whole shard."""
+    sums = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    starts = sums.select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
+    local = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")) - 1
+    return placed.join(starts, ["shard", "part"]).withColumn("slot", (F.col("start") + local).cast("long"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row; only these few bytes a row are stored.
-
-    The stored copy pins each row's part, so that a lost executor can't renumber rows.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    grown = tree(shards + 1)
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row; only these few bytes a row are stored."""
+    body, own = F.coalesce(F.col(text), F.lit("")), F.col(key)
+    best = straw(own, tree(shards))
     placed = docs.select(
-        F.col(key).alias("doc_id"),
+        own.alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        descend(F.col(key), tree(shards)).cast("int").alias("shard"),
-        descend(F.col(key), grown).cast("int").alias("grown_shard"),
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    out = numbered(stored(placed, "sharding"), "shard", "_part", "_row", "slot")
+        best.alias("best"),
+        F.least(best, straw(own, Node(f"shard{shards}", 1.0, shard=shards))).alias("grown"),
+        (draw(own, "part") % PARTS).cast("int").alias("part"),
+    ).select("doc_id", "size", "text_crc32", F.col("best.shard").cast("int").alias("shard"), F.col("grown.shard").cast("int").alias("grown_shard"), "part")
+    out = numbered(stored(placed, "sharding"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+_DRAW = "CAST('0x' || substr(md5({} || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)"
+ORACLE_OP3 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_DRAW.format("'part'")} % {PARTS} AS part FROM documents),
+s AS (SELECT rid, i, {_DRAW.format("'shard' || i")} AS u FROM d, range(17) AS r(i)),
+b AS (SELECT rid, arg_max(i, (u, -i)) FILTER (i < 16) AS shard, arg_max(i, (u, -i)) AS grown FROM s GROUP BY rid),
+k AS (SELECT list(v ORDER BY n) AS k FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(n))),
+x AS (SELECT t, hex(encode(t)) AS h FROM (SELECT DISTINCT t FROM d)),
+y AS (SELECT t, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS y FROM x),
+c AS (SELECT t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), y), lambda c, x: xor(k[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) AS crc FROM y, k)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, strlen(t), crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM d JOIN b USING (rid) JOIN c USING (t)
+"""
