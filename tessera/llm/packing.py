@@ -10,7 +10,7 @@ A packer takes at most DOCS_PER_PACKER documents, dealt round robin, so its memo
 spread evenly; it orders them by (doc_id, start, ids), so that a packer run again after a loss packs alike.
 
 Nulls: a null text has no ids (its end id is packed), a null doc_id is kept. Repeated rows: each is packed.
-Long texts: cut into windows. No rows: no pieces.
+Long texts: cut into windows. No rows: no pieces. Extra columns: ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,19 +29,22 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 WINDOW, END_ID = 1024, 0
+#: Fixed value: the tokenizer's special token; its id follows the vocabulary.
+SPECIAL = "<|endoftext|>"
 DOCS_PER_PACKER = 32_768
 CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def encoder(path: str | None = None):
-    """The byte-level BPE; the ranks file holds the vocabulary of byte_bpe_50k.json and gives the same ids (tested)."""
+    """The byte-level BPE; the ranks file holds the vocabulary of byte_bpe_50k.json and gives the same ids (tested). Like
+    that file's tokenizer it reads the special token's string in a text as that token."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
 def crc(ids: np.ndarray) -> int:
@@ -56,7 +59,7 @@ def cut_documents(path: str | None = None, window: int = WINDOW):
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(bpe.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32(END_ID))
+                ids = np.append(bpe.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(END_ID))
                 n = len(ids)
                 out += [(doc, s, window, crc(ids[s : s + window]), n, None) for s in range(0, n - window + 1, window)]
                 if n % window:
