@@ -10,7 +10,8 @@ members are pivots, each takes all within MAX_BITS at once, and only members of
 
 Nulls and texts without words: fingerprint zero, linked like any other; a null doc_id is kept and never names a
 component unless all its ids are null. Repeated rows and equal texts: one fingerprint, whose rows all get its
-component. Fewer words than a shingle: one shingle of all. Very long texts: linear. No rows: none.
+component. Fewer words than a shingle: one shingle of all. Very long texts: linear. No rows: none. Extra columns: ignored by
+near_duplicates, kept by without_copies, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions, released, stored, stored_by, table
 from tessera.operators.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-PIVOTS, SMALL, CROWD = 16, 64, 20_000
+PIVOTS, SMALL = 16, 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -135,28 +135,8 @@ def large_bucket(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def nearest_tree(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A least spanning forest of the links among fingerprints, as index pairs, grown from one member after another."""
-    free = np.arange(1, len(x))
-    gap, via, edges = np.bitwise_count(x[1:] ^ x[0]).astype(np.int64), np.zeros(len(x) - 1, np.int64), []
-    while len(free):
-        i = int(np.argmin(gap))
-        if gap[i] <= bits:
-            edges.append((int(via[i]), int(free[i])))
-        new = int(free[i])
-        free, gap, via = np.delete(free, i), np.delete(gap, i), np.delete(via, i)
-        now = np.bitwise_count(x[free] ^ x[new])
-        closer = now < gap
-        gap[closer], via[closer] = now[closer], new
-    return edges
-
-
-def linked(bits: int, least: bool = False):
-    """For mapInArrow over (bucket, key, fp) in order: links u, v of each bucket, a forest in large ones.
-
-    least: a least spanning forest in every bucket of up to CROWD members, so that links which a stricter test
-    refuses later are the longest ones.
-    """
+def linked(bits: int):
+    """For mapInArrow over (bucket, key, fp) in order: links u, v of each bucket, a forest in large ones."""
     pivots = np.random.default_rng(SEED).integers(0, 2**63, PIVOTS, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def pairs(x: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +152,9 @@ def linked(bits: int, least: bool = False):
             ok = a[survivors(x[a], x[a + step], table_[a], table_[a + step], bits)]
             u.append(ok)
             v.append(ok + step)
-        if least and u:
-            a, b = np.concatenate(u), np.concatenate(v)
-            order, trees = np.argsort(np.bitwise_count(x[a] ^ x[b]), kind="stable"), Forest(len(x))
-            keep = [i for i in order.tolist() if trees.join(int(a[i]), int(b[i]))]
-            u, v = [a[keep]], [b[keep]]
         u, v = [x[i] for i in u], [x[i] for i in v]
         for s, n in zip(first[~small].tolist(), sizes[~small].tolist()):
-            make = nearest_tree if least and n <= CROWD else large_bucket
-            e = np.array(make(x[s : s + n], bits), dtype=np.int64).reshape(-1, 2)
+            e = np.array(large_bucket(x[s : s + n], bits), dtype=np.int64).reshape(-1, 2)
             u.append(x[s + e[:, 0]])
             v.append(x[s + e[:, 1]])
         return (np.concatenate(u) if u else x[:0]), (np.concatenate(v) if v else x[:0])
@@ -206,20 +180,19 @@ def linked(bits: int, least: bool = False):
     return run
 
 
-def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """fp, component of every distinct fingerprint; component is its least fingerprint."""
+def links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """u, v: fingerprints, such that all linked ones are joined by these links."""
     own = prints.select("fp").distinct()
     keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(prints.count(), bits)))).alias("bucket", "key")
     dealt = own.select(keys, "fp").repartition(partitions(prints.sparkSession), "bucket", "key").sortWithinPartitions("bucket", "key")
-    links = dealt.select(F.col("bucket").cast("long"), "key", "fp").mapInArrow(linked(bits), "u long, v long")
-    return components(links).toDF("fp", "component")
+    return dealt.select(F.col("bucket").cast("long"), "key", "fp").mapInArrow(linked(bits), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
     prints = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(fingerprints(size), "doc_id long, fp long"), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(classes(prints, bits), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = least.join(components(links(prints, bits)).toDF("fp", "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(first, "component").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -228,8 +201,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 COPY_WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted to find common ones; from how many of them on a shingle is common; most of those kept.
 SAMPLE, OFTEN, COMMON = 8_000, 4, 100_000
-#: Most rounds of stars in crowded buckets before all pairs that are left are compared.
-ROUNDS = 8
+#: Most rounds of stars in crowded buckets before all pairs that are left are compared; how many of these a text needs no
+#: stars; pairs that one text is held for.
+ROUNDS, PLENTY, SLOT = 8, 4, 256
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -248,9 +222,9 @@ def each_shingle(size: int):
 
 
 def prefixes(size: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """For mapInArrow over (k1, k2, text): n, the number of distinct shingles, and as many of them from the front of one
-    order as two texts of this similarity must share one of. Any order does; here the common ones come last. A text
-    without words has one shingle, zero."""
+    """For mapInArrow over (k1, k2, owner, text): these keys, the fingerprint, n, the number of distinct shingles, and as many
+    of them from the front of one order as two texts of this similarity must share one of. Any order does; here the
+    common ones come last. A text without words has one shingle, zero."""
 
     def prefix(h: np.ndarray) -> np.ndarray:
         if not len(h):
@@ -262,10 +236,12 @@ def prefixes(size: int, similarity: float, common: np.ndarray, counts: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
+            every = [shingle_hashes(t.as_py(), size) for t in batch.column(3)]
+            sets = [np.unique(h) for h in every]
+            made = [np.array([fingerprint(h) for h in every], np.uint64).view(np.int64), [len(h) for h in sets]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))],
-                names=["k1", "k2", "n", "prefix"],
+                [*batch.columns[:3], *(pa.array(m, pa.int64()) for m in made), pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))],
+                names=["k1", "k2", "owner", "fp", "n", "prefix"],
             )
 
     return run
@@ -349,91 +325,118 @@ def candidates(similarity: float, turn: int | None):
     return run
 
 
-def overlaps(size: int):
-    """For mapInArrow over (u, v, text of u, text of v): the Jaccard similarity of their shingles; 1 if both have none."""
-
-    def similarity(a: str, b: str) -> float:
-        x, y = shingle_set(a, size), shingle_set(b, size)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+def overlaps(size: int, similarity: float):
+    """For mapInArrow over (u, slot, v, text) in this order, u's own text first with a null v: the pairs u, v whose shingles
+    have this Jaccard similarity, 1 if both have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.uint64)
         for batch in batches:
-            made = [similarity(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.float64())], names=["u", "v", "similarity"])
+            found = []
+            for u, v, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                h = shingle_set(t.as_py(), size)
+                if v is None:
+                    own = h
+                    continue
+                both = len(np.intersect1d(own, h, assume_unique=True))
+                if (both / (len(own) + len(h) - both) if len(own) + len(h) else 1.0) >= similarity:
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def similar(rows: DataFrame, names: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """u, v: links that join all ids which pairs of at least this similarity join. rows: h, id, n, rest, crowd;
-    names: id, k1, k2; texts: k1, k2, body.
-
-    Only verified links contract. Buckets of SMALL texts or fewer are compared whole. In crowded ones stars, drawn anew
-    each turn, are verified and contracted while that finds links; then every pair of different components that is
-    left is compared, so that what no star joined isn't lost.
+def verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs u, v of this similarity. A text travels once for each pair in which it is v, and once for each SLOT pairs in
+    which it is u; those of a text in very many pairs are dealt to as many slots."""
+    of = pairs.groupBy("u").agg(F.ceil(F.count("*") / SLOT).alias("slots"))
+    slot = F.pmod(F.xxhash64("v"), F.col("slots"))
+    asked = stored(pairs.join(of, "u").select("u", slot.alias("slot"), "v"), "asked")
+    rows = asked.select("u", "slot", "v", F.col("v").alias("id")).union(asked.select("u", "slot", F.lit(None).cast("long"), F.col("u").alias("id")).distinct())
+    sent = texts.join(rows.join(names, "id"), ["k1", "k2"]).select("u", "slot", "v", "body")
+    dealt = sent.repartition(partitions(pairs.sparkSession), "u", "slot").sortWithinPartitions("u", "slot", F.col("v").asc_nulls_first())
+    out = stored(dealt.mapInArrow(overlaps(size, similarity), "u long, v long"), "sure")
+    released(pairs.sparkSession, asked)
+    return out
+
+
+def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """u, v: links that join all ids which pairs of at least this similarity join. prints: id, k1, k2, fp;
+    rows: h, id, n, rest, crowd; texts: k1, k2, body.
+
+    Only verified links contract. First come the links of fingerprints, which join most near copies by a pair or two each.
+    Then, of texts not joined so far, buckets of SMALL texts or fewer are compared whole. Where crowded ones would make over
+    PLENTY pairs a text, stars, drawn anew each turn, are verified and contracted first, while that finds links; in the
+    end every pair of different components that is left is compared, so that what no star joined isn't lost.
     """
-    spark = rows.sparkSession
-    crowd, parts, tried, sure = rows.where("crowd"), partitions(spark), None, None
-    stars = not crowd.isEmpty()
-    turns = [*range(ROUNDS), None] if stars else [0]
-    while turns:
-        turn = turns.pop(0)
-        now = rows if turn == 0 else crowd
-        if sure is None:
-            named = now.withColumn("c", F.col("id"))
-        else:
-            named = now.join(components(sure).toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        dealt = named.select("h", "id", "n", "rest", "c").repartition(parts, "h").sortWithinPartitions("h")
-        pairs = dealt.mapInArrow(candidates(similarity, turn), "u long, v long").distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(names, "id")
-        said = stored(texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).select("id", "body"), "said")
-        both = pairs.join(said.toDF("u", "a"), "u").join(said.toDF("v", "b"), "v").select("u", "v", "a", "b")
-        new = stored(both.mapInArrow(overlaps(size), "u long, v long, similarity double").where(F.col("similarity") >= similarity).select("u", "v"), "sure")
-        released(spark, said)
-        tried = pairs if tried is None else tried.union(pairs)
-        if turn and new.isEmpty():
-            turns = [None]
-        sure = new if sure is None else sure.union(new)
-    return sure
+    spark, names = rows.sparkSession, prints.select("id", "k1", "k2")
+    first = stored(prints.groupBy("fp").agg(F.min("id").alias("id")), "first")
+    same = prints.join(first.toDF("fp", "u"), "fp").where("id <> u").select("u", F.col("id").alias("v"))
+    near = links(prints).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    tried = stored(same.union(near).where("u <> v").distinct(), "pairs")
+    sure = verified(tried, names, texts, size, similarity)
+
+    crowd, parts, most = rows.where("crowd"), partitions(spark), PLENTY * prints.count()
+    now, turn, found = rows, 0, True
+    while True:
+        groups = stored(components(sure).toDF("id", "c"), "groups")
+        grouped = lambda df: df.join(groups, "id", "left").withColumn("c", F.coalesce("c", "id"))  # noqa: B023, E731
+        last = turn == ROUNDS or not found or pairs_left(grouped(crowd)) <= most
+        dealt = grouped(now).select("h", "id", "n", "rest", "c").repartition(parts, "h").sortWithinPartitions("h")
+        pairs = stored(dealt.mapInArrow(candidates(similarity, None if last else turn), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        new = verified(pairs, names, texts, size, similarity)
+        sure = sure.union(new)
+        released(spark, groups)
+        if last:
+            return sure
+        now, turn, found, tried = crowd, turn + 1, not new.isEmpty(), tried.union(pairs)
+
+
+def pairs_left(crowd: DataFrame) -> int:
+    """How many pairs of different components c crowded buckets h hold; of all buckets, so some count more than once."""
+    sizes = crowd.groupBy("h", "c").agg(F.count("*").cast("double").alias("n"))
+    by = sizes.groupBy("h").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"))
+    return by.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs less near copies: of each group linked at this similarity of word shingles, the row of least id stays.
 
-    At a similarity of 0.8 a seventh of SimHash bits differ, so that buckets of fingerprints would miss pairs. Candidates
-    share one of the first shingles of an order in which those common in a sample come last (prefix filter): a pair
-    of this similarity always does, whatever the sample. Each link is verified by the shingles themselves. Only exact
-    copies are one text beforehand. Texts without words are copies of each other. Rows equal in id and text count as
-    one row. Texts are shuffled once, into a table bucketed by text.
+    SimHash links come first. But at a similarity of 0.8 a seventh of SimHash bits differ, so that fingerprints alone would
+    miss pairs. The other candidates share one of the first shingles of an order in which those common in a sample come
+    last (prefix filter): a pair of this similarity always does, whatever the sample. Each link is verified by the
+    shingles themselves. Only exact copies are one text beforehand. Texts without words are copies of each other. Rows
+    equal in id and text count as one row. Texts are stored once, in a table bucketed by text.
     """
     spark, keys = docs.sparkSession, ["k1", "k2"]
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select("*", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"))
-    owner = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("n"), F.col("_id").alias("id"), *keys)).alias("owner")
-    texts = stored_by(keyed.groupBy(*keys).agg(owner, F.first(body).alias("body")), "texts", keys, partitions(spark))
+    body, others = F.coalesce(F.col(text), F.lit("")), [c for c in docs.columns if c != text]
+    named = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    own = F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    keyed = docs.select(own.alias("own"), F.col(doc_id).alias("n"), named.alias("id"), F.col(text).isNull().alias("none"), body.alias("body"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
+    owner = F.min(F.struct(F.col("n").isNull().alias("none"), "n", "id", *keys)).alias("owner")
+    texts = stored_by(keyed.groupBy(*keys).agg(owner, F.first("body").alias("body")), "texts", keys, partitions(spark))
     released(spark)
     drawn = texts.where(F.pmod("k1", F.lit(max(1, texts.count() // SAMPLE))) == 0).select("body").mapInArrow(each_shingle(size), "h long")
     often = drawn.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()
     common, counts = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
     order = np.argsort(common)
-    made = texts.select(*keys, "body").mapInArrow(prefixes(size, similarity, common[order], counts[order]), "k1 long, k2 long, n long, prefix array<long>")
-    prints = stored(made.join(texts.select(*keys, "owner"), keys).select(F.monotonically_increasing_id().alias("id"), *keys, "n", "prefix", "owner"), "prints")
+    schema = f"k1 long, k2 long, owner {texts.schema['owner'].dataType.simpleString()}, fp long, n long, prefix array<long>"
+    made = texts.select(*keys, "owner", "body").mapInArrow(prefixes(size, similarity, common[order], counts[order]), schema)
+    prints = stored(made.withColumn("id", F.monotonically_increasing_id()), "prints")
 
     posts = prints.select("id", "n", F.posexplode("prefix").alias("at", "h")).select("h", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
     dealt = posts.repartition(partitions(spark), "h").sortWithinPartitions("h")
     rows = stored(dealt.mapInArrow(shared, "h long, id long, n long, rest long, crowd boolean"), "shared")
     released(spark)
-    sure = similar(rows, prints.select("id", *keys), texts.select(*keys, "body"), size, similarity)
+    sure = similar(prints, rows, texts.select(*keys, "body"), size, similarity)
     released(spark, rows)
     group = prints.select("id", "owner").join(components(sure).toDF("id", "component"), "id", "left")
-    winners = stored(group.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", F.col("o.id").alias("_id")), "winners")
+    winners = stored(group.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", "o.id"), "winners")
 
-    seen = keyed.select(*(c for c in keyed.columns if c != text), F.col(text).isNull().alias("_null")).join(winners, [*keys, "_id"], "left_semi")
-    again = F.row_number().over(W.partitionBy(*keys, "_id").orderBy(F.lit(1)))
-    kept = texts.select(*keys, "body").join(seen.withColumn("_n", again).where("_n = 1").hint("shuffle_hash"), keys)
-    return kept.select(*(F.when(~F.col("_null"), F.col("body")).alias(c) if c == text else F.col(c) for c in docs.columns))
+    seen = keyed.drop("body").join(winners, [*keys, "id"], "left_semi").groupBy(*keys, "id").agg(F.first(F.struct("own", "none")).alias("r"))
+    kept = texts.select(*keys, "body").join(seen, keys)
+    made = {c: F.col(f"r.own.c{i}") for i, c in enumerate(others)} | {text: F.when(~F.col("r.none"), F.col("body"))}
+    return kept.select(*(made[c].alias(c) for c in docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
