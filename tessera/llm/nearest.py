@@ -10,7 +10,10 @@ as tiles pass; the blocks' heaps are merged by rank. The bounds are sure, so the
 Equal candidate vectors of a block are multiplied once and hold their k + 1 smallest ids, which is all that k
 neighbours can need. Vectors that are null, zero or hold null or non-finite components, and rows of a null id, take
 no part. Rows that share an id are one vector (the largest as an array); vectors of different lengths never meet.
-Fewer candidates than k: all of them. No rows: none.
+Fewer candidates than k: all of them. No rows: none. Extra columns: ignored, whatever their names.
+
+Every query block meets every candidate block, so what is shuffled grows with the square of the table, divided by the block
+size; that is the price of an exact search, and of no vector being left out of an index.
 """
 
 from __future__ import annotations

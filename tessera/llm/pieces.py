@@ -12,7 +12,8 @@ Decoding joins the pieces' bytes, turns space marks into blanks and drops the le
 
 Nulls and empty texts: no ids, decoded to an empty text; a null doc_id is kept. The space mark itself can't be told
 from a blank, as in the library. Repeated rows: each is encoded. Very long texts: whole; a part's cost is linear.
-Memory is bounded by PART_CHARS of new text at once and CACHE remembered parts and pairs. No shuffle.
+Memory is bounded by TEXT_CHARS of new text (or one text) at once and CACHE remembered parts and pairs. No rows: none. Extra
+columns: ignored, whatever their names. No shuffle.
 """
 
 from __future__ import annotations
@@ -253,12 +254,12 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per document what its ids and the text decoded from them are, without sending either on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(path)
-        names = ENCODED.replace(",", "").split()[::2]
+        names, kinds = ENCODED.replace(",", "").split()[::2], [pa.int64()] * 5 + [pa.bool_()]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
@@ -268,9 +269,9 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     back = model.decode(made)
                     out.append((doc, len(made), zlib.crc32(made.astype("<u4").tobytes()), len(back.decode()), zlib.crc32(back), back.decode() == t.replace(MARK, " ")))
                 at += len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, ENCODED)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost", "kept", "clean_text"]
     body = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in docs.columns if c not in made]
-    split = docs.select(
-        *rest, body.alias("_t"), words(body).alias("_w"), F.split(body, "\n").alias("_lines"),
-    )
+    own = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_own")
+    split = docs.select(own, body.alias("_t"), words(body).alias("_w"), F.split(body, "\n").alias("_lines"))
     hashed = split.select(
         "*",
         # bound to a variable: a filter pushed down to here would otherwise split the text again for each window
@@ -84,7 +83,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     lost = F.aggregate("_bad", F.lit(0), lambda n, line: n + F.size(words(line)))
     figures = hashed.select(
-        *rest, "_lines", "_bad",
+        "_own", "_lines", "_bad",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -95,7 +94,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     clean = F.when(F.size("_bad") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n"))
     return figures.select(
-        *rest, *made[:5], failed.alias("base_failed"), "n_lost",
+        *(F.col(f"_own.`{c}`") for c in rest), *made[:5], failed.alias("base_failed"), "n_lost",
         (~failed & (100 * F.col("n_lost") <= LOST_PERCENT * F.col("n_words"))).alias("kept"), clean.alias("clean_text"),
     )
 
@@ -103,7 +102,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 def cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The documents that are kept, without the lines that fail."""
     # the row number keeps the filter above the figures: pushed below, it would compute the words again for each use
-    out = judged(docs.select(F.struct(*docs.columns).alias("own"), F.col(text).alias("text")))
+    out = judged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(text).alias("text")))
     out = out.withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
     made = {text: F.col("clean_text"), n_chars: F.length("clean_text").cast("long")}
     return out.select(*(made.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))

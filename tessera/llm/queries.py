@@ -16,6 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat": chat.ORACLE_OP1,
+    "op3_sharding": sharding.ORACLE_OP3,
     "op7_quality": quality.ORACLE_OP7,
+    "op8_licences": licences.ORACLE_OP8,
     "op9_nearest": nearest.ORACLE_OP9,
 }

@@ -1,6 +1,7 @@
 """The operators made of column expressions: chat, sharding, quality rules, licences."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 from conftest import DATA
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, licences, quality, queries, sharding
 from tessera.llm.common import table
@@ -48,18 +50,41 @@ def test_layouts(spark):
 
 
 def test_mixed_layouts_by_fingerprint(spark):
-    """Both layouts' columns are there; each record's own non-null paths decide."""
-    df = spark.createDataFrame([(1, "q", "a", None, None), (2, None, None, "do", "done")], "id long, prompt string, completion string, instruction string, output string")
-    got = {r.conv_id: (r.role, r.text) for r in chat.canonical_turns(df, "id").where("turn = 0").collect()}
-    assert got == {1: ("user", "q"), 2: ("user", "do")}
+    """Three layouts' columns are there, flat and nested; each record's own fingerprint decides."""
+    schema = "id long, prompt string, completion string, instruction string, output string, messages array<struct<role: string, content: string>>, turns int"
+    rows = [(1, "q", "a", None, None, None, 1), (2, None, None, "do", "done", None, 1), (3, None, None, None, None, [("user", "hi"), ("assistant", None)], 1),
+            (4, "p", None, None, None, None, 1), (5, "q", "a", "do", "done", None, 1), (6, None, None, None, None, [("user", None)], 1)]
+    got = {}
+    for r in chat.canonical_turns(spark.createDataFrame(rows, schema), "id").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {1: [("user", "q"), ("assistant", "a")], 2: [("user", "do"), ("assistant", "done")], 3: [("user", "hi"), ("assistant", "")],
+                   4: [("user", "p")], 5: [("user", "q"), ("assistant", "a")], 6: [("user", "")]}
+
+
+def test_fingerprint_is_the_engine_s(spark):
+    sets = [[], ["a"], ["messages[].role", "messages[].content"], ["b", "a", "é"]]
+    for s in sets:
+        column = F.xxhash64(F.array_join(F.array(*map(F.lit, sorted(s))).cast("array<string>"), "\n"))
+        assert spark.range(1).select(column.alias("h")).first().h == chat.fingerprint(s)
+
+
+def test_registry_decides_for_every_record():
+    fits = chat.layouts_of({"role", "text", "turn", "content", "prompt", "completion", "messages[].role"})
+    assert [m.fields for m in fits] == [("role", "text", "turn"), ("completion", "prompt")]
+    known = chat.registry(fits)
+    assert len(known) == 2**5 and known[chat.fingerprint(["completion", "prompt"])] == 1 and known[chat.fingerprint(["turn"])] == 0
+
+
+CHAT_EXTRAS = ("formatted", "content", "prompt", "messages", "t", "rows", "_fingerprint", "_conv", "turns", "loss_mask", "p")
 
 
 def test_chat_nulls_ties_empty(spark):
-    schema = "conv_id long, turn long, role string, text string, formatted string"
-    df = spark.createDataFrame([(1, None, None, None, "x"), (1, 1, "user", "b", "x"), (1, 1, "user", "a", "x"), (1, 1, "user", "a", "x"), (None, 0, "assistant", "z", "x")], schema)
-    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digest(chat.format_chats(chat.canonical_turns(df.drop("formatted"), "conv_id"))).collect()}
-    assert got == {1: (4, 0), None: (1, 1)}
-    assert chat.digest(chat.format_chats(chat.canonical_turns(df.drop("formatted").limit(0), "conv_id"))).count() == 0
+    schema = "conv_id long, turn long, role string, text string, " + ", ".join(f"{c} string" for c in CHAT_EXTRAS)
+    rows = [(1, None, None, None), (1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (None, 0, "assistant", "z"), (2, 0, "assistant", "é<s>" * 100_000), (3, 0, "user", "")]
+    df = spark.createDataFrame([(*r, *("x",) * len(CHAT_EXTRAS)) for r in rows], schema)
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digest(chat.format_chats(chat.canonical_turns(df, "conv_id"))).collect()}
+    assert got == {1: (4, 0), None: (1, 1), 2: (1, 400_000), 3: (1, 0)}
+    assert chat.digest(chat.format_chats(chat.canonical_turns(df.limit(0), "conv_id"))).count() == 0
 
 
 def test_sharding_law(spark):
@@ -76,20 +101,26 @@ def test_sharding_law(spark):
 
 
 def test_sharding_follows_weights_and_moves_little(spark):
-    from pyspark.sql import functions as F
-
     keys = spark.range(20_000).toDF("k")
     heavy = sharding.tree(16, {0: 4.0})
     got = keys.select(sharding.descend(F.col("k"), sharding.tree(16)).alias("a"), sharding.descend(F.col("k"), heavy).alias("b")).toPandas()
-    share = (got.b == 0).mean()
-    assert abs(share - 4 / 19) < 0.02
-    moved = got[got.a != got.b]
-    assert (moved.b < 8).all()  # region 0 alone grew: rows only come into it or move within
-    assert ((moved.a >= 8) | (moved.b < 4)).all()  # within it, only rack 0 grew
+    assert abs((got.b == 0).mean() - 4 / 19) < 0.02
+    assert (got[got.a != got.b].b == 0).all()  # rows only come into the shard that grew
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    keys = spark.range(2_000).toDF("k")
+    got = keys.select(*(sharding.descend(F.col("k"), sharding.tree(n)).alias(f"n{n}") for n in range(1, 42))).toPandas()
+    for n in range(1, 41):
+        old, new = got[f"n{n}"], got[f"n{n + 1}"]
+        assert ((old == new) | (new == n)).all() and (new == n).any() and old.nunique() == n
+    for n in (1, 5, 17):
+        out = sharding.shard_documents(keys.selectExpr("k AS doc_id", "'x' AS text"), shards=n).orderBy("doc_id").toPandas()
+        assert (out["shard"] == got[f"n{n}"]).all() and (out.grown_shard == got[f"n{n + 1}"]).all()
 
 
 def test_sharding_odd_rows(spark):
-    df = spark.createDataFrame([(None, None), (None, None), (1, ""), (1, ""), (1, "x" * 100_000)], "doc_id long, text string").withColumn("shard", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(99))
+    df = spark.createDataFrame([(None, None), (None, None), (1, ""), (1, ""), (1, "x" * 100_000)], "doc_id long, text string").selectExpr("*", *(f"99 AS {c}" for c in ("shard", "part", "best", "n", "start", "slot", "size")))
     got = sharding.shard_documents(df).collect()
     assert len(got) == 5 and len({r.shard for r in got if r.doc_id == 1}) == 1
     assert sharding.shard_documents(df.limit(0)).count() == 0
@@ -128,24 +159,40 @@ def test_quality_lines_and_columns(spark):
     assert "Home" not in got[0].text and "rights" not in got[0].text and good in got[0].text and got[0].n_chars == len(got[0].text)
 
 
-def brute_licence(text: str | None) -> tuple:
-    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
-    places = [(i, x.label) for x in licences.TEMPLATES if x.base for i in range(len(w)) if w[i : i + len(x.key.split())] == x.key.split()]
-    first, last = (min(places)[0], max(places)[0]) if places else (None, None)
-    return len(w), len(places), first, last, ",".join(sorted({x for _, x in places}))
+def brute_licences(texts: list) -> list[tuple]:
+    """Every key phrase at every place, and the share of its template's words around it."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    df = Counter(x for w in split for x in set(w))
+    idf = lambda x: round(math.log((1 + len(texts)) / (1 + df[x])) + 1, 6)
+    out = []
+    for w in split:
+        found = []
+        for t in licences.TEMPLATES:
+            body, key, start = licences.places(t)
+            for i in range(len(w) - len(key) + 1):
+                if w[i : i + len(key)] == key:
+                    at = [i - start + k for k in range(len(body))]
+                    met = sum(idf(x) for x, j in zip(body, at) if 0 <= j < len(w) and w[j] == x)
+                    found.append((t.label, t.base, i, met / sum(map(idf, body))))
+        base = [f for f in found if f[1]]
+        first, last = (min(f[2] for f in base), max(f[2] for f in base)) if base else (None, None)
+        labels = [",".join(sorted({f[0] for f in group})) for group in (base, found)]
+        out.append((len(w), len(base), first, last, *labels, round(max((f[3] for f in found), default=0), 5)))
+    return out
 
 
 def test_licences(spark):
-    texts = [None, "", "MIT License", "mit license mit-license", "CC BY CC  BY 4.0", "Licensed under CC BY-NC 4.0.", "xcc by", "GNU GENERAL PUBLIC\nLICENSE, apache\tlicense", "Éapache license", "nothing " * 9000, "Redistribution and use in source and binary forms, with or without modification"]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "mit license", 1)], "doc_id long, text string, found int")
-    got = licences.scanned(df).collect()
-    for r in got:
-        t = "mit license" if r.doc_id is None else texts[r.doc_id]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licence(t)
-        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
-    by = {r.doc_id: r.labels for r in got}
-    assert by[5] == "cc-by,cc-by-nc" and by[10] == "bsd"
+    texts = [None, "", "MIT License", "mit license mit-license", "CC BY CC  BY 4.0", "Licensed under CC BY-NC 4.0.", "xcc by", "GNU GENERAL PUBLIC\nLICENSE, apache\tlicense", "Éapache license", "nothing " * 9000, "Redistribution and use in source and binary forms, with or without modification", "by by cc cc by by license mit mit license license", "license cc by " * 9000]
+    texts += [f"x y {t.text} z {t.text[5:]} {t.key}" for t in licences.TEMPLATES] + [t.text.replace(" the ", " a ") for t in licences.TEMPLATES] + ["mit license"] * 3
+    extras = ("found", "w", "hits", "n_words", "label", "s", "t")
+    rows = [(i, t, *(1,) * len(extras)) for i, t in enumerate(texts)] + [(None, "mit license", *(1,) * len(extras))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in extras))
+    want = dict(zip([*range(len(texts)), None], brute_licences([*texts, "mit license"])))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 5)) for r in licences.scanned(df).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i][:-1] == w[:-1] and abs(got[i][-1] - w[-1]) < 1e-4, (i, got[i], w)
+    assert got[5][5] == "cc-by,cc-by-nc" and got[10][5] == "bsd"
     assert licences.scanned(df.limit(0)).count() == 0
 
 
