@@ -35,7 +35,8 @@ def duck():
 
 def rows_of(frame) -> list:
     """Sorted rows of a pandas frame with its columns in order of name."""
-    plain = frame[sorted(frame.columns)].astype(object)
+    nullable = {c: "float64" for c, t in frame.dtypes.items() if str(t).startswith("Int")}  # as Spark's frames have them
+    plain = frame[sorted(frame.columns)].astype(nullable).astype(object)
     return sorted(map(repr, plain.where(plain.notna(), None).itertuples(index=False, name=None)))
 
 
