@@ -12,13 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.text import masked
 
-FACT = "kind string, path string, name string, line int, end_line int, owner string, detail string, mode string"
+FACT = "kind string, path string, name string, line int, end_line int, owner string, detail string, mode string, seq int"
 NAMES = [c.split()[0] for c in FACT.split(", ")]
 #: Languages by file extension.
 LANGUAGES = {
@@ -39,6 +39,12 @@ ENDPOINT = (
 FLASK = re.compile(r"@\w+\.route\s*\(\s*[\"']([^\"']+)[\"'](?:[^)]*methods\s*=\s*\[([^\]]*)\])?")
 AUTH = re.compile(r"@PreAuthorize|@Secured|login_required|Depends\(\s*get_current|requireAuth|authenticate|isAuthenticated|passport\.")
 CREATE = re.compile(r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?([\w.]+)[`\"\]]?\s*\((.*?)\)\s*;")
+BINDINGS = re.compile(r"""\b(import|export)\s*(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]""")
+#: Files that an exported name is followed through.
+CHAIN = 4
+#: What calls a server from a client: fetch, or a verb of a usual HTTP client.
+CLIENT = re.compile(r"(?:\bfetch|\b(?:axios|http|httpClient|apiClient|client|\$http|requests)\.(get|post|put|delete|patch))\s*\(\s*([`'\"])([^`'\"\n]+)\2([^;\n]{0,200})")
+NAMED_HANDLER = re.compile(r"\.(?:get|post|put|delete|patch)\s*\(\s*[\"'`][^\"'`]+[\"'`]\s*,\s*(?:[\w$.]+\s*,\s*)*([A-Za-z_$][\w$]*)\s*\)")
 MESSAGE = re.compile(r"\b(publish|emit|send|produce|subscribe|on|consume|listen)\s*\(\s*['\"]([\w.:/-]+)['\"]")
 SQL_USE = re.compile(r"(?i)['\"`]\s*(select\b.*?\bfrom|insert\s+into|update|delete\s+from)\s+([A-Za-z_]\w*)")
 SOURCE = re.compile(r"request\.(?:args|form|json|GET|POST)|req\.(?:body|query|params)|\binput\s*\(|sys\.argv|process\.argv|getParameter\s*\(")
@@ -51,6 +57,12 @@ def language(path: str) -> str:
     return LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), "other")
 
 
+def language_of(path: Column) -> Column:
+    """The language of a path by its extension, as one lookup."""
+    known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.coalesce(F.element_at(known, F.lower(F.substring_index(path, ".", -1))), F.lit("other"))
+
+
 def block_end(code: str, start: int) -> int:
     """Offset after the braces that open next, or of the line's end."""
     at = code.find("{", start)
@@ -112,9 +124,17 @@ def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
     for m in imports.finditer(content):
         if blank[m.start() : m.start() + 3].strip():  # not within a comment or string
             out.append(("import", path, next(g for g in m.groups() if g), line(m.start()), line(m.start()), None, None, "lexical"))
+    for m in BINDINGS.finditer(content):
+        if blank[m.start() : m.start() + 3].strip():
+            for given in filter(str.strip, m[2].split(",")):
+                exported, _, local = (x.strip() for x in given.strip().partition(" as "))
+                out.append(("binding" if m[1] == "import" else "reexport", path, m[3], line(m.start()), line(m.start()), exported, local or exported, "lexical"))
     for m in re.finditer(r"(?:(\w+)\s*\.\s*)?\b([A-Za-z_]\w*)\s*\(", code):
         if m[2] not in WORDS_NOT_CALLED and (m[2], line(m.start())) not in declared:
             out.append(("call", path, m[2], line(m.start()), line(m.start()), m[1], None, "lexical"))
+    if kind in ("java", "kotlin", "scala"):
+        used = {m[0]: m.start() for m in reversed(list(re.finditer(r"\b[A-Z]\w*\b", code)))}
+        out += [("reference", path, name, line(at), line(at), None, None, "lexical") for name, at in sorted(used.items())]
     package = re.search(r"(?m)^\s*package\s+([\w.]+)", code)
     if package:
         out.append(("package", path, package[1], line(package.start()), line(package.start()), None, None, "lexical"))
@@ -127,6 +147,12 @@ def shared_facts(path: str, content: str) -> list[tuple]:
     protected = lambda at: str(bool(AUTH.search(content[max(0, at - 300) : at + 300]))).lower()
     for pattern, framework in ENDPOINT:
         out += [("endpoint", path, m[2] or "/", line(m.start()), line(m.start()), m[1].upper(), protected(m.start()), framework) for m in pattern.finditer(content)]
+    for m in CLIENT.finditer(content):
+        if m[3].startswith(("/", "http://", "https://")):
+            method = m[1] or next(iter(re.findall(r"method\s*:\s*['\"](\w+)", m[4])), "get")
+            out.append(("client", path, m[3], line(m.start()), line(m.start()), method.upper(), None, "lexical"))
+    for m in NAMED_HANDLER.finditer(content):
+        out.append(("route-handler", path, m[1], line(m.start()), line(m.start()), None, None, "lexical"))
     for m in FLASK.finditer(content):
         for method in re.findall(r"\w+", m[2] or "GET"):
             out.append(("endpoint", path, m[1], line(m.start()), line(m.start()), method.upper(), protected(m.start()), "flask"))
@@ -182,7 +208,8 @@ def flow_facts(path: str, content: str) -> list[tuple]:
     """Values that run from a source to a sink within HORIZON lines; what is known is forgotten at a function's start."""
     taint: dict[str, int] = {}
     out: list[tuple] = []
-    for n, text in enumerate(content.split("\n"), 1):
+    live = masked(content, language(path) in ("python", "ruby", "shell"), strings=False)
+    for n, text in enumerate(live.split("\n"), 1):
         if re.match(r"\s*(?:async\s+)?(?:def|function|func|fn|public|private)\b", text):
             taint = {}
         taint = {v: at for v, at in taint.items() if n - at <= HORIZON}
@@ -213,12 +240,12 @@ def file_facts(path: str, content: str) -> list[tuple]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Facts of all files; see FACT."""
+    """Facts of all files; see FACT. seq numbers a file's facts, so (path, seq) tells two of one name and line apart."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [r for p, c in zip(f["path"], f["content"]) for r in file_facts(p, c or "")]
-            yield pd.DataFrame(rows, columns=NAMES).astype({"line": "int32", "end_line": "int32"})
+            rows = [(*r, i) for p, c in zip(f["path"], f["content"]) for i, r in enumerate(file_facts(p, c or ""))]
+            yield pd.DataFrame(rows, columns=NAMES).astype({"line": "int32", "end_line": "int32", "seq": "int32"})
 
     return files.select("path", "content").mapInPandas(run, FACT)
 
@@ -263,25 +290,51 @@ def candidate_paths(path: pd.Series, spec: pd.Series, member: pd.Series) -> pd.S
     return pd.Series([candidates(*x) for x in zip(path, spec, member)])
 
 
-def resolve_imports(files: DataFrame, found: DataFrame) -> DataFrame:
-    """source, target, line, type, resolution of imports: candidate paths are joined to the files; the first that exists is
-    meant. JVM names match by path suffix, wildcards by package; several files for one name are ambiguous."""
-    imports = found.where("kind = 'import'").select("path", "name", "line", F.col("owner").alias("member")).withColumn("i", F.xxhash64("path", "name", "line", "member"))
-    known = files.select(F.col("path").alias("target"))
-    jvm = F.lower(F.element_at(F.split("path", r"\."), -1)).isin("java", "kt", "scala")
-    plain = imports.where(~jvm).select("i", "path", "line", F.posexplode(candidate_paths("path", "name", "member")).alias("rank", "target")).join(known, "target")
-    best = plain.groupBy("i", "path", "line").agg(F.min_by("target", "rank").alias("target")).select("i", "path", "line", "target", F.lit("resolved").alias("resolution"), F.lit("import").alias("type"))
-    classes = found.where("kind = 'class'").select(F.col("path").alias("target"), F.col("name").alias("cls")).join(found.where("kind = 'package'").select(F.col("path").alias("target"), F.col("name").alias("pkg")), "target")
+def import_targets(files: DataFrame, found: DataFrame) -> DataFrame:
+    """path, seq of each import that means a file, with target, line, type, resolution. Candidate paths are joined to the
+    files; the first that exists is meant. JVM names match by package and class, wildcards by package; several files for
+    one name are ambiguous."""
+    imports = found.where("kind = 'import'").select("path", "seq", "line", "name", F.col("owner").alias("member"))
+    known, own = files.select(F.col("path").alias("target")), ["path", "seq", "line"]
+    jvm = language_of(F.col("path")).isin("java", "kotlin", "scala")
+    plain = imports.where(~jvm).select(*own, F.posexplode(candidate_paths("path", "name", "member")).alias("rank", "target")).join(known, "target")
+    best = plain.groupBy(*own).agg(F.min_by("target", "rank").alias("target")).select(*own, "target", F.lit("import").alias("type"), F.lit("resolved").alias("resolution"))
+    classes = package_classes(found)
     named = imports.where(jvm & ~F.endswith("name", F.lit(".*"))).join(classes, F.concat_ws(".", "pkg", "cls") == F.col("name"))
-    wild = imports.where(jvm & F.endswith("name", F.lit(".*"))).join(classes, F.concat("pkg", F.lit(".*")) == F.col("name")).where("target <> path")
-    jvm_named = named.groupBy("i", "path", "line").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n")).select("i", "path", "line", "target", F.when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("resolution"), F.lit("import").alias("type"))
-    jvm_wild = wild.select("i", "path", "line", "target", F.lit("inferred").alias("resolution"), F.lit("wildcard-import").alias("type")).distinct()
-    out = best.unionByName(jvm_named).unionByName(jvm_wild)
-    return out.where("path <> target").select(F.col("path").alias("source"), "target", "line", "type", "resolution").distinct()
+    one = named.groupBy(*own).agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
+    jvm_named = one.select(*own, "target", F.lit("import").alias("type"), F.when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("resolution"))
+    wild = imports.where(jvm & F.endswith("name", F.lit(".*"))).withColumn("pkg", F.expr("substring(name, 1, length(name) - 2)")).join(classes, "pkg")
+    jvm_wild = wild.select(*own, "target", F.lit("wildcard-import").alias("type"), F.lit("inferred").alias("resolution")).distinct()
+    return best.unionByName(jvm_named).unionByName(jvm_wild).where("path <> target")
+
+
+def package_classes(found: DataFrame) -> DataFrame:
+    """target, pkg, cls: the classes of each package, and their files."""
+    classes = found.where("kind = 'class'").select(F.col("path").alias("target"), F.col("name").alias("cls"))
+    return classes.join(found.where("kind = 'package'").select(F.col("path").alias("target"), F.col("name").alias("pkg")), "target")
+
 
+def same_package(found: DataFrame) -> DataFrame:
+    """path, target, line, type, resolution: a class of the own package that a file names; ambiguous if several files
+    define it."""
+    classes = package_classes(found)
+    own = found.where("kind = 'package'").select("path", F.col("name").alias("pkg"))
+    uses = found.where("kind = 'reference'").select("path", F.col("name").alias("cls"), "line").join(own, "path").join(classes, ["pkg", "cls"]).where("path <> target")
+    by = uses.groupBy("path", "cls").agg(F.collect_set("target").alias("targets"), F.min("line").alias("line"))
+    sure = F.when(F.size("targets") > 1, "ambiguous").otherwise("inferred")
+    return by.select("path", F.explode("targets").alias("target"), "line", F.lit("same-package").alias("type"), sure.alias("resolution"))
 
-def unresolved_imports(found: DataFrame, resolved: DataFrame) -> DataFrame:
-    return found.where("kind = 'import'").join(resolved.select(F.col("source").alias("path"), "line"), ["path", "line"], "left_anti").select("path", "name", "line")
+
+def resolve_imports(files: DataFrame, found: DataFrame) -> DataFrame:
+    """source, target, line, type, resolution: the distinct edges of imports and of classes used within a package."""
+    edges = import_targets(files, found).select("path", "target", "line", "type", "resolution").unionByName(same_package(found))
+    return edges.withColumnRenamed("path", "source").distinct()
+
+
+def unresolved_imports(files: DataFrame, found: DataFrame) -> DataFrame:
+    """path, name, line of each import that means no file here, also beside one on its line that does."""
+    met = import_targets(files, found).select("path", "seq")
+    return found.where("kind = 'import'").join(met, ["path", "seq"], "left_anti").select("path", "name", "line")
 
 
 def with_class(found: DataFrame) -> DataFrame:
@@ -294,19 +347,38 @@ def with_class(found: DataFrame) -> DataFrame:
     return f.join(held, "point").select("path", "name", "line", F.element_at(F.split("span", r"\|"), -1).alias("class"))
 
 
+def exported_functions(found: DataFrame, spread: DataFrame, functions: DataFrame) -> DataFrame:
+    """path, name, key: functions by the file and name that give them, also through CHAIN re-exports."""
+    again = found.where("kind = 'reexport'").select("path", F.col("line").alias("at"), F.col("owner").alias("exported"), F.col("detail").alias("given")).join(spread, ["path", "at"])
+    steps = again.select("path", "given", "target", "exported").distinct()
+    out = new = functions
+    for _ in range(CHAIN):
+        new = steps.join(new.toDF("target", "exported", "key"), ["target", "exported"]).select("path", F.col("given").alias("name"), "key")
+        out = out.union(new)
+    return out.distinct()
+
+
 def resolve_calls(found: DataFrame, imports: DataFrame) -> DataFrame:
-    """caller, path, line, name, target, resolution: a call means the same file's function, else one of an imported file;
-    one candidate is resolved, several ambiguous, none unresolved. The caller is the innermost function around it."""
+    """caller, path, line, name, target, resolution of every call site. A call means, in this order: what its file imports
+    by that name, the same file's function, a function of an imported file. The first step with candidates decides: one
+    is resolved, several ambiguous; none at all is unresolved. The caller is the innermost function around it."""
     from tessera.operators.linkage import innermost
 
     f = found.where("kind = 'function'").select("path", "name", "line", "end_line").withColumn("key", F.concat_ws("|", "path", "line", "name"))
-    calls = found.where("kind = 'call'").select("path", "name", "line").distinct().withColumn("call", F.concat_ws("|", "path", "line", "name"))
-    calls = calls.join(f.select("name").distinct(), "name", "left_semi")
+    calls = found.where("kind = 'call'").select("path", "name", "line", "seq").withColumn("call", F.concat_ws("|", "path", "seq"))
+    spread = imports.select(F.col("source").alias("path"), F.col("line").alias("at"), "target")
+    bound = found.where("kind IN ('import', 'binding')").select("path", F.col("line").alias("at"), F.col("detail").alias("name"), F.coalesce("owner", "detail").alias("exported")).where("name IS NOT NULL")
+    given = bound.join(spread, ["path", "at"]).select("path", "name", "target", "exported").distinct()
+    calls = calls.join(f.select("name").union(given.select("name")).distinct(), "name", "left_semi")
     spans = f.select("path", F.col("key").alias("span"), F.col("line").alias("start"), F.col("end_line").alias("end"))
     caller = innermost(calls.select("path", F.col("call").alias("point"), F.col("line").alias("at")), spans, "path").toDF("call", "caller")
-    own = calls.join(f.select("path", "name", "key"), ["path", "name"]).select("call", "key", F.lit(1).alias("step"))
-    theirs = calls.join(imports.select(F.col("source").alias("path"), "target").distinct(), "path").join(f.select(F.col("path").alias("target"), "name", "key"), ["target", "name"]).select("call", "key", F.lit(2).alias("step"))
-    by = own.union(theirs).groupBy("call", "step").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
+    reach = imports.select(F.col("source").alias("path"), "target").distinct()
+    exports = exported_functions(found, spread, f.select("path", "name", "key"))
+    theirs = calls.join(reach, "path").join(f.select(F.col("path").alias("target"), "name", "key"), ["target", "name"])
+    named = calls.join(given, ["path", "name"]).join(exports.toDF("target", "exported", "key"), ["target", "exported"])
+    own = calls.join(f.select("path", "name", "key"), ["path", "name"])
+    step = lambda df, n: df.select("call", "key", F.lit(n).alias("step"))
+    by = step(named, 0).union(step(own, 1)).union(step(theirs, 2)).groupBy("call", "step").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
     first = by.groupBy("call").agg(F.min_by(F.struct("n", "key"), "step").alias("b"))
     out = calls.join(first, "call", "left").join(caller, "call", "left")
     n = F.col("b.n")

@@ -46,10 +46,11 @@ def prepared(files: DataFrame) -> DataFrame:
     return f.withColumn("reason", F.coalesce("reason", F.when((used > MAX_TOTAL) | (count > MAX_FILES), "over-budget"))).drop("nth")
 
 
-def masked(code: str, python: bool) -> str:
-    """code with comments and strings blanked; offsets and line breaks stay."""
+def masked(code: str, python: bool, strings: bool = True) -> str:
+    """code with comments, and strings if asked, blanked; offsets and line breaks stay."""
     token = r"'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|#[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"" if python else r"/\*[\s\S]*?\*/|//[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
-    return re.sub(token, lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    comment = ("#",) if python else ("/*", "//")
+    return re.sub(token, lambda m: re.sub(r"[^\n]", " ", m[0]) if strings or m[0].startswith(comment) else m[0], code)
 
 
 @F.pandas_udf(T.StringType())

@@ -15,6 +15,9 @@ FILES = {
     "src/main/java/app/A.java": "package app;\nimport app.dto.*;\nimport app.svc.B;\npublic class A {\n  public void go() { }\n}\n",
     "src/main/java/app/dto/X.java": "package app.dto;\npublic class X { }\n",
     "src/main/java/app/svc/B.java": "package app.svc;\npublic class B { }\n",
+    "web/index.ts": "export { b as renamed } from './b';\n",
+    "web/c.ts": "import { renamed as r } from './index';\nimport { b as direct } from './b';\nexport function twice() {\n  return r() + r() + direct();\n}\n",
+    "src/main/java/app/C.java": "package app;\npublic class C {\n  A a;\n  // X x\n}\n",
     "bad.py": "def broken(:\n  pass\n",
     "db/schema.sql": "CREATE TABLE users (id INT, name TEXT);\nCREATE TABLE orders (id INT, user_id INT REFERENCES users, total DECIMAL(10, 2), FOREIGN KEY (user_id) REFERENCES users);\n",
     "api.py": "@app.get('/users/{id}')\ndef get(id): pass\n@bp.route('/x', methods=['POST', 'PUT'])\n@login_required\ndef x(): pass\n",
@@ -34,7 +37,8 @@ def test_import_edges(repo):
     edges = {(r.source, r.target, r.resolution) for r in extract.resolve_imports(*repo).collect()}
     assert edges == {
         ("pkg/app.py", "pkg/sibling.py", "resolved"), ("pkg/app.py", "pkg/__init__.py", "resolved"), ("web/a.ts", "web/b.ts", "resolved"),
-        ("src/main/java/app/A.java", "src/main/java/app/dto/X.java", "inferred"), ("src/main/java/app/A.java", "src/main/java/app/svc/B.java", "resolved"),
+        ("src/main/java/app/A.java", "src/main/java/app/dto/X.java", "inferred"), ("src/main/java/app/A.java", "src/main/java/app/svc/B.java", "resolved"), ("web/index.ts", "web/b.ts", "resolved"),
+        ("web/c.ts", "web/index.ts", "resolved"), ("web/c.ts", "web/b.ts", "resolved"), ("src/main/java/app/C.java", "src/main/java/app/A.java", "inferred"),
     }
 
 
@@ -47,6 +51,18 @@ def test_calls_and_dead_code(repo):
     assert {r.name for r in extract.dead_functions(repo[1], calls).where("path LIKE 'pkg/%'").collect()} == {"_unused"}
 
 
+def test_aliases_chains_and_call_sites(repo):
+    calls = extract.resolve_calls(repo[1], extract.resolve_imports(*repo)).where("path = 'web/c.ts'").collect()
+    got = sorted((r.name, r.target and r.target.split("|")[0], r.resolution) for r in calls)
+    assert got == [("direct", "web/b.ts", "resolved"), ("r", "web/b.ts", "resolved"), ("r", "web/b.ts", "resolved")]
+
+
+def test_unresolved_beside_resolved(spark):
+    files = spark.createDataFrame([("p/a.py", "from . import b, gone\n"), ("p/b.py", ""), ("p/c.py", "import b, b\n")], "path string, content string")
+    found = extract.facts(files).cache()
+    assert sorted(tuple(r) for r in extract.unresolved_imports(files, found).select("path", "line").collect()) == [("p/a.py", 1), ("p/c.py", 1), ("p/c.py", 1)]
+
+
 def test_classes_around_functions(repo):
     got = {(r.path, r.name): r["class"] for r in extract.with_class(repo[1]).collect()}
     assert got["pkg/app.py", "run"] == "Service" and got["pkg/sibling.py", "helper"] is None and got["src/main/java/app/A.java", "go"] == "A"
