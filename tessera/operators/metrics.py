@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIMITS = {"lines": 60, "params": 5, "nesting": 4, "complexity": 10, "cognitive": 11}
@@ -85,7 +86,10 @@ PATTERNS = (("singleton", r"getInstance\s*\(|_instance\b"), ("factory", r"\bcrea
 def patterns(files: DataFrame, most: int = 20) -> DataFrame:
     """pattern, n, files (the first by path)."""
     hit = F.array_compact(F.array(*(F.when(F.col("content").rlike(p), F.lit(n)) for n, p in PATTERNS)))
-    return files.select("path", F.explode(hit).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, most).alias("files"))
+    found = files.select("path", F.explode(hit).alias("pattern"))
+    first = found.distinct().withColumn("i", F.row_number().over(W.partitionBy("pattern").orderBy("path"))).where(F.col("i") <= most)
+    named = first.groupBy("pattern").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return found.groupBy("pattern").agg(F.count("*").alias("n")).join(named, "pattern")
 
 
 def suggestions(counts: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from tessera.sources import views
 QUERIES, ORACLES, query = registry()
 
 
-@query("""WITH d AS (SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 GROUP BY 1), r AS (SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1)
+@query("""WITH d AS (SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT coalesce(d.key, r.key) AS key, CASE WHEN r.key IS NULL THEN 'unused' WHEN d.key IS NULL THEN 'undefined' ELSE 'used' END AS status, coalesce(d.n, 0) AS n_defined, coalesce(r.n, 0) AS n_referenced FROM d FULL JOIN r ON d.key = r.key""")
 def config_linkage(spark, sf_dir):
-    l = views.table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("key"), "l_returnflag")  # noqa: E741
+    l = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_returnflag")  # noqa: E741
     return ops.config_keys(l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'R'"))
 
 
@@ -33,15 +33,6 @@ def sql_table_links(spark, sf_dir):
     return ops.unique_by_name(uses, decl).select("id", F.coalesce("declared", F.lit(-1)).alias("declared"))
 
 
-ROUTES = [("r1", "GET", "/api/users/:param"), ("r2", "POST", "/api/users"), ("r3", "GET", "/v2/orders/items"), ("r4", "GET", "/v2/orders/:param"), ("r5", "DELETE", "/files/:param/meta")]
-CALLS = [("c1", "GET", "/api/users/7"), ("c2", "PUT", "/api/users"), ("c3", "GET", "/gateway/x/v2/orders/items"), ("c4", "GET", "/nothing/here"), ("c5", "DELETE", "/files/:param/meta"), ("c6", "GET", "/v2/orders/items")]
-
-
-@query()
-def route_match(spark, sf_dir):
-    return ops.route_match(spark.createDataFrame(CALLS, "call string, method string, path string"), spark.createDataFrame(ROUTES, "route string, method string, path string"))
-
-
 @query("""SELECT event_type AS method, user_id % 50 AS path, count(DISTINCT (user_id, event_id % 5)) AS n FROM events GROUP BY 1, 2 HAVING count(DISTINCT (user_id, event_id % 5)) > 1""")
 def route_collisions(spark, sf_dir):
     e = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 50).alias("path"), F.col("user_id").alias("file"), (F.col("event_id") % 5).alias("line"))

@@ -61,12 +61,6 @@ def line_rules(spark, sf_dir):
     return ops.scan(views.lines(f, "doc_id", "text"), NOTES, "doc_id")
 
 
-@query(f"""WITH {LINES}, h AS (SELECT * FROM (SELECT doc_id, CAST(line AS INTEGER) AS line, CASE {CASES} END AS rule FROM l) WHERE rule IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM h) SELECT doc_id, line, rule FROM n WHERE n <= 6""")
-def migration_scan(spark, sf_dir):
-    f = views.table(spark, sf_dir, "documents")
-    return ops.scan(views.lines(f, "doc_id", "text"), NOTES, "doc_id", most=6)
-
-
 @query("""SELECT page_id, len(regexp_extract_all(html, '<img\\b')) AS images, len(regexp_extract_all(html, '\\balt=')) AS alts, len(regexp_extract_all(html, '<script\\b')) AS scripts FROM pages""")
 def page_checks(spark, sf_dir):
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
@@ -84,14 +78,6 @@ def redacted_text(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", F.sha2(ops.redacted(F.col("text")).cast("binary"), 256).alias("sha256"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, 1 + len(regexp_extract_all(text, '\bif\s*\(')) + len(regexp_extract_all(text, '(?:for|und) ')) + len(regexp_extract_all(text, '\|\|')) + len(regexp_extract_all(text, '&&')) AS score FROM documents)
-SELECT doc_id, CAST(score AS INTEGER) AS score, CASE WHEN score > 30 THEN 'critical' WHEN score > 20 THEN 'high' WHEN score > 10 THEN 'medium' ELSE 'low' END AS level FROM c""")
-def complexity_score(spark, sf_dir):
-    n = lambda p: F.regexp_count("text", F.lit(p))
-    d = views.table(spark, sf_dir, "documents").select("doc_id", (1 + n(r"\bif\s*\(") + n(r"(?:for|und) ") + n(r"\|\|") + n("&&")).alias("score"))
-    return d.withColumn("level", S.complexity_level(F.col("score")))
-
-
 @query("""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: x <> '') AS t FROM documents), s0 AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' ')))) AS s FROM t WHERE len(t) >= 5),
 s AS (SELECT min(id) AS id, s FROM s0 GROUP BY s), p AS (SELECT id, unnest(s) AS h FROM s), r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1), m AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM p x JOIN p y ON x.h = y.h AND x.id < y.id WHERE x.h IN (SELECT h FROM r) GROUP BY 1, 2),
 j AS (SELECT a, b, i, len(x.s) AS n, len(y.s) AS k FROM m JOIN s x ON a = x.id JOIN s y ON b = y.id) SELECT a, b, round(i::DOUBLE / (n + k - i), 4) AS similarity FROM j WHERE round(i::DOUBLE / (n + k - i), 4) >= 0.82""")

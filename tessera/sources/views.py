@@ -61,3 +61,53 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("text").alias("content"), F.col("lang").alias("language"), "doc_id",
     )
+
+
+#: Templates of small source files made from rows; {k} is the row's key, {r} its parent's. path, content.
+CODE = {
+    "nation": (
+        ("api/n{k}.py", "from fastapi import FastAPI\nfrom .util{r} import helper{r}\napp = FastAPI()\n# from .decoy import nothing\n@app.get('/nations/{id}/n{k}')\ndef get_n{k}(id):\n    return helper{r}(id) + helper{r}(1)\n\nclass Nation{k}(Base{r}):\n    def run(self):\n        return get_n{k}(2)\n"),
+        ("web/n{k}.js", "export function nation{k}(x) {\n  return x;\n}\n"),
+        ("tests/test_n{k}.py", "from api.n{k} import get_n{k}\n\ndef test_n{k}():\n    assert get_n{k}(1)\n"),
+        ("db/n{k}.sql", "CREATE TABLE nation{k} (id INT, name TEXT, region_id INT REFERENCES region{r});\n"),
+    ),
+    "region": (
+        ("api/util{k}.py", "class Base{k}:\n    pass\n\ndef helper{k}(x):\n    return x\n\ndef _unused{k}():\n    return None\n\ndef pick{k}(x):\n    if x and x > 1:  # if or\n        return x\n    return 'for'\n"),
+        ("web/index{k}.js", "export { nation{k} as first } from './n{k}';\n"),
+        ("db/r{k}.sql", "CREATE TABLE region{k} (id INT, name TEXT);\n"),
+        ("pkg/r{k}/package.json", '{"dependencies": {"lib{k}": "^1.{k}"}, "devDependencies": {"vite": "5"}}'),
+        ("pkg/r{k}/requirements.txt", "flask==2.{k}\n# none\nrequests>=2\n"),
+        ("bad/r{k}.py", "def broken{k}(:\n  pass\n"),
+    ),
+    "supplier": (
+        ("web/s{k}.js", "import { nation{r} } from './n{r}';\nexport function supplier{k}(x) {\n  return nation{r}(x);\n}\nexport function load{k}(id) {\n  return fetch(`/nations/${id}/n{r}`);\n}\n"),
+    ),
+    "part": (
+        ("src/main/java/app/b{r}/P{k}.java", "package app.b{r};\nimport app.svc.S{r};\npublic class P{k} extends S{r} {\n  public void run{k}() {\n    go{r}();\n  }\n}\n"),
+    ),
+    "customer": (
+        ("srv/c{k}.js", "router.post('/login/{k}', (req, res) => {\n  const q = req.body.q;\n  db.query(q);\n});\nbus.publish('topic.{r}');\ndb.run(\"SELECT * FROM nation{r}\");\nconst password = 'live-value-{k}';\n// eval(q)\nvar old = eval(q);\n"),
+    ),
+    "brand": (("src/main/java/app/svc/S{k}.java", "package app.svc;\npublic class S{k} {\n  public void go{k}() {\n  }\n}\n"),),
+}
+BRANDS = 25
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of source files made from all rows of nation, region, supplier, part and customer, whose facts the
+    tables tell."""
+    t = lambda n: table(spark, sf_dir, n)
+    keys = {
+        "nation": t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r")),
+        "region": t("region").select(F.col("r_regionkey").alias("k"), F.lit(0).alias("r")),
+        "supplier": t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("r")),
+        "part": t("part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % BRANDS).alias("r")),
+        "customer": t("customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("r")),
+        "brand": spark.range(BRANDS).select(F.col("id").alias("k"), F.lit(0).alias("r")),
+    }
+    out = None
+    for name, files_ in CODE.items():
+        fill = lambda s: F.replace(F.replace(s, F.lit("{k}"), F.col("k").cast("string")), F.lit("{r}"), F.col("r").cast("string"))
+        made = keys[name].select(F.explode(F.array(*(F.struct(fill(F.lit(p)).alias("path"), fill(F.lit(c)).alias("content")) for p, c in files_))).alias("f")).select("f.*")
+        out = made if out is None else out.union(made)
+    return out
