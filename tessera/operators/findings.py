@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: How sure a label is, greatest last.
@@ -16,10 +19,14 @@ def rank(confidence):
 
 def deduplicated(findings: DataFrame, evidence: int = 5) -> DataFrame:
     """One row for each rule, path, line and severity: how many, the best confidence, the first ids as evidence."""
-    out = findings.groupBy("ruleId", "path", "line", "severity").agg(
-        F.count("*").alias("n"), F.max(rank(F.col("confidence"))).alias("r"), F.slice(F.array_sort(F.collect_set("id")), 1, evidence).alias("evidence")
-    )
-    return out.withColumn("confidence", F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("r").cast("int"))).drop("r")
+    of = ["ruleId", "path", "line", "severity"]
+    out = findings.groupBy(*of).agg(F.count("*").alias("n"), F.max(rank(F.col("confidence"))).alias("r"))
+    # ranked and cut before they are gathered: a place with very many findings gathers no more than others
+    first = findings.select(*of, "id").withColumn("i", F.dense_rank().over(W.partitionBy(*of).orderBy("id"))).where(F.col("i") <= evidence)
+    ids = first.groupBy(*(F.col(c).alias(f"_{c}") for c in of)).agg(F.array_sort(F.collect_set("id")).alias("evidence"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of))
+    named = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("r").cast("int")).alias("confidence")
+    return out.join(ids, same).select(*of, "n", "evidence", named)
 
 
 def clusters(findings: DataFrame) -> DataFrame:
@@ -29,17 +36,26 @@ def clusters(findings: DataFrame) -> DataFrame:
 
 
 def suppressed(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds status; rules: no, rule (exact, '*' or 'prefix.*'), path, line (null: any). A small list, tested by a theta join."""
-    r = rules.select(F.col("no"), F.col("rule"), F.col("path").alias("rp"), F.col("line").alias("rl"))
-    fits = (F.col("rule") == "*") | (F.col("rule") == F.col("ruleId")) | (F.endswith("rule", F.lit(".*")) & F.startswith("ruleId", F.expr("substring(rule, 1, length(rule) - 1)")))
-    fits = fits & (F.col("rp").isNull() | (F.col("rp") == F.col("path"))) & (F.col("rl").isNull() | (F.col("rl") == F.col("line")))
-    hit = findings.join(r, fits).groupBy("id").agg(F.min("no").alias("suppressed_by"))
+    """Adds status and suppressed_by, the first rule that fits. rules: no, rule (exact, '*' or 'prefix.*'), path, line (null: any).
+
+    A finding asks for what could suppress it: its rule, each prefix of it and '*', with and without its path and line. The
+    list is met by an equi join, whatever its length, and gives one row at most for each question.
+    """
+    any_path, any_line = F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(-1))
+    listed = rules.groupBy("rule", any_path.alias("rp"), any_line.alias("rl")).agg(F.min("no").alias("no"))
+    words = F.split("ruleId", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.when(i < F.size(words), F.concat(F.array_join(F.slice(words, 1, i), "."), F.lit(".*"))).otherwise(F.col("ruleId")))
+    asked = findings.select("id", F.explode(F.array_append(prefixes, F.lit("*"))).alias("rule"), "path", "line")
+    asked = asked.select("id", "rule", F.explode(F.array("path", F.lit(""))).alias("rp"), "line").select("id", "rule", "rp", F.explode(F.array("line", F.lit(-1))).alias("rl"))
+    hit = asked.join(listed, ["rule", "rp", "rl"]).groupBy("id").agg(F.min("no").alias("suppressed_by"))
     return findings.join(hit, "id", "left").withColumn("status", F.when(F.col("suppressed_by").isNotNull(), "suppressed").otherwise("open"))
 
 
 def custom_rules(lines: DataFrame, rules: DataFrame, most_rules: int = 200) -> DataFrame:
-    """Lines that a user's pattern matches. rules: rule, pattern, include (a path pattern or null). Patterns that are too
-    long or nest repeats are left out, and so are rules beyond the first most_rules by name."""
-    safe = rules.where((F.length("pattern") <= MAX_PATTERN) & ~F.col("pattern").rlike(r"\([^)]*[+*][^)]*\)[+*]")).orderBy("rule").limit(most_rules)
+    """Lines that a user's pattern matches, with status. rules: rule, pattern, include (a path pattern or null). Patterns that are
+    too long or nest repeats are left out, and so are rules beyond the first most_rules by name, as partial. Only those few
+    rules, a bound of most_rules rows of MAX_PATTERN characters, are sent to every task."""
+    safe = rules.where((F.length("pattern") <= MAX_PATTERN) & ~F.col("pattern").rlike(r"\([^)]*[+*][^)]*\)[+*]"))
+    status = "partial" if safe.count() > most_rules else "complete"
     hit = F.expr("regexp_like(text, pattern) AND (include IS NULL OR regexp_like(path, include))")
-    return lines.join(safe, hit).select("rule", "path", "line", "text")
+    return lines.join(F.broadcast(safe.orderBy("rule").limit(most_rules)), hit).select("rule", "path", "line", "text", F.lit(status).alias("status"))

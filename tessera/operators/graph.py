@@ -47,12 +47,15 @@ def change_impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataF
     """
     used = edges.where(F.col("resolution").isin("resolved", "inferred") & (F.col("source") != F.col("target")))
     back = used.select(F.col("target").alias("a"), F.col("source").alias("b"), edge_rank().alias("rank")).groupBy("a", "b").agg(F.max("rank").alias("rank"))
+    back = stored(back, "impact")
     level = changed.select("node").distinct().withColumn("rank", F.lit(3)).withColumn("distance", F.lit(0))
     seen = level
     for d in range(1, depth + 1):
         ends = level.withColumnRenamed("rank", "so_far").join(back, F.col("node") == F.col("a"))
         ends = ends.groupBy(F.col("b").alias("node")).agg(F.max(F.least("so_far", "rank")).alias("rank"))
         level = stored(ends.join(seen, "node", "left_anti").select("node", "rank", F.lit(d).alias("distance")), "impact")
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     sure = F.when(F.col("rank") == 3, "high").when(F.col("rank") == 2, "medium").otherwise("low")
     return seen.where("distance > 0").select("node", "distance", sure.alias("confidence"))
@@ -85,12 +88,8 @@ def module_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame) -> DataFrame:
     """node, direct, transitive (within 3 hops), impact, level of every node that something depends on."""
-    steps = arcs(edges, "in")
-    one = steps.select(F.col("a").alias("root"), F.col("b").alias("node"))
-    two = one.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
-    three = two.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
-    reach = one.withColumn("d", F.lit(1)).union(two.withColumn("d", F.lit(2))).union(three.withColumn("d", F.lit(3)))
-    near = reach.where("root <> node").groupBy("root", "node").agg(F.min("d").alias("d"))
+    roots = edges.where("source <> target").select(F.col("target").alias("node"))
+    near = bounded_bfs(edges, roots, 3, "in").where("distance > 0").select(F.col("seed").alias("root"), "node", F.col("distance").alias("d"))
     out = near.groupBy("root").agg(
         F.sum((F.col("d") == 1).cast("long")).alias("direct"), F.sum((F.col("d") > 1).cast("long")).alias("transitive"),
         F.sum(F.when(F.col("d") == 1, 1.0).when(F.col("d") == 2, 0.5).otherwise(1 / 3)).alias("x"),
@@ -99,24 +98,23 @@ def blast_radius(edges: DataFrame) -> DataFrame:
     return out.select(F.col("root").alias("node"), "direct", "transitive", F.round("x", 1).alias("impact"), level.alias("level"))
 
 
-def migration_order(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def migration_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, batch, in_cycle: each batch has the nodes whose importers are all in earlier ones; what can't be ordered
-    (cycles and what they import) is the last batch."""
-    left = stored(nodes.select("node").distinct(), "order")
-    known = left.withColumnRenamed("node", "source")
-    live = edges.select("source", "target").distinct().join(known, "source", "left_semi").join(left.withColumnRenamed("node", "target"), "target", "left_semi")
+    (cycles and what they import) is the last batch. A round lowers the counts of open importers and writes one table."""
+    known = nodes.select("node").distinct()
+    live = edges.select("source", "target").distinct().join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi")
     live = stored(live, "order")
-    done = None
-    for batch in range(1, most):
-        ready = left.join(live.select(F.col("target").alias("node")), "node", "left_anti")
-        ready = stored(ready.select("node", F.lit(batch).alias("batch"), F.lit(False).alias("in_cycle")), "order")
+    open_ = live.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"))
+    state, done, batch = stored(known.join(open_, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")), "order"), None, 1
+    while True:
+        ready = state.where("n = 0").select("node", F.lit(batch).alias("batch"), F.lit(False).alias("in_cycle"))
         if ready.isEmpty():
-            rest = left.select("node", F.lit(batch).alias("batch"), F.lit(True).alias("in_cycle"))
+            rest = state.select("node", F.lit(batch).alias("batch"), F.lit(True).alias("in_cycle"))
             return done.union(rest) if done is not None else rest
         done = ready if done is None else done.union(ready)
-        left = stored(left.join(ready, "node", "left_anti"), "order")
-        live = stored(live.join(ready.select(F.col("node").alias("source")), "source", "left_anti"), "order")
-    raise RuntimeError(f"more than {most} batches")
+        less = live.join(ready.select(F.col("node").alias("source")), "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("k"))
+        state = stored(state.where("n > 0").join(less, "node", "left").select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")), "order")
+        batch += 1
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -191,12 +189,15 @@ def greedy_trace(edges: DataFrame, starts: DataFrame, depth: int = 6) -> DataFra
     return path.select("start", F.posexplode("path").alias("hop", "node"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """path (array) of every simple path of 1 to `depth` edges from the starts."""
-    steps = arcs(edges, "out")
-    level = starts.select(F.array("node").alias("path"))
-    out = None
+def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """path (array), status of every simple path of 1 to `depth` edges from the starts; with `most` the first ones, shortest
+    first, and partial if there are more. Levels are written, so that no path is made twice."""
+    steps, level, out = stored(arcs(edges, "out"), "paths"), starts.select(F.array("node").alias("path")), None
     for _ in range(depth):
-        level = level.join(steps, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path"))
+        ends = level.join(steps, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b")))
+        level = stored(ends.select(F.array_append("path", F.col("b")).alias("path")), "paths")
         out = level if out is None else out.union(level)
-    return out
+    if most is None:
+        return out.withColumn("status", F.lit("complete"))
+    status = "partial" if out.count() > most else "complete"
+    return out.orderBy(F.size("path"), "path").limit(most).withColumn("status", F.lit(status))

@@ -40,7 +40,12 @@ def route_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
     seg = lambda df, p: df.withColumn(f"{p}s", F.split(F.regexp_replace(F.col(f"{p}path"), "^/|/$", ""), "/")).withColumn(f"{p}n", F.size(f"{p}s"))
     c, r = seg(calls.select(F.col("call"), F.col("method").alias("cmethod"), F.col("path").alias("cpath")), "c"), seg(routes.select(F.col("route"), F.col("method").alias("rmethod"), F.col("path").alias("rpath")), "r")
     fits = lambda a, b: (a == b) | (a == ":param") | (b == ":param")
-    same = c.join(r, F.col("cn") == F.col("rn")).where(F.forall(F.zip_with("cs", "rs", fits), lambda x: x))
+    # by count and first segment; those that start with a parameter are joined apart, by count alone
+    first = lambda a: F.get(a, F.lit(0))
+    wild_c, wild_r = first(F.col("cs")) == ":param", first(F.col("rs")) == ":param"
+    met = c.where(~wild_c).join(r.where(~wild_r), (F.col("cn") == F.col("rn")) & (first(F.col("cs")) == first(F.col("rs"))))
+    met = met.unionByName(c.where(wild_c).join(r, F.col("cn") == F.col("rn"))).unionByName(c.where(~wild_c).join(r.where(wild_r), F.col("cn") == F.col("rn")))
+    same = met.where(F.forall(F.zip_with("cs", "rs", fits), lambda x: x))
     exact = same.groupBy("call").agg(
         F.count_if(F.col("cmethod") == F.col("rmethod")).alias("n"), F.min(F.when(F.col("cmethod") == F.col("rmethod"), F.col("route"))).alias("route"),
         F.count("*").alias("any_n"), F.min("route").alias("any_route"),

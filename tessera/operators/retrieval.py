@@ -121,5 +121,6 @@ def trimmed_history(messages: DataFrame, turns: int = 6, chars: int = 50_000) ->
 def prompt(chunks: DataFrame, each: int = 1200, total: int = 12_000) -> DataFrame:
     """One row: the chunks' texts in rank order, each and together cut to a length. chunks: rank, path, content."""
     piece = F.concat(F.lit("### "), F.col("path"), F.lit("\n"), F.substring("content", 1, each))
-    rows = chunks.select(F.struct("rank", piece.alias("p")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    few = chunks.orderBy("rank").limit(total)  # each piece has a character at least
+    rows = few.select(F.struct("rank", piece.alias("p")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rs"))
     return rows.select(F.substring(F.array_join(F.col("rs.p"), "\n\n"), 1, total).alias("prompt"))

@@ -66,13 +66,18 @@ def hotspots(spark, sf_dir):
     return by.orderBy(F.desc("critical"), F.desc("high"), "path").limit(25)
 
 
-@query(f"""WITH {FOUND} SELECT "ruleId", CASE "ruleId" WHEN 'error' THEN 'FACT' WHEN 'click' THEN 'INFERENCE' ELSE 'UNCERTAIN' END AS tag,
-  CASE WHEN severity IN ('critical', 'high') THEN 'fix-now' WHEN "ruleId" = 'view' THEN 'review' WHEN severity = 'medium' THEN 'plan' ELSE 'observe' END AS action, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+#: Titles and categories that each call for another action.
+ADVISED = (("Cognitive load", "", "split"), ("Clone of a block", "", "compare-copies"), ("Unused export", "", "check-unused"), ("Odd edge", "architecture", "inspect-path"), ("REST route twice", "", "verify-route"), ("Schema drift", "", "trace-schema"), ("Low coverage", "", "confirm-test"), ("Other", "misc", "review"))
+
+
+@query(f"""WITH {FOUND} SELECT title, tag, action, count(*) AS n FROM (SELECT [{", ".join(f"'{t}'" for t, _, _ in ADVISED)}][id % 8 + 1] AS title, [{", ".join(f"'{a}'" for _, _, a in ADVISED)}][id % 8 + 1] AS action,
+  CASE "ruleId" WHEN 'error' THEN 'FACT' WHEN 'click' THEN 'INFERENCE' ELSE 'UNCERTAIN' END AS tag FROM f) GROUP BY 1, 2, 3""")
 def recommended_actions(spark, sf_dir):
-    rule, sev = F.col("ruleId"), F.col("severity")
+    rule = F.col("ruleId")
+    part = lambda k: F.element_at(F.array(*(F.lit(a[k]) for a in ADVISED)), (F.col("id") % 8 + 1).cast("int"))
     tag = F.when(rule == "error", "FACT").when(rule == "click", "INFERENCE").otherwise("UNCERTAIN")
-    action = F.when(sev.isin("critical", "high"), "fix-now").when(rule == "view", "review").when(sev == "medium", "plan").otherwise("observe")
-    return views.findings(spark, sf_dir).groupBy("ruleId", tag.alias("tag"), action.alias("action")).agg(F.count("*").alias("n"))
+    f = views.findings(spark, sf_dir).select(part(0).alias("title"), part(1).alias("category"), tag.alias("tag"))
+    return f.groupBy("title", "tag", S.finding_action(F.col("title"), F.col("category")).alias("action")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT lang AS language, count(*) AS n_files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS loc, round(sum(len(string_split(text, chr(10)))) * 100.0::DOUBLE / (SELECT sum(len(string_split(text, chr(10)))) FROM documents), 1) AS pct FROM documents GROUP BY lang""")
@@ -154,8 +159,3 @@ def graph_audit(spark, sf_dir):
     nodes = p.select(F.col("p_partkey").alias("id")).union(p.where("p_size = 1").select("p_partkey"))
     edges = l.select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 1950).alias("target"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("line"))
     return metrics.audit(nodes, edges, p.select("p_partkey", F.col("p_size") % 7))
-
-
-@query("""SELECT lang AS pattern, count(*) AS n FROM documents WHERE contains(text, 'License') GROUP BY lang""")
-def pattern_files(spark, sf_dir):
-    return views.files(spark, sf_dir).where(F.contains("content", F.lit("License"))).groupBy(F.col("language").alias("pattern")).agg(F.count("*").alias("n"))

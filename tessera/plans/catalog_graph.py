@@ -67,12 +67,6 @@ def important_nodes(spark, sf_dir):
     return d.orderBy(F.desc("degree"), "node").limit(25)
 
 
-@query(f"WITH {EDGES}, {DEGREE} SELECT node, CAST(2 * (n_in = 0)::INT + n_out AS BIGINT) AS score FROM d WHERE n_in = 0 AND n_out > 0 ORDER BY score DESC, node LIMIT 8")
-def entry_points(spark, sf_dir):
-    d = graph.degrees(views.edges(spark, sf_dir)).where("n_in = 0 AND n_out > 0")
-    return d.select("node", (F.col("n_out") + 2).alias("score")).orderBy(F.desc("score"), "node").limit(8)
-
-
 @query(f"WITH {HANDOFFS} SELECT x.source AS a, x.target AS b FROM h x JOIN h y ON x.source = y.target AND x.target = y.source WHERE x.source < x.target")
 def mutual_pairs(spark, sf_dir):
     return graph.mutual_pairs(views.handoffs(spark, sf_dir))
@@ -99,6 +93,7 @@ def weak_boundaries(spark, sf_dir):
     return m.groupBy(F.col("from_group").alias("module")).agg(F.count("*").alias("n_modules"), F.sum("n_edges").alias("n_edges")).where("n_modules >= 4")
 
 
+SINK_VALUE = 150
 LEVELS = {"region": 0, "nation": 1, "supplier": 2, "customer": 2, "part": 4}
 LEVEL_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEVELS.items())
 
@@ -149,17 +144,13 @@ def strongly_connected(spark, sf_dir):
     return graph.strongly_connected(views.handoffs(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT source AS a, target AS b FROM e WHERE target LIKE 'nation/%' OR target LIKE 'region/%' UNION SELECT target, source FROM e WHERE target LIKE 'nation/%' OR target LIKE 'region/%'),
-n AS (SELECT DISTINCT a AS node FROM u), w AS (SELECT node AS root, node FROM n WHERE node LIKE 'region/%' UNION SELECT root, u.b FROM w JOIN u ON w.node = u.a),
-c AS (SELECT node, min(root) AS root FROM w GROUP BY node) SELECT c.node, min(o.node) AS component FROM c JOIN c o USING (root) GROUP BY c.node""")
-def connected_components(spark, sf_dir):
-    e = views.edges(spark, sf_dir).where("target LIKE 'nation/%' OR target LIKE 'region/%'")
-    return graph.connected(e)
+#: Rounds of least neighbours, over twice as many as the graph is wide.
+ROUNDS = "".join(f", l{i + 1} AS (SELECT l.node, least(min(l.c), min(m.c)) AS c FROM l{i} l JOIN u ON l.node = u.a JOIN l{i} m ON u.b = m.node GROUP BY l.node)" for i in range(12))
 
 
-@query()
-def connected_components_whole(spark, sf_dir):
-    """Of all edges; recursive SQL from every node is too slow, so a test compares with union-find."""
+@query(f"""WITH {EDGES}, u AS MATERIALIZED (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), l0 AS (SELECT DISTINCT a AS node, a AS c FROM u){ROUNDS.replace(" AS (", " AS MATERIALIZED (")}
+SELECT node, c AS component FROM l12""")
+def connected_components(spark, sf_dir):
     return graph.connected(views.edges(spark, sf_dir))
 
 
@@ -241,10 +232,12 @@ def incremental_plan(spark, sf_dir):
     return model.incremental_plan(old, new, views.edges(spark, sf_dir), depth=1)
 
 
-@query(f"""WITH {HANDOFFS}, s AS (SELECT DISTINCT source AS f FROM h WHERE source % 40 = 0), l1 AS (SELECT f, target AS t FROM s JOIN h ON f = source WHERE f <> target), l2 AS (SELECT f, target AS t FROM l1 JOIN h ON l1.t = h.source)
-SELECT DISTINCT f AS source, t AS sink FROM (SELECT f, f AS t FROM s UNION SELECT * FROM l1 UNION SELECT * FROM l2) WHERE t % 11 = 0""")
+@query(f"""WITH {HANDOFFS}, b AS (SELECT user_id AS f, sum(CASE event_type WHEN 'error' THEN 1 ELSE 0 END) AS bad, max(value) AS top FROM events GROUP BY 1), s AS (SELECT f FROM b WHERE bad > 0 AND f IN (SELECT source FROM h)), k AS (SELECT f FROM b WHERE top > {SINK_VALUE}),
+l1 AS (SELECT DISTINCT s.f, target AS t FROM s JOIN h ON s.f = source), l2 AS (SELECT DISTINCT f, target AS t FROM l1 JOIN h ON l1.t = source), l3 AS (SELECT DISTINCT f, target AS t FROM l2 JOIN h ON l2.t = source)
+SELECT f AS source, t AS sink FROM (SELECT f, f AS t FROM s UNION SELECT * FROM l1 UNION SELECT * FROM l2 UNION SELECT * FROM l3) WHERE t IN (SELECT f FROM k)""")
 def flows_across_calls(spark, sf_dir):
+    """Sources are the functions with an error, sinks those with a high value, of all."""
     h = views.handoffs(spark, sf_dir)
-    f = h.select(F.col("source").alias("function")).distinct()
-    out = model.flows_across_calls(f.where("function % 40 = 0"), h.toDF("caller", "callee"), h.select(F.col("target").alias("function")).union(f).where("function % 11 = 0"), 2)
-    return out.select("source", "sink")
+    by = views.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("function")).agg(F.count_if(F.col("event_type") == "error").alias("bad"), F.max("value").alias("top"))
+    sources = by.where("bad > 0").join(h.select(F.col("source").alias("function")), "function", "left_semi")
+    return model.flows_across_calls(sources.select("function"), h.toDF("caller", "callee"), by.where(f"top > {SINK_VALUE}").select("function")).select("source", "sink")

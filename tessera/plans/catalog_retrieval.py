@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators import retrieval as ops
+from tessera.plans.catalog_graph import EDGES
 from tessera.plans.registry import registry
 from tessera.sources import views
 from tessera.streaming import jobs
@@ -38,15 +39,10 @@ def vector_topk(spark, sf_dir):
     return ops.vector_topk(e, QUESTION, 10).select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH c AS (SELECT 'supplier/' || s_suppkey AS path, s_acctbal / 10000 AS similarity FROM supplier ORDER BY 2 DESC, 1 LIMIT 48), d AS (SELECT 'supplier/' || s_suppkey AS path, 1 AS hops FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'supplier/' || s_suppkey, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey <> 3 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)),
+@query(f"""WITH RECURSIVE {EDGES}, u AS MATERIALIZED (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), w AS (SELECT 'nation/3' AS node, 0 AS d UNION SELECT u.b, d + 1 FROM w JOIN u ON w.node = u.a WHERE d < 3),
+d AS (SELECT node AS path, min(d) AS hops FROM w GROUP BY node), c AS (SELECT 'supplier/' || s_suppkey AS path, s_acctbal / 10000 AS similarity FROM supplier ORDER BY 2 DESC, 1 LIMIT 48),
 s AS (SELECT path, similarity, similarity + coalesce(0.15::DOUBLE / (1 + hops), 0) AS score FROM c LEFT JOIN d USING (path)) SELECT path, round(score, 6) AS score FROM s ORDER BY s.score DESC, similarity DESC, path LIMIT 8""")
 def graph_rerank(spark, sf_dir):
-    return reranked(spark, sf_dir, views.edges(spark, sf_dir).where("source NOT LIKE 'part/%' AND source NOT LIKE 'customer/%'"))
-
-
-@query()
-def graph_rerank_whole(spark, sf_dir):
-    """With hops along all edges, those of parts and customers too; a test compares with a search by hand."""
     return reranked(spark, sf_dir, views.edges(spark, sf_dir))
 
 
@@ -64,10 +60,15 @@ def source_filter(spark, sf_dir):
     return ops.source_filter(c, "license licensed terms").select("path", F.round("similarity", 4).alias("similarity"))
 
 
-@query("""WITH c AS (SELECT vec_id AS rank, 'f' || vec_id AS path, repeat('x', 2000) AS content FROM embeddings WHERE vec_id < 8) SELECT substr(string_agg('### ' || path || chr(10) || substr(content, 1, 1200), chr(10) || chr(10) ORDER BY rank), 1, 4000) AS prompt FROM c""")
+@query(f"""WITH q AS (SELECT CAST({QUESTION} AS DOUBLE[]) AS q), s AS (SELECT vec_id AS id, list_inner_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(q, q))) AS similarity FROM embeddings, q),
+c AS (SELECT d.doc_id AS id, d.text, row_number() OVER (ORDER BY s.similarity DESC, s.id) AS rank FROM (SELECT * FROM s ORDER BY similarity DESC, id LIMIT 8) s JOIN documents d ON d.doc_id = s.id)
+SELECT substr(string_agg('### d' || id || chr(10) || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY rank), 1, 4000) AS prompt FROM c""")
 def prompt_assembly(spark, sf_dir):
-    e = views.table(spark, sf_dir, "embeddings").where("vec_id < 8")  # the top-k list that a question gets
-    return ops.prompt(e.select(F.col("vec_id").alias("rank"), F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("path"), F.repeat(F.lit("x"), 2000).alias("content")), total=4000)
+    """The texts whose vectors are nearest to the question, of all."""
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    top = ops.vector_topk(e, QUESTION, 8).select("id", (-F.col("similarity")).alias("rank"))
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return ops.prompt(top.join(d, "id").select("rank", "path", "content"), total=4000)
 
 
 @query("""WITH n AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations), s AS (SELECT conv_id, t, sum(length(coalesce(text, ''))) AS size FROM n WHERE t > 0 GROUP BY 1, 2),
