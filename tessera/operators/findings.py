@@ -59,3 +59,39 @@ def custom_rules(lines: DataFrame, rules: DataFrame, most_rules: int = 200) -> D
     status = "partial" if safe.count() > most_rules else "complete"
     hit = F.expr("regexp_like(text, pattern) AND (include IS NULL OR regexp_like(path, include))")
     return lines.join(F.broadcast(safe.orderBy("rule").limit(most_rules)), hit).select("rule", "path", "line", "text", F.lit(status).alias("status"))
+
+
+#: The names under which tools give a finding's parts, in order of preference.
+ALIASES = {"path": ("path", "file", "filePath", "filename"), "start": ("startLine", "line", "lineNumber"), "end": ("endLine", "line", "lineNumber"), "title": ("title", "name", "type")}
+EXCERPT = 500
+
+
+def normalized(findings: DataFrame, files: DataFrame, category: str = "quality") -> DataFrame:
+    """id, ruleId, category, severity, confidence, status, title, path, start, end, evidence, source of findings of any layout.
+
+    Missing parts get defaults; an unknown severity is info. Where the file is clear (that path, or the only one of that
+    name) and has the line, that line is the evidence and its path the source.
+    """
+    from tessera.functions.scalars import fnv1a
+
+    def given(names, kind: str, default: str | None = None):
+        have = [F.col(f"`{n}`").cast(kind) for n in names if n in findings.columns]
+        return F.coalesce(*have, F.lit(default).cast(kind))
+
+    slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit("finding"))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    kind, title = given(["category"], "string", category), given(ALIASES["title"], "string")
+    severity = F.lower(given(["severity"], "string", "info"))
+    rows = findings.select(
+        given(["id"], "string").alias("id"), F.coalesce(given(["ruleId"], "string"), F.concat_ws(".", slug(kind), slug(title))).alias("ruleId"), kind.alias("category"),
+        F.when(severity.isin("critical", "high", "medium", "low", "info"), severity).otherwise("info").alias("severity"), given(["confidence"], "string", "INFERENCE").alias("confidence"),
+        given(["status"], "string", "detected").alias("status"), title.alias("title"), given(ALIASES["path"], "string").alias("path"), given(ALIASES["start"], "int").alias("start"), given(ALIASES["end"], "int").alias("end"),
+    )
+    base = lambda c: F.substring_index(c, "/", -1)
+    known = files.select(F.col("path").alias("exact")).distinct()
+    only = files.groupBy(base("path").alias("base")).agg(F.count("*").alias("n"), F.min("path").alias("named")).where("n = 1").drop("n")
+    placed = rows.join(known, F.col("path") == F.col("exact"), "left").withColumn("base", base("path")).join(only, "base", "left").withColumn("source", F.coalesce("exact", "named"))
+    lines = files.select(F.col("path").alias("source"), F.posexplode(F.split("content", "\n")).alias("n", "text")).select("source", (F.col("n") + 1).alias("start"), F.substring("text", 1, EXCERPT).alias("evidence"))
+    out = placed.join(lines, ["source", "start"], "left")
+    own = F.concat(F.lit("finding:"), fnv1a(F.concat_ws("|", "ruleId", F.coalesce("path", F.lit("")), F.coalesce(F.col("start").cast("string"), F.lit("")), F.coalesce("title", F.lit("")))))
+    source = F.when(F.col("evidence").isNotNull(), F.col("source"))
+    return out.select(F.coalesce("id", own).alias("id"), "ruleId", "category", "severity", "confidence", "status", "title", "path", "start", F.coalesce("end", "start").alias("end"), "evidence", source.alias("source"))

@@ -124,3 +124,25 @@ def prompt(chunks: DataFrame, each: int = 1200, total: int = 12_000) -> DataFram
     few = chunks.orderBy("rank").limit(total)  # each piece has a character at least
     rows = few.select(F.struct("rank", piece.alias("p")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rs"))
     return rows.select(F.substring(F.array_join(F.col("rs.p"), "\n\n"), 1, total).alias("prompt"))
+
+
+def chunk_metadata(functions: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """functions (path, name, line, ...) with class_name, the first class of the file by line, and imports, what it imports."""
+    first = classes.groupBy("path").agg(F.min(F.struct("line", "name")).alias("c")).select("path", F.col("c.name").alias("class_name"))
+    targets = edges.where("type = 'import'").groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_set("target")).alias("imports"))
+    return functions.join(first, "path", "left").join(targets, "path", "left").withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+
+
+MENTIONED, NAMES = 3, 8
+
+
+def mentioned_files(files: DataFrame, question: str, primary: str | None = None, most: int = MENTIONED) -> DataFrame:
+    """path, exact of files that a question names by their last part, those named with their whole path first; no private or
+    odd paths, and not the file that is open."""
+    from tessera.functions.scalars import sensitive_path, valid_path
+
+    names = list(dict.fromkeys(n.lower() for n in re.findall(r"[\w.-]+\.[A-Za-z]{1,8}", question)))[:NAMES]
+    path = F.col("path")
+    fits = F.lower(F.substring_index(path, "/", -1)).isin(*names) & valid_path(path) & ~sensitive_path(path) & ~path.eqNullSafe(F.lit(primary))
+    exact = F.contains(F.lit(question.lower()), F.lower(path))
+    return files.where(fits).select("path", exact.alias("exact")).orderBy(F.desc("exact"), "path").limit(most)

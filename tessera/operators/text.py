@@ -168,3 +168,37 @@ def secrets(lines: DataFrame, key: str = "path") -> DataFrame:
     """key, line, title of every secret shape in a line that no sample word marks; all shapes are tried."""
     found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(name)) for name, p in SECRETS)))
     return lines.where(~F.col("text").rlike(SAMPLE)).select(key, "line", F.explode(found).alias("title"))
+
+
+#: What acquires and releases resources, and what starts and ends transactions.
+ACQUIRE = r"(?i)\b(?:open|createReadStream|createWriteStream|getConnection|acquire|lock|connect)\s*\("
+RELEASE = r"(?i)\b(?:close|dispose|release|unlock|destroy|disconnect)\s*\("
+SCOPED = r"(?i)\b(?:try\s*\(|using\s*\(|with\s+[^:\n]+:|try\s*\{[\s\S]{0,2000}finally\s*\{)"
+BEGIN = r"(?i)\b(?:beginTransaction|startTransaction|transaction\.begin|begin_tx|BEGIN)\b"
+FINISH = r"(?i)\b(?:commit|rollback|transaction\.commit|transaction\.rollback)\b"
+
+
+def lifetime_hints(functions: DataFrame) -> DataFrame:
+    """functions (code, ...) with what their text shows of resources, transactions and exceptions: acquires, releases, scoped,
+    cleanup_gap, tx_starts, tx_ends, tx_gap, throws, catches."""
+    has = lambda p: F.col("code").rlike(p)
+    n = lambda p: F.regexp_count("code", F.lit(p))
+    return functions.select(
+        *(c for c in functions.columns if c != "code"), has(ACQUIRE).alias("acquires"), has(RELEASE).alias("releases"), has(SCOPED).alias("scoped"),
+        (has(ACQUIRE) & ~has(RELEASE) & ~has(SCOPED)).alias("cleanup_gap"), n(BEGIN).alias("tx_starts"), n(FINISH).alias("tx_ends"), ((n(BEGIN) > 0) & (n(FINISH) == 0)).alias("tx_gap"),
+        n(r"\b(?:throw|raise)\b").alias("throws"), has(r"\b(?:catch|except)\b").alias("catches"),
+    )
+
+
+def opposite_guards(functions: DataFrame, near: int = 1_500) -> DataFrame:
+    """The other columns, variable: variables that a function tests as if (x) and, within `near` characters, as if (!x)."""
+    guard = r"\bif\s*\(\s*(!\s*)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\)"
+    others = [c for c in functions.columns if c != "code"]
+    parts = F.split("code", r"(?=\bif\s*\()")
+    sizes = F.transform(parts, lambda p: F.length(p))
+    tests = F.transform(parts, lambda p, i: F.struct(F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b).alias("at"), F.regexp_extract(p, "^" + guard, 2).alias("variable"), (F.regexp_extract(p, "^" + guard, 1) != "").alias("negated")))
+    rows = functions.select(*others, F.explode(F.filter(tests, lambda t: t["variable"] != "")).alias("t")).select(*others, "t.*")
+    after = W.partitionBy(*others, "variable").orderBy("at")
+    last = lambda flag: F.last(F.when(F.col("negated") == F.lit(flag), F.col("at")), ignorenulls=True).over(after.rowsBetween(W.unboundedPreceding, -1))
+    met = rows.withColumn("other", F.when(F.col("negated"), last(False)).otherwise(last(True)))
+    return met.where(F.col("at") - F.col("other") < near).select(*others, "variable").distinct()

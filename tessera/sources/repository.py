@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_repository(spark: SparkSession, root: str, repository: str) -> DataFrame:
@@ -72,3 +73,51 @@ def unified_model(files: DataFrame, facts: DataFrame, edges: DataFrame) -> tuple
     )
     links = edges.select(ident("edge", F.col("type"), F.col("source"), F.col("target"), F.col("line").cast("string"), F.col("resolution")).alias("id"), "type", ident("file", F.col("source")).alias("source"), ident("file", F.col("target")).alias("target"), "resolution")
     return whole.unionByName(parts).dropDuplicates(["id"]), links.dropDuplicates(["id"])
+
+
+def read_back(repositories: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, snapshot: the JSON that was stored, as it is; where none is, one made from the tables. files and edges have a
+    repository; a snapshot is one string, so a repository's rows meet in it."""
+    f = files.groupBy(F.col("repository").alias("id")).agg(F.array_sort(F.collect_list(F.struct("path", F.col("content")))).alias("files"))
+    e = edges.groupBy(F.col("repository").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source", "target", "type"))).alias("dependencies"))
+    bare = repositories.where("analysis_snapshot IS NULL").select("id").join(f, "id", "left").join(e, "id", "left")
+    made = bare.select("id", F.to_json(F.struct(F.coalesce("files", F.array().cast("array<struct<path:string,content:string>>")).alias("files"), F.coalesce("dependencies", F.array().cast("array<struct<source:string,target:string,type:string>>")).alias("dependencies"))).alias("made"))
+    return repositories.join(made, "id", "left").select("id", F.coalesce("analysis_snapshot", "made").alias("snapshot"))
+
+
+def remove(spark: SparkSession, path: str, repository: str) -> bool:
+    """Deletes a repository's partition of a table that ingest() writes; False if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/repository={repository}")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Replaces the chunks of the repositories that these are of. chunks: repository, path, content, embedding, model, ..."""
+    chunks.where("trim(content) <> ''").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository").parquet(path)
+
+
+def analysis_json(analysis: DataFrame) -> DataFrame:
+    """One JSON a row of analysis, without the contents of files (fileContents, and content within files)."""
+    fields = []
+    for f in analysis.schema.fields:
+        if f.name == "files" and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            fields.append(F.transform("files", lambda x: x.dropFields("content")).alias("files"))
+        elif f.name != "fileContents":
+            fields.append(F.col(f"`{f.name}`"))
+    return analysis.select(F.to_json(F.struct(*fields)).alias("json"))
+
+
+def source_export(files: DataFrame) -> DataFrame:
+    """path, content of files under canonical paths (forward slashes, no dot segments at the front), the first of each by seq."""
+    path = F.regexp_replace(F.regexp_replace(F.translate("path", "\\", "/"), "/{2,}", "/"), r"^(\./|/)+", "")
+    return files.groupBy(path.alias("path")).agg(F.min_by("content", "seq").alias("content"))
+
+
+def with_cache(files: DataFrame, cache: DataFrame, extract) -> DataFrame:
+    """path, key and the facts of all files: from the cache (key, path, facts...) where a file of that path and content was
+    read before, else from extract(files). key is the SHA-256 of the content."""
+    keyed = files.withColumn("key", F.sha2(F.coalesce("content", F.lit("")), 256))
+    seen = cache.select("path", "key").distinct()
+    old = cache.join(keyed.select("path", "key"), ["path", "key"], "left_semi")
+    new = extract(keyed.join(seen, ["path", "key"], "left_anti").drop("key")).join(keyed.select("path", "key"), "path")
+    return old.unionByName(new.select(*old.columns))

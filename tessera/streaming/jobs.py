@@ -67,3 +67,74 @@ def queue_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("repository").applyInPandasWithState(
         step, "repository string, operation string, status string, at timestamp", "micros long, seq long, operation string, status string", "append", "NoTimeout"
     )
+
+
+def replay_dead(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
+    """jobs after an operator's replay: a DEAD INDEX job is PENDING again, with no attempts, if its repository still exists at
+    that revision; all others stay. repositories: id, revision."""
+    now = repositories.select(F.col("id").alias("repository"), F.col("revision").alias("_now"))
+    again = F.coalesce((F.col("operation") == "INDEX") & (F.col("status") == "DEAD") & (F.col("_now") == F.col("revision")), F.lit(False))
+    j = jobs.join(now, "repository", "left").withColumn("_again", again)
+    new = {"status": F.when(F.col("_again"), "PENDING").otherwise(F.col("status")), "attempts": F.when(F.col("_again"), 0).otherwise(F.col("attempts"))}
+    return j.select(*(new.get(c, F.col(c)).alias(c) for c in jobs.columns), F.col("_again").alias("replayed"))
+
+
+def dispatched(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
+    """claimed jobs with action: index at the repository's own revision, delete where no repository of that id exists again, and
+    skip (complete without work) for stale and superseded ones."""
+    now = repositories.select(F.col("id").alias("repository"), F.col("revision").alias("_now"))
+    index, delete = F.col("operation") == "INDEX", F.col("operation") == "DELETE"
+    action = F.when(index & (F.col("_now") == F.col("revision")), "index").when(delete & F.col("_now").isNull(), "delete").when(index | delete, "skip").otherwise("unsupported")
+    return jobs.join(now, "repository", "left").withColumn("action", action).drop("_now")
+
+
+def budget_log(events: DataFrame, limit: int = TOKENS - RESERVE) -> DataFrame:
+    """limiter, seq, granted, wait of each event of a rolling budget. events: limiter, seq, at (seconds), op, ticket, tokens.
+
+    reserve takes tokens if they fit into the window, else says how long to wait (infinite if they never fit); finish puts
+    the actual cost in a ticket's place, cancel takes it out, record adds a known cost. Events run in order of at, seq; what
+    is held is one window of one limiter, however long its log.
+    """
+    from collections import deque
+
+    schema = "limiter string, seq long, granted boolean, wait double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, log = None, deque()
+        for f in frames:
+            out = []
+            for limiter, seq, at, op, ticket, tokens in zip(*(f[c] for c in ("limiter", "seq", "at", "op", "ticket", "tokens"))):
+                if limiter != of:
+                    of, log = limiter, deque()
+                while log and at - log[0][0] >= WINDOW_SECONDS:
+                    log.popleft()
+                tokens = 0 if pd.isna(tokens) else max(0, int(tokens))
+                granted, wait = None, None
+                if op == "reserve":
+                    used, wait = sum(e[1] for e in log), 0.0
+                    if tokens > limit:
+                        wait = float("inf")
+                    elif used + tokens > limit:
+                        for when, n, _ in log:
+                            used -= n
+                            if used + tokens <= limit:
+                                wait = max(when + WINDOW_SECONDS - at, 0.001)
+                                break
+                    granted = wait == 0
+                    if granted:
+                        log.append((at, tokens, ticket))
+                elif op == "record":
+                    log.append((at, tokens, None))
+                else:
+                    for i, (when, _, held) in enumerate(log):
+                        if held is not None and held == ticket:
+                            if op == "finish":
+                                log[i] = (when, tokens, None)
+                            else:
+                                del log[i]
+                            break
+                out.append((limiter, seq, granted, wait))
+            yield pd.DataFrame(out, columns=["limiter", "seq", "granted", "wait"])
+
+    own = events.select(F.col("limiter").cast("string"), F.col("seq").cast("long"), F.col("at").cast("double"), "op", F.col("ticket").cast("string"), F.col("tokens").cast("long"))
+    return own.repartition("limiter").sortWithinPartitions("limiter", "at", "seq").mapInPandas(run, schema)
