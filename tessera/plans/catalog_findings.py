@@ -49,7 +49,9 @@ def custom_rules(spark, sf_dir):
     return ops.custom_rules(views.lines(views.files(spark, sf_dir)), rules).groupBy("rule", "path").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {FOUND}, k AS (SELECT id, "ruleId" || '|' || path || '|' || line || '|' || severity AS k FROM f),
+h AS (SELECT id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ord(substr(k, i, 1)) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM k)
+SELECT id, 'finding:' || printf('%08x', h) AS key FROM h""")
 def stable_ids(spark, sf_dir):
     key = F.concat_ws("|", "ruleId", "path", F.col("line").cast("string"), "severity")
     return views.findings(spark, sf_dir).select("id", F.concat(F.lit("finding:"), S.fnv1a(key)).alias("key"))

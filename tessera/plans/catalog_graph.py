@@ -139,7 +139,8 @@ def migration_order(spark, sf_dir):
     return graph.migration_order(e.select(F.col("source").alias("node")).union(e.select("target")), e)
 
 
-@query()
+@query(f"""WITH RECURSIVE {HANDOFFS}, r AS (SELECT source AS a, target AS b FROM h UNION SELECT r.a, h.target FROM r JOIN h ON r.b = h.source)
+SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
 def strongly_connected(spark, sf_dir):
     return graph.strongly_connected(views.handoffs(spark, sf_dir))
 
@@ -172,7 +173,12 @@ def risk_propagation(spark, sf_dir):
     return reach.groupBy("node").agg(F.count("*").alias("n_seeds"), F.min("distance").alias("nearest"))
 
 
-@query()
+#: One hop after another: the edge of greatest weight to a node that the path lacks.
+HOPS = "".join(f", p{i + 1} AS (SELECT start, list_append(path, arg_min(target, (-(target % 17), target))) AS path FROM p{i} JOIN h ON h.source = path[-1] AND NOT list_contains(path, target) GROUP BY start, path)" for i in range(6))
+
+
+@query(f"""WITH {HANDOFFS}, t AS (SELECT source AS start FROM h GROUP BY source ORDER BY count(*) DESC, source LIMIT 5), p0 AS (SELECT start, [start] AS path FROM t){HOPS}
+{" UNION ALL ".join(f"SELECT start, {i} AS hop, path[-1] AS node FROM p{i}" for i in range(7))}""")
 def flow_trace(spark, sf_dir):
     weighted = views.handoffs(spark, sf_dir).withColumn("weight", F.col("target") % 17)
     top = graph.degrees(views.handoffs(spark, sf_dir)).orderBy(F.desc("n_out"), "node").limit(5).select("node")

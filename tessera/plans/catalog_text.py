@@ -85,7 +85,9 @@ def clone_pairs(spark, sf_dir):
     return ops.clone_pairs(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code")))
 
 
-@query()
+@query(r"""WITH c AS (SELECT source AS file, regexp_replace(text, '[A-Za-z_]\w*', 'I', 'g') AS c, text FROM documents),
+k AS (SELECT file, len(regexp_extract_all(c, '\?')) || ':' || len(regexp_extract_all(c, 'I\(')) || ':' || CAST(floor(length(c) / 50) AS BIGINT) AS fingerprint FROM c)
+SELECT fingerprint, count(*) AS n, count(DISTINCT file) AS n_files FROM k GROUP BY fingerprint HAVING count(DISTINCT file) > 1""")
 def duplicate_groups(spark, sf_dir):
     return ops.fingerprint_groups(views.table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("text").alias("code")))
 
