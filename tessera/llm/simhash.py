@@ -16,7 +16,7 @@ near_duplicates, kept by without_copies, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -202,8 +202,8 @@ COPY_WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted to find common ones; from how many of them on a shingle is common; most of those kept.
 SAMPLE, OFTEN, COMMON = 8_000, 4, 100_000
 #: Most rounds of stars in crowded buckets before all pairs that are left are compared; how many of these a text needs no
-#: stars; pairs that one text is held for.
-ROUNDS, PLENTY, SLOT = 8, 4, 256
+#: stars; which share of a turn's pairs must link for another one; pairs that one text is held for.
+ROUNDS, PLENTY, FEW, SLOT = 8, 4, 10, 256
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -325,6 +325,26 @@ def candidates(similarity: float, turn: int | None):
     return run
 
 
+def sifted(similarity: float):
+    """For mapInArrow over (u, slot, v, n, prefix) in this order, u's own first with a null v: the pairs u, v that can have this
+    similarity: what they share of their prefixes, and all that is beyond the prefix that ends first, must suffice."""
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, m = np.empty(0, np.int64), 0
+        for batch in batches:
+            found, flat, ends = [], batch.column(4).flatten().to_numpy(), np.cumsum([0, *(len(p) for p in batch.column(4))])
+            for i, (u, v, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                h = flat[ends[i] : ends[i + 1]]
+                if v is None:
+                    own, m = h, n
+                elif len(np.intersect1d(own, h, assume_unique=True)) + max(m - len(own), n - len(h)) >= share * (m + n) - 1e-6:
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return run
+
+
 def overlaps(size: int, similarity: float):
     """For mapInArrow over (u, slot, v, text) in this order, u's own text first with a null v: the pairs u, v whose shingles
     have this Jaccard similarity, 1 if both have none."""
@@ -346,35 +366,44 @@ def overlaps(size: int, similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs u, v of this similarity. A text travels once for each pair in which it is v, and once for each SLOT pairs in
-    which it is u; those of a text in very many pairs are dealt to as many slots."""
+def beside(pairs: DataFrame, attach: Callable[[DataFrame], DataFrame], judge: Callable, name: str) -> DataFrame:
+    """The pairs u, v that judge keeps. attach adds to rows (u, slot, v, id) what is to be known of an id, and drops id; it
+    travels once for each pair in which the id is v, and once for each SLOT pairs in which it is u. An id in very many
+    pairs is dealt to as many slots."""
     of = pairs.groupBy("u").agg(F.ceil(F.count("*") / SLOT).alias("slots"))
     slot = F.pmod(F.xxhash64("v"), F.col("slots"))
     asked = stored(pairs.join(of, "u").select("u", slot.alias("slot"), "v"), "asked")
     rows = asked.select("u", "slot", "v", F.col("v").alias("id")).union(asked.select("u", "slot", F.lit(None).cast("long"), F.col("u").alias("id")).distinct())
-    sent = texts.join(rows.join(names, "id"), ["k1", "k2"]).select("u", "slot", "v", "body")
-    dealt = sent.repartition(partitions(pairs.sparkSession), "u", "slot").sortWithinPartitions("u", "slot", F.col("v").asc_nulls_first())
-    out = stored(dealt.mapInArrow(overlaps(size, similarity), "u long, v long"), "sure")
+    dealt = attach(rows).repartition(partitions(pairs.sparkSession), "u", "slot").sortWithinPartitions("u", "slot", F.col("v").asc_nulls_first())
+    out = stored(dealt.mapInArrow(judge, "u long, v long"), name)
     released(pairs.sparkSession, asked)
     return out
 
 
+def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs u, v of this similarity: by their prefixes, which most others fail, then by their texts."""
+    can = beside(pairs, lambda rows: rows.join(prints.select("id", "n", "prefix"), "id").select("u", "slot", "v", "n", "prefix"), sifted(similarity), "sifted")
+    named = prints.select("id", "k1", "k2")
+    out = beside(can, lambda rows: texts.join(rows.join(named, "id"), ["k1", "k2"]).select("u", "slot", "v", "body"), overlaps(size, similarity), "sure")
+    released(pairs.sparkSession, can)
+    return out
+
+
 def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """u, v: links that join all ids which pairs of at least this similarity join. prints: id, k1, k2, fp;
+    """u, v: links that join all ids which pairs of at least this similarity join. prints: id, k1, k2, fp, n, prefix;
     rows: h, id, n, rest, crowd; texts: k1, k2, body.
 
     Only verified links contract. First come the links of fingerprints, which join most near copies by a pair or two each.
     Then, of texts not joined so far, buckets of SMALL texts or fewer are compared whole. Where crowded ones would make over
-    PLENTY pairs a text, stars, drawn anew each turn, are verified and contracted first, while that finds links; in the
+    PLENTY pairs a text, stars, drawn anew each turn, are verified and contracted first, while one pair in FEW links; in the
     end every pair of different components that is left is compared, so that what no star joined isn't lost.
     """
-    spark, names = rows.sparkSession, prints.select("id", "k1", "k2")
+    spark = rows.sparkSession
     first = stored(prints.groupBy("fp").agg(F.min("id").alias("id")), "first")
     same = prints.join(first.toDF("fp", "u"), "fp").where("id <> u").select("u", F.col("id").alias("v"))
     near = links(prints).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     tried = stored(same.union(near).where("u <> v").distinct(), "pairs")
-    sure = verified(tried, names, texts, size, similarity)
+    sure = verified(tried, prints, texts, size, similarity)
 
     crowd, parts, most = rows.where("crowd"), partitions(spark), PLENTY * prints.count()
     now, turn, found = rows, 0, True
@@ -384,12 +413,12 @@ def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, sim
         last = turn == ROUNDS or not found or pairs_left(grouped(crowd)) <= most
         dealt = grouped(now).select("h", "id", "n", "rest", "c").repartition(parts, "h").sortWithinPartitions("h")
         pairs = stored(dealt.mapInArrow(candidates(similarity, None if last else turn), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        new = verified(pairs, names, texts, size, similarity)
+        new = verified(pairs, prints, texts, size, similarity)
         sure = sure.union(new)
         released(spark, groups)
         if last:
             return sure
-        now, turn, found, tried = crowd, turn + 1, not new.isEmpty(), tried.union(pairs)
+        now, turn, found, tried = crowd, turn + 1, turn == 0 or new.count() * FEW >= pairs.count(), tried.union(pairs)
 
 
 def pairs_left(crowd: DataFrame) -> int:
