@@ -50,6 +50,15 @@ SQL_USE = re.compile(r"(?i)['\"`]\s*(select\b.*?\bfrom|insert\s+into|update|dele
 SOURCE = re.compile(r"request\.(?:args|form|json|GET|POST)|req\.(?:body|query|params)|\binput\s*\(|sys\.argv|process\.argv|getParameter\s*\(")
 SINK = re.compile(r"\b(eval|exec|execute|executeQuery|system|popen|Popen|innerHTML|query)\b\s*[(=]")
 CLEAN = re.compile(r"escape|sanitize|quote|parameterize|\bint\s*\(|parseInt\s*\(")
+#: What precedes the paths of all routes of a file.
+SPRING_BASE = re.compile(r"@RequestMapping\s*\(\s*(?:value\s*=\s*|path\s*=\s*)?[\"']([^\"']+)[\"'][^)]*\)(?=(?:\s*@[\w.]+(?:\([^)]*\))?)*\s*(?:public\s+)?(?:class|interface)\b)")
+ROUTER_BASE = re.compile(r"(\w+)\s*=\s*(?:APIRouter|Blueprint)\s*\([^)]*?(?:prefix|url_prefix)\s*=\s*[\"']([^\"']+)[\"']")
+#: Tables of object mappers: a class body or what follows a table's name, its columns, and the tables that they refer to.
+DJANGO = re.compile(r"(?m)^class\s+(\w+)\s*\([^)]*\bmodels\.Model\b[^)]*\):((?:\n[ \t]+[^\n]*|\n[ \t]*)*)")
+ALCHEMY = re.compile(r"__tablename__\s*=\s*['\"](\w+)['\"]((?:\n[ \t]+[^\n]*|\n[ \t]*)*)")
+JPA = re.compile(r"@Entity\b([\s\S]*?)\bclass\s+(\w+)[^{]*\{")
+ANNOTATED = 5
+ACCESSORS = {"Data": ("get", "set"), "Value": ("get",), "Getter": ("get",), "Setter": ("set",)}
 HORIZON, FLOWS = 60, 20
 
 
@@ -86,6 +95,11 @@ def python_facts(path: str, content: str) -> list[tuple]:
                 visit(n, None, n.name)
             elif isinstance(n, ast.ClassDef):
                 out.append(("class", path, n.name, n.lineno, n.end_lineno, None, ",".join(ast.unparse(b) for b in n.bases), "ast"))
+                marks = [ast.unparse(d).split("(")[0].rsplit(".", 1)[-1] for d in n.decorator_list]
+                out.extend(("annotation", path, m, n.lineno, n.lineno, n.name, None, "ast") for m in marks)
+                if "dataclass" in marks:
+                    detail = json.dumps({"params": 0, "exported": True, "top": False})
+                    out.extend(("function", path, m, n.lineno, n.lineno, n.name, detail, "synthetic") for m in ("__init__", "__repr__", "__eq__"))
                 visit(n, n.name, inside)
             else:
                 if isinstance(n, ast.Import):
@@ -102,12 +116,39 @@ def python_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
+def synthetic(path: str, kind: str, owner: str, line: int, marks: list[str], body: str) -> list[tuple]:
+    """Functions that a class has without writing them: accessors of annotations and of attr_ lines, methods of data classes."""
+    names: list[str] = []
+    for verb in sorted({v for m in marks for v in ACCESSORS.get(m, ())}) if kind == "java" else ():
+        names += [verb + f[0].upper() + f[1:] for f in re.findall(r"\bprivate\s+(?:final\s+)?[\w<>, ]+?\s+(\w+)\s*(?:=[^;]*)?;", body)]
+    if kind == "kotlin" and re.search(rf"\bdata\s+class\s+{owner}\b", body):
+        names += ["copy", *(f"component{i + 1}" for i in range(len(re.findall(r"\b(?:val|var)\s+\w+", body.split(")")[0]))))]
+    if kind == "scala" and re.search(rf"\bcase\s+class\s+{owner}\b", body):
+        names += ["apply", "copy"]
+    if kind == "ruby":
+        for verb, fields in re.findall(r"\battr_(accessor|reader|writer)\s+([^\n]+)", body):
+            for f in re.findall(r":(\w+)", fields):
+                names += [f] * (verb != "writer") + [f"{f}="] * (verb != "reader")
+    return [("function", path, n, line, line, owner, json.dumps({"params": 0, "exported": True, "top": False}), "synthetic") for n in names]
+
+
 def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
     code, out = masked(content, kind in ("python", "ruby", "shell")), []
     line = lambda at: content.count("\n", 0, at) + 1
     for m in TYPE.finditer(code):
-        out.append(("class", path, m[2], line(m.start()), line(block_end(code, m.end())), None, (m[3] or "").strip(), "lexical"))
+        end = block_end(code, m.end())
+        if kind == "ruby":  # blocks end by a word at the indent they start with
+            indent = m.start() - (code.rfind("\n", 0, m.start()) + 1)
+            last = re.compile(rf"(?m)^[ \t]{{{indent}}}end\b").search(code, m.end())
+            end = last.start() if last else end
+        out.append(("class", path, m[2], line(m.start()), line(end), None, (m[3] or "").strip(), "lexical"))
     spans = [(t[3], t[4], t[2]) for t in out]
+    rows = content.split("\n")
+    for first, last, name in spans:
+        above = "\n".join(rows[max(0, first - 1 - ANNOTATED) : first])
+        marks = re.findall(r"@(\w+)", above[above.rfind("}") + 1 :])
+        out += [("annotation", path, mark, first, first, name, None, "lexical") for mark in dict.fromkeys(marks)]
+        out += synthetic(path, kind, name, first, marks, "\n".join(rows[first - 1 : last]))
     declared = set()
     for m in FUNCTION.finditer(code):
         name = next(g for g in m.groups() if g)
@@ -130,7 +171,7 @@ def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
                 exported, _, local = (x.strip() for x in given.strip().partition(" as "))
                 out.append(("binding" if m[1] == "import" else "reexport", path, m[3], line(m.start()), line(m.start()), exported, local or exported, "lexical"))
     for m in re.finditer(r"(?:(\w+)\s*\.\s*)?\b([A-Za-z_]\w*)\s*\(", code):
-        if m[2] not in WORDS_NOT_CALLED and (m[2], line(m.start())) not in declared:
+        if m[2] not in WORDS_NOT_CALLED and code[m.start() - 1 : m.start()] != "@" and (m[2], line(m.start())) not in declared:
             out.append(("call", path, m[2], line(m.start()), line(m.start()), m[1], None, "lexical"))
     if kind in ("java", "kotlin", "scala"):
         used = {m[0]: m.start() for m in reversed(list(re.finditer(r"\b[A-Z]\w*\b", code)))}
@@ -145,8 +186,11 @@ def shared_facts(path: str, content: str) -> list[tuple]:
     out = []
     line = lambda at: content.count("\n", 0, at) + 1
     protected = lambda at: str(bool(AUTH.search(content[max(0, at - 300) : at + 300]))).lower()
+    spring, routers = SPRING_BASE.search(content), dict(ROUTER_BASE.findall(content))
+    joined = lambda base, rest: f"{base.rstrip('/')}/{rest.lstrip('/')}".rstrip("/") if base else rest or "/"
+    base_of = lambda m, framework: (spring[1] if spring else "") if framework == "spring" else routers.get(re.match(r"@?(\w+)", m[0])[1], "")
     for pattern, framework in ENDPOINT:
-        out += [("endpoint", path, m[2] or "/", line(m.start()), line(m.start()), m[1].upper(), protected(m.start()), framework) for m in pattern.finditer(content)]
+        out += [("endpoint", path, joined(base_of(m, framework), m[2]), line(m.start()), line(m.start()), m[1].upper(), protected(m.start()), framework) for m in pattern.finditer(content)]
     for m in CLIENT.finditer(content):
         if m[3].startswith(("/", "http://", "https://")):
             method = m[1] or next(iter(re.findall(r"method\s*:\s*['\"](\w+)", m[4])), "get")
@@ -155,12 +199,21 @@ def shared_facts(path: str, content: str) -> list[tuple]:
         out.append(("route-handler", path, m[1], line(m.start()), line(m.start()), None, None, "lexical"))
     for m in FLASK.finditer(content):
         for method in re.findall(r"\w+", m[2] or "GET"):
-            out.append(("endpoint", path, m[1], line(m.start()), line(m.start()), method.upper(), protected(m.start()), "flask"))
+            out.append(("endpoint", path, joined(base_of(m, "flask"), m[1]), line(m.start()), line(m.start()), method.upper(), protected(m.start()), "flask"))
     for m in CREATE.finditer(content):
         columns = [c.strip() for c in re.split(r",(?![^(]*\))", m[2])]
         names = [c.split()[0].strip('`"[]') for c in columns if c and not re.match(r"(?i)(primary|foreign|unique|constraint|check|key)\b", c)]
         keys = re.findall(r"(?i)foreign\s+key\s*\(\s*(\w+)\s*\)\s*references\s+(\w+)", m[2]) + [(c.split()[0], r) for c in columns for r in re.findall(r"(?i)^\w+\s.*\breferences\s+(\w+)", c)]
         out.append(("table", path, m[1], line(m.start()), line(m.end()), None, json.dumps({"columns": names, "keys": keys}), "sql"))
+    mapped = lambda name, at, columns, keys, source: out.append(("table", path, name, line(at), line(at), None, json.dumps({"columns": columns, "keys": keys}), source))
+    for m in DJANGO.finditer(content):
+        mapped(m[1].lower(), m.start(), re.findall(r"(?m)^\s+(\w+)\s*=\s*models\.\w+\(", m[2]), [(c, t.lower()) for c, t in re.findall(r"(?m)^\s+(\w+)\s*=\s*models\.(?:ForeignKey|OneToOneField)\(\s*['\"]?(\w+)", m[2])], "django")
+    for m in ALCHEMY.finditer(content):
+        mapped(m[1], m.start(), re.findall(r"(?m)^\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:\w+\.)?(?:Column|mapped_column)\(", m[2]), re.findall(r"(?m)^\s+(\w+)\s*(?::[^=\n]+)?=.*?ForeignKey\(\s*['\"](\w+)\.", m[2]), "sqlalchemy")
+    for m in JPA.finditer(content):
+        named, body = re.search(r"@Table\s*\(\s*(?:name\s*=\s*)?\"(\w+)\"", m[1]), content[m.end() : block_end(content, m.end() - 1)]
+        fields = re.findall(r"(@(?:ManyToOne|OneToOne)\b[^;]*?)?\b(?:private|protected|public)\s+([\w<>, ]+?)\s+(\w+)\s*(?:=[^;]*)?;", body)
+        mapped(named[1] if named else m[2].lower(), m.start(), [f for _, _, f in fields], [(f, t.lower()) for link, t, f in fields if link], "jpa")
     out += [("message", path, m[2], line(m.start()), line(m.start()), "publish" if m[1] in ("publish", "emit", "send", "produce") else "subscribe", None, "lexical") for m in MESSAGE.finditer(content)]
     out += [("sql-use", path, m[2], line(m.start()), line(m.start()), re.split(r"\s", m[1].lower())[0], None, "lexical") for m in SQL_USE.finditer(content)]
     return out
@@ -198,6 +251,9 @@ def manifest_facts(path: str, content: str) -> list[tuple]:
         for text in (body.get("project") or {}).get("dependencies", []):
             m = re.match(r"([A-Za-z][\w.-]*)\s*(?:[=<>~!]=?\s*([\w.*]+))?", text)
             add(m[1], m[2] or "", "pypi")
+    elif base == "mix.exs":
+        for m in re.finditer(r"\{\s*:(\w+)\s*,\s*\"([^\"]+)\"([^}]*)\}", content):
+            add(m[1], m[2], "hex", bool(re.search(r"only:\s*(?::(?:dev|test)|\[\s*:(?:dev|test))", m[3])))
     elif base == "Gemfile":
         for m in re.finditer(r"(?m)^\s*gem\s+['\"]([\w-]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?", content):
             add(m[1], m[2] or "", "rubygems")

@@ -111,3 +111,23 @@ def entry_points(files: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame
     top = (F.coalesce("n_in", F.lit(0)) == 0) & (F.coalesce("n_out", F.lit(0)) > 0)
     score = F.size("signals") * 10 + F.when(top, 2).otherwise(0)
     return f.select("path", score.alias("score"), "signals").where("score > 0").orderBy(F.desc("score"), "path").limit(most)
+
+
+#: From how many functions a file is large, and from how many importers it is a hub.
+LARGE, HUB = 16, 9
+
+
+def issues(functions: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFrame:
+    """kind, subject, n of what is worth a look: files with dead functions, large files, hubs by distinct importers, and pairs that
+    import each other. functions: path, name; dead: path, name."""
+    from tessera.operators.graph import mutual_pairs
+
+    count = lambda df, kind, least: df.groupBy(F.col("path").alias("subject")).agg(F.count("*").alias("n")).where(f"n >= {least}").select(F.lit(kind).alias("kind"), "subject", "n")
+    importers = edges.where("source <> target").select("source", F.col("target").alias("path")).distinct()
+    pairs = mutual_pairs(edges).select(F.lit("mutual").alias("kind"), F.concat_ws(" <> ", "a", "b").alias("subject"), F.lit(2).cast("long").alias("n"))
+    return count(dead, "dead-functions", 1).union(count(functions, "large-file", LARGE)).union(count(importers, "hub", HUB)).union(pairs)
+
+
+def drift_offenders(crossings: DataFrame, most: int = 5) -> DataFrame:
+    """source, n of the files with most imports that go up too far. crossings: source, target, gap."""
+    return crossings.where("gap > 1").groupBy("source").agg(F.count_distinct("target").alias("n")).orderBy(F.desc("n"), "source").limit(most)

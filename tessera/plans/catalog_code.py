@@ -236,3 +236,11 @@ def complexity_score(spark, sf_dir):
     f = views.code(spark, sf_dir).withColumn("language", extract.language_of(F.col("path"))).where("language NOT IN ('other', 'sql')")
     score = scalars.branch_score(text.mask_code(F.col("content"), F.col("language") == "python"), F.col("language") == "python")
     return f.select("path", score.alias("score")).withColumn("level", scalars.complexity_level(F.col("score")))
+
+
+@query(union(
+    f"SELECT 'dead-functions' AS kind, {UTIL} AS subject, 1 AS n FROM {R}", f"SELECT 'dead-functions', 'bad/r' || k || '.py', 1 FROM {R}",
+    f"SELECT 'hub', target, count(DISTINCT source) FROM ({IMPORTS}) GROUP BY target HAVING count(DISTINCT source) >= 9"))
+def code_issues(spark, sf_dir):
+    files, found, calls = called(spark, sf_dir)
+    return metrics.issues(found.where("kind = 'function'"), extract.resolve_imports(files, found), extract.dead_functions(found, calls))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import layer_gap
-from tessera.operators import graph, model
+from tessera.operators import graph, metrics, model
 from tessera.plans.registry import registry
 from tessera.sources import views
 
@@ -119,6 +119,11 @@ def drift(spark, sf_dir):
     return s.select("n_bad", "n_edges", F.round(pct, 1).alias("pct"), F.when(pct >= 20, "high").when(pct >= 8, "medium").otherwise("low").alias("level"))
 
 
+@query(f"""WITH {EDGES} SELECT source, count(DISTINCT target) AS n FROM e WHERE resolution = 'resolved' AND (CASE split_part(source, '/', 1) {LEVEL_SQL} END) - (CASE split_part(target, '/', 1) {LEVEL_SQL} END) > 1 GROUP BY source ORDER BY n DESC, source LIMIT 5""")
+def drift_offenders(spark, sf_dir):
+    return metrics.drift_offenders(crossings(spark, sf_dir))
+
+
 @query(f"""WITH {EDGES}, s AS (SELECT DISTINCT target AS root, source AS node FROM e),
 a AS (SELECT root, node, 1 AS d FROM s UNION ALL SELECT x.root, y.node, 2 FROM s x JOIN s y ON x.node = y.root
   UNION ALL SELECT x.root, z.node, 3 FROM s x JOIN s y ON x.node = y.root JOIN s z ON y.node = z.root),

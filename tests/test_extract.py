@@ -92,3 +92,28 @@ def test_chain_and_edit(spark):
     assert edges(chain) == (12, 12)
     assert edges(chain | {"m0.py": "x = 1\n"}) == (11, 11)
     assert edges({p: c for p, c in chain.items() if p != "m12.py"})[0] == 11
+
+
+MAPPED = {
+    "models.py": "from django.db import models\nclass Author(models.Model):\n    name = models.CharField(max_length=9)\n\nclass Book(models.Model):\n    title = models.TextField()\n    author = models.ForeignKey(Author, on_delete=x)\n",
+    "alchemy.py": "class A(Base):\n    __tablename__ = 'accounts'\n    id = Column(Integer)\n    owner_id: Mapped[int] = mapped_column(ForeignKey('users.id'))\n",
+    "src/User.java": "package a;\n@Entity\n@Table(name = \"users\")\n@Data\npublic class User {\n  private Long id;\n  @ManyToOne\n  private Team team;\n}\n",
+    "src/Api.java": "@RestController\n@RequestMapping(\"/api/\")\npublic class Api {\n  @GetMapping(\"/x\")\n  public String x() {\n    return y;\n  }\n}\n",
+    "routes.py": "router = APIRouter(prefix='/v1')\n@router.get('/items')\ndef items(): pass\nbp = Blueprint('b', url_prefix='/shop')\n@bp.route('/buy')\ndef buy(): pass\n@dataclass\nclass P:\n    a: int\n",
+    "mix.exs": "defp deps do\n  [{:phoenix, \"~> 1.7\"}, {:credo, \"1.0\", only: :dev}]\nend\n",
+    "m.rb": "class Person\n  attr_accessor :name\n  attr_reader :age\nend\n",
+}
+
+
+def test_mapped_tables_base_paths_and_synthetic_functions(spark):
+    rows = extract.facts(spark.createDataFrame(list(MAPPED.items()), "path string, content string")).collect()
+    tables = {r.name: (json.loads(r.detail)["columns"], [tuple(k) for k in json.loads(r.detail)["keys"]], r.mode) for r in rows if r.kind == "table"}
+    assert tables == {
+        "author": (["name"], [], "django"), "book": (["title", "author"], [("author", "author")], "django"),
+        "accounts": (["id", "owner_id"], [("owner_id", "users")], "sqlalchemy"), "users": (["id", "team"], [("team", "team")], "jpa"),
+    }
+    assert {(r.owner, r.name) for r in rows if r.kind == "endpoint"} == {("GET", "/api/x"), ("GET", "/v1/items"), ("GET", "/shop/buy")}
+    made = {(r.owner, r.name) for r in rows if r.mode == "synthetic"}
+    assert {("User", "getId"), ("User", "setTeam"), ("P", "__init__"), ("Person", "name="), ("Person", "age")} <= made and ("Person", "age=") not in made
+    assert {(r.owner, r.name) for r in rows if r.kind == "annotation"} >= {("User", "Entity"), ("User", "Data"), ("Api", "RestController"), ("P", "dataclass")}
+    assert {(r.name, r.owner, json.loads(r.detail)["dev"]) for r in rows if r.path == "mix.exs" and r.kind == "dependency"} == {("phoenix", "hex", False), ("credo", "hex", True)}

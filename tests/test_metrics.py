@@ -37,3 +37,12 @@ def test_entry_points_and_rules(spark):
     t = spark.createDataFrame([("Dead code", "x"), ("Other", "api"), ("Odd", "odd")], "t string, c string")
     assert [r[0] for r in t.select(S.finding_action(F.col("t"), F.col("c"))).collect()] == ["check-unused", "verify-route", "review"]
     assert spark.range(1).select(S.layer_gap(F.lit("utils"), F.lit("services"))).first()[0] == 2
+
+
+def test_matches_within_lines(spark):
+    from tessera.operators import evolution
+
+    f = spark.createDataFrame([("r", "a", 10, 1), ("r", "a", 12, 2), ("r", "a", 90, 3), ("q", "a", 10, 4)], "ruleId string, path string, line int, finding long")
+    t = spark.createDataFrame([("r", "a", 11, 7), ("r", "a", 13, 8), ("z", "a", 1, 9)], "ruleId string, path string, line int, label long")
+    assert {(r.finding, r.label) for r in evolution.matched(f, t, 2).collect()} == {(1, 7), (2, 8), (3, None), (4, None), (None, 9)}
+    assert {(r.finding, r.label) for r in evolution.matched(f, t).collect()} == {(1, None), (2, None), (3, None), (4, None), (None, 7), (None, 8), (None, 9)}
