@@ -81,6 +81,8 @@ class Plan:
     #: seeds, reversed tokens before and tokens from the anchor on of contexts to the windows, each by how many of its
     #: tokens stand before the anchor, that are in another context too; context after context, in ascending order
     shared: Callable[[np.ndarray, list[bytes], list[bytes]], list[np.ndarray]]
+    #: contexts that are compared at once; those of one seed always are
+    batch: int = 8_000
 
 
 def contexts_of(h: Hashes, length: int, seed: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ def compare_contexts(plan: Plan):
             for c in held:
                 held[c] += batch.column(c).to_pylist()
             n = len(held["seed"])
-            if n >= BATCH and held["seed"][0] != held["seed"][-1]:
+            if n >= plan.batch and held["seed"][0] != held["seed"][-1]:
                 cut = next(i for i in range(n - 1, 0, -1) if held["seed"][i - 1] != held["seed"][-1])
                 yield judge({c: v[:cut] for c, v in held.items()})
                 held = {c: v[cut:] for c, v in held.items()}  # the last seed may go on

@@ -100,14 +100,13 @@ class SuffixArray:
                 self.head |= np.where(left > j, padded[j : j + len(values)], np.uint64(0)) << np.uint64(56 - 8 * j)
             values = self.head
         _, of, counts = np.unique(values, return_inverse=True, return_counts=True)
-        rank = (np.cumsum(counts) - counts + 1)[of]
+        rank = (np.cumsum(counts) - counts + 1).astype(np.int32)[of]
         self.levels, step, longest = [rank], width, int(left.max(initial=0))
         live = np.flatnonzero(counts[of] > 1)
         while step < longest and len(live):
-            after = np.zeros(len(live), np.int64)
+            key = rank[live].astype(np.int64) * (len(rank) + 2)
             on = np.flatnonzero(left[live] > step)
-            after[on] = rank[live[on] + step]
-            key = rank[live] * (len(rank) + 2) + after
+            key[on] += rank[live[on] + step]
             order = np.argsort(key)
             live, key = live[order], key[order]
             old, place = rank[live], np.arange(len(live))
@@ -206,7 +205,7 @@ def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) ->
     return [np.array(hits.get(i, [])[::-1], np.int64) for i in range(len(texts))]
 
 
-BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows)
+BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows, 2_000)
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
