@@ -79,13 +79,35 @@ def audit(nodes: DataFrame, edges: DataFrame, lengths: DataFrame) -> DataFrame:
     return dangling.unionByName(twice).unionByName(again).unionByName(wrong)
 
 
-#: Design patterns by what a file's text shows.
-PATTERNS = (("singleton", r"getInstance\s*\(|_instance\b"), ("factory", r"\bcreate[A-Z]\w*\s*\(|Factory\b"), ("observer", r"addEventListener|subscribe\s*\(|\.on\s*\("), ("repository", r"Repository\b"), ("decorator", r"(?m)^\s*@\w+"), ("middleware", r"\bnext\s*\(\s*\)"))
+#: Design patterns by what a file's text shows; a third value is what its path must show.
+PATTERNS = (
+    ("Singleton", r"getInstance|let\s+instance\s*=|private\s+static\s+instance", ""),
+    ("Factory", r"create[A-Z]\w*\s*\(|return new", ""),
+    ("Observer/Event", r"subscribe|addEventListener|\.on\(|emit\(", ""),
+    ("Custom Hooks", r"export\s+(?:const|function)\s+use[A-Z]", ""),
+    ("Higher-Order Component", r"with[A-Z]\w*\s*=\s*\(|export\s+default\s+connect", ""),
+    ("Context Provider", r"createContext|Provider|useContext", ""),
+    ("UserForms", r"(?i)Attribute\s+VB_Name\s*=\s*[\"']UserForm", ""),
+    ("Modules", r"(?i)Attribute\s+VB_Name\s*=\s*[\"']Module", ""),
+    ("Class Modules", r"(?i)Attribute\s+VB_Name\s*=\s*[\"']Class", ""),
+    ("Route Decorators", r"@(?:app\.route|router\.|blueprint\.|get|post|put|delete|patch)\s*\(", r"\.py$"),
+    ("Dataclasses", r"@dataclass", r"\.py$"),
+    ("Abstract Base Classes", r"\bABC\b|@abstractmethod|ABCMeta", r"\.py$"),
+    ("Context Managers", r"@contextmanager|def\s+__enter__", r"\.py$"),
+    ("Mixins", r"class\s+\w*Mixin\w*\s*[\(:]?", r"\.py$"),
+    ("Django Signals", r"Signal\s*\(|@receiver\s*\(|\.connect\s*\(", r"\.py$"),
+    ("Middleware", r"class\s+\w*Middleware|def\s+middleware\s*\(", r"\.py$"),
+)
+#: Patterns that a file's name alone shows, and from how many lines on a file is long.
+NAMED_PATTERNS = (("Factory", r"(?i)factory[^/]*$"), ("UserForms", r"(?i)UserForm[^/]*$"), ("Middleware", r"(?i)middleware[^/]*\.py$"))
+LONG_FILE = 500
 
 
 def patterns(files: DataFrame, most: int = 20) -> DataFrame:
     """pattern, n, files (the first by path)."""
-    hit = F.array_compact(F.array(*(F.when(F.col("content").rlike(p), F.lit(n)) for n, p in PATTERNS)))
+    shown = [F.when(F.col("content").rlike(p) & F.col("path").rlike(of), F.lit(n)) for n, p, of in PATTERNS] + [F.when(F.col("path").rlike(p), F.lit(n)) for n, p in NAMED_PATTERNS]
+    long_ = F.when(F.regexp_count("content", F.lit("\n")) >= LONG_FILE, F.lit("Long File"))
+    hit = F.array_distinct(F.array_compact(F.array(*shown, long_)))
     found = files.select("path", F.explode(hit).alias("pattern"))
     first = found.distinct().withColumn("i", F.row_number().over(W.partitionBy("pattern").orderBy("path"))).where(F.col("i") <= most)
     named = first.groupBy("pattern").agg(F.array_sort(F.collect_list("path")).alias("files"))
@@ -131,3 +153,22 @@ def issues(functions: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFrame
 def drift_offenders(crossings: DataFrame, most: int = 5) -> DataFrame:
     """source, n of the files with most imports that go up too far. crossings: source, target, gap."""
     return crossings.where("gap > 1").groupBy("source").agg(F.count_distinct("target").alias("n")).orderBy(F.desc("n"), "source").limit(most)
+
+
+#: Languages whose constructors are named as their class, files whose functions may be components, and names of those.
+JVM_FILES, COMPONENT_FILES = r"(?i)\.(?:java|kt|kts|groovy|scala|cs)$", r"(?i)\.(?:jsx|tsx|vue|svelte)$"
+COMPONENT_NAMES = r"(?:Component|Page|Layout|View|Screen|Widget|Provider|Dialog|Modal|Panel|Card|Form)$"
+TYPES = ("class", "record", "enum", "interface", "trait", "struct", "type")
+TYPE_WORDS = r"^\s*(?:(?:export|public|private|protected|abstract|final|sealed|data|open|static)\s+)*(?:class|record|enum|interface|trait|struct|type)\s"
+
+
+def naming_findings(functions: DataFrame) -> DataFrame:
+    """path, name, line, expected of functions whose names break their language's convention. functions: path, name, line,
+    class, type, code. Private names, type declarations, constructors and components are spared."""
+    leaf, path, code = F.substring_index("name", ".", -1), F.col("path"), F.coalesce("code", F.lit(""))
+    python = path.rlike(r"(?i)\.(?:py|pyw|pyi)$")
+    constructor = path.rlike(JVM_FILES) & (F.contains(F.lower(F.coalesce("type", F.lit(""))), F.lit("constructor")) | leaf.eqNullSafe(F.substring_index("class", ".", -1)))
+    component = leaf.rlike("^[A-Z][a-zA-Z0-9]*$") & (path.rlike(COMPONENT_FILES) | leaf.rlike(COMPONENT_NAMES) | code.rlike(r"return\s*\(?\s*<|=>\s*\(?\s*<"))
+    spared = F.startswith("name", F.lit("_")) | F.lower(F.coalesce("type", F.lit(""))).isin(*TYPES) | code.rlike(TYPE_WORDS) | constructor | component
+    fine = F.when(python, leaf.rlike("^[a-z][a-z0-9_]*$")).otherwise(leaf.rlike("^[a-z][a-zA-Z0-9]*$"))
+    return functions.where(F.col("name").isNotNull() & ~spared & ~fine).select("path", "name", "line", F.when(python, "snake_case").otherwise("camelCase").alias("expected"))

@@ -42,7 +42,7 @@ def code_languages(spark, sf_dir):
 
 @query(union(
     f"SELECT {API} AS path, 'get_n' || k AS name, 6 AS line, 7 AS end_line, NULL AS owner FROM {N}", f"SELECT {API}, 'run', 10, 11, 'Nation' || k FROM {N}", f"SELECT {TEST}, 'test_n' || k, 3, 4, NULL FROM {N}",
-    f"SELECT {UTIL}, 'helper' || k, 4, 5, NULL FROM {R}", f"SELECT {UTIL}, '_unused' || k, 7, 8, NULL FROM {R}", f"SELECT {UTIL}, 'pick' || k, 10, 13, NULL FROM {R}", f"SELECT {WEB}, 'nation' || k, 1, 3, NULL FROM {N}",
+    f"SELECT {UTIL}, 'helper' || k, 4, 5, NULL FROM {R}", f"SELECT {UTIL}, '_unused' || k, 7, 8, NULL FROM {R}", f"SELECT {UTIL}, 'pick' || k, 10, 13, NULL FROM {R}", f"SELECT {FIRST}, 'useRegion' || k, 2, 2, NULL FROM {R}", f"SELECT {WEB}, 'nation' || k, 1, 3, NULL FROM {N}",
     f"SELECT {SUP}, 'supplier' || k, 2, 4, NULL FROM {S}", f"SELECT {SUP}, 'load' || k, 5, 7, NULL FROM {S}",
     f"SELECT {JAVA}, 'run' || k, 4, 6, 'P' || k FROM {P}", f"SELECT {SVC}, 'go' || k, 3, 4, 'S' || k FROM {B}", f"SELECT 'bad/r' || k || '.py', 'broken' || k, 1, 1, NULL FROM {R}",
 ))
@@ -60,7 +60,7 @@ def code_classes(spark, sf_dir):
 
 @query(union(
     f"SELECT {API} AS path, 'get_n' || k AS name, NULL AS class FROM {N}", f"SELECT {API}, 'run', 'Nation' || k FROM {N}", f"SELECT {TEST}, 'test_n' || k, NULL FROM {N}", f"SELECT {UTIL}, 'helper' || k, NULL FROM {R}",
-    f"SELECT {UTIL}, unnest(['_unused' || k, 'pick' || k]), NULL FROM {R}", f"SELECT {WEB}, 'nation' || k, NULL FROM {N}", f"SELECT {SUP}, unnest(['supplier' || k, 'load' || k]), NULL FROM {S}",
+    f"SELECT {UTIL}, unnest(['_unused' || k, 'pick' || k]), NULL FROM {R}", f"SELECT {FIRST}, 'useRegion' || k, NULL FROM {R}", f"SELECT {WEB}, 'nation' || k, NULL FROM {N}", f"SELECT {SUP}, unnest(['supplier' || k, 'load' || k]), NULL FROM {S}",
     f"SELECT {JAVA}, 'run' || k, 'P' || k FROM {P}", f"SELECT {SVC}, 'go' || k, 'S' || k FROM {B}", f"SELECT 'bad/r' || k || '.py', 'broken' || k, NULL FROM {R}",
 ))
 def code_owners(spark, sf_dir):
@@ -224,7 +224,7 @@ def entry_points(spark, sf_dir):
     return metrics.entry_points(files, extract.resolve_imports(files, found)).select("path", "score")
 
 
-@query(f"SELECT 'decorator' AS pattern, count(*) AS n, string_agg(path, ',' ORDER BY path) FILTER (i <= 20) AS files FROM (SELECT *, row_number() OVER (ORDER BY path) AS i FROM (SELECT {API} AS path FROM {N}))")
+@query(f"SELECT 'Custom Hooks' AS pattern, count(*) AS n, string_agg(path, ',' ORDER BY path) AS files FROM (SELECT {FIRST} AS path FROM {R})")
 def pattern_files(spark, sf_dir):
     return metrics.patterns(views.code(spark, sf_dir)).withColumn("files", F.array_join("files", ","))
 

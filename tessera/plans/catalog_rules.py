@@ -20,11 +20,40 @@ def binary_files(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.clearly_binary(body).alias("is_binary"))
 
 
-@query(f"""WITH {PATHS} SELECT CASE p_partkey % 12 WHEN 0 THEN 'services' WHEN 1 THEN 'tests' WHEN 2 THEN 'web' WHEN 3 THEN 'lib' WHEN 4 THEN 'data' WHEN 5 THEN 'config' WHEN 6 THEN 'keys' WHEN 7 THEN '..' WHEN 8 THEN 'app' WHEN 9 THEN 'docs' WHEN 10 THEN 'dist' ELSE 'root' END AS module, count(*) AS n FROM p GROUP BY 1""")
+@query(f"""WITH {PATHS} SELECT CASE p_partkey % 12 WHEN 0 THEN 'services' WHEN 1 THEN 'tests' WHEN 2 THEN 'web' WHEN 3 THEN 'util' WHEN 4 THEN 'data' WHEN 5 THEN 'config' WHEN 6 THEN 'keys' WHEN 7 THEN '..' WHEN 8 THEN 'app' WHEN 9 THEN 'docs' WHEN 10 THEN 'dist' ELSE 'root' END AS module, count(*) AS n FROM p GROUP BY 1""")
 def module_groups(spark, sf_dir):
     return paths(spark, sf_dir).groupBy(S.module_of(F.col("path")).alias("module")).agg(F.count("*").alias("n"))
 
 
+#: A path by an order's status: the path, its module, group, folder, tier and service.
+PLACES = {
+    "F": ("backend/src/main/java/com/acme/service/billing/Bill.java", "billing", "service", "backend/src/main/java/com/acme/service/billing", "Application / API", None),
+    "O": ("services/shop/src/cart/index.ts", "cart", "services/shop", "services/shop/src/cart", "Unclassified", "services/shop"),
+    "P": ("readme.md", "root", "root", "(root)", "Data definitions", None),
+}
+
+
+@query("SELECT path, module, grp, folder, tier, service, count(*) AS n FROM orders JOIN (VALUES " + ", ".join("('" + k + "', " + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + ")" for k, v in PLACES.items()) + ") t(s, path, module, grp, folder, tier, service) ON o_orderstatus = s GROUP BY ALL")
+def path_groups(spark, sf_dir):
+    status, c = F.col("o_orderstatus"), F.col("path")
+    path = F.when(status == "F", PLACES["F"][0]).when(status == "O", PLACES["O"][0]).otherwise(PLACES["P"][0])
+    o = views.table(spark, sf_dir, "orders").select(path.alias("path"), F.when(status == "P", "model").otherwise("none").alias("layer"))
+    made = {"path": c, "module": S.module_of(c), "grp": S.file_group(c), "folder": S.folder_of(c), "tier": S.tier(c, F.col("layer")), "service": S.service_candidate(c)}
+    return o.select(*(v.alias(k) for k, v in made.items())).groupBy(*made).agg(F.count("*").alias("n"))
+
+
+#: A function by an order's status, and whether its name is found fault with.
+NAMED = {"F": ("a.py", "doThing", "", "def doThing(): pass", True), "O": ("B.java", "B", "B", "public B() {}", False), "P": ("c.jsx", "Panel", "", "function Panel() {}", False)}
+
+
+@query("SELECT o_orderkey AS line, 'doThing' AS name, 'snake_case' AS expected FROM orders WHERE o_orderstatus = 'F'")
+def naming_findings(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    part = lambda k: F.when(status == "F", NAMED["F"][k]).when(status == "O", NAMED["O"][k]).otherwise(NAMED["P"][k])
+    f = views.table(spark, sf_dir, "orders").select(part(0).alias("path"), part(1).alias("name"), F.col("o_orderkey").alias("line"), part(2).alias("class"), F.lit("function").alias("type"), part(3).alias("code"))
+    return metrics.naming_findings(f).select("line", "name", "expected")
+
+
 #: A function by an order's status, its language, and its lines, parameters, nesting, branches, cognitive weight and returns.
 SHAPES = {
     "F": ("python", "def f(self, a, b):\n    # if not counted\n    for x in a:\n        if x and b:\n            return 'if'\n    return 0\n", (5, 2, 2, 4, 5, 2), ""),

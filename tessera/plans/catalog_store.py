@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import extract, findings, retrieval, text
-from tessera.plans.catalog_code import API, B, C, JAVA, N, P, R, S, SRV, SUP, SVC, TEST, UTIL, WEB, extracted, union
+from tessera.plans.catalog_code import API, B, C, FIRST, JAVA, N, P, R, S, SRV, SUP, SVC, TEST, UTIL, WEB, extracted, union
 from tessera.plans.registry import registry
 from tessera.sources import repository, views
 from tessera.streaming import jobs
@@ -61,7 +61,7 @@ def normalized_findings(spark, sf_dir):
     f"SELECT {API} AS path, 'get_n' || k AS name, 'Nation' || k AS class_name, 'api/util' || r || '.py' AS imports FROM {N}", f"SELECT {API}, 'run', 'Nation' || k, 'api/util' || r || '.py' FROM {N}",
     f"SELECT {TEST}, 'test_n' || k, NULL, {API} FROM {N}", f"SELECT {UTIL}, unnest(['helper' || k, '_unused' || k, 'pick' || k]), 'Base' || k, '' FROM {R}", f"SELECT {WEB}, 'nation' || k, NULL, '' FROM {N}",
     f"SELECT {SUP}, unnest(['supplier' || k, 'load' || k]), NULL, 'web/n' || r || '.js' FROM {S}", f"SELECT {JAVA}, 'run' || k, 'P' || k, 'src/main/java/app/svc/S' || r || '.java' FROM {P}",
-    f"SELECT {SVC}, 'go' || k, 'S' || k, '' FROM {B}", f"SELECT 'bad/r' || k || '.py', 'broken' || k, NULL, '' FROM {R}",
+    f"SELECT {SVC}, 'go' || k, 'S' || k, '' FROM {B}", f"SELECT {FIRST}, 'useRegion' || k, NULL, {WEB} FROM {R}", f"SELECT 'bad/r' || k || '.py', 'broken' || k, NULL, '' FROM {R}",
 ))
 def chunk_metadata(spark, sf_dir):
     files, found = extracted(spark, sf_dir)

@@ -73,7 +73,7 @@ CODE = {
     ),
     "region": (
         ("api/util{k}.py", "class Base{k}:\n    pass\n\ndef helper{k}(x):\n    return x\n\ndef _unused{k}():\n    return None\n\ndef pick{k}(x):\n    if x and x > 1:  # if or\n        return x\n    return 'for'\n"),
-        ("web/index{k}.js", "export { nation{k} as first } from './n{k}';\n"),
+        ("web/index{k}.js", "export { nation{k} as first } from './n{k}';\nexport const useRegion{k} = () => null;\n"),
         ("db/r{k}.sql", "CREATE TABLE region{k} (id INT, name TEXT);\n"),
         ("pkg/r{k}/package.json", '{"dependencies": {"lib{k}": "^1.{k}"}, "devDependencies": {"vite": "5"}}'),
         ("pkg/r{k}/requirements.txt", "flask==2.{k}\n# none\nrequests>=2\n"),

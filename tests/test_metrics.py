@@ -20,7 +20,7 @@ def test_limits_and_suggestions(spark):
 
 def test_patterns(spark):
     df = spark.createDataFrame([("a", "x.subscribe(f)"), ("b", "plain")], "path string, content string")
-    assert [(r.pattern, r.files) for r in metrics.patterns(df).collect()] == [("observer", ["a"])]
+    assert [(r.pattern, r.files) for r in metrics.patterns(df).collect()] == [("Observer/Event", ["a"])]
 
 
 def test_entry_points_and_rules(spark):
