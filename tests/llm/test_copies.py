@@ -46,9 +46,9 @@ def family(seed: int, n: int, length: int, edits: tuple[int, int]) -> list[tuple
 
 
 def test_template_family(spark):
-    docs = family(1, 700, 200, (3, 6))
+    docs = family(1, 400, 200, (3, 6))
     want = brute_kept(docs)
-    assert 1 < len(want) < 700
+    assert 1 < len(want) < 400
     assert kept(spark, docs) == want
 
 
@@ -71,8 +71,8 @@ def test_dense_groups_at_any_bucket_size(spark, monkeypatch, small, rounds, plen
     """Groups of variants around the limit: refused pairs must not part what other pairs join, whole buckets or stars."""
     for name, value in (("SMALL", small), ("ROUNDS", rounds), ("PLENTY", plenty), ("SLOT", slot)):
         monkeypatch.setattr(simhash, name, value)
-    docs = family(11, 250, 150, (2, 5))
-    for g in range(40):
+    docs = family(11, 120, 150, (2, 5))
+    for g in range(12):
         docs += [(1000 + 8 * g + i, t) for i, t in family(100 + g, 8, 100, (1, 3))]
     assert kept(spark, docs) == brute_kept(docs)
 
