@@ -40,25 +40,31 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str =
     return seen
 
 
-def change_impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
-    """node, distance, confidence of what depends on the changed nodes, by resolved and inferred edges.
+def change_impact(edges: DataFrame, changed: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """node, distance, confidence, via, status of what depends on the changed nodes, by resolved and inferred edges.
 
-    A path is as sure as its weakest edge; of paths of least depth the surest counts.
+    A path is as sure as its weakest edge; of paths of least depth the surest counts (ties: the first by name), and via is its
+    nodes from the changed one on. With `most` the nearest nodes are kept, as partial if there are more.
     """
     used = edges.where(F.col("resolution").isin("resolved", "inferred") & (F.col("source") != F.col("target")))
     back = used.select(F.col("target").alias("a"), F.col("source").alias("b"), edge_rank().alias("rank")).groupBy("a", "b").agg(F.max("rank").alias("rank"))
     back = stored(back, "impact")
-    level = changed.select("node").distinct().withColumn("rank", F.lit(3)).withColumn("distance", F.lit(0))
+    level = changed.select("node").distinct().select("node", F.lit(3).alias("rank"), F.lit(0).alias("distance"), F.array("node").alias("via"))
     seen = level
     for d in range(1, depth + 1):
         ends = level.withColumnRenamed("rank", "so_far").join(back, F.col("node") == F.col("a"))
-        ends = ends.groupBy(F.col("b").alias("node")).agg(F.max(F.least("so_far", "rank")).alias("rank"))
-        level = stored(ends.join(seen, "node", "left_anti").select("node", "rank", F.lit(d).alias("distance")), "impact")
+        path = F.struct((-F.least("so_far", "rank")).alias("weak"), "via")
+        best = ends.groupBy("b").agg(F.min(path).alias("p")).select(F.col("b").alias("node"), (-F.col("p.weak")).alias("rank"), F.lit(d).alias("distance"), F.array_append("p.via", F.col("b")).alias("via"))
+        level = stored(best.join(seen, "node", "left_anti"), "impact")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
     sure = F.when(F.col("rank") == 3, "high").when(F.col("rank") == 2, "medium").otherwise("low")
-    return seen.where("distance > 0").select("node", "distance", sure.alias("confidence"))
+    out = seen.where("distance > 0").select("node", "distance", sure.alias("confidence"), "via")
+    if most is None:
+        return out.withColumn("status", F.lit("complete"))
+    status = "partial" if out.count() > most else "complete"
+    return out.orderBy("distance", "node").limit(most).withColumn("status", F.lit(status))
 
 
 def possible_direct(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -201,3 +207,8 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 3, most: int
         return out.withColumn("status", F.lit("complete"))
     status = "partial" if out.count() > most else "complete"
     return out.orderBy(F.size("path"), "path").limit(most).withColumn("status", F.lit(status))
+
+
+def duplicate_call_sites(calls: DataFrame) -> DataFrame:
+    """caller, path, line, name, n of calls that a function makes more than once on a line."""
+    return calls.groupBy("caller", "path", "line", "name").agg(F.count("*").alias("n")).where("n > 1")

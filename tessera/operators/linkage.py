@@ -119,3 +119,11 @@ def usage(packages: DataFrame, imports: DataFrame, mappable: Column) -> DataFram
     seen = imports.select(F.regexp_replace(F.lower("name"), "[-_.]", "").alias("k")).distinct().withColumn("hit", F.lit(True))
     k = F.regexp_replace(F.lower(F.col("name")), "[-_.]", "")
     return packages.withColumn("k", k).join(seen, "k", "left").withColumn("used", F.when(mappable, F.coalesce("hit", F.lit(False)))).drop("k", "hit")
+
+
+def unnamed(tables: DataFrame, files: DataFrame) -> DataFrame:
+    """Of tables (name, path) those that no other file's text names as a word. Files give their distinct words once, so names
+    meet them by an equi join."""
+    words = files.select(F.col("path").alias("file"), F.explode(F.array_distinct(F.split("content", r"\W+"))).alias("name"))
+    used = tables.join(words, "name").where("path <> file").select("name", "path").distinct()
+    return tables.join(used, ["name", "path"], "left_anti")

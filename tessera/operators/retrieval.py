@@ -80,8 +80,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def vector_topk(chunks: DataFrame, question: list[float], k: int) -> DataFrame:
-    """The k chunks of greatest cosine similarity; a limit over an order, so each task keeps k rows."""
+def vector_topk(chunks: DataFrame, question: list[float], k: int, **only: str) -> DataFrame:
+    """The k chunks of greatest cosine similarity, of those whose columns have the values in `only` (such as repository and
+    model); a limit over an order, so each task keeps k rows."""
+    for name, value in only.items():
+        chunks = chunks.where(F.col(name) == value)
     q = F.array(*(F.lit(float(x)) for x in question))
     return chunks.withColumn("similarity", cosine(F.col("embedding"), q)).where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k)
 
@@ -146,3 +149,31 @@ def mentioned_files(files: DataFrame, question: str, primary: str | None = None,
     fits = F.lower(F.substring_index(path, "/", -1)).isin(*names) & valid_path(path) & ~sensitive_path(path) & ~path.eqNullSafe(F.lit(primary))
     exact = F.contains(F.lit(question.lower()), F.lower(path))
     return files.where(fits).select("path", exact.alias("exact")).orderBy(F.desc("exact"), "path").limit(most)
+
+
+WINDOW_LINES, LISTED, NEIGHBOURS = 400, 200, 150
+
+
+def read_window(files: DataFrame, path: str, start: int = 1, end: int | None = None, most: int = WINDOW_LINES) -> DataFrame:
+    """path, line, text of lines start to end of a file, at most `most`; nothing of private or odd paths."""
+    from tessera.functions.scalars import sensitive_path, valid_path
+
+    p = F.col("path")
+    own = files.where((p == path) & valid_path(p) & ~sensitive_path(p)).select("path", F.posexplode(F.split("content", "\n")).alias("n", "text"))
+    last = min(start + most - 1, end) if end else start + most - 1
+    return own.where((F.col("n") + 1).between(start, last)).select("path", (F.col("n") + 1).alias("line"), "text")
+
+
+def list_files(files: DataFrame, prefix: str = "", most: int = LISTED) -> DataFrame:
+    """The first paths that start so, without private ones."""
+    from tessera.functions.scalars import sensitive_path
+
+    return files.where(F.startswith("path", F.lit(prefix)) & ~sensitive_path(F.col("path"))).select("path").orderBy("path").limit(most)
+
+
+def dependencies_of(edges: DataFrame, path: str, most: int = NEIGHBOURS) -> DataFrame:
+    """direction, path, type of a file's neighbours, the first by name; partial if there are more."""
+    out = edges.where(F.col("source") == path).select(F.lit("imports").alias("direction"), F.col("target").alias("path"), "type")
+    both = out.union(edges.where(F.col("target") == path).select(F.lit("imported-by"), "source", "type")).distinct()
+    status = "partial" if both.count() > most else "complete"
+    return both.orderBy("direction", "path", "type").limit(most).withColumn("status", F.lit(status))

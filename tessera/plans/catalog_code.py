@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import contracts, extract, linkage, metrics, model, security, text
+from tessera.operators import contracts, extract, graph, linkage, metrics, model, retrieval, security, text
 from tessera.plans.registry import registry
 from tessera.plans.storage import stored
-from tessera.sources import views
+from tessera.sources import repository, views
 
 QUERIES, ORACLES, query = registry()
 
@@ -244,3 +244,34 @@ def complexity_score(spark, sf_dir):
 def code_issues(spark, sf_dir):
     files, found, calls = called(spark, sf_dir)
     return metrics.issues(found.where("kind = 'function'"), extract.resolve_imports(files, found), extract.dead_functions(found, calls))
+
+
+@query(f"SELECT {API} || '|6|get_n' || k AS caller, {API} AS path, 7 AS line, 'helper' || r AS name, 2 AS n FROM {N}")
+def code_duplicate_calls(spark, sf_dir):
+    return graph.duplicate_call_sites(called(spark, sf_dir)[2])
+
+
+@query(union(f"SELECT 'GET /nations/{{id}}/n' || k AS name, '{{{{baseUrl}}}}/nations/:id/n' || k AS url FROM {N}", f"SELECT 'POST /login/' || k, '{{{{baseUrl}}}}/login/' || k FROM {C}"))
+def code_postman(spark, sf_dir):
+    e = extract.facts(views.code(spark, sf_dir)).where("kind = 'endpoint'").select(F.col("owner").alias("method"), F.col("name").alias("path"), (F.col("detail") == "true").alias("auth"))
+    out = repository.postman_items(e)
+    return out.select(F.get_json_object("item", "$.name").alias("name"), F.get_json_object("item", "$.request.url").alias("url"))
+
+
+@query(f"SELECT path, line, text FROM (SELECT 'api/n3.py' AS path, 5 AS line, '@app.get(''/nations/{{id}}/n3'')' AS text UNION ALL SELECT 'api/n3.py', 6, 'def get_n3(id):')")
+def code_read_window(spark, sf_dir):
+    return retrieval.read_window(views.code(spark, sf_dir), "api/n3.py", 5, 6)
+
+
+@query(f"SELECT path FROM (SELECT {API} AS path FROM {N} UNION ALL SELECT {UTIL} FROM {R}) ORDER BY path LIMIT 20")
+def code_list_files(spark, sf_dir):
+    return retrieval.list_files(views.code(spark, sf_dir), "api/", 20)
+
+
+@query(union(f"SELECT 'nation' || k AS name FROM {N} WHERE false", f"SELECT 'region' || k FROM {R} WHERE k NOT IN (SELECT n_regionkey FROM nation)"))
+def code_orphan_tables(spark, sf_dir):
+    """Tables that no key leaves or reaches and that no other file names: none, as every one is used."""
+    files, found = extracted(spark, sf_dir)
+    t = found.where("kind = 'table'")
+    keys = t.select("name", F.explode(F.from_json(F.get_json_object("detail", "$.keys"), "array<array<string>>")).alias("k")).select(F.col("name").alias("source"), F.col("k")[1].alias("target"))
+    return linkage.unnamed(linkage.orphans(t.select("name", "path"), keys), files).select("name")

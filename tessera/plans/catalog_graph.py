@@ -29,13 +29,13 @@ def named(spark: SparkSession, *names: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {EDGES},
 b AS (SELECT target AS a, source AS b, max(CASE resolution WHEN 'resolved' THEN 3 ELSE 2 END) AS r FROM e WHERE resolution <> 'ambiguous' GROUP BY 1, 2),
-l1 AS (SELECT b AS node, max(r) AS r FROM b WHERE a IN ('region/1', 'nation/3') GROUP BY 1),
-l2 AS (SELECT b.b AS node, max(least(l1.r, b.r)) AS r FROM l1 JOIN b ON l1.node = b.a WHERE b.b NOT IN (SELECT node FROM l1) GROUP BY 1),
-l3 AS (SELECT b.b AS node, max(least(l2.r, b.r)) AS r FROM l2 JOIN b ON l2.node = b.a WHERE b.b NOT IN (SELECT node FROM l1) AND b.b NOT IN (SELECT node FROM l2) GROUP BY 1),
+p1 AS (SELECT b AS node, r, [a, b] AS via FROM b WHERE a IN ('region/1', 'nation/3')), l1 AS (SELECT node, max(r) AS r, arg_min(via, (-r, via)) AS via FROM p1 WHERE node NOT IN ('region/1', 'nation/3') GROUP BY node),
+p2 AS (SELECT b.b AS node, least(l1.r, b.r) AS r, list_append(l1.via, b.b) AS via FROM l1 JOIN b ON l1.node = b.a), l2 AS (SELECT node, max(r) AS r, arg_min(via, (-r, via)) AS via FROM p2 WHERE node NOT IN ('region/1', 'nation/3') AND node NOT IN (SELECT node FROM l1) GROUP BY node),
+p3 AS (SELECT b.b AS node, least(l2.r, b.r) AS r, list_append(l2.via, b.b) AS via FROM l2 JOIN b ON l2.node = b.a), l3 AS (SELECT node, max(r) AS r, arg_min(via, (-r, via)) AS via FROM p3 WHERE node NOT IN ('region/1', 'nation/3') AND node NOT IN (SELECT node FROM l1) AND node NOT IN (SELECT node FROM l2) GROUP BY node),
 x AS (SELECT *, 1 AS distance FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)
-SELECT node, CAST(distance AS INTEGER) AS distance, CASE r WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM x WHERE node NOT IN ('region/1', 'nation/3')""")
+SELECT node, CAST(distance AS INTEGER) AS distance, CASE r WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence, array_to_string(via, '>') AS via, 'complete' AS status FROM x""")
 def change_impact(spark, sf_dir):
-    return graph.change_impact(views.edges(spark, sf_dir), named(spark, "region/1", "nation/3"))
+    return graph.change_impact(views.edges(spark, sf_dir), named(spark, "region/1", "nation/3")).withColumn("via", F.array_join("via", ">"))
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT source AS node FROM e WHERE resolution = 'ambiguous' AND target = 'supplier/1'")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.storage import stored
+
 
 def read_repository(spark: SparkSession, root: str, repository: str) -> DataFrame:
     """repository, seq, path, content of all files below root, read whole by Spark from any store."""
@@ -121,3 +123,23 @@ def with_cache(files: DataFrame, cache: DataFrame, extract) -> DataFrame:
     old = cache.join(keyed.select("path", "key"), ["path", "key"], "left_semi")
     new = extract(keyed.join(seen, ["path", "key"], "left_anti").drop("key")).join(keyed.select("path", "key"), "path")
     return old.unionByName(new.select(*old.columns))
+
+
+def postman_items(endpoints: DataFrame) -> DataFrame:
+    """One collection item (JSON) an endpoint: method, path, auth; parameters as :name."""
+    url = F.concat(F.lit("{{baseUrl}}"), F.regexp_replace("path", r"\{(\w+)\}|<(?:\w+:)?(\w+)>", ":$1$2"))
+    header = F.when(F.col("auth"), F.array(F.struct(F.lit("Authorization").alias("key"), F.lit("Bearer {{token}}").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    request = F.struct("method", header.alias("header"), url.alias("url"))
+    return endpoints.select(F.to_json(F.struct(F.concat_ws(" ", "method", "path").alias("name"), request.alias("request"))).alias("item"))
+
+
+def sarif_log(findings: DataFrame) -> DataFrame:
+    """seq, line: the lines of one SARIF 2.1.0 document, in order of seq, to be written as text. Results stay spread: a line
+    before the first one opens the document, and each result but the first by id starts with a comma."""
+    body = stored(sarif(findings).select(F.monotonically_increasing_id().alias("n"), "result"), "sarif")
+    first = body.agg(F.min("n")).first()[0]
+    rows = body.select((F.col("n") + 1).alias("seq"), F.concat(F.when(F.col("n") == F.lit(first), "").otherwise(","), F.col("result")).alias("line"))
+    rules = findings.groupBy("ruleId").agg(F.lit(1)).select(F.struct(F.col("ruleId").alias("id")).alias("r")).agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("rules"))
+    head = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"tessera","rules":'), F.col("rules"), F.lit('}},"results":['))
+    ends = findings.sparkSession.range(1).select(F.lit(2**62).alias("seq"), F.lit("]}]}").alias("line"))
+    return rules.select(F.lit(0).cast("long").alias("seq"), head.alias("line")).union(rows).union(ends)

@@ -130,3 +130,39 @@ def test_findings_of_any_layout(spark, columns):
     files = spark.createDataFrame([("src/b.py", "one\ntwo\n"), ("src/c.py", "")], "path string, content string")
     r = findings.normalized(spark.createDataFrame([values], columns), files).first()
     assert (r.ruleId, r.severity, r.evidence, r.source) == (("quality" if "type" in columns else "style") + ".odd-thing", "info", "two", "src/b.py") and r.id.startswith("finding:")
+
+
+def test_sarif_document(spark):
+    import json
+
+    f = spark.createDataFrame([(f"r{i % 2}", "a.py", i, "high", f"t{i}") for i in range(5)], "ruleId string, path string, line int, severity string, title string")
+    for df, n in ((f.repartition(3), 5), (f.limit(0), 0)):
+        doc = json.loads("".join(r.line for r in R.sarif_log(df).orderBy("seq").collect()))
+        assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == n and len(doc["runs"][0]["tool"]["driver"]["rules"]) == min(n, 2)
+
+
+def test_context_and_neighbours(spark):
+    from tessera.operators import evolution, retrieval
+
+    rows = [("a.ts", "x"), ("tsconfig.json", "{}")]
+    key = lambda r: evolution.context_key(spark.createDataFrame(r, "path string, content string"))
+    assert key(rows) == key(rows[::-1]) == key([("a.ts", "other"), rows[1]]) != key([rows[0], ("tsconfig.json", "{ }")]) and key(rows) != key(rows[:1])
+    e = spark.createDataFrame([("a", "b", "import"), ("c", "a", "import"), ("c", "b", "call")], "source string, target string, type string")
+    assert [(r.direction, r.path, r.status) for r in retrieval.dependencies_of(e, "a").collect()] == [("imported-by", "c", "complete"), ("imports", "b", "complete")]
+    assert [r.status for r in retrieval.dependencies_of(e, "a", 1).collect()] == ["partial"]
+
+
+def test_orphans_that_no_text_names(spark):
+    from tessera.operators import linkage
+
+    t = spark.createDataFrame([("users", "a.sql"), ("odd", "b.sql"), ("own", "c.sql")], "name string, path string")
+    files = spark.createDataFrame([("x.py", "select * from users;"), ("c.sql", "create table own"), ("y.py", "odder")], "path string, content string")
+    assert {r.name for r in linkage.unnamed(t, files).collect()} == {"odd", "own"}
+
+
+def test_impact_via_and_cap(spark):
+    e = spark.createDataFrame([("m", "core", "inferred"), ("n", "core", "resolved"), ("top", "m", "resolved"), ("top", "n", "resolved"), ("z", "top", "resolved")], "source string, target string, resolution string")
+    changed = spark.createDataFrame([("core",)], "node string")
+    got = {r.node: (r.via, r.confidence, r.status) for r in graph.change_impact(e, changed).collect()}
+    assert got["top"] == (["core", "n", "top"], "high", "complete") and got["z"][0] == ["core", "n", "top", "z"] and got["m"][1] == "medium"
+    assert [(r.node, r.status) for r in graph.change_impact(e, changed, most=1).collect()] == [("m", "partial")]
