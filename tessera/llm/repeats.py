@@ -177,12 +177,15 @@ def hash_windows(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = plan.tokens(b"a").dtype
         for batch in batches:
+            out = []
             for seed, context, total, before, after in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = np.frombuffer(np.frombuffer(before, kind)[::-1].tobytes() + after, kind)
                 values, n = plan.values(tokens), len(before) // kind.itemsize
                 a = n - np.arange(len(tokens) - plan.length + 1)
                 w1, w2 = Hashes(values).grams(plan.length), Hashes(mix(values ^ np.uint64(_BASE))).grams(plan.length)
-                yield batch_of(names, pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *(pa.array(np.full(len(a), x, np.int64)) for x in (seed, context, total)), pa.array(a.astype(np.int32)))
+                out.append((w1.view(np.int64), w2.view(np.int64), *(np.full(len(a), x, np.int64) for x in (seed, context, total)), a.astype(np.int32)))
+            if out:
+                yield batch_of(names, *(pa.array(np.concatenate(c)) for c in zip(*out)))
 
     return run
 

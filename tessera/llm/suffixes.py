@@ -14,8 +14,9 @@ once can't repeat and goes before. In a block, see shared_windows():
   is its place in corpus order (windows that start on a trigger come first), and the longest common stretch with its
   neighbour comes from the two arrays' levels.
 
-Every byte under a window whose neighbour shares all LENGTH bytes goes. A window without a whole phrase (one in some 10,000
-of ordinary text; runs and the like have more) is its own block and is counted by two hashes.
+Every byte under a window whose neighbour shares all LENGTH bytes goes. Blocks of over CROWD texts, which would not fit a task at
+some size, and windows that are blocks of their own are counted by two hashes instead. A window without a whole phrase (one in some 10,000
+of ordinary text; runs and the like have more) is its own block.
 
 Nulls: empty; a null doc_id is kept. Texts under LENGTH bytes are kept. Repeated rows and equal texts: removed as a
 whole if long enough. Overlaps count, also within one text; matches end at a document's ends. Very long texts: linear.
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.repeats import CROWD, POSITION, Hashes, Plan, contexts_of, removed
+from tessera.llm.repeats import POSITION, Hashes, Plan, contexts_of, removed
 
 LENGTH, TRIGGER = 200, 8
 #: Of this many rolling hashes one is a trigger's.
 EVERY = 16
+#: From more texts than this on a block isn't ordered: its windows are hashed and counted, spread over all tasks.
+CROWD = 2_000
 _LETTER = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.int64).view(np.uint64)
 
 
