@@ -219,9 +219,22 @@ def shared_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
+def mapping_facts(path: str, content: str) -> list[tuple]:
+    """Path mappings of a configuration, comments and trailing commas allowed: pattern, value, and the folder both start from."""
+    plain = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", content)
+    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)).get("compilerOptions") or {}
+    folder, base = path.rsplit("/", 1)[0] if "/" in path else "", options.get("baseUrl")
+    root = "/".join(p for p in f"{folder}/{base or ''}".split("/") if p not in ("", "."))
+    given = [(pattern, value) for pattern, values in (options.get("paths") or {}).items() for value in values]
+    rows = given + ([("*", "*")] if base is not None else [])
+    return [("path-mapping", path, pattern, 1, 1, value, json.dumps({"folder": folder, "root": root}), "manifest") for pattern, value in rows]
+
+
 def manifest_facts(path: str, content: str) -> list[tuple]:
     """Packages of npm, pip, Maven, Gradle, Go, Cargo, Composer and Bundler manifests."""
     base, out = path.rsplit("/", 1)[-1], []
+    if re.fullmatch(r"(?:tsconfig|jsconfig)[\w.]*\.json", base):
+        return mapping_facts(path, content)
     add = lambda name, version, eco, dev=False: out.append(("dependency", path, name, 1, 1, eco, json.dumps({"version": version, "dev": dev}), "manifest"))
     if base in ("package.json", "composer.json"):
         body = json.loads(content)
@@ -354,6 +367,8 @@ def import_targets(files: DataFrame, found: DataFrame) -> DataFrame:
     known, own = files.select(F.col("path").alias("target")), ["path", "seq", "line"]
     jvm = language_of(F.col("path")).isin("java", "kotlin", "scala")
     plain = imports.where(~jvm).select(*own, F.posexplode(candidate_paths("path", "name", "member")).alias("rank", "target")).join(known, "target")
+    mapped = mapped_targets(imports.where(~jvm), found).join(known, "target")
+    plain = plain.select(*own, "rank", "target").union(mapped.select(*own, "rank", "target"))
     best = plain.groupBy(*own).agg(F.min_by("target", "rank").alias("target")).select(*own, "target", F.lit("import").alias("type"), F.lit("resolved").alias("resolution"))
     classes = package_classes(found)
     named = imports.where(jvm & ~F.endswith("name", F.lit(".*"))).join(classes, F.concat_ws(".", "pkg", "cls") == F.col("name"))
@@ -364,6 +379,29 @@ def import_targets(files: DataFrame, found: DataFrame) -> DataFrame:
     return best.unionByName(jvm_named).unionByName(jvm_wild).where("path <> target")
 
 
+#: What a path without an extension may stand for.
+VARIANTS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def mapped_targets(imports: DataFrame, found: DataFrame) -> DataFrame:
+    """path, seq, line, rank, target: what imports mean by the path mappings of configurations in a folder above, longest prefix
+    first. Specifiers and patterns meet by their first part."""
+    head = lambda c: F.regexp_extract(c, r"^([^/*]*|\*)", 1)
+    body = F.from_json("detail", "folder string, root string")
+    maps = found.where("kind = 'path-mapping'").select(
+        F.when(F.startswith("name", F.lit("*")), "*").otherwise(head("name")).alias("head"), F.substring_index("name", "*", 1).alias("prefix"),
+        F.when(F.contains("name", F.lit("*")), F.substring_index("name", "*", -1)).alias("suffix"), F.col("owner").alias("value"), body["folder"].alias("folder"), body["root"].alias("root"),
+    )
+    asked = imports.where(~F.startswith("name", F.lit("."))).select("path", "seq", "line", "name", F.explode(F.array(head("name"), F.lit("*"))).alias("head"))
+    met = asked.join(maps, "head").where((F.col("folder") == "") | F.startswith("path", F.concat("folder", F.lit("/"))))
+    star = F.col("suffix").isNotNull()
+    met = met.where((~star & (F.col("name") == F.col("prefix"))) | (star & F.startswith("name", "prefix") & F.endswith("name", "suffix") & (F.length("name") >= F.length("prefix") + F.length("suffix"))))
+    inner = F.substring("name", F.length("prefix") + 1, F.length("name") - F.length("prefix") - F.length(F.coalesce("suffix", F.lit(""))))
+    whole = F.regexp_replace(F.concat_ws("/", F.nullif("root", F.lit("")), F.replace("value", F.lit("*"), inner)), r"(^|/)(?:\./)+", "$1")
+    paths = met.select("path", "seq", "line", (F.lit(10_000) - F.length("prefix") * 100).alias("first"), F.posexplode(F.array(*(F.concat(whole, F.lit(v)) for v in VARIANTS))).alias("n", "target"))
+    return paths.select("path", "seq", "line", (F.col("first") + F.col("n")).alias("rank"), "target")
+
+
 def package_classes(found: DataFrame) -> DataFrame:
     """target, pkg, cls: the classes of each package, and their files."""
     classes = found.where("kind = 'class'").select(F.col("path").alias("target"), F.col("name").alias("cls"))

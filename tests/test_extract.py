@@ -117,3 +117,16 @@ def test_mapped_tables_base_paths_and_synthetic_functions(spark):
     assert {("User", "getId"), ("User", "setTeam"), ("P", "__init__"), ("Person", "name="), ("Person", "age")} <= made and ("Person", "age=") not in made
     assert {(r.owner, r.name) for r in rows if r.kind == "annotation"} >= {("User", "Entity"), ("User", "Data"), ("Api", "RestController"), ("P", "dataclass")}
     assert {(r.name, r.owner, json.loads(r.detail)["dev"]) for r in rows if r.path == "mix.exs" and r.kind == "dependency"} == {("phoenix", "hex", False), ("credo", "hex", True)}
+
+
+def test_path_mappings(spark):
+    files = {
+        "web/tsconfig.json": '{"compilerOptions": {"baseUrl": ".", /* x */ "paths": {"@lib/*": ["./src/lib/*"], "@lib/deep/*": ["src/deep/*"], "exact": ["src/one.ts"],}, }} // end',
+        "web/src/lib/a.ts": "export const a = 1;\n", "web/src/deep/b.ts": "", "web/src/one.ts": "", "web/src/lib/deep/b.ts": "", "web/src/plain/index.js": "",
+        "web/src/use.ts": "import { a } from '@lib/a';\nimport '@lib/deep/b';\nimport 'exact';\nimport 'src/plain';\nimport 'react';\n", "other/use.ts": "import '@lib/a';\n",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    found = extract.facts(df).cache()
+    got = {(r.source, r.line, r.target) for r in extract.resolve_imports(df, found).collect()}
+    assert got == {("web/src/use.ts", 1, "web/src/lib/a.ts"), ("web/src/use.ts", 2, "web/src/deep/b.ts"), ("web/src/use.ts", 3, "web/src/one.ts"), ("web/src/use.ts", 4, "web/src/plain/index.js")}
+    assert {(r.path, r.name) for r in extract.unresolved_imports(df, found).collect()} == {("web/src/use.ts", "react"), ("other/use.ts", "@lib/a")}
