@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.storage import stored
+from tessera.plans.storage import dropped, stored
 
 
 def hooked(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def hooked(edges: DataFrame) -> DataFrame:
     while True:
         up = tree.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = stored(tree.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "tree")
+        dropped(tree.sparkSession, tree)
         tree = new.select("node", "root")
         if new.where("moved").isEmpty():
             return tree
@@ -35,7 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
         tree = hooked(now)
         levels.append(tree)
         side = lambda c: tree.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-        now = stored(ordered(now.join(side("u"), "u").join(side("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "edges")
+        left = stored(ordered(now.join(side("u"), "u").join(side("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "edges")
+        dropped(now.sparkSession, now)
+        now = left
+    dropped(now.sparkSession, now)
     out = levels[0]
     for tree in levels[1:]:
         out = out.join(tree.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))

@@ -46,14 +46,19 @@ def stored_by(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFr
     return out
 
 
-def released(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes stored frames that nothing will read again, and lets Spark drop shuffle files out of use."""
+def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes stored frames that nothing will read again."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+
+
+def released(spark: SparkSession, *frames: DataFrame) -> None:
+    """Like dropped(), and lets Spark delete shuffle files out of use."""
+    dropped(spark, *frames)
     gc.collect()
-    jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
