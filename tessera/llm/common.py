@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.storage import partitions, released, shared_dir, stored, stored_by
+from tessera.plans.storage import dropped, partitions, released, shared_dir, stored, stored_by
 
-__all__ = ["partitions", "released", "shared_dir", "stored", "stored_by"]
+__all__ = ["dropped", "partitions", "released", "shared_dir", "stored", "stored_by"]
 
 #: What separates words: blank, tab, line feed, VT, FF, CR.
 BLANKS = " \t\n\x0b\x0c\r"

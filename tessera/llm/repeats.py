@@ -245,9 +245,10 @@ def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callabl
         offsets = windows.where("total = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("seed", "context").agg(F.collect_list("a").alias("a"))
         partly = partly.union(offsets.mapInArrow(gather_windows(plan), "seed long, context long, runs array<int>"))
     whole = contexts.where("total > 1").select("seed", "context", F.lit(None).cast("array<int>").alias("runs"))
-    marks = live.where("weight = 1").join(stored(partly.union(whole), "repeats"), ["seed", "context"]).select(*keys, F.struct("place", "runs").alias("m"))
+    repeats = stored(partly.union(whole), "repeats")
+    marks = live.where("weight = 1").join(repeats, ["seed", "context"]).select(*keys, F.struct("place", "runs").alias("m"))
     of_text = stored(marks.groupBy(*keys).agg(F.collect_list("m").alias("marks")), "marks")
-    released(spark, cut, live)
+    released(spark, cut, live, often, contexts, seeds, repeats)
 
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -261,4 +262,6 @@ def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callabl
                 yield batch_of([*keys, *names], *(pa.array(c) for c in zip(*out)))
 
     judged = texts.join(of_text.hint("shuffle_hash"), keys, "left").select(*keys, "copies", "text", "marks").mapInArrow(finish, f"k1 long, k2 long, {schema}")
-    return keyed.select("own", *keys).join(stored(judged, "judged"), keys).drop(*keys)
+    out = stored(judged, "judged")
+    released(spark, texts, of_text)
+    return keyed.select("own", *keys).join(out, keys).drop(*keys)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, released, stored, stored_by, table
+from tessera.llm.common import dropped, partitions, released, stored, stored_by, table
 from tessera.operators.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -417,6 +417,7 @@ def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, sim
         sure = sure.union(new)
         released(spark, groups)
         if last:
+            dropped(spark, tried, pairs, first)
             return sure
         now, turn, found, tried = crowd, turn + 1, turn == 0 or new.count() * FEW >= pairs.count(), tried.union(pairs)
 
@@ -461,6 +462,7 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     released(spark, rows)
     group = prints.select("id", "owner").join(components(sure).toDF("id", "component"), "id", "left")
     winners = stored(group.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("owner").alias("o")).select("o.k1", "o.k2", "o.id"), "winners")
+    released(spark, prints, sure)
 
     seen = keyed.drop("body").join(winners, [*keys, "id"], "left_semi").groupBy(*keys, "id").agg(F.first(F.struct("own", "none")).alias("r"))
     kept = texts.select(*keys, "body").join(seen, keys)
