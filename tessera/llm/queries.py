@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat": chat.ORACLE_OP1,
+    "op2_substrings": substrings.ORACLE_OP2,
     "op3_sharding": sharding.ORACLE_OP3,
     "op7_quality": quality.ORACLE_OP7,
     "op8_licences": licences.ORACLE_OP8,

@@ -130,3 +130,15 @@ def dedup_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cro
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT rid, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM d WHERE len(w) >= {LENGTH}),
+h AS (SELECT rid, i, md5(array_to_string(list_slice(w, i, i + {LENGTH - 1}), ' ')) AS k FROM g),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM h) WHERE c > 1),
+p AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+m AS (SELECT p.rid, p.p, word, coalesce(p.p - r.i < {LENGTH}, false) AS gone FROM p ASOF LEFT JOIN r ON p.rid = r.rid AND p.p >= r.i),
+k AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
