@@ -119,14 +119,14 @@ def cut_contexts(plan: Plan):
     """Per text and its wanted anchors: each context, what precedes its anchor backwards and what follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "context", "total", "before", "after"]
+        names = ["seed", "context", "total", "crowd", "before", "after"]
         for batch in batches:
             out: list[tuple] = []
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 tokens = plan.tokens(text.as_py().encode())
                 for w in wanted:
                     t, first, last = unpack(w["place"])
-                    out.append((w["seed"], w["context"], w["total"], tokens[first:t][::-1].tobytes(), tokens[t : last + plan.length].tobytes()))
+                    out.append((w["seed"], w["context"], w["total"], w["crowd"], tokens[first:t][::-1].tobytes(), tokens[t : last + plan.length].tobytes()))
                 if len(out) >= BATCH:
                     yield batch_of(names, *(pa.array(c) for c in zip(*out)))
                     out = []
@@ -231,24 +231,26 @@ def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callabl
 
     contexts = stored(live.groupBy("seed", "context").agg(F.sum("weight").alias("total"), F.min(F.struct(*keys, "place")).alias("at")), "contexts")
     seeds = stored(contexts.groupBy("seed").agg(F.count("*").alias("n"), F.min("total").alias("least")).where("n > 1 AND least = 1").select("seed", "n"), "seeds")
-    wanted = contexts.join(seeds, "seed").select("at.k1", "at.k2", F.struct("at.place", "seed", "context", "total").alias("w"))
+    wanted = contexts.join(seeds, "seed").select("at.k1", "at.k2", F.struct("at.place", "seed", "context", "total", (F.col("n") > crowd).alias("crowd")).alias("w"))
     listed = wanted.groupBy(*keys).agg(F.collect_list("w").alias("wanted"))
-    cut = stored(texts.join(listed.hint("shuffle_hash"), keys).select("text", "wanted").mapInArrow(cut_contexts(plan), "seed long, context long, total long, before binary, after binary"), "cut")
+    cut = stored(texts.join(listed.hint("shuffle_hash"), keys).select("text", "wanted").mapInArrow(cut_contexts(plan), "seed long, context long, total long, crowd boolean, before binary, after binary"), "cut")
+    released(spark)
 
-    crowded = seeds.where(F.col("n") > crowd).select("seed")
-    hot = crowded.limit(1).count() > 0
-    calm = cut.join(crowded, "seed", "left_anti") if hot else cut
+    hot = not seeds.where(F.col("n") > crowd).isEmpty()
+    calm, hot_cut = cut.where("NOT crowd").drop("crowd"), cut.where("crowd").drop("crowd")
     partly = calm.repartition(partitions(spark), "seed").sortWithinPartitions("seed").mapInArrow(compare_contexts(plan), "seed long, context long, runs array<int>")
+    done = []
     if hot:
-        windows = stored(cut.join(crowded, "seed", "left_semi").mapInArrow(hash_windows(plan), "w1 long, w2 long, seed long, context long, total long, a int"), "windows")
+        windows = stored(hot_cut.mapInArrow(hash_windows(plan), "w1 long, w2 long, seed long, context long, total long, a int"), "windows")
         twice = stored(windows.groupBy("w1", "w2").agg(F.sum("total").alias("n")).where("n > 1").select("w1", "w2"), "twice")
+        done = [windows, twice]
         offsets = windows.where("total = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("seed", "context").agg(F.collect_list("a").alias("a"))
         partly = partly.union(offsets.mapInArrow(gather_windows(plan), "seed long, context long, runs array<int>"))
     whole = contexts.where("total > 1").select("seed", "context", F.lit(None).cast("array<int>").alias("runs"))
     repeats = stored(partly.union(whole), "repeats")
     marks = live.where("weight = 1").join(repeats, ["seed", "context"]).select(*keys, F.struct("place", "runs").alias("m"))
     of_text = stored(marks.groupBy(*keys).agg(F.collect_list("m").alias("marks")), "marks")
-    released(spark, cut, live, often, contexts, seeds, repeats)
+    released(spark, cut, live, often, contexts, seeds, repeats, *done)
 
     names = [c.split()[0] for c in schema.split(", ")]
 
