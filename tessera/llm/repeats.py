@@ -154,6 +154,16 @@ def compare_contexts(plan: Plan):
         made = [runs(plan, hits[i]) for i in live]
         return batch_of(names, pa.array(seed[live]), pa.array(np.array(rows["context"], np.int64)[live]), pa.array(made, pa.list_(pa.int32())))
 
+    def judged(rows: dict, end: int) -> Iterator[pa.RecordBatch]:
+        """The rows before `end`, some plan.batch of them at once, cut between seeds; an Arrow batch can hold many more."""
+        seed = np.array(rows["seed"][:end], np.int64)
+        edges = np.append(np.flatnonzero(seed[1:] != seed[:-1]) + 1, end)
+        at = 0
+        while at < end:
+            cut = int(edges[min(np.searchsorted(edges, at + plan.batch), len(edges) - 1)])
+            yield judge({c: v[at:cut] for c, v in rows.items()})
+            at = cut
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: [] for c in ("seed", "context", "total", "before", "after")}
         for batch in batches:
@@ -162,10 +172,10 @@ def compare_contexts(plan: Plan):
             n = len(held["seed"])
             if n >= plan.batch and held["seed"][0] != held["seed"][-1]:
                 cut = next(i for i in range(n - 1, 0, -1) if held["seed"][i - 1] != held["seed"][-1])
-                yield judge({c: v[:cut] for c, v in held.items()})
+                yield from judged(held, cut)
                 held = {c: v[cut:] for c, v in held.items()}  # the last seed may go on
         if held["seed"]:
-            yield judge(held)
+            yield from judged(held, len(held["seed"]))
 
     return run
 
