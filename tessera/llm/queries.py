@@ -1,6 +1,6 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
+from tessera.llm import chat, infilling, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_nearest": nearest.op9_nearest,
     "op10_simhash": simhash.op10_simhash,
+    "op12_infilling": infilling.op12_infilling,
 }
 ORACLES = {
     "op1_chat": chat.ORACLE_OP1,
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_quality": quality.ORACLE_OP7,
     "op8_licences": licences.ORACLE_OP8,
     "op9_nearest": nearest.ORACLE_OP9,
+    "op12_infilling": infilling.ORACLE_OP12,
 }
