@@ -1,6 +1,6 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, infilling, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
+from tessera.llm import chat, codes, infilling, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_nearest": nearest.op9_nearest,
     "op10_simhash": simhash.op10_simhash,
     "op12_infilling": infilling.op12_infilling,
+    "op13_codes": codes.op13_codes,
 }
 ORACLES = {
     "op1_chat": chat.ORACLE_OP1,
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_licences": licences.ORACLE_OP8,
     "op9_nearest": nearest.ORACLE_OP9,
     "op12_infilling": infilling.ORACLE_OP12,
+    "op13_codes": codes.ORACLE_OP13,
 }
