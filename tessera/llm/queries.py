@@ -1,6 +1,6 @@
 """The queries of this folder and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat, codes, infilling, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
+from tessera.llm import chat, codes, huffman, infilling, licences, nearest, packing, pieces, quality, sharding, simhash, substrings, suffixes
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_nearest": nearest.op9_nearest,
     "op10_simhash": simhash.op10_simhash,
+    "op11_huffman": huffman.op11_huffman,
     "op12_infilling": infilling.op12_infilling,
     "op13_codes": codes.op13_codes,
 }
