@@ -20,7 +20,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,9 @@ END_ID = 2
 MAX_BITS, BLOCK_IDS, FILE_IDS = 16, 256, 2_000_000
 RUN_BYTES, PACK_IDS = 4_000_000, 1 << 18
 #: Words whose ids a task keeps; longer ones are not kept. When full, the store starts anew.
-CACHE, CACHED_BYTES = 200_000, 64
+CACHE, CACHED_BYTES = 400_000, 64
+#: Letters that the tokenizer joins to one word, alone or beside each other, and marks that end such a word; words encoded as one string.
+PLAIN, TAIL, JOINED = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,;:!?", 64
 MAGIC, END = b"TESSHUF1", "\nTESSEND\n"
 #: First id's place in the corpus, documents, ids, ids a block, longest code, symbols, bytes of the packed lengths, bits.
 HEADER = "<QQQIIIQQ"
@@ -55,42 +56,78 @@ def tokenizer(path: str | None):
     return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words `which`, one after the other, and their numbers of ids."""
+    own = size[which]
+    end = np.cumsum(own)
+    return flat[np.repeat(first[which] - (end - own), own) + np.arange(end[-1] if len(end) else 0)], own
+
+
 class WordEncoder:
-    """Ids of whole texts from those of their words."""
+    """Ids of whole texts from those of their distinct stems and tails.
+
+    A tail is the stops and commas after a word's last ASCII letter, where the tokenizer always parts; A-Z count as a-z, as it lowers
+    them. Plain stems are encoded many to a string: each is one word to the tokenizer, so its ids end at the one that ends a word.
+    """
 
     def __init__(self, path: str | None):
         self.tokenizer = tokenizer(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = "<u4" if self.wide else "<u2"
-        self.known: dict[str, bytes] = {}
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        found = [self.known.get(w) for w in words]
-        new = [i for i, f in enumerate(found) if f is None]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                found[i] = array("I" if self.wide else "H", e.ids).tobytes()
-                if len(words[i]) <= CACHED_BYTES and len(self.known) < CACHE:
-                    self.known[words[i]] = found[i]
-        return found
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u4" if size > 1 << 16 else "<u2")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(pa.array(words, pa.string()), f"^[{PLAIN}]{{1,{CACHED_BYTES}}}$").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        some = [words[i] for i in order[: plain.sum()]]
+        ids = np.concatenate([np.zeros(0, self.dtype), *self.batch([" ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)])])
+        size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(size) != len(some) or size.sum() != len(ids):  # not a vocabulary of this kind
+            size, ids, order = np.zeros(0, np.int64), ids[:0], np.arange(len(words))
+        rest = self.batch([words[i] for i in order[len(size) :]])
+        size = np.concatenate([size, np.fromiter(map(len, rest), np.int64, len(rest))])
+        flat = np.concatenate([ids, *rest])
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return gathered(flat, np.cumsum(size) - size, size, back)
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        """Places of the words in size; those that are new are encoded."""
+        if len(self.known) + len(words) > CACHE or len(self.flat) > 8 * CACHE:
+            self.clear()
+        out = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        out[new] = len(self.size) + np.arange(len(new))
+        missing = [words[i] for i in new]
+        ids, size = self.encode_words(missing)
+        self.known.update((w, i) for w, i in zip(missing, out[new].tolist()) if len(w) <= CACHED_BYTES)
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and each text's number of ids."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        parts = self.ids_of(words.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(parts), self.dtype)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // flat.itemsize
-        which = words.indices.to_numpy()
-        own = size[which]
-        end = np.cumsum(own)
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        by_text = np.diff(np.append(0, end)[offsets])
-        first = np.cumsum(size) - size
-        return flat[np.repeat(first[which] - (end - own), own) + np.arange(end[-1] if len(end) else 0)], by_text
+        whole = words.dictionary
+        low = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole))  # special tokens have a case
+        stem = pc.replace_substring_regex(low, f"([a-z])[{TAIL}]+$", r"\1")
+        tail = pc.if_else(pc.equal(stem, low), "", pc.replace_substring_regex(low, f"^(?s:.*)[a-z]([{TAIL}]+)$", r"\1"))
+        parts = pa.concat_arrays([stem, tail]).dictionary_encode()
+        slot = self.slots(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        first = np.cumsum(self.size) - self.size
+        flat, size = gathered(self.flat, first, self.size, slot.reshape(2, -1).T.ravel())  # stem, tail, stem, tail
+        size = size.reshape(-1, 2).sum(axis=1)
+        ids, own = gathered(flat, np.cumsum(size) - size, size, words.indices.to_numpy())
+        return ids, np.diff(np.append(0, np.cumsum(own))[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
 def tokenised_rows(path: str | None, end_id: int, most: int):

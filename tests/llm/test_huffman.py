@@ -15,6 +15,7 @@ from tessera.llm.common import shared_dir, table
 ODD = [
     None, "", " \n\t ", "a\x0bb\x0cc\rd\x1ce\x1ff\x85g h　i", "<|endoftext|>x <|startoftext|> <|endof text|>", "It's we'll I'D can 't", "é ́x ̈", "가 ᆨ",
     "日本語 \U0001f468‍\U0001f469 \x00 ΣΑΣ ΟΔΟΣ İ ß", "x" * 5_000, "same row", "same row", "word " * 30_000, "''''s 'S '' s", "1234 12.5% a1b2",
+    "END. end, End.. e.g. so?! so;: <|endoftext|>. <|ENDOFTEXT|> <|EndOfText|>, naïve. ÀÉÎ Œuvre, x.y. 5. é. é. z̈. a̓, " + "y" * 70 + ". ß. ſ K Å.",
 ]
 
 
