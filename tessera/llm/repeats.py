@@ -11,7 +11,8 @@ one seed are compared, is the operator's own method; the flow around it is this:
 4. Other contexts that share a seed meet in one task and are compared.
 5. The windows found are marked in their texts.
 
-A seed with over CROWD different contexts isn't gathered: its windows are hashed and counted one by one instead.
+A seed with over CROWD different contexts isn't gathered. If the operator can part contexts, they are parted by what else their
+windows hold, again and again, until no seed is crowded (see in_parts); else the windows are hashed and counted one by one.
 Counts are combined before each shuffle. No step holds more than one text, or CROWD contexts, at a time.
 """
 
@@ -83,6 +84,9 @@ class Plan:
     shared: Callable[[np.ndarray, list[bytes], list[bytes]], list[np.ndarray]]
     #: contexts that are compared at once; those of one seed always are
     batch: int = 8_000
+    #: how to part a crowded seed's context: of its tokens, how many stand before the anchor, and the floor of its last parting, the
+    #: parts' keys, floors, first and last windows; equal windows get equal keys. Without it a crowded seed's windows are counted.
+    part: Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
 def contexts_of(h: Hashes, length: int, seed: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,6 +184,65 @@ def compare_contexts(plan: Plan):
     return run
 
 
+PARTS = "seed long, context long, floor long, total long, root_seed long, root_context long, before binary, after binary"
+
+
+def part_contexts(plan: Plan):
+    """For mapInArrow over contexts of crowded seeds (columns of PARTS): the parts of each, around the same anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kind = [c.split()[0] for c in PARTS.split(", ")], plan.tokens(b"a").dtype
+        for batch in batches:
+            out: list[tuple] = []
+            for seed, _, floor, total, root_seed, root_context, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                b = np.frombuffer(before, kind)[::-1]
+                tokens = np.concatenate((b, np.frombuffer(after, kind)))
+                keys, floors, first, last = plan.part(tokens, len(b), floor)
+                h, at = Hashes(plan.values(tokens)), np.full(len(first), len(b))
+                own = mix(np.array([seed]).view(np.uint64) ^ mix(keys))
+                seeds, contexts, _ = contexts_of(h, plan.length, own, at, first, last)
+                for s, c, f, a, z in zip(seeds.tolist(), contexts.tolist(), floors.tolist(), first.tolist(), last.tolist()):
+                    out.append((s, c, f, total, root_seed, root_context, tokens[a : len(b)][::-1].tobytes(), tokens[len(b) : z + plan.length].tobytes()))
+                if len(out) >= BATCH:
+                    yield batch_of(names, *(pa.array(c) for c in zip(*out)))
+                    out = []
+            if out:
+                yield batch_of(names, *(pa.array(c) for c in zip(*out)))
+
+    return run
+
+
+def compared(plan: Plan, contexts: DataFrame) -> DataFrame:
+    """seed, context, runs of those that share windows with others of their seed."""
+    dealt = contexts.repartition(partitions(contexts.sparkSession), "seed").sortWithinPartitions("seed")
+    return dealt.mapInArrow(compare_contexts(plan), "seed long, context long, runs array<int>")
+
+
+def in_parts(plan: Plan, hot: DataFrame, crowd: int) -> list[DataFrame]:
+    """seed, context, runs (several rows for a context) of the windows of crowded seeds that repeat. Parts that occur twice
+    repeat as a whole; parts of one seed are compared where they are few, and parted again by the next key where they aren't."""
+    out = []
+    level = hot.select("seed", "context", F.col("seed").alias("floor"), "total", F.col("seed").alias("root_seed"), F.col("context").alias("root_context"), "before", "after")
+    while True:
+        parts = stored(level.mapInArrow(part_contexts(plan), PARTS), "parts")
+        one = F.first(F.struct("floor", "root_seed", "root_context", "before", "after")).alias("one")
+        each = stored(parts.groupBy("seed", "context").agg(F.sum("total").alias("total"), one).select("seed", "context", "total", "one.*"), "each")
+        seeds = stored(each.groupBy("seed").agg(F.count("*").alias("n"), F.min("total").alias("least")).where("n > 1 AND least = 1").select("seed", "n"), "part_seeds")
+        twice = stored(each.where("total > 1").select("seed", "context"), "twice")
+        whole = parts.where("total = 1").join(twice, ["seed", "context"], "left_semi")
+        stretch = F.array(-F.length("before"), F.length("after")).alias("runs")
+        out.append(stored(whole.select(F.col("root_seed").alias("seed"), F.col("root_context").alias("context"), stretch), "repeats"))
+        some = stored(compared(plan, each.join(seeds.where(F.col("n") <= crowd), "seed").select("seed", "context", "total", "before", "after")), "compared")
+        roots = each.where("total = 1").select("seed", "context", "root_seed", "root_context")
+        out.append(stored(some.join(roots, ["seed", "context"]).select(F.col("root_seed").alias("seed"), F.col("root_context").alias("context"), "runs"), "repeats"))
+        crowded = seeds.where(F.col("n") > crowd)
+        left = None if crowded.isEmpty() else stored(each.join(crowded, "seed").select(level.columns), "crowded")
+        released(hot.sparkSession, parts, each, seeds, twice, some, level)
+        if left is None:
+            return out
+        level = left
+
+
 def hash_windows(plan: Plan):
     """For crowded seeds: two hashes of each window of each context."""
     names = ["w1", "w2", "seed", "context", "total", "a"]
@@ -248,9 +311,13 @@ def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callabl
 
     hot = not seeds.where(F.col("n") > crowd).isEmpty()
     calm, hot_cut = cut.where("NOT crowd").drop("crowd"), cut.where("crowd").drop("crowd")
-    partly = calm.repartition(partitions(spark), "seed").sortWithinPartitions("seed").mapInArrow(compare_contexts(plan), "seed long, context long, runs array<int>")
+    partly = compared(plan, calm)
     done = []
-    if hot:
+    if hot and plan.part:
+        done = in_parts(plan, stored(hot_cut, "hot"), crowd)
+        for some in done:
+            partly = partly.union(some)
+    elif hot:
         windows = stored(hot_cut.mapInArrow(hash_windows(plan), "w1 long, w2 long, seed long, context long, total long, a int"), "windows")
         twice = stored(windows.groupBy("w1", "w2").agg(F.sum("total").alias("n")).where("n > 1").select("w1", "w2"), "twice")
         done = [windows, twice]

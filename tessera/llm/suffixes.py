@@ -15,8 +15,9 @@ once can't repeat and goes before. In a block, see shared_windows():
   neighbour comes from the two arrays' levels.
 
 Every byte under a window whose neighbour shares all LENGTH bytes goes. Blocks of over CROWD texts, which would not fit a task at
-some size, and windows that are blocks of their own are counted by two hashes instead. A window without a whole phrase (one in some 10,000
-of ordinary text; runs and the like have more) is its own block.
+some size, are parted: by the phrase of next least hash that a window holds whole and its place, as equal windows hold the same, and
+so on until no block is crowded. A window without a (further) whole phrase is its own block (one in some 10,000 of
+ordinary text; runs and the like have more); such blocks hold equal texts only, which count as one.
 
 Nulls: empty; a null doc_id is kept. Texts under LENGTH bytes are kept. Repeated rows and equal texts: removed as a
 whole if long enough. Overlaps count, also within one text; matches end at a document's ends. Very long texts: linear.
@@ -38,7 +39,7 @@ from tessera.llm.repeats import POSITION, Hashes, Plan, contexts_of, removed
 LENGTH, TRIGGER = 200, 8
 #: Of this many rolling hashes one is a trigger's.
 EVERY = 16
-#: From more texts than this on a block isn't ordered: its windows are hashed and counted, spread over all tasks.
+#: From more texts than this on a block is parted before it is ordered.
 CROWD = 2_000
 _LETTER = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.int64).view(np.uint64)
 
@@ -87,6 +88,29 @@ def parsed(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def parted(tokens: np.ndarray, before: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A context's stretches of windows with the same phrase of least hash over `floor` (leftmost of equals) and place of it; see Plan.part."""
+    h, windows = Hashes(_LETTER[tokens]), np.arange(len(tokens) - LENGTH + 1)
+    at = triggers(h)
+    none = np.uint64(2**64 - 1)
+    best = np.full(len(windows), -1)
+    hashes = np.empty(0, np.uint64)
+    if len(at) > 1:
+        hashes = h.of(at[:-1], at[1:] + TRIGGER)
+        fits = (at[:-1] >= windows[:, None]) & (at[1:] + TRIGGER <= windows[:, None] + LENGTH) & (hashes > np.array([floor]).view(np.uint64))
+        found = np.where(fits, hashes, none)
+        best = np.where(fits.any(axis=1), found.argmin(axis=1), -1)
+    first = np.flatnonzero((best != np.concatenate(([-2], best[:-1]))) | (best < 0))
+    last = np.append(first[1:], len(windows)) - 1
+    phrase = best[first]
+    bare = phrase < 0
+    keys, floors = h.of(first, first + LENGTH), np.full(len(first), -1)
+    held = phrase[~bare]
+    keys[~bare] = hashes[held] + (at[held] - before).astype(np.uint64)
+    floors[~bare] = hashes[held].view(np.int64)
+    return keys, floors, first, last
+
+
 class SuffixArray:
     """Ranks of all suffixes of many strings, laid end to end, by prefix doubling.
 
@@ -208,7 +232,7 @@ def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) ->
     return [np.array(hits.get(i, [])[::-1], np.int64) for i in range(len(texts))]
 
 
-BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows, 2_000)
+BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows, 2_000, parted)
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -234,7 +258,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", c
         kept = kept_bytes(raw, mask(len(raw))).decode("utf-8", "ignore")
         return kept, len(kept)
 
-    cut = removed(BYTES, docs, F.struct(*(c for c in docs.columns if c != text)), text, left, "kept string, kept_chars long", crowd)
+    cut = removed(BYTES, docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)), text, left, "kept string, kept_chars long", crowd)
     made = {text: F.col("kept"), n_chars: F.col("kept_chars")}
     return cut.select(*(made.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 

@@ -62,9 +62,9 @@ def test_substrings(spark, crowd):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("crowd", [50_000, 1])
-def test_suffixes(spark, crowd):
-    docs = odd_documents(crowd + 1)
+@pytest.mark.parametrize("crowd,n", [(50_000, 90), (6, 60), (1, 8)])
+def test_suffixes(spark, crowd, n):
+    docs = odd_documents(crowd + 1, n)
     raw = [(i, (t or "").encode()) for i, t in docs]
     seen = Counter(w[p : p + 200] for _, w in raw for p in range(len(w) - 199))
     want, left = [], {}
@@ -74,12 +74,28 @@ def test_suffixes(spark, crowd):
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         want.append((i, len(w), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
         left[i] = kept.decode("utf-8", "ignore")
-    df = spark.createDataFrame([(i, t, 1, "c") for i, t in docs], SCHEMA + ", n_chars long, own string")
+    df = spark.createDataFrame([(i, t, 1, "c", "d") for i, t in docs], SCHEMA + ", n_chars long, own string, `a.b` string")
     got = [tuple(r) for r in suffixes.dedup_bytes(df, crowd=crowd).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     cut = suffixes.cut_repeats(df, crowd=crowd)
     assert cut.columns == df.columns
-    assert all((r.text, r.n_chars, r.own) == (left[r.doc_id], len(left[r.doc_id]), "c") for r in cut.collect())
+    assert all((r.text, r.n_chars, r.own, r["a.b"]) == (left[r.doc_id], len(left[r.doc_id]), "c", "d") for r in cut.collect())
+
+
+def test_parts_of_a_context():
+    """Equal windows get equal keys and floors, whatever stands around them; each window is in one part."""
+    r = np.random.default_rng(3)
+    base = r.integers(97, 101, 600).astype(np.uint8)
+    at = suffixes.triggers(suffixes.Hashes(suffixes._LETTER[base]))
+    t = int(at[len(at) // 2])
+    floor, seen = 0, {}
+    for low, high in ((t - 150, t + 250), (t - 190, t + 210), (t - 100, t + 280)):
+        keys, floors, first, last = suffixes.parted(base[low:high], t - low, floor)
+        assert first[0] == 0 and last[-1] == high - low - suffixes.LENGTH and (first[1:] == last[:-1] + 1).all()
+        for k, f, a, z in zip(keys.tolist(), floors.tolist(), first.tolist(), last.tolist()):
+            for w in range(a, z + 1):
+                assert seen.setdefault(low + w, (k, f)) == (k, f)
+    assert len({k for k, _ in seen.values()}) > 1
 
 
 def test_no_documents(spark):
