@@ -110,7 +110,7 @@ def find_anchors(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2, copies = (batch.column(i).to_numpy() for i in range(3))
-            made = (plan.tokens(t.as_py().encode()) for t in batch.column(3))
+            made = (plan.tokens(t.as_buffer().to_pybytes()) for t in batch.column(3))
             got = [plan.anchors(tokens) if len(tokens) >= plan.length else [np.empty(0, np.int64)] * 3 for tokens in made]
             n = [len(g[0]) for g in got]
             seed, context, place = (np.concatenate(c) for c in zip(*got)) if got else [np.empty(0, np.int64)] * 3
@@ -127,7 +127,7 @@ def cut_contexts(plan: Plan):
         for batch in batches:
             out: list[tuple] = []
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-                tokens = plan.tokens(text.as_py().encode())
+                tokens = plan.tokens(text.as_buffer().to_pybytes())
                 for w in wanted:
                     t, first, last = unpack(w["place"])
                     out.append((w["seed"], w["context"], w["total"], w["crowd"], tokens[first:t][::-1].tobytes(), tokens[t : last + plan.length].tobytes()))
@@ -272,22 +272,37 @@ def gather_windows(plan: Plan):
     return run
 
 
-def covered(plan: Plan, tokens: int, copies: int, marks: list[dict] | None) -> np.ndarray:
-    """Which tokens of a text to remove."""
-    if copies > 1 and tokens >= plan.length:
-        return np.ones(tokens, bool)
-    depth = np.zeros(tokens + 1, np.int32)
-    for m in marks or ():
-        t, first, last = unpack(m["place"])
-        stretch = [first - t, last - t + plan.length] if m["runs"] is None else m["runs"]
-        for low, high in zip(stretch[::2], stretch[1::2]):
-            depth[t + low] += 1
-            depth[t + high] -= 1
-    return np.cumsum(depth[:-1]) > 0
+@dataclass(frozen=True)
+class Gone:
+    """What is to go of a text, by its copies and the marks of its anchors."""
+
+    plan: Plan
+    copies: int
+    marks: list[dict] | None
+
+    def spans(self, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the longest stretches that go."""
+        if self.copies > 1 and tokens >= self.plan.length:
+            return np.array([0]), np.array([tokens])
+        ends = []
+        for m in self.marks or ():
+            t, first, last = unpack(m["place"])
+            ends += [first, last + self.plan.length] if m["runs"] is None else [t + r for r in m["runs"]]
+        low, high = np.array(ends, np.int64).reshape(-1, 2).T
+        order = np.argsort(low)
+        low, high = low[order], np.maximum.accumulate(high[order])
+        new = np.flatnonzero(low[1:] > high[:-1]) + 1
+        return (low[np.append(0, new)], high[np.append(new - 1, len(high) - 1)]) if len(low) else (low, high)
+
+    def mask(self, tokens: int) -> np.ndarray:
+        low, high = self.spans(tokens)
+        depth = np.zeros(tokens + 1, np.int8)
+        depth[low], depth[high] = 1, -1
+        return np.cumsum(depth[:-1], dtype=np.int8) > 0
 
 
 def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callable, schema: str, crowd: int = CROWD) -> DataFrame:
-    """own (a column of docs) and the columns of digest(raw bytes, mask) for each row of docs."""
+    """own (a column of docs) and the columns of digest(raw bytes, Gone) for each row of docs."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(own.alias("own"), body.alias("text"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
@@ -335,8 +350,7 @@ def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callabl
         for batch in batches:
             out = []
             for k1, k2, copies, t, m in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
-                raw = t.as_py().encode()
-                out.append((k1, k2, *digest(raw, lambda n, copies=copies, m=m: covered(plan, n, copies, m.as_py()))))
+                out.append((k1, k2, *digest(t.as_buffer().to_pybytes(), Gone(plan, copies, m.as_py()))))
             if out:
                 yield batch_of([*keys, *names], *(pa.array(c) for c in zip(*out)))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.repeats import CROWD, POSITION, Hashes, Plan, contexts_of, mix, removed
+from tessera.llm.repeats import CROWD, POSITION, Gone, Hashes, Plan, contexts_of, mix, removed
 
 LENGTH, SEED = 35, 8
 SPREAD = LENGTH - SEED + 1
@@ -116,9 +116,9 @@ WORDS = Plan("words", LENGTH, word_tokens, lambda tokens: tokens, winnowed, exte
 OUT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def digest(raw: bytes, mask) -> tuple:
+def digest(raw: bytes, found: Gone) -> tuple:
     words = raw.split()
-    gone = mask(len(words))
+    gone = found.mask(len(words))
     kept = compress(words, ~gone) if gone.any() else words
     return len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 

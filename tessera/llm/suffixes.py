@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.repeats import POSITION, Hashes, Plan, contexts_of, removed
+from tessera.llm.repeats import POSITION, Gone, Hashes, Plan, contexts_of, removed
 
 LENGTH, TRIGGER = 200, 8
 #: Of this many rolling hashes one is a trigger's.
@@ -236,14 +236,13 @@ BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda t
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def kept_bytes(raw: bytes, gone: np.ndarray) -> bytes:
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
+def kept_bytes(raw: bytes, low: np.ndarray, high: np.ndarray) -> bytes:
+    return b"".join(raw[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(raw)])) if len(low) else raw
 
 
-def digest(raw: bytes, mask) -> tuple:
-    gone = mask(len(raw))
-    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-    return len(raw), int(gone.sum()), spans, hashlib.sha256(kept_bytes(raw, gone)).hexdigest()
+def digest(raw: bytes, gone: Gone) -> tuple:
+    low, high = gone.spans(len(raw))
+    return len(raw), int((high - low).sum()), len(low), hashlib.sha256(kept_bytes(raw, low, high)).hexdigest()
 
 
 def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -254,8 +253,8 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cro
 def cut_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", crowd: int = CROWD) -> DataFrame:
     """docs with their repeated bytes cut out of the text; what is left of a character cut in two goes with it."""
 
-    def left(raw: bytes, mask) -> tuple:
-        kept = kept_bytes(raw, mask(len(raw))).decode("utf-8", "ignore")
+    def left(raw: bytes, gone: Gone) -> tuple:
+        kept = kept_bytes(raw, *gone.spans(len(raw))).decode("utf-8", "ignore")
         return kept, len(kept)
 
     cut = removed(BYTES, docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)), text, left, "kept string, kept_chars long", crowd)

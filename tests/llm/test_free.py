@@ -62,7 +62,7 @@ def test_substrings(spark, crowd):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("crowd,n", [(50_000, 90), (6, 60), (1, 8)])
+@pytest.mark.parametrize("crowd,n", [(50_000, 90), (6, 60)])
 def test_suffixes(spark, crowd, n):
     docs = odd_documents(crowd + 1, n)
     raw = [(i, (t or "").encode()) for i, t in docs]
