@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.lexer import BRACES, Blocks, Lines, closed, holders, lex
 from tessera.operators.text import masked
 
 FACT = "kind string, path string, name string, line int, end_line int, owner string, detail string, mode string, seq int"
@@ -49,10 +50,10 @@ MESSAGE = re.compile(r"\b(publish|emit|send|produce|subscribe|on|consume|listen)
 SQL_USE = re.compile(r"(?i)['\"`]\s*(select\b.*?\bfrom|insert\s+into|update|delete\s+from)\s+([A-Za-z_]\w*)")
 SOURCE = re.compile(r"request\.(?:args|form|json|GET|POST)|req\.(?:body|query|params)|\binput\s*\(|sys\.argv|process\.argv|getParameter\s*\(")
 SINK = re.compile(r"\b(eval|exec|execute|executeQuery|system|popen|Popen|innerHTML|query)\b\s*[(=]")
-CLEAN = re.compile(r"escape|sanitize|quote|parameterize|\bint\s*\(|parseInt\s*\(")
+CLEAN = re.compile(r"(?:escape|sanitize|quote|parameterize)\w*|\bint\s*\(|parseInt\s*\(")
 #: What precedes the paths of all routes of a file.
 SPRING_BASE = re.compile(r"@RequestMapping\s*\(\s*(?:value\s*=\s*|path\s*=\s*)?[\"']([^\"']+)[\"'][^)]*\)(?=(?:\s*@[\w.]+(?:\([^)]*\))?)*\s*(?:public\s+)?(?:class|interface)\b)")
-ROUTER_BASE = re.compile(r"(\w+)\s*=\s*(?:APIRouter|Blueprint)\s*\([^)]*?(?:prefix|url_prefix)\s*=\s*[\"']([^\"']+)[\"']")
+ROUTER_BASE = re.compile(r"\b(\w+)\s*=\s*(?:APIRouter|Blueprint)\s*\([^)]*?(?:prefix|url_prefix)\s*=\s*[\"']([^\"']+)[\"']")
 #: Tables of object mappers: a class body or what follows a table's name, its columns, and the tables that they refer to.
 DJANGO = re.compile(r"(?m)^class\s+(\w+)\s*\([^)]*\bmodels\.Model\b[^)]*\):((?:\n[ \t]+[^\n]*|\n[ \t]*)*)")
 ALCHEMY = re.compile(r"__tablename__\s*=\s*['\"](\w+)['\"]((?:\n[ \t]+[^\n]*|\n[ \t]*)*)")
@@ -72,47 +73,55 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.element_at(known, F.lower(F.substring_index(path, ".", -1))), F.lit("other"))
 
 
-def block_end(code: str, start: int) -> int:
-    """Offset after the braces that open next, or of the line's end."""
-    at = code.find("{", start)
-    if at < 0 or "\n\n" in code[start:at]:
-        return code.find("\n", start) if code.find("\n", start) >= 0 else len(code)
-    depth = 0
-    for i in range(at, len(code)):
-        depth += (code[i] == "{") - (code[i] == "}")
-        if not depth:
-            return i
-    return len(code)
+class View:
+    """A file's text as its readers need it: code without comments and strings, lines, blocks."""
+
+    def __init__(self, content: str, kind: str):
+        self.content, self.kind, self.line = content, kind, Lines(content)
+        if kind in BRACES:
+            lexed = lex(content, kind)
+            self.code, self.faults = lexed.masked(content), lexed.faults
+            self.live = self.code
+            self.blocks = Blocks(self.code, lexed.closes)
+        else:
+            hashes = kind in ("python", "ruby", "shell")
+            self.code, self.faults = masked(content, hashes), []
+            self.live = masked(content, hashes, strings=False)  # what a string holds may be code
+            self.blocks = Blocks(self.code, closed(self.code))
 
 
 def python_facts(path: str, content: str) -> list[tuple]:
-    tree, out = ast.parse(content), []
-
-    def visit(node, owner: str | None, inside: str | None) -> None:
-        for n in ast.iter_child_nodes(node):
-            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                out.append(("function", path, n.name, n.lineno, n.end_lineno, owner, json.dumps({"params": len(n.args.args), "exported": not n.name.startswith("_"), "top": inside is None and owner is None}), "ast"))
-                visit(n, None, n.name)
-            elif isinstance(n, ast.ClassDef):
-                out.append(("class", path, n.name, n.lineno, n.end_lineno, None, ",".join(ast.unparse(b) for b in n.bases), "ast"))
-                marks = [ast.unparse(d).split("(")[0].rsplit(".", 1)[-1] for d in n.decorator_list]
-                out.extend(("annotation", path, m, n.lineno, n.lineno, n.name, None, "ast") for m in marks)
-                if "dataclass" in marks:
-                    detail = json.dumps({"params": 0, "exported": True, "top": False})
-                    out.extend(("function", path, m, n.lineno, n.lineno, n.name, detail, "synthetic") for m in ("__init__", "__repr__", "__eq__"))
-                visit(n, n.name, inside)
-            else:
-                if isinstance(n, ast.Import):
-                    out.extend(("import", path, a.name, n.lineno, n.lineno, None, a.asname or a.name, "ast") for a in n.names)
-                elif isinstance(n, ast.ImportFrom):
-                    out.extend(("import", path, "." * n.level + (n.module or ""), n.lineno, n.lineno, a.name, a.asname or a.name, "ast") for a in n.names)
-                elif isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute)):
-                    name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr
-                    receiver = None if isinstance(n.func, ast.Name) else ast.unparse(n.func.value)
-                    out.append(("call", path, name, n.lineno, n.lineno, receiver, str(len(n.args)), "ast"))
-                visit(n, owner, inside)
-
-    visit(tree, None, None)
+    out: list[tuple] = []
+    todo: list[tuple] = [(ast.parse(content), None, None)]  # a deep tree needs no deep stack
+
+    def written(node) -> str | None:
+        try:
+            return ast.unparse(node)
+        except RecursionError:
+            return None
+
+    while todo:
+        n, owner, inside = todo.pop()
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            out.append(("function", path, n.name, n.lineno, n.end_lineno, owner, json.dumps({"params": len(n.args.args), "exported": not n.name.startswith("_"), "top": inside is None and owner is None}), "ast"))
+            owner, inside = None, n.name
+        elif isinstance(n, ast.ClassDef):
+            out.append(("class", path, n.name, n.lineno, n.end_lineno, None, ",".join(written(b) or "?" for b in n.bases), "ast"))
+            marks = [(written(d) or "?").split("(")[0].rsplit(".", 1)[-1] for d in n.decorator_list]
+            out.extend(("annotation", path, m, n.lineno, n.lineno, n.name, None, "ast") for m in marks)
+            if "dataclass" in marks:
+                detail = json.dumps({"params": 0, "exported": True, "top": False})
+                out.extend(("function", path, m, n.lineno, n.lineno, n.name, detail, "synthetic") for m in ("__init__", "__repr__", "__eq__"))
+            owner = n.name
+        elif isinstance(n, ast.Import):
+            out.extend(("import", path, a.name, n.lineno, n.lineno, None, a.asname or a.name, "ast") for a in n.names)
+        elif isinstance(n, ast.ImportFrom):
+            out.extend(("import", path, "." * n.level + (n.module or ""), n.lineno, n.lineno, a.name, a.asname or a.name, "ast") for a in n.names)
+        elif isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute)):
+            name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr
+            receiver = None if isinstance(n.func, ast.Name) else written(n.func.value)
+            out.append(("call", path, name, n.lineno, n.lineno, receiver, str(len(n.args)), "ast"))
+        todo += [(child, owner, inside) for child in reversed(list(ast.iter_child_nodes(n)))]
     return out
 
 
@@ -132,11 +141,10 @@ def synthetic(path: str, kind: str, owner: str, line: int, marks: list[str], bod
     return [("function", path, n, line, line, owner, json.dumps({"params": 0, "exported": True, "top": False}), "synthetic") for n in names]
 
 
-def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
-    code, out = masked(content, kind in ("python", "ruby", "shell")), []
-    line = lambda at: content.count("\n", 0, at) + 1
+def pattern_facts(path: str, view: View) -> list[tuple]:
+    content, kind, code, line, out = view.content, view.kind, view.code, view.line, []
     for m in TYPE.finditer(code):
-        end = block_end(code, m.end())
+        end = view.blocks.end(m.end())
         if kind == "ruby":  # blocks end by a word at the indent they start with
             indent = m.start() - (code.rfind("\n", 0, m.start()) + 1)
             last = re.compile(rf"(?m)^[ \t]{{{indent}}}end\b").search(code, m.end())
@@ -150,18 +158,14 @@ def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
         out += [("annotation", path, mark, first, first, name, None, "lexical") for mark in dict.fromkeys(marks)]
         out += synthetic(path, kind, name, first, marks, "\n".join(rows[first - 1 : last]))
     declared = set()
-    for m in FUNCTION.finditer(code):
-        name = next(g for g in m.groups() if g)
-        if name in WORDS_NOT_CALLED:
-            continue
-        at = m.start() + len(m[0]) - len(m[0].lstrip())
-        first = line(at)
-        owner = min(((b - a, n) for a, b, n in spans if a <= first <= b), default=(0, None))[1]
+    found = [(next(g for g in m.groups() if g), m) for m in FUNCTION.finditer(code)]
+    found = [(name, m, line(m.start() + len(m[0]) - len(m[0].lstrip()))) for name, m in found if name not in WORDS_NOT_CALLED]
+    for (name, m, first), owner in zip(found, holders(spans, [first for _, _, first in found])):
         params = m[0].count(",") + 1 if re.search(r"\(\s*\w", m[0]) else 0
-        out.append(("function", path, name, first, line(block_end(code, m.end() - 1)), owner, json.dumps({"params": params, "exported": "export" in m[0] or "public" in m[0], "top": owner is None}), "lexical"))
+        out.append(("function", path, name, first, line(view.blocks.end(m.end() - 1)), owner, json.dumps({"params": params, "exported": "export" in m[0] or "public" in m[0], "top": owner is None}), "lexical"))
         declared.add((name, first))
     imports = JAVA_IMPORT if kind in ("java", "kotlin", "scala") else JS_IMPORT
-    blank = masked(content, False)
+    blank = code if kind in BRACES else masked(content, False)
     for m in imports.finditer(content):
         if blank[m.start() : m.start() + 3].strip():  # not within a comment or string
             out.append(("import", path, next(g for g in m.groups() if g), line(m.start()), line(m.start()), None, None, "lexical"))
@@ -170,7 +174,7 @@ def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
             for given in filter(str.strip, m[2].split(",")):
                 exported, _, local = (x.strip() for x in given.strip().partition(" as "))
                 out.append(("binding" if m[1] == "import" else "reexport", path, m[3], line(m.start()), line(m.start()), exported, local or exported, "lexical"))
-    for m in re.finditer(r"(?:(\w+)\s*\.\s*)?\b([A-Za-z_]\w*)\s*\(", code):
+    for m in re.finditer(r"\b(?:(\w+)\s*\.\s*)?([A-Za-z_]\w*)\s*\(", code):
         if m[2] not in WORDS_NOT_CALLED and code[m.start() - 1 : m.start()] != "@" and (m[2], line(m.start())) not in declared:
             out.append(("call", path, m[2], line(m.start()), line(m.start()), m[1], None, "lexical"))
     if kind in ("java", "kotlin", "scala"):
@@ -182,9 +186,8 @@ def pattern_facts(path: str, content: str, kind: str) -> list[tuple]:
     return out
 
 
-def shared_facts(path: str, content: str) -> list[tuple]:
-    out = []
-    line = lambda at: content.count("\n", 0, at) + 1
+def shared_facts(path: str, view: View) -> list[tuple]:
+    content, line, out = view.content, view.line, []
     protected = lambda at: str(bool(AUTH.search(content[max(0, at - 300) : at + 300]))).lower()
     spring, routers = SPRING_BASE.search(content), dict(ROUTER_BASE.findall(content))
     joined = lambda base, rest: f"{base.rstrip('/')}/{rest.lstrip('/')}".rstrip("/") if base else rest or "/"
@@ -211,7 +214,7 @@ def shared_facts(path: str, content: str) -> list[tuple]:
     for m in ALCHEMY.finditer(content):
         mapped(m[1], m.start(), re.findall(r"(?m)^\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:\w+\.)?(?:Column|mapped_column)\(", m[2]), re.findall(r"(?m)^\s+(\w+)\s*(?::[^=\n]+)?=.*?ForeignKey\(\s*['\"](\w+)\.", m[2]), "sqlalchemy")
     for m in JPA.finditer(content):
-        named, body = re.search(r"@Table\s*\(\s*(?:name\s*=\s*)?\"(\w+)\"", m[1]), content[m.end() : block_end(content, m.end() - 1)]
+        named, body = re.search(r"@Table\s*\(\s*(?:name\s*=\s*)?\"(\w+)\"", m[1]), content[m.end() : view.blocks.end(m.end() - 1)]
         fields = re.findall(r"(@(?:ManyToOne|OneToOne)\b[^;]*?)?\b(?:private|protected|public)\s+([\w<>, ]+?)\s+(\w+)\s*(?:=[^;]*)?;", body)
         mapped(named[1] if named else m[2].lower(), m.start(), [f for _, _, f in fields], [(f, t.lower()) for link, t, f in fields if link], "jpa")
     out += [("message", path, m[2], line(m.start()), line(m.start()), "publish" if m[1] in ("publish", "emit", "send", "produce") else "subscribe", None, "lexical") for m in MESSAGE.finditer(content)]
@@ -219,13 +222,19 @@ def shared_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
+def entries(part) -> list[tuple]:
+    """A table's entries; other shapes have none."""
+    return list(part.items()) if isinstance(part, dict) else []
+
+
 def mapping_facts(path: str, content: str) -> list[tuple]:
     """Path mappings of a configuration, comments and trailing commas allowed: pattern, value, and the folder both start from."""
     plain = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", content)
-    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)).get("compilerOptions") or {}
+    options = dict(entries(dict(entries(json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)))).get("compilerOptions")))
     folder, base = path.rsplit("/", 1)[0] if "/" in path else "", options.get("baseUrl")
+    base = base if isinstance(base, str) else None
     root = "/".join(p for p in f"{folder}/{base or ''}".split("/") if p not in ("", "."))
-    given = [(pattern, value) for pattern, values in (options.get("paths") or {}).items() for value in values]
+    given = [(pattern, value) for pattern, values in entries(options.get("paths")) if isinstance(values, list) for value in values if isinstance(value, str)]
     rows = given + ([("*", "*")] if base is not None else [])
     return [("path-mapping", path, pattern, 1, 1, value, json.dumps({"folder": folder, "root": root}), "manifest") for pattern, value in rows]
 
@@ -237,10 +246,10 @@ def manifest_facts(path: str, content: str) -> list[tuple]:
         return mapping_facts(path, content)
     add = lambda name, version, eco, dev=False: out.append(("dependency", path, name, 1, 1, eco, json.dumps({"version": version, "dev": dev}), "manifest"))
     if base in ("package.json", "composer.json"):
-        body = json.loads(content)
+        body = dict(entries(json.loads(content)))
         eco = "npm" if base == "package.json" else "composer"
         for part, dev in (("dependencies", False), ("devDependencies", True), ("require", False), ("require-dev", True)):
-            for name, version in (body.get(part) or {}).items():
+            for name, version in entries(body.get(part)):
                 add(name, str(version), eco, dev)
     elif re.fullmatch(r"requirements.*\.txt", base):
         for m in re.finditer(r"(?m)^\s*([A-Za-z][\w.-]*)(?:\[[^\]]*\])?\s*(?:[=<>~!]=?\s*([\w.*]+))?", content):
@@ -259,11 +268,12 @@ def manifest_facts(path: str, content: str) -> list[tuple]:
 
         body = tomllib.loads(content)
         for part, dev in (("dependencies", False), ("dev-dependencies", True)):
-            for name, v in (body.get(part) or {}).items():
-                add(name, v if isinstance(v, str) else str(v.get("version", "")), "cargo", dev)
-        for text in (body.get("project") or {}).get("dependencies", []):
-            m = re.match(r"([A-Za-z][\w.-]*)\s*(?:[=<>~!]=?\s*([\w.*]+))?", text)
-            add(m[1], m[2] or "", "pypi")
+            for name, v in entries(body.get(part)):
+                add(name, v if isinstance(v, str) else str(dict(entries(v)).get("version", "")), "cargo", dev)
+        listed = dict(entries(body.get("project"))).get("dependencies")
+        for text in listed if isinstance(listed, list) else ():
+            if m := re.match(r"([A-Za-z][\w.-]*)\s*(?:[=<>~!]=?\s*([\w.*]+))?", str(text)):
+                add(m[1], m[2] or "", "pypi")
     elif base == "mix.exs":
         for m in re.finditer(r"\{\s*:(\w+)\s*,\s*\"([^\"]+)\"([^}]*)\}", content):
             add(m[1], m[2], "hex", bool(re.search(r"only:\s*(?::(?:dev|test)|\[\s*:(?:dev|test))", m[3])))
@@ -273,39 +283,54 @@ def manifest_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
-def flow_facts(path: str, content: str) -> list[tuple]:
-    """Values that run from a source to a sink within HORIZON lines; what is known is forgotten at a function's start."""
-    taint: dict[str, int] = {}
+def flow_facts(path: str, view: View) -> list[tuple]:
+    """Values that run from a source to a sink within HORIZON lines; what is known is forgotten at a function's start. A cleaning
+    call on the way is a signal for a reader, no proof of safety: the flow stays. detail: signals; and status, partial where a
+    file has more than FLOWS flows."""
+    taint: dict[str, tuple[int, tuple]] = {}
     out: list[tuple] = []
-    live = masked(content, language(path) in ("python", "ruby", "shell"), strings=False)
-    for n, text in enumerate(live.split("\n"), 1):
+    for n, text in enumerate(view.live.split("\n"), 1):
         if re.match(r"\s*(?:async\s+)?(?:def|function|func|fn|public|private)\b", text):
             taint = {}
-        taint = {v: at for v, at in taint.items() if n - at <= HORIZON}
-        used = [v for v in taint if re.search(rf"\b{re.escape(v)}\b", text)]
+        taint = {v: t for v, t in taint.items() if n - t[0] <= HORIZON}
+        words = set(re.findall(r"\w+", text)) if taint else ()
+        used = [v for v in taint if v in words]
         direct = SOURCE.search(text)
+        signals = tuple(dict.fromkeys([c for v in used for c in taint[v][1]] + [m.strip(" (") for m in CLEAN.findall(text)]))
         sink = SINK.search(text)
-        if sink and (used or direct) and not CLEAN.search(text) and len(out) < FLOWS:
-            out.append(("flow", path, sink[1], min([taint[v] for v in used], default=n), n, used[0] if used else direct[0], None, "lexical"))
+        if sink and (used or direct):
+            out.append(("flow", path, sink[1], min([taint[v][0] for v in used], default=n), n, used[0] if used else direct[0], signals, "lexical"))
         given = re.match(r"\s*(?:const|let|var|String|final)?\s*(\w+)\s*(?::[^=]+)?=(?!=)", text)
         if given:
-            if (direct or used) and not CLEAN.search(text):
-                taint[given[1]] = n
+            if direct or used:
+                taint[given[1]] = n, signals
             else:
                 taint.pop(given[1], None)
-    return out
+    status = "partial" if len(out) > FLOWS else "complete"
+    return [(*f[:6], json.dumps({"signals": list(f[6]), "status": status}), f[7]) for f in out[:FLOWS]]
 
 
 def file_facts(path: str, content: str) -> list[tuple]:
-    """All facts of a file; a file that can't be parsed is read by patterns, and has a diagnostic."""
-    kind, out = language(path), shared_facts(path, content) + flow_facts(path, content)
-    try:
-        out += manifest_facts(path, content)
-        if kind == "python":
-            return out + python_facts(path, content)
-    except (SyntaxError, ValueError) as e:
-        out.append(("diagnostic", path, type(e).__name__, getattr(e, "lineno", None) or 1, 1, None, str(e)[:200], "parser"))
-    return out + pattern_facts(path, content, kind) if kind not in ("other", "sql", "html", "css") else out
+    """All facts of a file. Each part is read apart: one that fails leaves a diagnostic, and the others go on; a Python file
+    that can't be parsed is read by patterns."""
+    kind, out = language(path), []
+
+    def part(read, *given) -> bool:
+        try:
+            out.extend(read(path, *given))
+        except Exception as e:  # any file may be odd; its facts are not worth the job
+            out.append(("diagnostic", path, type(e).__name__, getattr(e, "lineno", None) or 1, 1, None, str(e)[:200], "parser"))
+            return False
+        return True
+
+    view = View(content, kind)
+    part(shared_facts, view)
+    part(flow_facts, view)
+    part(manifest_facts, content)
+    if (kind != "python" or not part(python_facts, content)) and kind not in ("other", "sql", "html", "css"):
+        part(pattern_facts, view)
+    out += [("diagnostic", path, "SyntaxError", view.line(at), view.line(at), None, what, "lexical") for at, what in view.faults]
+    return out
 
 
 def facts(files: DataFrame) -> DataFrame:

@@ -62,10 +62,13 @@ def test_rerank_and_sources(spark):
     assert retrieval.source_filter(chunks.withColumn("similarity", F.lit(0.15)), "what engine").count() == 0
 
 
-def test_routes(spark):
-    from tessera.plans import catalog_linkage as c
+ROUTES = [("r1", "GET", "/api/users/:param"), ("r2", "POST", "/api/users"), ("r3", "GET", "/v2/orders/items"), ("r4", "GET", "/v2/orders/:param"), ("r5", "DELETE", "/files/:param/meta")]
+CALLS = [("c1", "GET", "/api/users/7"), ("c2", "PUT", "/api/users"), ("c3", "GET", "/gateway/x/v2/orders/items"), ("c4", "GET", "/nothing/here"), ("c5", "DELETE", "/files/:param/meta"), ("c6", "GET", "/v2/orders/items")]
+
 
-    got = {r.call: (r.kind, r.route) for r in c.route_match(spark, "").collect()}
+def test_routes(spark):
+    calls, routes = spark.createDataFrame(CALLS, "call string, method string, path string"), spark.createDataFrame(ROUTES, "route string, method string, path string")
+    got = {r.call: (r.kind, r.route) for r in linkage.route_match(calls, routes).collect()}
     assert got == {"c1": ("exact", "r1"), "c2": ("method-mismatch", "r2"), "c3": ("suffix", "r3"), "c4": ("none", None), "c5": ("exact", "r5"), "c6": ("exact", "r3")}
 
 
