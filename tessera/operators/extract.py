@@ -460,7 +460,7 @@ def with_class(found: DataFrame) -> DataFrame:
     """path, name, line, class: the innermost class around each function."""
     from tessera.operators.linkage import innermost
 
-    f = found.where("kind = 'function'").select("path", "name", "line").withColumn("point", F.concat_ws("|", "path", "line", "name")).withColumn("at", F.col("line"))
+    f = found.where("kind = 'function'").select("path", "name", "line", F.concat_ws("|", "path", "seq").alias("point"), F.col("line").alias("at"))
     c = found.where("kind = 'class'").select("path", F.concat_ws("|", "line", "name").alias("span"), F.col("line").alias("start"), F.col("end_line").alias("end"))
     held = innermost(f.select("path", "point", "at"), c, "path")
     return f.join(held, "point").select("path", "name", "line", F.element_at(F.split("span", r"\|"), -1).alias("class"))

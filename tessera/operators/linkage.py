@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def config_keys(defined: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -59,12 +64,36 @@ def route_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return out.select("call", "kind", F.when(F.col("kind") == "exact", F.col("route")).when(F.col("kind") == "suffix", F.col("suffix_route")).when(F.col("kind") == "method-mismatch", F.col("any_route")).alias("route"))
 
 
+def swept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over starts of spans and points, by key and place: each point with the shortest open span. The heap holds the open
+    spans of one key; those that have ended go when they come to its top."""
+    key, heap = None, []
+    for batch in rows:
+        points, spans = [], []
+        for k, at, is_point, end, point, span in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                key, heap = k, []
+            if not is_point:
+                heapq.heappush(heap, (end - at, span, end))
+                continue
+            while heap and at is not None and heap[0][2] < at:
+                heapq.heappop(heap)
+            points.append(point)
+            spans.append(heap[0][1] if heap and at is not None else None)
+        yield pa.RecordBatch.from_arrays([pa.array(points, batch.schema.field("point").type), pa.array(spans, batch.schema.field("span").type)], names=["point", "span"])
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """point and the shortest span of its key that holds it (ties: least span id). points: key, point, at; spans: key,
-    span, start, end. The equi key keeps the range test within one file."""
-    held = points.join(spans, key, "left").where("span IS NULL OR (start <= at AND at <= end)")
-    best = held.groupBy("point").agg(F.min(F.struct(F.col("end") - F.col("start"), "span")).alias("b"))
-    return points.join(best, "point", "left").select("point", F.col("b.span").alias("span"))
+    span, start, end. Points and starts of spans are sorted together and swept once; no point meets all spans of its key.
+    A point without key or place, or in no span, has none."""
+    kind = {f.name: f.dataType for f in [*points.schema, *spans.schema]}
+    none = lambda c: F.lit(None).cast(kind[c]).alias(c)
+    p = points.select(F.col(key).alias("key"), F.col("at").cast("long"), F.lit(True).alias("is_point"), F.lit(None).cast("long").alias("end"), "point", none("span"))
+    s = spans.where(F.col(key).isNotNull() & F.col("span").isNotNull() & (F.col("start") <= F.col("end")))
+    s = s.select(F.col(key).alias("key"), F.col("start").cast("long").alias("at"), F.lit(False).alias("is_point"), F.col("end").cast("long"), none("point"), "span")
+    both = s.unionByName(p).repartition("key").sortWithinPartitions("key", "at", "is_point")
+    return both.mapInArrow(swept, T.StructType([T.StructField("point", kind["point"]), T.StructField("span", kind["span"])]))
 
 
 def parent_links(spans: DataFrame) -> DataFrame:
