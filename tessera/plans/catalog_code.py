@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import contracts, extract, graph, linkage, metrics, model, retrieval, security, text
+from tessera.operators import contracts, extract, flows, graph, linkage, metrics, model, retrieval, security, text
 from tessera.plans.registry import registry
 from tessera.plans.storage import stored
 from tessera.sources import repository, views
@@ -275,3 +275,13 @@ def code_orphan_tables(spark, sf_dir):
     t = found.where("kind = 'table'")
     keys = t.select("name", F.explode(F.from_json(F.get_json_object("detail", "$.keys"), "array<array<string>>")).alias("k")).select(F.col("name").alias("source"), F.col("k")[1].alias("target"))
     return linkage.unnamed(linkage.orphans(t.select("name", "path"), keys), files).select("name")
+
+
+@query("""WITH k AS (SELECT 'flow/c' || c_custkey || '.js' AS path, c_custkey AS k, c_custkey % 10 AS n FROM customer UNION ALL SELECT 'flow/s' || s_suppkey || '.js', s_suppkey, s_suppkey % 10 FROM supplier)
+SELECT path || '|1|handle' || k AS source, CAST(2 + n AS INTEGER) AS source_line, path || '|' || (10 + n) || '|second' || k AS sink, CAST(11 + n AS INTEGER) AS sink_line, 'query' AS operation, 2 AS hops FROM k WHERE k % 3 = 0""")
+def code_parameter_flows(spark, sf_dir):
+    """Inputs that reach an operation through parameters of at most three calls; clean arguments and a fourth call don't."""
+    files = views.flow_code(spark, sf_dir)
+    found = stored(extract.facts(files), "facts")
+    calls = extract.resolve_calls(found, extract.resolve_imports(files, found))
+    return flows.parameter_flows(files, calls).select("source", "source_line", "sink", "sink_line", "operation", "hops")

@@ -111,3 +111,21 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = keys[name].select(F.explode(F.array(*(F.struct(fill(F.lit(p)).alias("path"), fill(F.lit(c)).alias("content")) for p, c in files_))).alias("f")).select("f.*")
         out = made if out is None else out.union(made)
     return out
+
+
+#: Files whose inputs pass through calls, by the row's key: two calls to an operation, a clean argument in the tainted one's place, and
+#: four calls. Names, decoys and empty lines differ by row; {k} is the key, {n} as many empty lines as its last digit.
+FLOWS = (
+    "function handle{k}(req, db) {{n}\n  const q = req.query.name;\n  const safe = 'req.query.x';\n  return first{k}(safe, q, db);\n}\nfunction first{k}(a, b, db) {\n  const c = `${b} and ${a}`;\n  return second{k}(c, db);\n}\nfunction second{k}(sql, db) {\n  db.query(sql);\n}\n",
+    "function handle{k}(req, db) {{n}\n  const q = req.query.name;\n  return first{k}(q, 'x', db);\n}\nfunction first{k}(a, b, db) {\n  // const b = a;\n  return second{k}(b, db);\n}\nfunction second{k}(sql, db) {\n  db.query(sql);\n}\n",
+    "function handle{k}(req) {{n}\n  one{k}(req.body.x);\n}\nfunction one{k}(a) {\n  two{k}(a);\n}\nfunction two{k}(a) {\n  three{k}(a);\n}\nfunction three{k}(a) {\n  four{k}(a);\n}\nfunction four{k}(a) {\n  eval(a);\n}\n",
+)
+
+
+def flow_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of a file of FLOWS for each row of customer and supplier."""
+    key = lambda t, c, p: table(spark, sf_dir, t).select(F.col(c).alias("k"), F.lit(p).alias("p"))
+    rows = key("customer", "c_custkey", "flow/c").union(key("supplier", "s_suppkey", "flow/s"))
+    body = F.get(F.array(*map(F.lit, FLOWS)), (F.col("k") % 3).cast("int"))
+    filled = F.replace(F.replace(body, F.lit("{k}"), F.col("k").cast("string")), F.lit("{n}"), F.repeat(F.lit("\n"), (F.col("k") % 10).cast("int")))
+    return rows.select(F.concat("p", F.col("k").cast("string"), F.lit(".js")).alias("path"), filled.alias("content"))
