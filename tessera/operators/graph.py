@@ -124,12 +124,13 @@ def migration_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of every component of two nodes or more.
+    """node, component (its least node) of every component with a cycle: of two nodes or more, or one with an edge to itself.
 
     Rounds of trimming (nodes without an edge in or out can't lie on a cycle) and of colouring: each node takes the
     greatest node that reaches it; a colour's component is what reaches its root within the colour.
     """
     live = stored(edges.select("source", "target").where("source <> target").distinct(), "scc")
+    alone = edges.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component")).distinct()
     found = None
     while True:
         before = -1
@@ -160,9 +161,51 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         gone = seen.select("node")
         live = stored(live.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"), "scc")
     if found is None:
-        return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
-    by = found.withColumn("n", F.count("*").over(W.partitionBy("c"))).withColumn("component", F.min("node").over(W.partitionBy("c")))
-    return by.where("n > 1").select("node", "component")
+        return alone
+    by = found.groupBy("c").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
+    several = stored(found.join(by, "c").select("node", "component"), "scc")
+    return several.union(alone.join(several, "node", "left_anti"))
+
+
+def condensation(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of components: node, component, layer of every node, and source, target, n of the edges between components.
+
+    A component outside all cycles is its node. Its layer is the length of the longest path that ends in it. Each round settles the
+    components whose predecessors are all settled, and joins their edges alone; a graph of components has no cycle, so all are.
+    """
+    cycles = strongly_connected(edges)
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    held = stored(nodes.join(cycles, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "held")
+    side = lambda c, n: held.select(F.col("node").alias(c), F.col("component").alias(n))
+    across = edges.select("source", "target").join(side("source", "a"), "source").join(side("target", "b"), "target").where("a <> b")
+    links = stored(across.groupBy("a", "b").agg(F.count("*").alias("n")).select(F.col("a").alias("source"), F.col("b").alias("target"), "n"), "links")
+    waits = stored(links.groupBy(F.col("target").alias("component")).agg(F.count("*").alias("left")), "waits")
+    front = stored(held.select("component").distinct().join(waits, "component", "left_anti"), "front")
+    layers, layer = front.withColumn("layer", F.lit(0)), 0
+    while True:
+        layer += 1
+        told = front.join(links, F.col("component") == F.col("source")).groupBy("target").agg(F.count("*").alias("done")).withColumnRenamed("target", "component")
+        waits = stored(waits.join(told, "component", "left").select("component", (F.col("left") - F.coalesce("done", F.lit(0))).alias("left")), "waits")
+        front = stored(waits.where("left = 0").select("component"), "front")
+        if front.isEmpty():
+            break
+        waits = waits.where("left > 0")
+        layers = layers.union(front.withColumn("layer", F.lit(layer)))
+    return held.join(layers, "component").select("node", "component", "layer"), links
+
+
+def cycle_summaries(edges: DataFrame, most: int = 5) -> DataFrame:
+    """component, n_nodes, n_edges (within), n_in, n_out (to others), members (the least `most`) of every component with a cycle."""
+    cycles = stored(strongly_connected(edges), "cycles")
+    side = lambda c, n: cycles.select(F.col("node").alias(c), F.col("component").alias(n))
+    e = edges.select("source", "target").distinct().join(side("source", "a"), "source", "left").join(side("target", "b"), "target", "left")
+    inner = F.col("a").eqNullSafe(F.col("b"))
+    ends = e.where(inner & F.col("a").isNotNull()).select(F.col("a").alias("component"), F.lit("within").alias("w")).union(e.where(~inner & F.col("b").isNotNull()).select("b", F.lit("in"))).union(e.where(~inner & F.col("a").isNotNull()).select("a", F.lit("out")))
+    counts = ends.groupBy("component").agg(F.count_if(F.col("w") == "within").alias("n_edges"), F.count_if(F.col("w") == "in").alias("n_in"), F.count_if(F.col("w") == "out").alias("n_out"))
+    rank = F.row_number().over(W.partitionBy("component").orderBy("node"))  # ranked and cut before any is gathered
+    members = cycles.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    size = cycles.groupBy("component").agg(F.count("*").alias("n_nodes"))
+    return size.join(counts, "component").join(members, "component").select("component", "n_nodes", "n_edges", "n_in", "n_out", "members")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -170,16 +213,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
 
 
-def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """Nodes that no root reaches: one traversal from all roots together."""
+def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes that no root reaches: one traversal from all roots together, to its end or within `depth` edges."""
     start = roots.select("node").distinct()
     seen = stored(start, "reach")
-    front, steps = seen, stored(arcs(edges, "out"), "reach")
-    for _ in range(depth):
+    front, steps, d = seen, stored(arcs(edges, "out"), "reach"), 0
+    while depth is None or d < depth:
+        d += 1
         front = stored(front.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
         if front.isEmpty():
             break
         seen = seen.union(front)
+        if d % 20 == 0:  # a long chain must not become a plan of as many tables
+            seen = stored(seen, "reach")
     return nodes.select("node").distinct().join(seen, "node", "left_anti")
 
 

@@ -166,7 +166,7 @@ SELECT node FROM n WHERE node NOT IN (SELECT node FROM w)""")
 def unreachable(spark, sf_dir):
     e = views.edges(spark, sf_dir)
     nodes = e.select(F.col("source").alias("node")).union(e.select("target"))
-    return graph.unreachable(nodes, e, nodes.where("node LIKE 'customer/%'"), 6)
+    return graph.unreachable(nodes, e, nodes.where("node LIKE 'customer/%'"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT DISTINCT target AS a, source AS b FROM e),

@@ -47,9 +47,11 @@ def stored_by(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFr
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes stored frames that nothing will read again."""
+    """Deletes stored frames that nothing will read again; other tables are left alone."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}:
+        if not path.rsplit("/", 1)[-1].startswith(("tessera-", "tessera_")):
+            continue
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 

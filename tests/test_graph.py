@@ -70,3 +70,22 @@ def test_greedy_trace_does_not_return(spark):
     e = spark.createDataFrame([("a", "b", 3), ("a", "c", 1), ("b", "a", 9), ("b", "c", 1)], "source string, target string, weight int")
     got = sorted((r.hop, r.node) for r in graph.greedy_trace(e, nodes(spark, "a")).collect())
     assert got == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_loops_condensation_and_layers(spark):
+    edges = [(1, 2), (2, 1), (3, 3), (2, 3), (2, 3), (3, 4), (1, 4), (4, 5), (5, 6), (6, 4), (6, 7), (8, 7), (9, 9)]
+    e = frame(spark, edges, "source int, target int")
+    assert {tuple(r) for r in graph.strongly_connected(e).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4), (9, 9)}
+    nodes, links = graph.condensation(e)
+    assert {(r.node, r.component, r.layer) for r in nodes.collect()} == {(1, 1, 0), (2, 1, 0), (3, 3, 1), (4, 4, 2), (5, 4, 2), (6, 4, 2), (7, 7, 3), (8, 8, 0), (9, 9, 0)}
+    assert {tuple(r) for r in links.collect()} == {(1, 3, 2), (3, 4, 1), (1, 4, 1), (4, 7, 1), (8, 7, 1)}
+    got = {tuple(r[:5]): r.members for r in graph.cycle_summaries(e, 2).collect()}
+    assert got == {(1, 2, 2, 0, 2): [1, 2], (3, 1, 1, 1, 1): [3], (4, 3, 3, 2, 1): [4, 5], (9, 1, 1, 0, 0): [9]}
+
+
+def test_unreachable_in_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(25)] + [(40, 41)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(26), 40, 41]], "node int")
+    e, roots = frame(spark, chain, "source int, target int"), nodes.where("node = 0")
+    assert {r.node for r in graph.unreachable(nodes, e, roots).collect()} == {40, 41}
+    assert {r.node for r in graph.unreachable(nodes, e, roots, 3).collect()} == {*range(4, 26), 40, 41}
