@@ -150,6 +150,17 @@ def strongly_connected(spark, sf_dir):
     return graph.strongly_connected(views.handoffs(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {HANDOFFS}, r AS (SELECT source AS a, target AS b FROM h UNION SELECT r.a, h.target FROM r JOIN h ON r.b = h.source),
+c AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a),
+e AS (SELECT s.component AS a, t.component AS b FROM h LEFT JOIN c s ON h.source = s.node LEFT JOIN c t ON h.target = t.node),
+n AS (SELECT component, count(*) AS n_nodes, array_to_string(list_slice(list(node ORDER BY node), 1, 5), ',') AS members FROM c GROUP BY component)
+SELECT component, n_nodes, members, (SELECT count(*) FROM e WHERE a = component AND b = component) AS n_edges, (SELECT count(*) FROM e WHERE b = component AND a IS DISTINCT FROM component) AS n_in,
+  (SELECT count(*) FROM e WHERE a = component AND b IS DISTINCT FROM component) AS n_out FROM n""")
+def cycle_summaries(spark, sf_dir):
+    found = graph.cycle_summaries(views.handoffs(spark, sf_dir))
+    return found.select("component", "n_nodes", F.array_join("members", ",").alias("members"), "n_edges", "n_in", "n_out")
+
+
 #: Rounds of least neighbours, over twice as many as the graph is wide.
 ROUNDS = "".join(f", l{i + 1} AS (SELECT l.node, least(min(l.c), min(m.c)) AS c FROM l{i} l JOIN u ON l.node = u.a JOIN l{i} m ON u.b = m.node GROUP BY l.node)" for i in range(12))
 
