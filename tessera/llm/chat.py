@@ -1,8 +1,8 @@
 """Chat formatting: layouts are told apart by a hash of their field paths and mapped to canonical turns.
 
-A record's fingerprint is the hash of the sorted nested paths that hold a value in it, of all paths that the registry's
-layouts for its table name. The registry maps each fingerprint to a declarative mapping (which path gives role, text,
-order), and this hash always selects it; see layouts_of() and registry(). Canonical turns are rendered as
+A record has a fingerprint for each layout its table can hold: the hash of the sorted nested paths of that layout that hold a value
+in it. The registry knows the fingerprints of a layout's whole and of none of its paths; these hashes alone select the declarative
+mapping (which path gives role, text, order), and they grow with the layouts; see layouts_of() and selected(). Canonical turns are rendered as
 
     <|turn|>ROLE<|text|>TEXT<|end|>
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,17 +115,18 @@ def layouts_of(have: set[str], layouts: tuple[Mapping, ...] = LAYOUTS) -> list[M
     return out
 
 
-def registry(layouts: list[Mapping]) -> dict[int, int]:
-    """From each fingerprint that records of these layouts can have to the layout's number: the first one whose paths are
-    all there, else the first with any, else (nothing holds a value) the first."""
-    paths_ = sorted({p for m in layouts for p in m.fields})
-    out = {}
-    for n in range(len(paths_) + 1):
-        for present in map(set, combinations(paths_, n)):
-            whole = [i for i, m in enumerate(layouts) if set(m.fields) <= present]
-            some = [i for i, m in enumerate(layouts) if set(m.fields) & present]
-            out[fingerprint(list(present))] = (whole or some or [0])[0]
-    return out
+def registry(layouts: list[Mapping]) -> list[tuple[int, int]]:
+    """For each layout the fingerprints of all of its paths and of none."""
+    return [(fingerprint(list(m.fields)), fingerprint([])) for m in layouts]
+
+
+def selected(own: list[Column], layouts: list[Mapping]) -> Column:
+    """The number of a record's layout by its fingerprints: the first one whose paths are all there, else the first with any, else
+    (nothing holds a value) the first."""
+    known = registry(layouts)
+    whole = [F.when(h == full, i) for i, (h, (full, _)) in enumerate(zip(own, known))]
+    some = [F.when(h != none, i) for i, (h, (_, none)) in enumerate(zip(own, known))]
+    return F.coalesce(*whole, *some, F.lit(0))
 
 
 def holds(path: str) -> Column:
@@ -145,14 +145,12 @@ def canonical_turns(df: DataFrame, conv_id: str) -> DataFrame:
     if not fits:
         raise ValueError(f"no layout has the fields {have}, fingerprint {fingerprint(have)}")
     known = sorted({p for m in fits for p in m.fields})
-    own = F.xxhash64(F.array_join(F.array_compact(F.array(*(F.when(holds(p), F.lit(p)) for p in known))), "\n"))
-    selected = registry(fits)
-    keys = lambda i: [h for h, n in selected.items() if n == i]
-    turns = F.raise_error(F.lit("a fingerprint that the registry lacks"))
-    for i, m in enumerate(fits):
-        turns = F.when(F.col("_fingerprint").isin(keys(i)), m.turns()).otherwise(turns)
+    own = lambda m: F.xxhash64(F.array_join(F.array_compact(F.array(*(F.when(holds(p), F.lit(p)) for p in sorted(m.fields)))), "\n"))
+    turns = fits[0].turns()
+    for i, m in enumerate(fits[1:], 1):
+        turns = F.when(F.col("_layout") == i, m.turns()).otherwise(turns)
     tops = dict.fromkeys(re.split(r"\[\]|\.", p)[0] for p in known)
-    read = df.select(F.col(conv_id).cast("long").alias("_conv"), own.alias("_fingerprint"), *(F.col(f"`{c}`") for c in tops if c != conv_id))
+    read = df.select(F.col(conv_id).cast("long").alias("_conv"), selected([own(m) for m in fits], fits).alias("_layout"), *(F.col(f"`{c}`") for c in tops if c != conv_id))
     out = read.select(F.col("_conv").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
     role = F.coalesce(F.col("role"), F.lit(""))
     if any(m.kind == "messages" for m in fits):

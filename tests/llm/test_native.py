@@ -68,14 +68,30 @@ def test_fingerprint_is_the_engine_s(spark):
         assert spark.range(1).select(column.alias("h")).first().h == chat.fingerprint(s)
 
 
-def test_registry_decides_for_every_record():
+def test_registry_decides_for_every_record(spark):
+    """All subsets of paths, against the rule by sets; and the registry grows with layouts."""
     fits = chat.layouts_of({"role", "text", "turn", "content", "prompt", "completion", "messages[].role"})
-    assert [m.fields for m in fits] == [("role", "text", "turn"), ("completion", "prompt")]
-    known = chat.registry(fits)
-    assert len(known) == 2**5 and known[chat.fingerprint(["completion", "prompt"])] == 1 and known[chat.fingerprint(["turn"])] == 0
-
-
-CHAT_EXTRAS = ("formatted", "content", "prompt", "messages", "t", "rows", "_fingerprint", "_conv", "turns", "loss_mask", "p")
+    assert [m.fields for m in fits] == [("role", "text", "turn"), ("completion", "prompt")] and len(chat.registry(fits)) == 2
+    names = sorted(p for m in fits for p in m.fields)
+    rows = [tuple("x" if n >> i & 1 else None for i in range(len(names))) for n in range(2 ** len(names))]
+    own = [F.xxhash64(F.array_join(F.array_compact(F.array(*(F.when(F.col(p).isNotNull(), F.lit(p)) for p in sorted(m.fields)))), "\n")) for m in fits]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    for r in df.withColumn("i", chat.selected(own, fits)).collect():
+        there = {n for n in names if r[n]}
+        whole = [i for i, m in enumerate(fits) if set(m.fields) <= there]
+        some = [i for i, m in enumerate(fits) if set(m.fields) & there]
+        assert r.i == (whole or some or [0])[0]
+
+
+def test_a_table_with_all_layouts(spark):
+    schema = "id long, role string, text string, turn int, prompt string, completion string, instruction string, input string, output string, question string, answer string, system string, messages array<struct<role: string, content: string>>, conversations array<struct<`from`: string, value: string>>"
+    none = (None,) * 13
+    rows = [(1, *none), (2, *none[:9], "why", "so", None, None)[:14], (3, *none[:12], [("human", "q")])]
+    got = {(r.conv_id, r.role, r.text) for r in chat.canonical_turns(spark.createDataFrame([(*r, *none)[:14] for r in rows], schema), "id").collect()}
+    assert (3, "user", "q") in got and {c for c, _, _ in got} >= {1, 3}
+
+
+CHAT_EXTRAS = ("formatted", "content", "prompt", "messages", "t", "rows", "_layout", "_conv", "turns", "loss_mask", "p")
 
 
 def test_chat_nulls_ties_empty(spark):
