@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.lexer import BRACES, Blocks, Lines, closed, holders, lex
+from tessera.operators.modules import config_facts, entries, joined, module_targets, package_facts
 from tessera.operators.text import masked
+from tessera.plans.storage import stored
 
 FACT = "kind string, path string, name string, line int, end_line int, owner string, detail string, mode string, seq int"
 NAMES = [c.split()[0] for c in FACT.split(", ")]
@@ -40,9 +42,19 @@ ENDPOINT = (
 FLASK = re.compile(r"@\w+\.route\s*\(\s*[\"']([^\"']+)[\"'](?:[^)]*methods\s*=\s*\[([^\]]*)\])?")
 AUTH = re.compile(r"@PreAuthorize|@Secured|login_required|Depends\(\s*get_current|requireAuth|authenticate|isAuthenticated|passport\.")
 CREATE = re.compile(r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?([\w.]+)[`\"\]]?\s*\((.*?)\)\s*;")
-BINDINGS = re.compile(r"""\b(import|export)\s*(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]""")
-#: Files that an exported name is followed through.
-CHAIN = 4
+BINDINGS = re.compile(r"""\b(import|export)\s*(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]""")
+#: Names for a whole module or its default, and modules whose names are all given on.
+MODULE_BINDING = re.compile(r"""\bimport\s+(?:type\s+)?(?:([\w$]+)\s*(?:,\s*(?:\{[^}]*\}|\*\s*as\s+([\w$]+))\s*)?|\*\s*as\s+([\w$]+)\s*)\s*from\s*['"]([^'"]+)['"]""")
+REQUIRED = re.compile(r"""\b(?:const|let|var)\s+(?:([\w$]+)|\{([^}]*)\})\s*=\s*require\s*\(\s*['"]([^'"]+)['"]\s*\)""")
+ALL_NAMES = re.compile(r"""\bexport\s*\*\s*from\s*['"]([^'"]+)['"]""")
+OWN_EXPORT = re.compile(r"""\bexport\s*(?:\{([^}]*)\}(?!\s*from)|default\s+(?:(?:async\s+)?function\s*\*?\s*|(?:abstract\s+)?class\s+)?([\w$]+)(?!\s*[\w$(.,\[]*=>))""")
+#: Methods in a class body of JavaScript, which need no word before their names.
+MEMBER = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*\*?\s*(#?[\w$]+)\s*(?:<[^<>(){};]*>)?\((?:[^;{}()]|\([^()]*\))*\)\s*(?::\s*[^{};=()]+)?\{")
+CALL = re.compile(r"(?:(?<![\w$.])|(?<=[\s)\]}!?]\.))((?:[\w$]+\s*\??\.\s*)*)([A-Za-z_$][\w$]*)\s*\(")
+#: Variables whose type is told: made by new, annotated, or declared type first.
+MADE = re.compile(r"(?<![\w$.])((?:this\s*\.\s*)?[\w$]+)\s*[!?]?(?::\s*([A-Z][\w$.]*)[^=;\n(){}]*)?=\s*(?:await\s+)?new\s+([\w$.]+)")
+ANNOTATION = re.compile(r"(?m)(?:\b(const|let|var|val|public|private|protected|readonly|static|lateinit|override)\s+|[(,]\s*|^[ \t]*)([\w$]+)\s*[!?]?:\s*([A-Z][\w$.]*)")
+TYPE_FIRST = re.compile(r"(?<![\w$.])([A-Z][\w$.]*)(?:\s*<[^;={}()\n]*>)?(?:\[\])?[ \t]+([a-z_$][\w$]*)\s*(?=[=;,):])")
 #: What calls a server from a client: fetch, or a verb of a usual HTTP client.
 CLIENT = re.compile(r"(?:\bfetch|\b(?:axios|http|httpClient|apiClient|client|\$http|requests)\.(get|post|put|delete|patch))\s*\(\s*([`'\"])([^`'\"\n]+)\2([^;\n]{0,200})")
 NAMED_HANDLER = re.compile(r"\.(?:get|post|put|delete|patch)\s*\(\s*[\"'`][^\"'`]+[\"'`]\s*,\s*(?:[\w$.]+\s*,\s*)*([A-Za-z_$][\w$]*)\s*\)")
@@ -100,9 +112,16 @@ def python_facts(path: str, content: str) -> list[tuple]:
         except RecursionError:
             return None
 
+    def told(node) -> str | None:
+        """The class that an annotation or a call names, as classes are written."""
+        name = node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else written(node) if isinstance(node, (ast.Name, ast.Attribute)) else ""
+        return name if re.fullmatch(r"(?:\w+\.)*_*[A-Z]\w*", name or "") else None
+
     while todo:
         n, owner, inside = todo.pop()
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            given = [(a.arg, told(a.annotation)) for a in (*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs)]
+            out.extend(("typed", path, a, n.lineno, n.lineno, kind, None, "ast") for a, kind in given if kind)
             out.append(("function", path, n.name, n.lineno, n.end_lineno, owner, json.dumps({"params": len(n.args.args), "exported": not n.name.startswith("_"), "top": inside is None and owner is None}), "ast"))
             owner, inside = None, n.name
         elif isinstance(n, ast.ClassDef):
@@ -117,6 +136,12 @@ def python_facts(path: str, content: str) -> list[tuple]:
             out.extend(("import", path, a.name, n.lineno, n.lineno, None, a.asname or a.name, "ast") for a in n.names)
         elif isinstance(n, ast.ImportFrom):
             out.extend(("import", path, "." * n.level + (n.module or ""), n.lineno, n.lineno, a.name, a.asname or a.name, "ast") for a in n.names)
+        elif isinstance(n, (ast.Assign, ast.AnnAssign)):
+            target = n.target if isinstance(n, ast.AnnAssign) else n.targets[0] if len(n.targets) == 1 else None
+            made = n.value.func if isinstance(n.value, ast.Call) else None
+            kind = told(n.annotation) if isinstance(n, ast.AnnAssign) else told(made)
+            if kind and isinstance(target, (ast.Name, ast.Attribute)):
+                out.append(("typed", path, written(target), n.lineno, n.lineno, kind, None, "ast"))
         elif isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute)):
             name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr
             receiver = None if isinstance(n.func, ast.Name) else written(n.func.value)
@@ -141,6 +166,30 @@ def synthetic(path: str, kind: str, owner: str, line: int, marks: list[str], bod
     return [("function", path, n, line, line, owner, json.dumps({"params": 0, "exported": True, "top": False}), "synthetic") for n in names]
 
 
+def module_facts(path: str, view: View, blank: str) -> list[tuple]:
+    """What a file takes from modules by which names, and gives to others. blank: the code without comments and strings."""
+    content, line, out = view.content, view.line, []
+    live = lambda pattern: (m for m in pattern.finditer(content) if blank[m.start() : m.start() + 3].strip())
+    pairs = lambda text, word: ([x.strip() for x in re.sub(r"^\s*type\s+", "", g).partition(word)[::2]] for g in text.split(",") if g.strip())
+    row = lambda kind, m, spec, given, local: out.append((kind, path, spec, line(m.start()), line(m.start()), given, local, "lexical"))
+    for m in live(BINDINGS):
+        for given, local in pairs(m[2], " as "):
+            row("binding" if m[1] == "import" else "reexport", m, m[3], given, local or given)
+    for m in live(MODULE_BINDING):
+        for given, local in (("default", m[1]), ("*", m[2] or m[3])):
+            if local:
+                row("binding", m, m[4], given, local)
+    for m in live(REQUIRED):
+        for given, local in [("*", m[1])] if m[1] else pairs(m[2], ":"):
+            row("binding", m, m[3], given, local or given)
+    for m in live(ALL_NAMES):
+        row("reexport", m, m[1], "*", "*")
+    for m in live(OWN_EXPORT):
+        for local, given in [(m[2], "default")] if m[2] else pairs(m[1], " as "):
+            row("export", m, local, None, given or local)
+    return out
+
+
 def pattern_facts(path: str, view: View) -> list[tuple]:
     content, kind, code, line, out = view.content, view.kind, view.code, view.line, []
     for m in TYPE.finditer(code):
@@ -160,6 +209,11 @@ def pattern_facts(path: str, view: View) -> list[tuple]:
     declared = set()
     found = [(next(g for g in m.groups() if g), m) for m in FUNCTION.finditer(code)]
     found = [(name, m, line(m.start() + len(m[0]) - len(m[0].lstrip()))) for name, m in found if name not in WORDS_NOT_CALLED]
+    if kind in ("javascript", "typescript"):
+        seen = {(name, first) for name, _, first in found}
+        more = [(m[1], m, line(m.start(1))) for m in MEMBER.finditer(code) if m[1] not in WORDS_NOT_CALLED]
+        inside = holders(spans, [first for _, _, first in more])
+        found = sorted([*found, *(t for t, owner in zip(more, inside) if owner and (t[0], t[2]) not in seen)], key=lambda t: t[2])
     for (name, m, first), owner in zip(found, holders(spans, [first for _, _, first in found])):
         params = m[0].count(",") + 1 if re.search(r"\(\s*\w", m[0]) else 0
         out.append(("function", path, name, first, line(view.blocks.end(m.end() - 1)), owner, json.dumps({"params": params, "exported": "export" in m[0] or "public" in m[0], "top": owner is None}), "lexical"))
@@ -169,14 +223,22 @@ def pattern_facts(path: str, view: View) -> list[tuple]:
     for m in imports.finditer(content):
         if blank[m.start() : m.start() + 3].strip():  # not within a comment or string
             out.append(("import", path, next(g for g in m.groups() if g), line(m.start()), line(m.start()), None, None, "lexical"))
-    for m in BINDINGS.finditer(content):
-        if blank[m.start() : m.start() + 3].strip():
-            for given in filter(str.strip, m[2].split(",")):
-                exported, _, local = (x.strip() for x in given.strip().partition(" as "))
-                out.append(("binding" if m[1] == "import" else "reexport", path, m[3], line(m.start()), line(m.start()), exported, local or exported, "lexical"))
-    for m in re.finditer(r"\b(?:(\w+)\s*\.\s*)?([A-Za-z_]\w*)\s*\(", code):
-        if m[2] not in WORDS_NOT_CALLED and code[m.start() - 1 : m.start()] != "@" and (m[2], line(m.start())) not in declared:
-            out.append(("call", path, m[2], line(m.start()), line(m.start()), m[1], None, "lexical"))
+    out += module_facts(path, view, blank)
+    for m in CALL.finditer(code):
+        receiver = re.sub(r"[\s?]|\.\s*$", "", m[1]) or None
+        if code[m.start() - 1 : m.start()] == ".":
+            receiver = "?"
+        if m[2] not in WORDS_NOT_CALLED and code[m.start() - 1 : m.start()] != "@" and (receiver or (m[2], line(m.start())) not in declared):
+            out.append(("call", path, m[2], line(m.start()), line(m.start()), receiver, None, "lexical"))
+    typed = [(m[1], m[2] or m[3], m.start(1)) for m in MADE.finditer(code)]
+    if kind in ("typescript", "kotlin", "scala"):
+        told = list(ANNOTATION.finditer(code))
+        typed += [(m[2], m[3], m.start(2)) for m in told]
+        typed += [("this." + m[2], m[3], m.start(2)) for m in told if m[1] in ("public", "private", "protected", "readonly")]  # also as a parameter
+    if kind in ("java", "csharp"):
+        typed += [(m[2], m[1], m.start(2)) for m in TYPE_FIRST.finditer(code)]
+    typed = dict.fromkeys((re.sub(r"\s", "", name), of, line(at)) for name, of, at in typed)
+    out += [("typed", path, name, at, at, of, None, "lexical") for name, of, at in typed if of]
     if kind in ("java", "kotlin", "scala"):
         used = {m[0]: m.start() for m in reversed(list(re.finditer(r"\b[A-Z]\w*\b", code)))}
         out += [("reference", path, name, line(at), line(at), None, None, "lexical") for name, at in sorted(used.items())]
@@ -222,32 +284,16 @@ def shared_facts(path: str, view: View) -> list[tuple]:
     return out
 
 
-def entries(part) -> list[tuple]:
-    """A table's entries; other shapes have none."""
-    return list(part.items()) if isinstance(part, dict) else []
-
-
-def mapping_facts(path: str, content: str) -> list[tuple]:
-    """Path mappings of a configuration, comments and trailing commas allowed: pattern, value, and the folder both start from."""
-    plain = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", content)
-    options = dict(entries(dict(entries(json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)))).get("compilerOptions")))
-    folder, base = path.rsplit("/", 1)[0] if "/" in path else "", options.get("baseUrl")
-    base = base if isinstance(base, str) else None
-    root = "/".join(p for p in f"{folder}/{base or ''}".split("/") if p not in ("", "."))
-    given = [(pattern, value) for pattern, values in entries(options.get("paths")) if isinstance(values, list) for value in values if isinstance(value, str)]
-    rows = given + ([("*", "*")] if base is not None else [])
-    return [("path-mapping", path, pattern, 1, 1, value, json.dumps({"folder": folder, "root": root}), "manifest") for pattern, value in rows]
-
-
 def manifest_facts(path: str, content: str) -> list[tuple]:
     """Packages of npm, pip, Maven, Gradle, Go, Cargo, Composer and Bundler manifests."""
     base, out = path.rsplit("/", 1)[-1], []
     if re.fullmatch(r"(?:tsconfig|jsconfig)[\w.]*\.json", base):
-        return mapping_facts(path, content)
+        return config_facts(path, content)
     add = lambda name, version, eco, dev=False: out.append(("dependency", path, name, 1, 1, eco, json.dumps({"version": version, "dev": dev}), "manifest"))
     if base in ("package.json", "composer.json"):
         body = dict(entries(json.loads(content)))
         eco = "npm" if base == "package.json" else "composer"
+        out += package_facts(path, body) if eco == "npm" else []
         for part, dev in (("dependencies", False), ("devDependencies", True), ("require", False), ("require-dev", True)):
             for name, version in entries(body.get(part)):
                 add(name, str(version), eco, dev)
@@ -345,24 +391,12 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def candidates(path: str, spec: str, member: str | None) -> list[str]:
-    """Paths that an import may mean, in order of preference."""
+    """Paths that an import of Python or of a JVM language may mean, in order of preference; for scripts see modules."""
     kind, folder = language(path), path.rsplit("/", 1)[0] if "/" in path else ""
-
-    def join(base: str, rest: str) -> str | None:
-        parts = [p for p in base.split("/") if p]
-        for p in rest.split("/"):
-            if p == "..":
-                if not parts:
-                    return None
-                parts.pop()
-            elif p not in ("", "."):
-                parts.append(p)
-        return "/".join(parts)
-
     out: list[str] = []
     if kind == "python":
         dots = len(spec) - len(spec.lstrip("."))
-        base = join(folder, "/".join([".."] * (dots - 1))) if dots else ""
+        base = joined(folder, "/".join([".."] * (dots - 1))) if dots else ""
         if base is not None:
             at = "/".join(filter(None, [base, spec.lstrip(".").replace(".", "/")]))
             if member:
@@ -370,12 +404,6 @@ def candidates(path: str, spec: str, member: str | None) -> list[str]:
             out += [f"{at}.py", f"{at}/__init__.py".lstrip("/")] if at else ["__init__.py"]
     elif kind in ("java", "kotlin", "scala"):
         out.append(spec.replace(".", "/") + ".java")
-    elif spec.startswith("."):
-        at = join(folder, spec)
-        if at:
-            out += [at, *(f"{at}.{x}" for x in ("ts", "tsx", "js", "jsx", "mjs")), *(f"{at}/index.{x}" for x in ("ts", "tsx", "js", "jsx"))]
-    elif spec.startswith("@/"):
-        out += [f"src/{spec[2:]}.{x}" for x in ("ts", "tsx", "js", "jsx")]
     return list(dict.fromkeys(out))
 
 
@@ -391,9 +419,8 @@ def import_targets(files: DataFrame, found: DataFrame) -> DataFrame:
     imports = found.where("kind = 'import'").select("path", "seq", "line", "name", F.col("owner").alias("member"))
     known, own = files.select(F.col("path").alias("target")), ["path", "seq", "line"]
     jvm = language_of(F.col("path")).isin("java", "kotlin", "scala")
-    plain = imports.where(~jvm).select(*own, F.posexplode(candidate_paths("path", "name", "member")).alias("rank", "target")).join(known, "target")
-    mapped = mapped_targets(imports.where(~jvm), found).join(known, "target")
-    plain = plain.select(*own, "rank", "target").union(mapped.select(*own, "rank", "target"))
+    plain = imports.where(~jvm).select(*own, F.posexplode(candidate_paths("path", "name", "member")).alias("n", "target")).select(*own, F.array("n").alias("rank"), "target")
+    plain = plain.union(module_targets(imports.where(~jvm), found).select(*own, "rank", "target")).join(known, "target")
     best = plain.groupBy(*own).agg(F.min_by("target", "rank").alias("target")).select(*own, "target", F.lit("import").alias("type"), F.lit("resolved").alias("resolution"))
     classes = package_classes(found)
     named = imports.where(jvm & ~F.endswith("name", F.lit(".*"))).join(classes, F.concat_ws(".", "pkg", "cls") == F.col("name"))
@@ -404,29 +431,6 @@ def import_targets(files: DataFrame, found: DataFrame) -> DataFrame:
     return best.unionByName(jvm_named).unionByName(jvm_wild).where("path <> target")
 
 
-#: What a path without an extension may stand for.
-VARIANTS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-
-
-def mapped_targets(imports: DataFrame, found: DataFrame) -> DataFrame:
-    """path, seq, line, rank, target: what imports mean by the path mappings of configurations in a folder above, longest prefix
-    first. Specifiers and patterns meet by their first part."""
-    head = lambda c: F.regexp_extract(c, r"^([^/*]*|\*)", 1)
-    body = F.from_json("detail", "folder string, root string")
-    maps = found.where("kind = 'path-mapping'").select(
-        F.when(F.startswith("name", F.lit("*")), "*").otherwise(head("name")).alias("head"), F.substring_index("name", "*", 1).alias("prefix"),
-        F.when(F.contains("name", F.lit("*")), F.substring_index("name", "*", -1)).alias("suffix"), F.col("owner").alias("value"), body["folder"].alias("folder"), body["root"].alias("root"),
-    )
-    asked = imports.where(~F.startswith("name", F.lit("."))).select("path", "seq", "line", "name", F.explode(F.array(head("name"), F.lit("*"))).alias("head"))
-    met = asked.join(maps, "head").where((F.col("folder") == "") | F.startswith("path", F.concat("folder", F.lit("/"))))
-    star = F.col("suffix").isNotNull()
-    met = met.where((~star & (F.col("name") == F.col("prefix"))) | (star & F.startswith("name", "prefix") & F.endswith("name", "suffix") & (F.length("name") >= F.length("prefix") + F.length("suffix"))))
-    inner = F.substring("name", F.length("prefix") + 1, F.length("name") - F.length("prefix") - F.length(F.coalesce("suffix", F.lit(""))))
-    whole = F.regexp_replace(F.concat_ws("/", F.nullif("root", F.lit("")), F.replace("value", F.lit("*"), inner)), r"(^|/)(?:\./)+", "$1")
-    paths = met.select("path", "seq", "line", (F.lit(10_000) - F.length("prefix") * 100).alias("first"), F.posexplode(F.array(*(F.concat(whole, F.lit(v)) for v in VARIANTS))).alias("n", "target"))
-    return paths.select("path", "seq", "line", (F.col("first") + F.col("n")).alias("rank"), "target")
-
-
 def package_classes(found: DataFrame) -> DataFrame:
     """target, pkg, cls: the classes of each package, and their files."""
     classes = found.where("kind = 'class'").select(F.col("path").alias("target"), F.col("name").alias("cls"))
@@ -466,38 +470,36 @@ def with_class(found: DataFrame) -> DataFrame:
     return f.join(held, "point").select("path", "name", "line", F.element_at(F.split("span", r"\|"), -1).alias("class"))
 
 
-def exported_functions(found: DataFrame, spread: DataFrame, functions: DataFrame) -> DataFrame:
-    """path, name, key: functions by the file and name that give them, also through CHAIN re-exports."""
-    again = found.where("kind = 'reexport'").select("path", F.col("line").alias("at"), F.col("owner").alias("exported"), F.col("detail").alias("given")).join(spread, ["path", "at"])
-    steps = again.select("path", "given", "target", "exported").distinct()
-    out = new = functions
-    for _ in range(CHAIN):
-        new = steps.join(new.toDF("target", "exported", "key"), ["target", "exported"]).select("path", F.col("given").alias("name"), "key")
-        out = out.union(new)
-    return out.distinct()
-
-
 def resolve_calls(found: DataFrame, imports: DataFrame) -> DataFrame:
-    """caller, path, line, name, target, resolution of every call site. A call means, in this order: what its file imports
-    by that name, the same file's function, a function of an imported file. The first step with candidates decides: one
-    is resolved, several ambiguous; none at all is unresolved. The caller is the innermost function around it."""
+    """caller, path, line, name, target, resolution of every call site. A call with a receiver means a method or function of what
+    the receiver is, see receivers.method_targets, and nothing else. One without means, in this order: what its file imports
+    by that name, the same file's function, a function of an imported file; in languages where methods are called without a
+    receiver, first a method of the class around it. The first step with candidates decides: one is resolved, several
+    ambiguous; none at all is unresolved. The caller is the innermost function around it."""
+    from tessera.operators import receivers
     from tessera.operators.linkage import innermost
 
-    f = found.where("kind = 'function'").select("path", "name", "line", "end_line").withColumn("key", F.concat_ws("|", "path", "line", "name"))
-    calls = found.where("kind = 'call'").select("path", "name", "line", "seq").withColumn("call", F.concat_ws("|", "path", "seq"))
+    f = found.where("kind = 'function'").select("path", "name", "line", "end_line", "owner").withColumn("key", F.concat_ws("|", "path", "line", "name"))
+    free = f.where(F.col("owner").isNull() | ~language_of(F.col("path")).isin(*receivers.EXPLICIT))
+    classes = receivers.class_spans(found)
+    imports = stored(imports, "imports")
+    calls = found.where("kind = 'call'").select("path", "name", "line", "seq", F.col("owner").alias("receiver")).withColumn("call", F.concat_ws("|", "path", "seq"))
     spread = imports.select(F.col("source").alias("path"), F.col("line").alias("at"), "target")
     bound = found.where("kind IN ('import', 'binding')").select("path", F.col("line").alias("at"), F.col("detail").alias("name"), F.coalesce("owner", "detail").alias("exported")).where("name IS NOT NULL")
     given = bound.join(spread, ["path", "at"]).select("path", "name", "target", "exported").distinct()
-    calls = calls.join(f.select("name").union(given.select("name")).distinct(), "name", "left_semi")
+    given = stored(given, "given")
+    calls = stored(calls.join(f.select("name").union(given.select("name")).distinct(), "name", "left_semi"), "calls")
     spans = f.select("path", F.col("key").alias("span"), F.col("line").alias("start"), F.col("end_line").alias("end"))
     caller = innermost(calls.select("path", F.col("call").alias("point"), F.col("line").alias("at")), spans, "path").toDF("call", "caller")
     reach = imports.select(F.col("source").alias("path"), "target").distinct()
-    exports = exported_functions(found, spread, f.select("path", "name", "key"))
-    theirs = calls.join(reach, "path").join(f.select(F.col("path").alias("target"), "name", "key"), ["target", "name"])
-    named = calls.join(given, ["path", "name"]).join(exports.toDF("target", "exported", "key"), ["target", "exported"])
-    own = calls.join(f.select("path", "name", "key"), ["path", "name"])
+    exports = receivers.exported(found, spread, given, free.select("path", "name", "key").union(classes.select("path", "name", "span")))
+    plain = calls.where("receiver IS NULL")
+    theirs = plain.join(reach, "path").join(free.select(F.col("path").alias("target"), "name", "key"), ["target", "name"])
+    named = plain.join(given, ["path", "name"]).join(exports.toDF("target", "exported", "key"), ["target", "exported"]).join(f.select("key").distinct(), "key", "left_semi")
+    own = plain.join(free.select("path", "name", "key"), ["path", "name"])
     step = lambda df, n: df.select("call", "key", F.lit(n).alias("step"))
-    by = step(named, 0).union(step(own, 1)).union(step(theirs, 2)).groupBy("call", "step").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
+    by = step(named, 1).union(step(own, 2)).union(step(theirs, 3)).groupBy("call", "step").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
+    by = by.unionByName(receivers.method_targets(found, calls, given, reach, f, classes, exports).withColumn("step", F.lit(0)))
     first = by.groupBy("call").agg(F.min_by(F.struct("n", "key"), "step").alias("b"))
     out = calls.join(first, "call", "left").join(caller, "call", "left")
     n = F.col("b.n")
