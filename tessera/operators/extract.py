@@ -488,7 +488,8 @@ def resolve_calls(found: DataFrame, imports: DataFrame) -> DataFrame:
     bound = found.where("kind IN ('import', 'binding')").select("path", F.col("line").alias("at"), F.col("detail").alias("name"), F.coalesce("owner", "detail").alias("exported")).where("name IS NOT NULL")
     given = bound.join(spread, ["path", "at"]).select("path", "name", "target", "exported").distinct()
     given = stored(given, "given")
-    calls = stored(calls.join(f.select("name").union(given.select("name")).distinct(), "name", "left_semi"), "calls")
+    known = f.select("name").union(given.select("name")).union(found.where("kind IN ('export', 'reexport')").select("detail"))
+    calls = stored(calls.join(known.distinct(), "name", "left_semi"), "calls")
     spans = f.select("path", F.col("key").alias("span"), F.col("line").alias("start"), F.col("end_line").alias("end"))
     caller = innermost(calls.select("path", F.col("call").alias("point"), F.col("line").alias("at")), spans, "path").toDF("call", "caller")
     reach = imports.select(F.col("source").alias("path"), "target").distinct()

@@ -255,6 +255,37 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 3, most: int
     return out.orderBy(F.size("path"), "path").limit(most).withColumn("status", F.lit(status))
 
 
+def first_paths(edges: DataFrame, starts: DataFrame, depth: int = 6, most: int = 30, visits: int = 12_000) -> DataFrame:
+    """start, path, status: of the paths that can't go on (every next node is on them, or they have `depth` edges) the first `most` of
+    each start, shorter first, then by their nodes. A start's paths grow level by level; a level keeps what `visits` allows of them
+    in that order, and no level is made for a start that has its paths. status: partial if anything was left out, also beyond
+    `depth`; not-found for a start that no edge touches. A start without a path has one row without one."""
+    steps, s = stored(arcs(edges, "out"), "paths"), starts.select(F.col("node").alias("start")).distinct()
+    touched = edges.select("source").union(edges.select("target")).distinct().toDF("start")
+    level = stored(s.select("start", F.array("start").alias("path")), "paths")
+    ledger = stored(s.select("start", F.lit(1).cast("long").alias("used"), F.lit(0).cast("long").alias("ended"), F.lit(False).alias("cut")), "ledger")
+    out, turn = None, W.partitionBy("start").orderBy("path")
+    for d in range(depth + 1):
+        grown = level.join(steps, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("start", "path", "b")
+        grown = stored(grown, "grown")
+        done = level if d == depth else level.join(grown.select("start", "path").distinct(), ["start", "path"], "left_anti")
+        done = done.where(F.size("path") > 1)
+        out = done if out is None else out.union(done)
+        more = grown.groupBy("start").agg(F.count("*").alias("more")).join(done.groupBy("start").agg(F.count("*").alias("done")), "start", "full")
+        told = ledger.join(more, "start", "left").fillna(0, ["more", "done"]).withColumn("ended", F.col("ended") + F.col("done"))
+        left_out = (F.col("ended") > most) | ((F.col("ended") == most) & (F.col("more") > 0)) | (F.col("used") + F.col("more") > visits) | ((F.col("more") > 0) & F.lit(d == depth))
+        told = stored(told.select("start", F.least(F.lit(visits), F.col("used") + F.col("more")).alias("used"), "ended", (F.col("cut") | left_out).alias("cut"), (F.lit(visits) - F.col("used")).alias("room")), "ledger")
+        ledger = told.drop("room")
+        if d == depth or grown.isEmpty():
+            break
+        open_ = grown.select("start", F.array_append("path", F.col("b")).alias("path")).join(told.where((F.col("ended") < most) & (F.col("room") > 0)).select("start", "room"), "start")
+        level = stored(open_.withColumn("n", F.row_number().over(turn)).where((F.col("n") <= visits) & (F.col("n") <= F.col("room"))).select("start", "path"), "paths")
+    rank = F.row_number().over(W.partitionBy("start").orderBy(F.size("path"), "path"))
+    first = out.withColumn("n", rank).where(F.col("n") <= most).select("start", "path")
+    status = F.when(F.col("known").isNull(), "not-found").when(F.col("cut"), "partial").otherwise("complete")
+    return ledger.join(touched.withColumn("known", F.lit(True)), "start", "left").join(first, "start", "left").select("start", "path", status.alias("status"))
+
+
 def duplicate_call_sites(calls: DataFrame) -> DataFrame:
     """caller, path, line, name, n of calls that a function makes more than once on a line."""
     return calls.groupBy("caller", "path", "line", "name").agg(F.count("*").alias("n")).where("n > 1")

@@ -285,3 +285,30 @@ def code_parameter_flows(spark, sf_dir):
     found = stored(extract.facts(files), "facts")
     calls = extract.resolve_calls(found, extract.resolve_imports(files, found))
     return flows.parameter_flows(files, calls).select("source", "source_line", "sink", "sink_line", "operation", "hops")
+
+
+BASE, OWN = "'ws/n' || k || '/src/base.ts'", "'ws/n' || r || '/app/s' || k || '.ts'"
+UP, AT = "'ws/n' || r || '/src/base.ts|' || (r % 10", "|| '|run'"
+
+
+@query(union(
+    f"SELECT {OWN} AS source, 'ws/n' || r || '/src/index.ts' AS target, 1 + k % 10 AS line FROM {S}", f"SELECT {OWN}, 'ws/shared/m' || (k % 5) || '.ts', 2 + k % 10 FROM {S}",
+    f"SELECT {OWN}, 'ws/n' || r || '/src/base.ts', 3 + k % 10 FROM {S}", f"SELECT 'ws/n' || k || '/src/index.ts', {BASE}, 1 FROM {N}",
+))
+def mapped_imports(spark, sf_dir):
+    files = views.workspace_code(spark, sf_dir)
+    return extract.resolve_imports(files, stored(extract.facts(files), "facts")).select("source", "target", "line")
+
+
+@query(union(
+    f"SELECT {OWN} AS path, 6 + k % 10 AS line, 'run' AS name, {OWN} || '|' || (5 + k % 10) {AT} AS caller, {UP} + 5) {AT} AS target, 'resolved' AS resolution FROM {S}",
+    f"SELECT {OWN}, 6 + k % 10, 'keep', {OWN} || '|' || (5 + k % 10) {AT}, {UP} + 2) || '|keep', 'resolved' FROM {S}",
+    f"SELECT {OWN}, 6 + k % 10, 'mark', {OWN} || '|' || (5 + k % 10) {AT}, 'ws/shared/m' || (k % 5) || '.ts|' || (k % 5 + 1) || '|inner' || (k % 5), 'resolved' FROM {S}",
+    f"SELECT {OWN}, 10 + k % 10, 'run', NULL, {OWN} || '|' || (5 + k % 10) {AT}, 'resolved' FROM {S}", f"SELECT {OWN}, 11 + k % 10, 'keep', NULL, {UP} + 2) || '|keep', 'resolved' FROM {S}",
+    f"SELECT {OWN}, 12 + k % 10, 'run', NULL, NULL, 'unresolved' FROM {S}", f"SELECT {OWN}, 14 + k % 10, 'run', {OWN} || '|' || (13 + k % 10) || '|use' || k, {UP} + 5) {AT}, 'resolved' FROM {S}",
+    f"SELECT {BASE}, 6 + k % 10, 'keep', {BASE} || '|' || (5 + k % 10) {AT}, {BASE} || '|' || (2 + k % 10) || '|keep', 'resolved' FROM {N}",
+))
+def receiver_calls(spark, sf_dir):
+    files = views.workspace_code(spark, sf_dir)
+    found = stored(extract.facts(files), "facts")
+    return extract.resolve_calls(found, extract.resolve_imports(files, found))

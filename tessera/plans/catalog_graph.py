@@ -208,6 +208,18 @@ def path_enumeration(spark, sf_dir):
     return graph.simple_paths(views.edges(spark, sf_dir), named(spark, "part/1", "part/2")).select(F.array_join("path", ">").alias("path"))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT source AS a, target AS b FROM e), n AS (SELECT DISTINCT a AS start FROM s WHERE a LIKE 'supplier/%'),
+p(start, path) AS (SELECT start, [start] FROM n UNION ALL SELECT start, list_append(path, b) FROM p JOIN s ON a = path[-1] AND NOT list_contains(path, b) WHERE len(path) <= 3),
+t AS (SELECT *, EXISTS (SELECT 1 FROM s WHERE a = path[-1] AND NOT list_contains(path, b)) AS more FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS n, count(*) OVER (PARTITION BY start) AS c FROM t WHERE len(path) > 1 AND (NOT more OR len(path) = 4)),
+z AS (SELECT start, bool_or(more AND len(path) = 4) AS beyond FROM t GROUP BY start)
+SELECT start, array_to_string(path, '>') AS path, CASE WHEN beyond OR coalesce(c, 0) > 30 THEN 'partial' ELSE 'complete' END AS status FROM z LEFT JOIN (SELECT * FROM r WHERE n <= 30) USING (start)""")
+def first_paths(spark, sf_dir):
+    e = views.edges(spark, sf_dir)
+    starts = e.where(F.startswith("source", F.lit("supplier/"))).select(F.col("source").alias("node")).distinct()
+    return graph.first_paths(e, starts, depth=3).withColumn("path", F.array_join("path", ">"))
+
+
 @query(f"WITH {EDGES} SELECT source, target, resolution, line FROM e WHERE source = 'supplier/3' OR target = 'supplier/3'")
 def direct_connections(spark, sf_dir):
     return views.edges(spark, sf_dir).where("source = 'supplier/3' OR target = 'supplier/3'").select("source", "target", "resolution", "line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,3 +131,30 @@ def flow_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.get(F.array(*map(F.lit, FLOWS)), (F.col("k") % 3).cast("int"))
     filled = F.replace(F.replace(body, F.lit("{k}"), F.col("k").cast("string")), F.lit("{n}"), F.repeat(F.lit("\n"), (F.col("k") % 10).cast("int")))
     return rows.select(F.concat("p", F.col("k").cast("string"), F.lit(".js")).alias("path"), filled.alias("content"))
+
+
+#: A workspace: packages that give their files by maps, a configuration inherited from above, classes with bases elsewhere. By nation,
+#: region and supplier; {n} is as many empty lines as the key's last digit, {q} the key modulo 5. table, key, parent, path, content.
+WORKSPACE = (
+    ("nation", "n_nationkey", "n_regionkey", "ws/n{k}/package.json", '{"name": "@ws/n{k}", "exports": {".": {"types": "./none.d.ts", "import": "./src/index.js"}, "./api/*": "./src/*.js"}}'),
+    ("nation", "n_nationkey", "n_regionkey", "ws/n{k}/tsconfig.json", '{"extends": "../tsconfig.base.json", /* own */ "compilerOptions": {}}'),
+    ("nation", "n_nationkey", "n_regionkey", "ws/n{k}/src/index.ts", "export * from './base.js';\n"),
+    ("nation", "n_nationkey", "n_regionkey", "ws/n{k}/src/base.ts", "{n}export class Base{k} {\n  keep(x) {\n    return x;\n  }\n  run(x) {\n    return this.keep(x);\n  }\n}\n"),
+    ("region", "r_regionkey", "r_regionkey", "ws/shared/m{k}.ts", "{n}function inner{k}() {\n  return 1;\n}\nexport { inner{k} as mark };\n"),
+    (
+        "supplier", "s_suppkey", "s_nationkey", "ws/n{r}/app/s{k}.ts",
+        "{n}import { Base{r} as Parent } from '@ws/n{r}';\nimport * as shared from '~/m{q}';\nimport { Base{r} } from '@ws/n{r}/api/base';\nexport class Own{k} extends Parent {\n  run(x: Base{r}) {\n    return super.run(x) + this.keep(x) + shared.mark();\n  }\n}\n"
+        "const o = new Own{k}();\no.run(1);\no.keep(2);\nunknown.run(3);\nfunction use{k}(o: Base{r}) {\n  o.run(4); // o.keep(5)\n}\n",
+    ),
+)
+
+
+def workspace_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of WORKSPACE for all rows of its tables, and of the configuration above them."""
+    out = spark.range(1).select(F.lit("ws/tsconfig.base.json").alias("path"), F.lit('{"compilerOptions": {"baseUrl": ".", "paths": {"~/*": ["./shared/*"]}}}').alias("content"))
+    for name, key, parent, path, content in WORKSPACE:
+        rows = table(spark, sf_dir, name).select(F.col(key).alias("k"), F.col(parent).alias("r"))
+        marks = {"{k}": F.col("k").cast("string"), "{r}": F.col("r").cast("string"), "{q}": (F.col("k") % 5).cast("string"), "{n}": F.repeat(F.lit("\n"), (F.col("k") % 10).cast("int"))}
+        fill = lambda s: functools.reduce(lambda c, m: F.replace(c, F.lit(m[0]), m[1]), marks.items(), F.lit(s))  # noqa: E731, B023
+        out = out.union(rows.select(fill(path), fill(content)))
+    return out

@@ -1,7 +1,9 @@
 """Traversals against plain implementations and cases with known answers."""
 
+import random
 from collections import defaultdict
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -89,3 +91,40 @@ def test_unreachable_in_a_long_chain(spark):
     e, roots = frame(spark, chain, "source int, target int"), nodes.where("node = 0")
     assert {r.node for r in graph.unreachable(nodes, e, roots).collect()} == {40, 41}
     assert {r.node for r in graph.unreachable(nodes, e, roots, 3).collect()} == {*range(4, 26), 40, 41}
+
+
+def walked(edges, start, depth, most, visits):
+    """The same search one state after the other."""
+    after = {}
+    for a, b in sorted(set(edges)):
+        after.setdefault(a, []).append(b)
+    if start not in {n for e in edges for n in e}:
+        return [], "not-found"
+    queue, paths, cut, at = [[start]], [], False, 0
+    while at < len(queue) and len(paths) < most:
+        path, at = queue[at], at + 1
+        more = [b for b in after.get(path[-1], []) if b not in path]
+        if not more or len(path) > depth:
+            paths += [path] if len(path) > 1 else []
+            cut |= bool(more)
+            continue
+        for b in more:
+            if len(queue) >= visits:
+                cut = True
+                break
+            queue.append([*path, b])
+    return paths, "partial" if cut or at < len(queue) else "complete"
+
+
+@pytest.mark.parametrize("depth, most, visits", [(6, 30, 12_000), (3, 4, 12_000), (4, 30, 25), (1, 2, 3), (5, 1, 10)])
+def test_first_paths(spark, depth, most, visits):
+    r = random.Random(depth * 100 + most)
+    nodes = [f"n{i:02}" for i in range(16)]
+    edges = [(r.choice(nodes), r.choice(nodes)) for _ in range(26)] + [("hub", n) for n in nodes] + [("a", "b"), ("b", "a"), ("loop", "loop")]
+    starts = [*nodes, "hub", "a", "loop", "gone"]
+    got = graph.first_paths(spark.createDataFrame(edges * 2, "source string, target string"), spark.createDataFrame([(s,) for s in starts], "node string"), depth, most, visits).collect()
+    for s in starts:
+        paths, status = walked(edges, s, depth, most, visits)
+        mine = [t for t in got if t.start == s]
+        assert sorted(t.path for t in mine if t.path) == sorted(paths), s
+        assert {t.status for t in mine} == {status}, s
