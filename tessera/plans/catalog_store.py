@@ -1,11 +1,14 @@
 """Queries over jobs, budgets, stored analyses, chunks and hints."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import extract, findings, retrieval, text
 from tessera.plans.catalog_code import API, B, C, FIRST, JAVA, N, P, R, S, SRV, SUP, SVC, TEST, UTIL, WEB, extracted, union
 from tessera.plans.registry import registry
-from tessera.sources import repository, views
+from tessera.plans.storage import shared_dir
+from tessera.sources import cache, repository, revisions, views
 from tessera.streaming import jobs
 
 QUERIES, ORACLES, query = registry()
@@ -137,3 +140,24 @@ def cached_extraction(spark, sf_dir):
     cache = files.select("path", F.sha2(F.when(even, F.col("content")).otherwise("old"), 256).alias("key"), F.lit(-1).alias("n_lines"))
     count = lambda new: new.select("path", F.regexp_count("content", F.lit("\n")).alias("n_lines"))
     return repository.with_cache(files, cache, count).select("path", "n_lines")
+
+
+@query("""WITH u AS (SELECT user_id, event_type, event_id, CAST(floor(abs(value)) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events),
+k AS (SELECT *, row_number() OVER w AS n, sum(coalesce(size, 0)) OVER w AS total FROM u WHERE r = 1 WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC))
+SELECT user_id AS scope, event_type AS key, event_id AS at, size FROM k WHERE n <= 3 AND total <= 120""")
+def cache_budget(spark, sf_dir):
+    """Events read as uses of a user's cache."""
+    uses = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("scope"), F.col("event_type").alias("key"), F.col("event_id").alias("at"), F.floor(F.abs("value")).alias("size"))
+    return cache.kept(uses, entries=3, budget=120)
+
+
+@query("""SELECT source AS repository, CAST(2 AS INTEGER) AS revision, count(*) FILTER (lang = 'en') AS n_files, coalesce(sum(octet_length(encode(text))) FILTER (lang = 'en'), 0)::BIGINT AS n_bytes
+FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def replaced_repositories(spark, sf_dir):
+    """Documents read as files of their sources: all are committed, then all sources are replaced by their English ones."""
+    d = views.files(spark, sf_dir).join(views.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repository")), "doc_id").where("repository IS NOT NULL").select("repository", "path", "content", "language")
+    where = f"{shared_dir(spark)}/tessera-revisions-{uuid.uuid4().hex}"
+    revisions.commit(d, where)
+    revisions.commit(d.where("language = 'en'"), where, d.select("repository"))
+    size = revisions.current(spark, where).groupBy("repository").agg(F.sum(F.octet_length("content")).alias("n_bytes"))
+    return revisions.entries(spark, where).join(size, "repository", "left").select("repository", "revision", "n_files", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
