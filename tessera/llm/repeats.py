@@ -159,12 +159,13 @@ def compare_contexts(plan: Plan):
         return batch_of(names, pa.array(seed[live]), pa.array(np.array(rows["context"], np.int64)[live]), pa.array(made, pa.list_(pa.int32())))
 
     def judged(rows: dict, end: int) -> Iterator[pa.RecordBatch]:
-        """The rows before `end`, some plan.batch of them at once, cut between seeds; an Arrow batch can hold many more."""
+        """The rows before `end`, plan.batch of them at once or one seed, cut between seeds; an Arrow batch can hold many more."""
         seed = np.array(rows["seed"][:end], np.int64)
         edges = np.append(np.flatnonzero(seed[1:] != seed[:-1]) + 1, end)
         at = 0
         while at < end:
-            cut = int(edges[min(np.searchsorted(edges, at + plan.batch), len(edges) - 1)])
+            fits = int(np.searchsorted(edges, at + plan.batch, "right")) - 1
+            cut = int(edges[fits]) if fits >= 0 and edges[fits] > at else int(edges[fits + 1])
             yield judge({c: v[at:cut] for c, v in rows.items()})
             at = cut
 

@@ -27,7 +27,6 @@ No rows: none. Extra columns: ignored by dedup_bytes, kept by cut_repeats, whate
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -199,24 +198,24 @@ def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) ->
     parse = SuffixArray(dictionary.rank[first[word]], np.repeat(np.cumsum(count), count) - np.arange(len(text)))
 
     # windows: the rest of a phrase up to the window's first trigger, and the parse from there
-    most = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), most)
-    local = np.arange(len(owner)) - np.repeat(np.cumsum(most) - most, most)
-    place = (stop - size)[owner] + local
-    next_ = np.searchsorted(at, place)
+    most, small = size - LENGTH + 1, np.int32  # a block's bytes are far fewer
+    owner = np.repeat(np.arange(len(texts), dtype=small), most)
+    local = np.arange(len(owner), dtype=small) - np.repeat((np.cumsum(most) - most).astype(small), most)
+    place = (stop - size).astype(small)[owner] + local
+    next_ = np.searchsorted(at, place).astype(small)
     known = np.append(at, len(data))[next_] + TRIGGER <= np.minimum(place + LENGTH, stop[owner])
     owner, local, place, next_ = owner[known], local[known], place[known], next_[known]
-    tail = np.searchsorted(start, at[next_])  # the parse from the first trigger on
-    ahead = at[next_] - place
+    tail = np.searchsorted(start, at[next_]).astype(small)  # the parse from the first trigger on
     inner = np.maximum(tail - 1, 0)
-    rest = np.where(ahead > 0, dictionary.rank[np.minimum(first[word[inner]] + place - start[inner], len(entries) - 1)], 0)
+    rest = np.where(at[next_] > place, dictionary.rank[np.minimum(first[word[inner]] + place - start[inner], len(entries) - 1)], small(0))
+    del known, next_, inner
 
-    order = np.lexsort((parse.rank[tail], rest))
-    x, y = order[:-1], order[1:]
-    near = rest[x] == rest[y]
-    x, y = x[near], y[near]
+    order = np.lexsort((parse.rank[tail], rest)).astype(small)
+    near = rest[order[:-1]] == rest[order[1:]]
+    x, y = order[:-1][near], order[1:][near]
+    del order, near, rest
     phrases = parse.common(tail[x], tail[y])
-    bytes_ = np.empty(len(x), np.int64)
+    bytes_ = np.empty(len(x), small)
     ended = phrases >= np.minimum(parse.left[tail[x]], parse.left[tail[y]])
     short = np.where(parse.left[tail[x]] <= parse.left[tail[y]], x, y)
     bytes_[ended] = (stop[owner[short]] - place[short])[ended]
@@ -226,10 +225,9 @@ def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) ->
     good = bytes_ >= LENGTH
     found[x[good]] = found[y[good]] = True
 
-    hits = defaultdict(list)
-    for i, p in zip(owner[found].tolist(), local[found].tolist()):
-        hits[i].append(len(before[i]) - p)
-    return [np.array(hits.get(i, [])[::-1], np.int64) for i in range(len(texts))]
+    of, hits = owner[found], np.array([len(b) for b in before], np.int64)[owner[found]] - local[found]
+    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+    return [hits[a:b][::-1] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows, 2_000, parted)
