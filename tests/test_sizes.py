@@ -1,6 +1,15 @@
 """What only shows on more rows than the small tables have."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.operators import model
+from tessera.plans import catalog, storage
+from tests.conftest import DATA
+
+MEASURED_QUERIES = [
+    "code_calls",
+]
 
 
 def test_signals_beyond_the_limit_are_marked_not_cut(spark):
@@ -8,3 +17,33 @@ def test_signals_beyond_the_limit_are_marked_not_cut(spark):
     got = model.framework_signals(spark.createDataFrame(files, "path string, content string"), 3).collect()
     assert sorted((r.framework, r.path, r.line) for r in got) == sorted(("express", p, n) for p, _ in files for n in (1, 2))
     assert {r.status for r in got} == {"partial"}
+
+
+def test_joins_follow_what_shuffles_measured_not_files(spark):
+    @storage.measured
+    def query(spark, sf_dir):
+        k, big = F.col("id"), F.repeat(F.lit("text made from a template "), 40)
+        many = storage.stored(spark.range(40_000).select(k, big.alias("content")), "many")  # a small file of 40 MB
+        plans.append(joined := many.join(spark.range(40_000), "id"))
+        joined.collect()
+        return joined
+
+    plans = []
+    before = spark.conf.get(storage.STATIC)
+    out = query(spark, DATA)
+    assert out.count() == 40_000 and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastHashJoin" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(storage.STATIC) == before
+
+
+@pytest.mark.parametrize("name", MEASURED_QUERIES)
+def test_query_is_planned_by_measured_sizes(spark, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def first_store(session):
+        raise Reached(session.conf.get(storage.STATIC))
+
+    monkeypatch.setattr(storage, "shared_dir", first_store)
+    with pytest.raises(Reached, match="^-1$"):
+        catalog.QUERIES[name](spark, DATA)
