@@ -9,6 +9,7 @@ from tests.conftest import DATA
 
 MEASURED_QUERIES = [
     "code_calls",
+    "code_caller_impact",
 ]
 
 
