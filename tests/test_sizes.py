@@ -10,6 +10,7 @@ from tests.conftest import DATA
 MEASURED_QUERIES = [
     "code_calls",
     "code_caller_impact",
+    "code_dead_functions",
 ]
 
 
