@@ -11,6 +11,7 @@ MEASURED_QUERIES = [
     "code_calls",
     "code_caller_impact",
     "code_dead_functions",
+    "code_duplicate_calls",
 ]
 
 
