@@ -12,6 +12,7 @@ MEASURED_QUERIES = [
     "code_caller_impact",
     "code_dead_functions",
     "code_duplicate_calls",
+    "code_endpoint_flows",
 ]
 
 
