@@ -13,6 +13,7 @@ MEASURED_QUERIES = [
     "code_dead_functions",
     "code_duplicate_calls",
     "code_endpoint_flows",
+    "code_engineering_impact",
 ]
 
 
