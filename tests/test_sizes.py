@@ -14,6 +14,7 @@ MEASURED_QUERIES = [
     "code_duplicate_calls",
     "code_endpoint_flows",
     "code_engineering_impact",
+    "code_error_handling",
 ]
 
 
