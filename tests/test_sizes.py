@@ -15,6 +15,7 @@ MEASURED_QUERIES = [
     "code_endpoint_flows",
     "code_engineering_impact",
     "code_error_handling",
+    "code_imports",
 ]
 
 
