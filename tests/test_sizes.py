@@ -16,6 +16,7 @@ MEASURED_QUERIES = [
     "code_engineering_impact",
     "code_error_handling",
     "code_imports",
+    "code_inheritance",
 ]
 
 
