@@ -17,6 +17,7 @@ MEASURED_QUERIES = [
     "code_error_handling",
     "code_imports",
     "code_inheritance",
+    "code_issues",
 ]
 
 
