@@ -18,6 +18,7 @@ MEASURED_QUERIES = [
     "code_imports",
     "code_inheritance",
     "code_issues",
+    "code_test_functions",
 ]
 
 
