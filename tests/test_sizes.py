@@ -19,6 +19,7 @@ MEASURED_QUERIES = [
     "code_inheritance",
     "code_issues",
     "code_test_functions",
+    "entry_points",
 ]
 
 
