@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import extract, findings, retrieval, text
 from tessera.plans.catalog_code import API, B, C, FIRST, JAVA, N, P, R, S, SRV, SUP, SVC, TEST, UTIL, WEB, extracted, union
 from tessera.plans.registry import registry
-from tessera.plans.storage import shared_dir
+from tessera.plans.storage import measured, shared_dir
 from tessera.sources import cache, repository, revisions, views
 from tessera.streaming import jobs
 
@@ -51,6 +51,7 @@ def budget_log(spark, sf_dir):
 SELECT id, 'quality.' || event_type AS "ruleId", 'quality' AS category, CASE m WHEN 0 THEN 'high' ELSE 'info' END AS severity, 'INFERENCE' AS confidence, 'detected' AS status, event_type AS title,
   CASE g WHEN 0 THEN 'api/n' ELSE 'n' END || k || '.py' AS path, CASE m WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 99 END AS start, CASE m WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 99 END AS "end",
   CASE m WHEN 0 THEN 'app = FastAPI()' WHEN 1 THEN '# from .decoy import nothing' END AS evidence, CASE WHEN m < 2 THEN 'api/n' || k || '.py' END AS source FROM f""")
+@measured
 def normalized_findings(spark, sf_dir):
     m, g, k = F.col("event_id") % 3, F.col("event_id") % 2, (F.col("user_id") % 25).cast("string")
     f = views.table(spark, sf_dir, "events").select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import model
 from tessera.plans import catalog, storage
-from tests.conftest import DATA
+from conftest import DATA
 
 MEASURED_QUERIES = [
     "code_calls",
@@ -20,6 +20,7 @@ MEASURED_QUERIES = [
     "code_issues",
     "code_test_functions",
     "entry_points",
+    "normalized_findings",
 ]
 
 
@@ -34,8 +35,8 @@ def test_joins_follow_what_shuffles_measured_not_files(spark):
     @storage.measured
     def query(spark, sf_dir):
         k, big = F.col("id"), F.repeat(F.lit("text made from a template "), 40)
-        many = storage.stored(spark.range(40_000).select(k, big.alias("content")), "many")  # a small file of 40 MB
-        plans.append(joined := many.join(spark.range(40_000), "id"))
+        many = storage.stored(spark.range(40_000).select(k, big.alias("content")), "many")  # 40 MB in a small file
+        plans.append(joined := many.join(many.withColumnRenamed("content", "other"), "id"))
         joined.collect()
         return joined
 
