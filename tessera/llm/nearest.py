@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, table
 
 K, EVERY = 20, 20
-QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 16_384, 16_384, 4_096
+QUERY_BLOCK, CANDIDATE_BLOCK, TILE, SLICE = 16_384, 16_384, 4_096, 512
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -74,27 +74,29 @@ def search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFr
                 ids[u].append(int(i))
         x = x[first]
         heaps: list[list] = [[] for _ in range(len(q))]
+        ids_asked = group["vec_id"].tolist()
         for at in range(0, len(x), TILE):
             tile = x[at : at + TILE]
-            near, off = tile_bounds(q, tile)
-            low, high = near - off, near + off
-            least = np.partition(low, len(tile) - k - 1, axis=1)[:, len(tile) - k - 1] if len(tile) > k else np.full(len(q), -np.inf)
-            for r, me in enumerate(group["vec_id"]):
-                bar = max(least[r], heaps[r][0][0]) if len(heaps[r]) == k else least[r]
-                live = np.flatnonzero(~(high[r] < bar))
-                with np.errstate(all="ignore"):
-                    exact = np.cumsum(tile[live] * q[r], axis=1)[:, -1]  # summed from left to right
-                for score, u in zip(exact.tolist(), live.tolist()):
-                    for i in ids[at + u]:
-                        if i == me:
-                            continue
-                        if len(heaps[r]) < k:
-                            heapq.heappush(heaps[r], (score, -i))
-                        elif (score, -i) > heaps[r][0]:
-                            heapq.heapreplace(heaps[r], (score, -i))
-                        else:
-                            break  # larger ids of the same vector rank lower
-        out += [(me, -i, score) for me, heap in zip(group["vec_id"].tolist(), heaps) for score, i in heap]
+            for top in range(0, len(q), SLICE):  # bounds of a slice are held, not of all queries
+                near, off = tile_bounds(q[top : top + SLICE], tile)
+                low, high = near - off, near + off
+                least = np.partition(low, len(tile) - k - 1, axis=1)[:, len(tile) - k - 1] if len(tile) > k else np.full(len(low), -np.inf)
+                for r, me in enumerate(ids_asked[top : top + SLICE], top):
+                    bar = max(least[r - top], heaps[r][0][0]) if len(heaps[r]) == k else least[r - top]
+                    live = np.flatnonzero(~(high[r - top] < bar))
+                    with np.errstate(all="ignore"):
+                        exact = np.cumsum(tile[live] * q[r], axis=1)[:, -1]  # summed from left to right
+                    for score, u in zip(exact.tolist(), live.tolist()):
+                        for i in ids[at + u]:
+                            if i == me:
+                                continue
+                            if len(heaps[r]) < k:
+                                heapq.heappush(heaps[r], (score, -i))
+                            elif (score, -i) > heaps[r][0]:
+                                heapq.heapreplace(heaps[r], (score, -i))
+                            else:
+                                break  # larger ids of the same vector rank lower
+        out += [(me, -i, score) for me, heap in zip(ids_asked, heaps) for score, i in heap]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 

@@ -1,8 +1,13 @@
 """What only shows on more rows than the small tables have."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import nearest
 from tessera.operators import model
 from tessera.plans import catalog, storage
 from conftest import DATA
@@ -59,3 +64,17 @@ def test_query_is_planned_by_measured_sizes(spark, monkeypatch, name):
     monkeypatch.setattr(storage, "shared_dir", first_store)
     with pytest.raises(Reached, match="^-1$"):
         catalog.QUERIES[name](spark, DATA)
+
+
+def test_a_full_block_of_queries_is_searched_in_slices():
+    rng = np.random.default_rng(3)
+    frame = lambda n, at: pd.DataFrame({"vec_id": range(at, at + n), "v": list(rng.standard_normal((n, 8)))})
+    q, c = frame(4_096, 0), frame(2_048, 10_000)
+    tracemalloc.start()
+    got = nearest.search(q, c, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # one table of all pairs is 67 MB, and there are several
+    scores = np.stack(q["v"].to_list()) @ np.stack(c["v"].to_list()).T
+    want = {(i, 10_000 + int(j)) for i, row in enumerate(scores) for j in np.argsort(-row)[:5]}
+    assert set(zip(got["query_id"], got["vec_id"])) == want
