@@ -23,6 +23,9 @@ PART = "kind string, path string, function string, param int, source_line int, l
 PYTHON_TEXT = re.compile(r"((?:\b[rRbBuUfF]{1,2})?)('''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")|#[^\n]*")
 CALL = re.compile(r"\b([A-Za-z_$][\w$]*)\s*\(")
 ASSIGNED = re.compile(r"\s*(?:(?:const|let|var|final|[A-Z][\w<>\[\], ]*)\s+)?(?:([A-Za-z_$][\w$]*)|[{\[]([\w\s,$]+)[}\]])\s*(?::[^=]+)?=(?![=>])")
+#: What follows a function's name up to its parameters. A pattern that holds the name would be compiled anew for each function.
+DECLARED = re.compile(r"\s*(?:[:=]\s*(?:async\s*)?(?:function\s*\w*\s*)?)?(\(|\w+\s*=>)")
+WORD = re.compile(r"\b")
 HTML = re.compile(r"\binnerHTML\s*=")
 
 
@@ -53,9 +56,19 @@ def within(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
     return [*parts, (start, len(text))], len(text)
 
 
+def whole_words(code: str, name: str) -> Iterator[int]:
+    """Ends of a name's places between word boundaries."""
+    at = code.find(name)
+    while at >= 0:
+        end = at + len(name)
+        if WORD.match(code, at) and WORD.match(code, end):
+            yield end
+        at = code.find(name, at + 1)
+
+
 def parameters(code: str, name: str, kind: str) -> list[str]:
     """Names of a function's parameters; code starts with its declaration."""
-    m = re.search(rf"\b{re.escape(name)}\b\s*(?:[:=]\s*(?:async\s*)?(?:function\s*\w*\s*)?)?(\(|\w+\s*=>)", code)
+    m = next(filter(None, (DECLARED.match(code, end) for end in whole_words(code, name))), None)
     if not m:
         return []
     if m[1] != "(":

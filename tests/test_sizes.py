@@ -1,5 +1,6 @@
 """What only shows on more rows than the small tables have."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import nearest
-from tessera.operators import model
+from tessera.operators import flows, model
 from tessera.plans import catalog, storage
 from conftest import DATA
 
@@ -26,6 +27,7 @@ MEASURED_QUERIES = [
     "code_test_functions",
     "entry_points",
     "normalized_findings",
+    "code_parameter_flows",
 ]
 
 
@@ -78,3 +80,18 @@ def test_a_full_block_of_queries_is_searched_in_slices():
     scores = np.stack(q["v"].to_list()) @ np.stack(c["v"].to_list()).T
     want = {(i, 10_000 + int(j)) for i, row in enumerate(scores) for j in np.argsort(-row)[:5]}
     assert set(zip(got["query_id"], got["vec_id"])) == want
+
+
+def test_no_pattern_is_compiled_for_each_function(monkeypatch):
+    names = ["first", "a$b", "_x", "second", "né", "f1"]
+    for code in ("function NAME(a, b = 1, ...c) {", "xNAME(z) NAME = async function k (a, b) {", "const NAME = (a) => 1", "const NAME = a => 1", "NAME.x(q); NAME: function (a) {", "none(a)", "#NAME (a)"):
+        for name in names:
+            text = code.replace("NAME", name)
+            m = re.search(rf"\b{re.escape(name)}\b\s*(?:[:=]\s*(?:async\s*)?(?:function\s*\w*\s*)?)?(\(|\w+\s*=>)", text)
+            ends = [end for end in flows.whole_words(text, name) if flows.DECLARED.match(text, end)]
+            assert (m.start(1), m[1]) == (flows.DECLARED.match(text, ends[0]).start(1), flows.DECLARED.match(text, ends[0])[1]) if m else not ends
+    compiled = []
+    monkeypatch.setattr(flows.re, "_compile", lambda pattern, flags, f=re._compile: (compiled.append(pattern), f(pattern, flags))[1])
+    for name in names:
+        flows.parameters(f"function {name}(a, b) {{", name, "javascript")
+    assert not any(re.escape(n) in str(p) for p in compiled for n in names)
