@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import nearest
-from tessera.operators import flows, model
+from tessera.operators import flows, graph, model
 from tessera.plans import catalog, storage
 from conftest import DATA
 
@@ -95,3 +95,14 @@ def test_no_pattern_is_compiled_for_each_function(monkeypatch):
     for name in names:
         flows.parameters(f"function {name}(a, b) {{", name, "javascript")
     assert not any(re.escape(n) in str(p) for p in compiled for n in names)
+
+
+def test_flows_without_traces_are_the_same_and_sort_nothing(spark, monkeypatch):
+    calls = spark.range(3_000).select((F.col("id") % 60).alias("caller"), (F.col("id") * 7 % 53).alias("callee"))
+    f = lambda *n: spark.createDataFrame([(x,) for x in n], "function long")
+    written, store = [], storage.stored
+    for module in (model, graph):
+        monkeypatch.setattr(module, "stored", lambda df, name: (written.append(df), store(df, name))[1])
+    bare = model.flows_across_calls(f(1, 2, 59, 99), calls, f(3, 5, 99), traces=False)
+    assert not any("array" in t for df in written for _, t in df.dtypes)
+    assert {tuple(r) for r in bare.collect()} == {tuple(r)[:2] for r in model.flows_across_calls(f(1, 2, 59, 99), calls, f(3, 5, 99)).collect()}
