@@ -204,6 +204,8 @@ SAMPLE, OFTEN, COMMON = 8_000, 4, 100_000
 #: Most rounds of stars in crowded buckets before all pairs that are left are compared; how many of these a text needs no
 #: stars; which share of a turn's pairs must link for another one; pairs that one text is held for.
 ROUNDS, PLENTY, FEW, SLOT = 8, 4, 10, 256
+#: Least and most bits of a sketch, powers of two; pairs of sketches that are compared at once.
+SKETCH_LEAST, SKETCH_MOST, PAIRS = 512, 2048, 1 << 16
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -221,10 +223,47 @@ def each_shingle(size: int):
     return run
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A bit for each value of the shingles' last bits: whether an odd number of them has it. Two texts' sketches differ in no more
+    bits than there are shingles in one of both only. The halves of a sketch, one xor the other, are that of half the bits."""
+    bits = min(max(1 << (2 * len(h) - 1 | 1).bit_length(), SKETCH_LEAST), SKETCH_MOST)
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of some rows, side by side for each width."""
+
+    def __init__(self, raw: np.ndarray):
+        self.size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wide = None
+        for size in sorted(set(self.size.tolist()), reverse=True):
+            while wide is not None and wide.shape[1] * 8 > size:
+                half = wide.shape[1] // 2
+                wide = wide[:, :half] ^ wide[:, half:]
+            own = np.flatnonzero(self.size == size)
+            new = np.frombuffer(b"".join(raw[own]), np.uint64).reshape(len(own), size // 8)
+            of = own if wide is None else np.concatenate((of, own))
+            wide = new if wide is None else np.concatenate((wide, new))
+            place = np.full(len(raw), -1)
+            place[of] = np.arange(len(of))
+            self.rows[size] = place, wide
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of rows a and b differ, at the lesser width of both."""
+        out, least = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        for size in np.unique(least).tolist():
+            place, wide = self.rows[size]
+            for at in np.array_split(live := np.flatnonzero(least == size), 1 + len(live) // PAIRS):
+                out[at] = np.bitwise_count(wide[place[a[at]]] ^ wide[place[b[at]]]).sum(axis=1)
+        return out
+
+
 def prefixes(size: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """For mapInArrow over (k1, k2, owner, text): these keys, the fingerprint, n, the number of distinct shingles, and as many
-    of them from the front of one order as two texts of this similarity must share one of. Any order does; here the
-    common ones come last. A text without words has one shingle, zero."""
+    """For mapInArrow over (k1, k2, owner, text): these keys, the fingerprint, n, the number of distinct shingles, as many
+    of them from the front of one order as two texts of this similarity must share one of, and their sketch. Any order does;
+    here the common ones come last. A text without words has one shingle, zero."""
 
     def prefix(h: np.ndarray) -> np.ndarray:
         if not len(h):
@@ -240,8 +279,11 @@ def prefixes(size: int, similarity: float, common: np.ndarray, counts: np.ndarra
             sets = [np.unique(h) for h in every]
             made = [np.array([fingerprint(h) for h in every], np.uint64).view(np.int64), [len(h) for h in sets]]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(m, pa.int64()) for m in made), pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))],
-                names=["k1", "k2", "owner", "fp", "n", "prefix"],
+                [
+                    *batch.columns[:3], *(pa.array(m, pa.int64()) for m in made),
+                    pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([sketch(h) for h in sets], pa.binary()),
+                ],
+                names=["k1", "k2", "owner", "fp", "n", "prefix", "sketch"],
             )
 
     return run
@@ -279,48 +321,56 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(similarity: float, turn: int | None):
-    """For mapInArrow over (h, id, n, rest, c) in order of h: pairs u < v of different components c that can have this
+    """For mapInArrow over (h, id, n, rest, c, sketch) in order of h: pairs u < v of different components c that can have this
     similarity. rest is how many shingles of a text are left from the bucket's on, which bounds what is common to two
-    texts that share none before.
+    texts that share none before; their sketches bound what isn't common.
 
-    All pairs of a bucket of SMALL texts or fewer, and of all others if turn is null. Else those of two members drawn
-    for this turn, one of them of the largest component.
+    If turn is null, all pairs of a bucket. Else stars, so that there are no more pairs than rows: those of a member drawn for this
+    turn, in a bucket of over SMALL texts of two, one of them of the largest component.
     """
     share = similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, ids, n, rest, c), sizes in whole_buckets(batches):
-            able = lambda a, b: (c[a] != c[b]) & (np.minimum(rest[a], rest[b]) >= share * (n[a] + n[b]) - 1e-6)  # noqa: B023, E731
+        for (_, ids, n, rest, c, raw), sizes in whole_buckets(batches):
+            first, small, sketches = np.cumsum(sizes) - sizes, sizes <= SMALL, Sketches(raw)
+            if turn is not None:
+                draw = (ids.astype(np.uint64) + np.uint64(turn * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                draw = (draw ^ (draw >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
             def out(a, b):
-                return pa.RecordBatch.from_arrays([pa.array(f(ids[a], ids[b])) for f in (np.minimum, np.maximum)], names=["u", "v"])  # noqa: B023
-
-            first, small = np.cumsum(sizes) - sizes, sizes <= SMALL
-            left = np.repeat(first + sizes, sizes) - np.arange(len(ids))
-            left[~np.repeat(small, sizes)] = 0
-            for step in range(1, int(sizes[small].max(initial=0))):
-                a = np.flatnonzero(left > step)
-                a = a[able(a, a + step)]
-                yield out(a, a + step)
+                live = np.flatnonzero((c[a] != c[b]) & (np.minimum(rest[a], rest[b]) >= share * (n[a] + n[b]) - 1e-6))  # noqa: B023
+                a, b = a[live], b[live]
+                near = sketches.differ(a, b) <= (1 - 2 * share) * (n[a] + n[b]) + 1e-6  # noqa: B023
+                a, b = ids[a[near]], ids[b[near]]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+            if turn is None:
+                left = np.repeat(first + sizes, sizes) - np.arange(len(ids))
+                left[~np.repeat(small, sizes)] = 0
+                for step in range(1, int(sizes[small].max(initial=0))):
+                    a = np.flatnonzero(left > step)
+                    yield out(a, a + step)
+            elif small.any():
+                least = np.repeat(np.minimum.reduceat(draw, first), sizes)
+                lead = np.flatnonzero((draw == least) & np.repeat(small, sizes))
+                bucket = np.repeat(np.arange(len(sizes)), sizes)
+                of = np.zeros(len(sizes), np.int64)
+                of[bucket[lead]] = lead
+                every = np.flatnonzero(np.repeat(small, sizes))
+                yield out(of[bucket[every]], every)
             for s, m in zip(first[~small].tolist(), sizes[~small].tolist()):
+                every = np.arange(s, s + m)
                 if turn is None:
                     for i in range(s, s + m - 1):
-                        b = np.arange(i + 1, s + m)
-                        b = b[able(i, b)]
-                        if len(b):
-                            yield out(np.full(len(b), i), b)
+                        yield out(np.full(s + m - 1 - i, i), every[i + 1 - s :])
                     continue
-                every = np.arange(s, s + m)
-                names, place, count = np.unique(c[every], return_inverse=True, return_counts=True)
-                if len(names) == 1:
+                kinds, place, count = np.unique(c[every], return_inverse=True, return_counts=True)
+                if len(kinds) == 1:
                     continue
-                draw = (ids[every].astype(np.uint64) + np.uint64(turn * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                draw = (draw ^ (draw >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
                 most = place == count.argmax()
                 for group in (every[most], every[~most]):
-                    i = group[draw[group - s].argmin()]
-                    b = every[able(i, every)]
-                    yield out(np.full(len(b), i), b)
+                    i = group[draw[group].argmin()]
+                    yield out(np.full(m, i), every)
 
     return run
 
@@ -390,12 +440,12 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, size: int, s
 
 
 def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """u, v: links that join all ids which pairs of at least this similarity join. prints: id, k1, k2, fp, n, prefix;
+    """u, v: links that join all ids which pairs of at least this similarity join. prints: id, k1, k2, fp, n, prefix, sketch;
     rows: h, id, n, rest, crowd; texts: k1, k2, body.
 
     Only verified links contract. First come the links of fingerprints, which join most near copies by a pair or two each.
-    Then, of texts not joined so far, buckets of SMALL texts or fewer are compared whole. Where crowded ones would make over
-    PLENTY pairs a text, stars, drawn anew each turn, are verified and contracted first, while one pair in FEW links; in the
+    Then a star of each bucket is verified and contracted, so that a group of near copies is not expanded into its pairs. Where crowded
+    buckets would make over PLENTY pairs a text, more stars, drawn anew each turn, follow, while one pair in FEW links; in the
     end every pair of different components that is left is compared, so that what no star joined isn't lost.
     """
     spark = rows.sparkSession
@@ -406,12 +456,13 @@ def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, sim
     sure = verified(tried, prints, texts, size, similarity)
 
     crowd, parts, most = rows.where("crowd"), partitions(spark), PLENTY * prints.count()
-    now, turn, found = rows, 0, True
+    turn, found = 0, True
     while True:
         groups = stored(components(sure).toDF("id", "c"), "groups")
-        grouped = lambda df: df.join(groups, "id", "left").withColumn("c", F.coalesce("c", "id"))  # noqa: B023, E731
-        last = turn == ROUNDS or not found or pairs_left(grouped(crowd)) <= most
-        dealt = grouped(now).select("h", "id", "n", "rest", "c").repartition(parts, "h").sortWithinPartitions("h")
+        named = prints.select("id", "sketch").join(groups, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        last = turn > 0 and (turn > ROUNDS or not found or pairs_left(crowd.join(named, "id")) <= most)
+        now = rows if last or turn == 0 else crowd
+        dealt = now.join(named, "id").select("h", "id", "n", "rest", "c", "sketch").repartition(parts, "h").sortWithinPartitions("h")
         pairs = stored(dealt.mapInArrow(candidates(similarity, None if last else turn), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         new = verified(pairs, prints, texts, size, similarity)
         sure = sure.union(new)
@@ -419,7 +470,7 @@ def similar(prints: DataFrame, rows: DataFrame, texts: DataFrame, size: int, sim
         if last:
             dropped(spark, tried, pairs, first)
             return sure
-        now, turn, found, tried = crowd, turn + 1, turn == 0 or new.count() * FEW >= pairs.count(), tried.union(pairs)
+        turn, found, tried = turn + 1, turn == 0 or new.count() * FEW >= pairs.count(), tried.union(pairs)
 
 
 def pairs_left(crowd: DataFrame) -> int:
@@ -450,7 +501,7 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     often = drawn.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()
     common, counts = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
     order = np.argsort(common)
-    schema = f"k1 long, k2 long, owner {texts.schema['owner'].dataType.simpleString()}, fp long, n long, prefix array<long>"
+    schema = f"k1 long, k2 long, owner {texts.schema['owner'].dataType.simpleString()}, fp long, n long, prefix array<long>, sketch binary"
     made = texts.select(*keys, "owner", "body").mapInArrow(prefixes(size, similarity, common[order], counts[order]), schema)
     prints = stored(made.withColumn("id", F.monotonically_increasing_id()), "prints")
 

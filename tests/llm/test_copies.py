@@ -88,3 +88,26 @@ def test_odd_rows_and_clashing_columns(spark):
     assert sorted((r.doc_id, (r.text or "")[:11]) for r in got) == [(1, "a b c d e f"), (2, ""), (5, "w0 w1 w2 w3"), (7, "x y z"), (8, "x y")]
     assert all(r["a.b"] == r.k1 == "x" for r in got) and [r.text for r in got if r.doc_id == 2] == [None]
     assert simhash.without_copies(df.limit(0)).count() == 0
+
+
+def test_sketches_differ_no_more_than_the_sets(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 7)
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**63, 6000).astype(np.uint64)
+    sets = [np.unique(r.choice(pool[: max(2 * n, 1)], n)) for n in [0, 1, 3, 200, 300, 600, 900, 1500, 3000, 5000] for _ in range(3)]
+    sketches = simhash.Sketches(np.array([simhash.sketch(s) for s in sets], object))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    got = sketches.differ(a, b)
+    assert (got <= apart).all() and len({len(simhash.sketch(s)) for s in sets}) == 3
+    assert (got[(apart > 0) & (apart < 20)] > 0).any() and not got[a == b].any()
+
+
+@pytest.mark.parametrize("edits", [(12, 12), (1, 2)])
+def test_pairs_tried_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, edits):
+    """A group of 300 texts whose pairs all share shingles, far under the limit and over it: 44,850 pairs."""
+    tried, real = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: (tried.append(pairs.count()), real(pairs, *a))[1])
+    docs = family(5, 300, 150, edits)
+    assert kept(spark, docs) == brute_kept(docs)
+    assert sum(tried) <= 4 * len(docs)
