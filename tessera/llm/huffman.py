@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,7 @@ class WordEncoder:
         """Places of the words in size; those that are new are encoded."""
         if len(self.known) + len(words) > CACHE or len(self.flat) > 8 * CACHE:
             self.clear()
-        out = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(out < 0)
         out[new] = len(self.size) + np.arange(len(new))
         missing = [words[i] for i in new]
@@ -120,9 +121,10 @@ class WordEncoder:
         whole = words.dictionary
         low = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole))  # special tokens have a case
         stem = pc.replace_substring_regex(low, f"([a-z])[{TAIL}]+$", r"\1")
-        tail = pc.if_else(pc.equal(stem, low), "", pc.replace_substring_regex(low, f"^(?s:.*)[a-z]([{TAIL}]+)$", r"\1"))
+        cut = pc.not_equal(stem, low)
+        tail = pc.replace_with_mask(pa.repeat(pa.scalar("", low.type), len(low)), cut, pc.replace_substring_regex(low.filter(cut), f"^(?s:.*)[a-z]([{TAIL}]+)$", r"\1"))
         parts = pa.concat_arrays([stem, tail]).dictionary_encode()
-        slot = self.slots(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        slot = self.slots(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()]  # faster than to_pylist()
         first = np.cumsum(self.size) - self.size
         flat, size = gathered(self.flat, first, self.size, slot.reshape(2, -1).T.ravel())  # stem, tail, stem, tail
         size = size.reshape(-1, 2).sum(axis=1)

@@ -109,3 +109,15 @@ def test_canonical_codes():
 def test_a_cut_file_is_refused():
     with pytest.raises(ValueError):
         huffman.IdFile(huffman.MAGIC + b"\0" * 100)
+
+
+def test_tails_are_cut_from_some_words_all_or_none():
+    import pyarrow as pa
+
+    from tessera.llm import huffman
+
+    encode = huffman.WordEncoder(None)
+    for texts in (["One, two. Three!?", "a", None, ""], ["plain words only"], ["End. end."], [None, ""]):
+        ids, n = encode.encode(pa.array(texts, pa.string()))
+        whole = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(whole, []) and n.tolist() == [len(w) for w in whole]
