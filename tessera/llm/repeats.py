@@ -23,12 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions, released, stored, stored_by
 
 BATCH, CROWD = 8_000, 50_000
+#: Bytes of texts whose anchors are found at once, if the plan can; a longer text is taken by itself.
+TOGETHER = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Low bits of a hash that give way to a position, so that a least value is the leftmost of equals.
 POSITION = np.uint64((1 << 34) - 1)
@@ -87,6 +90,8 @@ class Plan:
     #: how to part a crowded seed's context: of its tokens, how many stand before the anchor, and the floor of its last parting, the
     #: parts' keys, floors, first and last windows; equal windows get equal keys. Without it a crowded seed's windows are counted.
     part: Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
+    #: anchors of several texts of any length, and the number of each one's text
+    many: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
 def contexts_of(h: Hashes, length: int, seed: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,25 +101,42 @@ def contexts_of(h: Hashes, length: int, seed: np.ndarray, t: np.ndarray, first:
     return seed.view(np.int64), context.view(np.int64), t << 16 | (t - first) << 8 | (last - first)
 
 
-def unpack(place: int) -> tuple[int, int, int]:
-    """An anchor's start, its first window's start and its last window's start."""
-    t, before, more = place >> 16, place >> 8 & 255, place & 255
-    return t, t - before, t - before + more
-
-
 def batch_of(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
+def one_by_one(plan: Plan):
+    """Plan.many for a plan without it."""
+
+    def many(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        got = [plan.anchors(tokens) if len(tokens) >= plan.length else [np.empty(0, np.int64)] * 3 for tokens in texts]
+        return *(np.concatenate(c) for c in zip(*got)), np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+
+    return many
+
+
+def row_sizes(lists: pa.ListArray) -> np.ndarray:
+    """How many values each row has in flatten(); a null row has none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
 def find_anchors(plan: Plan):
+    many = plan.many or one_by_one(plan)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2, copies = (batch.column(i).to_numpy() for i in range(3))
-            made = (plan.tokens(t.as_buffer().to_pybytes()) for t in batch.column(3))
-            got = [plan.anchors(tokens) if len(tokens) >= plan.length else [np.empty(0, np.int64)] * 3 for tokens in made]
-            n = [len(g[0]) for g in got]
-            seed, context, place = (np.concatenate(c) for c in zip(*got)) if got else [np.empty(0, np.int64)] * 3
-            yield batch_of(["seed", "context", "k1", "k2", "place", "weight"], *(pa.array(c) for c in (seed, context, np.repeat(k1, n), np.repeat(k2, n), place, np.repeat(np.minimum(copies, 2), n))))
+            got, held, at, size = [], [], 0, 0
+            for i, t in enumerate(batch.column(3)):
+                held.append(plan.tokens(t.as_buffer().to_pybytes()))
+                size += held[-1].nbytes
+                if size >= TOGETHER or i + 1 == len(batch):
+                    *made, of = many(held)
+                    got.append((*made, of + at))
+                    held, at, size = [], i + 1, 0
+            if got:
+                seed, context, place, of = (np.concatenate(c) for c in zip(*got))
+                yield batch_of(["seed", "context", "k1", "k2", "place", "weight"], *(pa.array(c) for c in (seed, context, k1[of], k2[of], place, np.minimum(copies, 2)[of])))
 
     return run
 
@@ -125,17 +147,21 @@ def cut_contexts(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["seed", "context", "total", "crowd", "before", "after"]
         for batch in batches:
-            out: list[tuple] = []
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+            all_ = batch.column(1).flatten()
+            n, (place, *own) = row_sizes(batch.column(1)), (pc.struct_field(all_, c) for c in ("place", *names[:4]))
+            place = place.to_numpy()
+            t = place >> 16
+            first = t - (place >> 8 & 255)
+            stop = first + (place & 255) + plan.length
+            at, before, after = 0, [], []
+            for text, low, high in zip(batch.column(0), (np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
                 tokens = plan.tokens(text.as_buffer().to_pybytes())
-                for w in wanted:
-                    t, first, last = unpack(w["place"])
-                    out.append((w["seed"], w["context"], w["total"], w["crowd"], tokens[first:t][::-1].tobytes(), tokens[t : last + plan.length].tobytes()))
-                if len(out) >= BATCH:
-                    yield batch_of(names, *(pa.array(c) for c in zip(*out)))
-                    out = []
-            if out:
-                yield batch_of(names, *(pa.array(c) for c in zip(*out)))
+                for a, b, z in zip(first[low:high].tolist(), t[low:high].tolist(), stop[low:high].tolist()):
+                    before.append(tokens[a:b][::-1].tobytes())
+                    after.append(tokens[b:z].tobytes())
+                if len(after) >= BATCH or (after and high == len(t)):
+                    yield batch_of(names, *(c.slice(at, len(after)) for c in own), pa.array(before), pa.array(after))
+                    at, before, after = high, [], []
 
     return run
 
@@ -273,27 +299,42 @@ def gather_windows(plan: Plan):
     return run
 
 
+def stretches(plan: Plan, marks: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest stretches that the marks of each row cover, and the row of each; in order."""
+    flat = marks.flatten()
+    place, lists = pc.struct_field(flat, "place").to_numpy(), pc.struct_field(flat, "runs")
+    row = np.repeat(np.arange(len(marks), dtype=np.int64), row_sizes(marks))
+    whole = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
+    part = np.repeat(np.arange(len(flat)), row_sizes(lists) // 2)
+    ends = lists.flatten().to_numpy().reshape(-1, 2)
+    t = place >> 16
+    first = t - (place >> 8 & 255)
+    base = row << 40  # rows lie apart: no text is that long
+    low = np.concatenate(((base + first)[whole], (base + t)[part] + ends[:, 0]))
+    high = np.concatenate(((base + first + (place & 255))[whole] + plan.length, (base + t)[part] + ends[:, 1]))
+    order = np.argsort(low)
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(low[1:] > high[:-1]) + 1
+    if len(low):
+        low, high = low[np.append(0, new)], high[np.append(new - 1, len(high) - 1)]
+    row = low >> 40
+    return low - (row << 40), high - (row << 40), row
+
+
 @dataclass(frozen=True)
 class Gone:
-    """What is to go of a text, by its copies and the marks of its anchors."""
+    """What is to go of a text: all of it if it has copies and is long enough, else the stretches that its marks cover."""
 
     plan: Plan
     copies: int
-    marks: list[dict] | None
+    low: np.ndarray
+    high: np.ndarray
 
     def spans(self, tokens: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the longest stretches that go."""
         if self.copies > 1 and tokens >= self.plan.length:
             return np.array([0]), np.array([tokens])
-        ends = []
-        for m in self.marks or ():
-            t, first, last = unpack(m["place"])
-            ends += [first, last + self.plan.length] if m["runs"] is None else [t + r for r in m["runs"]]
-        low, high = np.array(ends, np.int64).reshape(-1, 2).T
-        order = np.argsort(low)
-        low, high = low[order], np.maximum.accumulate(high[order])
-        new = np.flatnonzero(low[1:] > high[:-1]) + 1
-        return (low[np.append(0, new)], high[np.append(new - 1, len(high) - 1)]) if len(low) else (low, high)
+        return self.low, self.high
 
     def mask(self, tokens: int) -> np.ndarray:
         low, high = self.spans(tokens)
@@ -350,8 +391,10 @@ def removed(plan: Plan, docs: DataFrame, own: Column, text: str, digest: Callabl
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k1, k2, copies, t, m in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
-                out.append((k1, k2, *digest(t.as_buffer().to_pybytes(), Gone(plan, copies, m.as_py()))))
+            low, high, row = stretches(plan, batch.column(4))
+            cuts = np.searchsorted(row, np.arange(len(batch) + 1)).tolist()
+            for k1, k2, copies, t, a, z in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), cuts, cuts[1:]):
+                out.append((k1, k2, *digest(t.as_buffer().to_pybytes(), Gone(plan, copies, low[a:z], high[a:z]))))
             if out:
                 yield batch_of([*keys, *names], *(pa.array(c) for c in zip(*out)))
 

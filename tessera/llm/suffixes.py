@@ -6,7 +6,8 @@ prefix of another. What a window of LENGTH bytes holds alone decides its phrases
 
 The corpus order (of all suffixes that start a window, as far as LENGTH bytes reach) is made in blocks: of the phrases that a
 window holds whole, the one of least hash names its block, so that equal windows meet. A phrase or context that occurs
-once can't repeat and goes before. In a block, see shared_windows():
+once can't repeat and goes before; so does a context that agrees with no other far enough around its phrase to share a
+window, see may_share(). For the rest of a block, see ordered_windows():
 
 - the dictionary is its distinct phrases, in order; its suffix array gives each rest of a phrase a rank,
 - the parse is its texts as phrase ranks; its suffix array orders what follows a trigger,
@@ -27,6 +28,7 @@ No rows: none. Extra columns: ignored by dedup_bytes, kept by cut_repeats, whate
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +38,17 @@ from tessera.llm.common import table
 from tessera.llm.repeats import POSITION, Gone, Hashes, Plan, contexts_of, removed
 
 LENGTH, TRIGGER = 200, 8
-#: Of this many rolling hashes one is a trigger's.
+#: Of this many rolling hashes (a power of two) one is a trigger's.
 EVERY = 16
 #: From more texts than this on a block is parted before it is ordered.
 CROWD = 2_000
+#: How finely may_share() tells apart how much of a window stands before its anchor.
+STEP = 50
 _LETTER = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.int64).view(np.uint64)
 
 
 def triggers(h: Hashes) -> np.ndarray:
-    return np.flatnonzero(h.grams(TRIGGER) % np.uint64(EVERY) == 0)
+    return np.flatnonzero(h.grams(TRIGGER) & np.uint64(EVERY - 1) == 0)
 
 
 class Least:
@@ -64,27 +68,42 @@ class Least:
         return out
 
 
-def parsed(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A window's anchor is the phrase of least hash (leftmost of equals) that it holds whole, or if none the window."""
-    h, windows = Hashes(_LETTER[tokens]), len(tokens) - LENGTH + 1
+def parsed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A window's anchor is the phrase of least hash (leftmost of equals) that it holds whole, or if none the window.
+
+    The texts are laid end to end; a phrase that reaches over a text's end is in no window.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    long = np.flatnonzero(size >= LENGTH)
+    if not len(long):
+        return (np.empty(0, np.int64),) * 4
+    data = np.concatenate([texts[i] for i in long])
+    stop = np.cumsum(size[long])
+    begin, over = stop - size[long], stop - LENGTH + 1
+    h = Hashes(_LETTER[data])
     at = triggers(h)
     phrases = h.of(at[:-1], at[1:] + TRIGGER) if len(at) > 1 else np.empty(0, np.uint64)
     inside = LENGTH - TRIGGER
     # the phrases that a window holds change only where a trigger leaves or enters it
-    start = np.unique(np.concatenate(([0], at + 1, at - inside)))
-    start = start[(start >= 0) & (start < windows)]
-    end = np.append(start[1:], windows)
+    edge = np.zeros(len(data) + 1, bool)
+    for places in (begin, over, at + 1, at[np.searchsorted(at, inside) :] - inside):
+        edge[places] = True
+    start = np.flatnonzero(edge)
+    text = np.searchsorted(begin, start, "right") - 1
+    has = np.flatnonzero(start < over[text])
+    start, end, text = start[has], start[has + 1], text[has]
     low, high = np.searchsorted(at, start), np.searchsorted(at, start + inside, "right") - 1
     held = high > low
-    bare = np.concatenate([np.arange(a, b) for a, b in zip(start[~held], end[~held])]) if not held.all() else np.empty(0, np.int64)
-    whole = h.of(bare, bare + LENGTH)
-    out = [contexts_of(h, LENGTH, whole, bare, bare, bare)]
+    n = (end - start)[~held]
+    bare, owner = np.repeat(start[~held] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(text[~held], n)
+    out = [(*contexts_of(h, LENGTH, h.of(bare, bare + LENGTH), bare, bare, bare), owner)]
     if held.any():
-        start, end = start[held], end[held]
+        start, end, text = start[held], end[held], text[held]
         best = Least(phrases, int((high - low)[held].max())).of(low[held], high[held])
         new = np.flatnonzero((best != np.concatenate(([-1], best[:-1]))) | (start != np.concatenate(([-1], end[:-1]))))
-        out.append(contexts_of(h, LENGTH, phrases[best[new]], at[best[new]], start[new], end[np.append(new[1:], len(end)) - 1] - 1))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        out.append((*contexts_of(h, LENGTH, phrases[best[new]], at[best[new]], start[new], end[np.append(new[1:], len(end)) - 1] - 1), text[new]))
+    seed, context, place, owner = (np.concatenate(c) for c in zip(*out))
+    return seed, context, place - (begin[owner] << 16), long[owner]
 
 
 def parted(tokens: np.ndarray, before: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +189,33 @@ class SuffixArray:
         return n
 
 
+def may_share(before: list[bytes], after: list[bytes]) -> np.ndarray:
+    """Places of the contexts that can share a window; the windows of all others occur once.
+
+    Equal windows hold the same bytes on both sides of where their anchor begins. With at least `low` of them before it and fewer
+    than `low` + STEP, they agree in `low` bytes before it and in over LENGTH - `low` - STEP from it on.
+    """
+    live = np.zeros(len(before), bool)
+    for low in range(0, LENGTH, STEP):
+        high = LENGTH - low - STEP + 1
+        held = [b[:low] + a[:high] if len(b) >= low and len(a) >= high else None for b, a in zip(before, after)]
+        often = Counter(held)
+        often[None] = 0
+        live |= np.fromiter(map(often.__getitem__, held), np.int64, len(held)) > 1
+    return np.flatnonzero(live)
+
+
 def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) -> list[np.ndarray]:
+    """Of some blocks' contexts, the windows that share LENGTH bytes with another; those that can't are not ordered."""
+    out = [np.empty(0, np.int64)] * len(before)
+    live = may_share(before, after).tolist()
+    if live:
+        for i, hits in zip(live, ordered_windows([before[i] for i in live], [after[i] for i in live])):
+            out[i] = hits
+    return out
+
+
+def ordered_windows(before: list[bytes], after: list[bytes]) -> list[np.ndarray]:
     """The corpus order of the windows of some blocks, and which of them share LENGTH bytes with a neighbour in it.
 
     Blocks need not be told apart: windows of different ones differ.
@@ -230,7 +275,7 @@ def shared_windows(seed: np.ndarray, before: list[bytes], after: list[bytes]) ->
     return [hits[a:b][::-1] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], parsed, shared_windows, 2_000, parted)
+BYTES = Plan("bytes", LENGTH, lambda raw: np.frombuffer(raw, np.uint8), lambda tokens: _LETTER[tokens], lambda tokens: parsed([tokens])[:3], shared_windows, 2_000, parted, parsed)
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

@@ -98,6 +98,38 @@ def test_parts_of_a_context():
     assert len({k for k, _ in seen.values()}) > 1
 
 
+def test_only_contexts_that_may_share_a_window_are_ordered(monkeypatch):
+    """A phrase in 500 unlike texts costs no suffix array; windows that are shared are found, wherever their anchor stands."""
+    ordered, real = [], suffixes.SuffixArray.__init__
+    monkeypatch.setattr(suffixes.SuffixArray, "__init__", lambda self, values, *a: (ordered.append(len(values)), real(self, values, *a))[1])
+    r = np.random.default_rng(5)
+    noise = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes()
+    phrase = noise(20)
+    before, after = [noise(180) for _ in range(500)], [phrase + noise(180) for _ in range(500)]
+    assert not any(len(h) for h in suffixes.shared_windows(np.zeros(500, np.int64), before, after))
+    assert sum(ordered) < 1_000
+    for low in range(0, 181):  # two more share just one window, with `low` bytes before the anchor
+        b, a = noise(low), phrase + noise(180 - low)
+        pair = [b + noise(180 - low), b + b"A" + noise(179 - low)] if low < 180 else [b, b], [a + noise(low), a + b"A" + noise(low - 1)] if low else [a, a]
+        if low < 180:
+            pair[0][0] = b + b"B" + pair[0][0][low + 1 :]
+        if low:
+            pair[1][0] = a + b"B" + pair[1][0][len(a) + 1 :]
+        hits = suffixes.shared_windows(np.zeros(502, np.int64), before + pair[0], after + pair[1])
+        assert [h.tolist() for h in hits] == [[]] * 500 + [[low]] * 2
+
+
+def test_anchors_of_texts_laid_end_to_end():
+    r = np.random.default_rng(6)
+    texts = [r.integers(97, 101, n).astype(np.uint8) for n in (0, 7, 199, 200, 201, 3_000, 0, 250, 1_000)] + [np.full(2_000, 97, np.uint8), np.zeros(0, np.uint8)]
+    seed, context, place, of = suffixes.parsed(texts)
+    got = sorted(zip(of.tolist(), seed.tolist(), context.tolist(), place.tolist()))
+    assert got == sorted((i, *(c.item() for c in row)) for i, t in enumerate(texts) for row in zip(*suffixes.parsed([t])[:3]))
+    for i, t in enumerate(texts):
+        windows = [w for _, _, _, p in (g for g in got if g[0] == i) for w in range((p >> 16) - (p >> 8 & 255), (p >> 16) - (p >> 8 & 255) + (p & 255) + 1)]
+        assert sorted(windows) == list(range(len(t) - 199))
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA + ", n_chars long")
     assert substrings.dedup_words(none).count() == suffixes.dedup_bytes(none).count() == 0
