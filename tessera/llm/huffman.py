@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -38,8 +39,8 @@ MAX_BITS, BLOCK_IDS, FILE_IDS = 16, 256, 2_000_000
 RUN_BYTES, PACK_IDS = 4_000_000, 1 << 18
 #: Words whose ids a task keeps; longer ones are not kept. When full, the store starts anew.
 CACHE, CACHED_BYTES = 400_000, 64
-#: Letters that the tokenizer joins to one word, alone or beside each other, and marks that end such a word; words encoded as one string.
-PLAIN, TAIL, JOINED = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,;:!?", 64
+#: Letters that the tokenizer joins to one word, alone or beside each other, and marks (all of ASCII) that end such a word; words encoded as one string.
+PLAIN, TAIL, JOINED = "a-zA-ZÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~", 64
 MAGIC, END = b"TESSHUF1", "\nTESSEND\n"
 #: First id's place in the corpus, documents, ids, ids a block, longest code, symbols, bytes of the packed lengths, bits.
 HEADER = "<QQQIIIQQ"
@@ -67,12 +68,18 @@ def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.nd
 class WordEncoder:
     """Ids of whole texts from those of their distinct stems and tails.
 
-    A tail is the stops and commas after a word's last ASCII letter, where the tokenizer always parts; A-Z count as a-z, as it lowers
-    them. Plain stems are encoded many to a string: each is one word to the tokenizer, so its ids end at the one that ends a word.
+    A tail is the marks after a word's last plain letter, where the tokenizer always parts; A-Z count as a-z, as it lowers
+    them. Plain stems are encoded many to a string: each is one word to the tokenizer, so its ids end at the one that ends a word. They
+    need no composing of letters and no search for the places to part, so they go through the tokenizer without these.
     """
 
     def __init__(self, path: str | None):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
         self.tokenizer = tokenizer(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.normalizer = normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u4" if size > 1 << 16 else "<u2")
         self.ends = np.zeros(size, bool)
@@ -83,14 +90,15 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.flat, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64)
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def batch(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        made = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype) for e in made]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.match_substring_regex(pa.array(words, pa.string()), f"^[{PLAIN}]{{1,{CACHED_BYTES}}}$").to_numpy(zero_copy_only=False)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         some = [words[i] for i in order[: plain.sum()]]
-        ids = np.concatenate([np.zeros(0, self.dtype), *self.batch([" ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)])])
+        ids = np.concatenate([np.zeros(0, self.dtype), *self.batch([" ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)], plain=True)])
         size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         if len(size) != len(some) or size.sum() != len(ids):  # not a vocabulary of this kind
             size, ids, order = np.zeros(0, np.int64), ids[:0], np.arange(len(words))
@@ -119,10 +127,11 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
         whole = words.dictionary
-        low = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole))  # special tokens have a case
-        stem = pc.replace_substring_regex(low, f"([a-z])[{TAIL}]+$", r"\1")
+        special = pc.match_substring(whole, "<|")  # special tokens have a case, and marks of their own
+        low = pc.if_else(special, whole, pc.ascii_lower(whole))
+        stem = pc.if_else(special, whole, pc.replace_substring_regex(low, f"([{PLAIN}])[{TAIL}]+$", r"\1"))
         cut = pc.not_equal(stem, low)
-        tail = pc.replace_with_mask(pa.repeat(pa.scalar("", low.type), len(low)), cut, pc.replace_substring_regex(low.filter(cut), f"^(?s:.*)[a-z]([{TAIL}]+)$", r"\1"))
+        tail = pc.replace_with_mask(pa.repeat(pa.scalar("", low.type), len(low)), cut, pc.replace_substring_regex(low.filter(cut), f"^(?s:.*)[{PLAIN}]([{TAIL}]+)$", r"\1"))
         parts = pa.concat_arrays([stem, tail]).dictionary_encode()
         slot = self.slots(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()]  # faster than to_pylist()
         first = np.cumsum(self.size) - self.size
@@ -132,11 +141,17 @@ class WordEncoder:
         return ids, np.diff(np.append(0, np.cumsum(own))[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
+@lru_cache(1)
+def encoder(path: str | None) -> WordEncoder:
+    """One for all tasks of a process, with the words it knows."""
+    return WordEncoder(path)
+
+
 def tokenised_rows(path: str | None, end_id: int, most: int):
     """For mapInArrow: each document's ids with the end id, and its place among the ids of its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in runs(batch, "text", most):
                 texts = rows.column("text").combine_chunks()
@@ -165,11 +180,12 @@ def counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
-                if len(own) > len(total):
-                    total = np.append(total, np.zeros(len(own) - len(total), np.int64))
-                total[: len(own)] += own
+            _, ends, held = batch.column(0).buffers()  # the ids of all rows lie end to end
+            ends = np.frombuffer(ends, np.int32)[batch.column(0).offset :][: len(batch) + 1]
+            own = np.bincount(np.frombuffer(held or b"", np.uint8)[ends[0] : ends[-1]].view(f"<u{width}")) if len(batch) else total[:0]
+            if len(own) > len(total):
+                total = np.append(total, np.zeros(len(own) - len(total), np.int64))
+            total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -219,17 +235,20 @@ def bits_of(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int)
     total = int(lengths[ids].sum(dtype=np.int64))
     words, checkpoints, at = np.zeros(total // 32 + 2, np.uint64), [], 0
     step = max(block, PACK_IDS // block * block)
+    sizes = lengths.astype(np.int64)
+    high = codes << ((64 - sizes) & 63).astype(np.uint64)  # a code's bits are the first
     for k in range(0, len(ids), step):
         some = ids[k : k + step]
-        size = lengths[some].astype(np.int64)
+        size = sizes[some]
         end = at + np.cumsum(size)
         begin = end - size
         checkpoints.append(begin[::block])
-        value = codes[some] << (64 - (begin & 31) - size).astype(np.uint64)
+        value = high[some] >> (begin & 31).view(np.uint64)
         word = begin >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))  # codes are shorter than words: each word in between has one
-        np.add.at(words, word[first], np.add.reduceat(value >> np.uint64(32), first))
-        np.add.at(words, word[first] + 1, np.add.reduceat(value & np.uint64(0xFFFFFFFF), first))
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))  # codes are shorter than words: each word in between has one
+        word = word[first]  # each once
+        words[word] += np.add.reduceat(value >> np.uint64(32), first)
+        words[word + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
         at = int(end[-1])
     return words.astype(">u4"), np.concatenate(checkpoints) if checkpoints else np.zeros(0, np.int64), total
 

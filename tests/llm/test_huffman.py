@@ -121,3 +121,40 @@ def test_tails_are_cut_from_some_words_all_or_none():
         ids, n = encode.encode(pa.array(texts, pa.string()))
         whole = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert ids.tolist() == sum(whole, []) and n.tolist() == [len(w) for w in whole]
+
+
+def test_plain_words_before_any_mark_skip_the_search_for_parts():
+    """Every ASCII mark, alone and repeated, after letters of both kinds; only words that are not plain meet the whole tokenizer."""
+    import pyarrow as pa
+
+    met = []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **kw):
+            met.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    encode, whole = huffman.WordEncoder(None), huffman.tokenizer(None)
+    encode.tokenizer = Seen()
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [f"{w}{m} {w}{m * 3} {w}{m}{n}" for w in ("END", "née", "ÀÉ", "réê", "it") for m in marks for n in ("#", "'", "<|", "|>")]
+    odd = ["x<|endoftext|>", "<|endoftext|>...", "a<|startoftext|>b", "it's. 'll' é̀... 5$$$ A\u0338= É'S'", "ß### ÿ&&& ·· ª***", None, ""]
+    for some in (texts, texts[:3] + odd, odd):
+        ids, n = encode.encode(pa.array(some, pa.string()))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    encode.clear()
+    met.clear()
+    encode.encode(pa.array(["Plain réeux### words&&& end.%%% elles,*** née's"]))
+    assert met and all(w in ("née's", *(m * 3 for m in "#&*"), ".%%%", ",***", "") for w in met), met
+
+
+def test_ids_are_counted_over_slices():
+    import pyarrow as pa
+
+    rows = [np.array(r, "<u2").tobytes() for r in ([5, 1], [2], [], [5, 5, 7], [300])]
+    column = pa.array(rows, pa.binary())
+    for part in (column, column[1:4], column[2:3], column[:0]):
+        (out,) = huffman.counted(2)(iter([pa.RecordBatch.from_arrays([part], names=["ids"])] * 2))
+        want = np.bincount(np.frombuffer(b"".join(part.to_pylist()), "<u2"), minlength=301) * 2
+        assert out.column(0).to_pylist() == np.flatnonzero(want).tolist() and out.column(1).to_pylist() == want[want > 0].tolist()
