@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from conftest import DATA
 
+from tessera.operators import contracts
 from tessera.plans import catalog
 from tessera.sources import views
 
@@ -37,3 +38,10 @@ def test_rerank_by_hops_along_all_edges(spark):
     want = sorted(((v + (0.15 / (1 + hops[p]) if p in hops else 0), v, p) for v, p in s), key=lambda x: (-x[0], -x[1], x[2]))[:8]
     got = catalog.QUERIES["graph_rerank"](spark, sf).collect()
     assert sorted((r.path, r.score) for r in got) == sorted((p, round(x, 6)) for x, _, p in want)
+
+
+def test_impact_keeps_all_that_depends_on_a_change(spark):
+    n, changed = 1_200, spark.createDataFrame([("a",)], "node string")
+    edges = spark.createDataFrame([(f"n{i}", "a", "resolved") for i in range(n)], "source string, target string, resolution string")
+    got = contracts.engineering_impact(edges, changed, spark.createDataFrame([("n7", "r")], "node string, rule string")).collect()
+    assert sorted((r.node, r.hops, tuple(r.rules), r.status) for r in got) == sorted([("a", 0, (), "complete"), *((f"n{i}", 1, ("r",) if i == 7 else (), "complete") for i in range(n))])
