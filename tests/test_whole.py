@@ -45,3 +45,11 @@ def test_impact_keeps_all_that_depends_on_a_change(spark):
     edges = spark.createDataFrame([(f"n{i}", "a", "resolved") for i in range(n)], "source string, target string, resolution string")
     got = contracts.engineering_impact(edges, changed, spark.createDataFrame([("n7", "r")], "node string, rule string")).collect()
     assert sorted((r.node, r.hops, tuple(r.rules), r.status) for r in got) == sorted([("a", 0, (), "complete"), *((f"n{i}", 1, ("r",) if i == 7 else (), "complete") for i in range(n))])
+
+
+def test_all_callers_of_a_changed_function_are_kept(spark):
+    n = 2_100
+    calls = spark.createDataFrame([(f"n{i}", "a", "resolved") for i in range(n)] + [("far", "n3", "resolved")], "caller string, target string, resolution string")
+    got = contracts.caller_impact(calls, spark.createDataFrame([("a",)], "function string")).collect()
+    want = [*((f"n{i}", 1, "direct-caller", ("a", f"n{i}"), "complete") for i in range(n)), ("far", 2, "transitive-caller", ("a", "n3", "far"), "complete")]
+    assert sorted((r.function, r.hops, r.relationship, tuple(r.via), r.status) for r in got) == sorted(want)
