@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import nearest
-from tessera.operators import flows, graph, model
+from tessera.operators import extract, flows, graph, model
 from tessera.plans import catalog, storage
+from tessera.sources import views
 from conftest import DATA
 
 MEASURED_QUERIES = [
@@ -106,3 +107,29 @@ def test_flows_without_traces_are_the_same_and_sort_nothing(spark, monkeypatch):
     bare = model.flows_across_calls(f(1, 2, 59, 99), calls, f(3, 5, 99), traces=False)
     assert not any("array" in t for df in written for _, t in df.dtypes)
     assert {tuple(r) for r in bare.collect()} == {tuple(r)[:2] for r in model.flows_across_calls(f(1, 2, 59, 99), calls, f(3, 5, 99)).collect()}
+
+
+def test_files_made_from_one_row_group_are_dealt_out(spark, monkeypatch):
+    for made in (views.code, views.flow_code):
+        whole = sorted(map(tuple, made(spark, DATA).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(views, "KEYS_A_PARTITION", 40)
+            files = made(spark, DATA)
+            sizes = files.groupBy(F.spark_partition_id()).count().collect()
+            assert len(sizes) > 3 and max(r["count"] for r in sizes) < len(whole) / 2
+            assert sorted(map(tuple, files.collect())) == whole
+
+
+@pytest.mark.parametrize("kinds", [{"function", "class"}, {"client", "endpoint"}, extract.FOR_IMPORTS, extract.FOR_CALLS | extract.FOR_HANDLERS, {"diagnostic", "flow"}])
+def test_facts_of_some_kinds_are_those_of_all(kinds, monkeypatch):
+    files = [("a.py", "import b\n@app.get('/x')\ndef f(:\n  pass\n"), ("b.js", "import { f } from './a';\nfunction g(x) {\n  return fetch(`/n/${x}`);\n}}\n"), ("package.json", "{"), ("q/package.json", '{"name": "q", "dependencies": {"x": "1"}}'), ("C.java", "package p;\n@Entity\npublic class C extends D {\n  private int x;\n}\n")]
+    ran = []
+    for name in ("shared_facts", "flow_facts", "manifest_facts"):
+        monkeypatch.setattr(extract, name, lambda *a, name=name, f=getattr(extract, name): (ran.append(name), f(*a))[1])
+    every = {p: extract.file_facts(p, c) for p, c in files}
+    assert len(ran) == 3 * len(files)
+    ran.clear()
+    for p, c in files:
+        assert extract.file_facts(p, c, frozenset(kinds)) == [f for f in every[p] if f[0] in kinds]
+    if kinds == {"function", "class"}:
+        assert not ran
