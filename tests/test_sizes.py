@@ -133,3 +133,27 @@ def test_facts_of_some_kinds_are_those_of_all(kinds, monkeypatch):
         assert extract.file_facts(p, c, frozenset(kinds)) == [f for f in every[p] if f[0] in kinds]
     if kinds == {"function", "class"}:
         assert not ran
+
+
+def test_pairs_of_flows_are_made_at_the_end_alone(spark, monkeypatch):
+    n, hops, near = 2_500, 3, {}
+    calls = [(i, (i * 7 + j * 31) % n) for i in range(n) for j in range(4)] + [(n + 1, 5), (None, 1), (2, None)]
+    for a, b in calls:
+        if None not in (a, b) and a != b:
+            near.setdefault(a, set()).add(b)
+    sources, sinks = [*range(0, n, 2), n + 1, n + 2], [*range(0, n, 3), *range(1, n, 3), n + 2, None]
+    want = set()
+    for s in sources:
+        seen = front = {s}
+        for _ in range(hops):
+            front = {b for a in front for b in near.get(a, ())} - seen
+            seen = seen | front
+        want |= {(s, t) for t in seen.intersection(sinks)}
+    counts, store = [], storage.stored
+    for module in (model, graph):
+        monkeypatch.setattr(module, "stored", lambda df, name: (out := store(df, name), counts.append(out.count()))[0])
+    monkeypatch.setattr(model, "NUMBERED", 600, raising=False)  # several groups
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "function long")
+    got = model.flows_across_calls(frame(sources), spark.createDataFrame(calls, "caller long, callee long"), frame(sinks), hops, traces=False).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert max(counts) < len(want) / 3
